@@ -50,7 +50,7 @@ SQL_VIEWS["relay"] = (("job", "webhook_live", "failure", "block", "top10", "chai
       WHERE p.o0 IS NULL AND p.is_new),
     pay AS (
       SELECT webhook_id, min(block_height) AS lo, max(block_height) AS hi, count(*) AS n,
-             to_json(list(block ORDER BY CASE WHEN is_new THEN -block_height ELSE block_height END)) AS body
+             CAST(to_json(list(block ORDER BY CASE WHEN is_new THEN -block_height ELSE block_height END)) AS VARCHAR) AS body
       FROM r GROUP BY webhook_id),
     o AS (
       SELECT p.*, pay.lo, pay.hi, pay.n, pay.body, h.low,
@@ -157,7 +157,7 @@ def q_new_jobs_with_latest(spark, sf_dir):
 
 @query("build_payload", """
     SELECT webhook_id, min(block_height) AS first_height, max(block_height) AS last_height, count(*) AS n_blocks,
-           to_json(list(block ORDER BY block_height)) AS body
+           CAST(to_json(list(block ORDER BY block_height)) AS VARCHAR) AS body
     FROM round_rows GROUP BY webhook_id""", ("round_rows",))
 def q_build_payload(spark, sf_dir):
     j = dv.jobs_with_webhook(fx.jobs(spark, sf_dir), _live_webhooks(spark, sf_dir)).where(~F.col("dropped"))
