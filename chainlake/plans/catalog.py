@@ -17,7 +17,7 @@ from chainlake.fixtures import with_views
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 REGISTRY: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {}
+_ORACLE_SRC: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def query(key: str, sql: str | None = None, views: tuple[str, ...] = ()):
@@ -28,7 +28,7 @@ def query(key: str, sql: str | None = None, views: tuple[str, ...] = ()):
             raise ValueError(f"duplicate query key {key}")
         REGISTRY[key] = fn
         if sql is not None:
-            ORACLE[key] = with_views(sql, *views)
+            _ORACLE_SRC[key] = (sql, views)
         return fn
 
     return deco
@@ -44,3 +44,10 @@ def load_all() -> None:
         q_sources,
         q_store,
     )
+
+
+def oracle() -> dict[str, str]:
+    """Oracle SQL of every registered query, with its views inlined as CTEs
+    (resolved after all modules registered their views)."""
+    load_all()
+    return {k: with_views(sql, *views) for k, (sql, views) in _ORACLE_SRC.items()}
