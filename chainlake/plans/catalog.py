@@ -43,6 +43,7 @@ def load_all() -> None:
         q_registry,
         q_sources,
         q_store,
+        q_streaming,
     )
 
 

@@ -1,0 +1,126 @@
+"""Structured Streaming forms of the batch operators.
+
+Each micro-batch runs the same DataFrame functions as the batch path inside
+``foreachBatch``; the streaming checkpoint is the acknowledgement (a batch
+that fails is replayed from its offsets), and every write is keyed so that a
+replay leaves the same result:
+
+* blocks go through ``BlockTable.put`` (insert-ignore by chain and height);
+* chain heads are written as one snapshot per ``batch_id`` (overwriting the
+  same snapshot on replay); the head is the max over snapshots, so it only
+  moves forward even if an older batch is replayed;
+* billing outcomes are written per ``batch_id`` partition, overwritten on
+  replay.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chainlake.operators import billing as bl
+from chainlake.operators import store as st
+from chainlake.session import ensure_checkpoint_dir
+from chainlake.sources.store_io import BlockTable
+
+ARRIVAL_SCHEMA = T.StructType([
+    T.StructField("chain_id", T.StringType()),
+    T.StructField("block_height", T.LongType()),
+    T.StructField("seq", T.LongType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("block", T.StringType()),
+])
+
+BILLING_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("payload", T.StringType()),
+])
+
+
+def ingest_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int = 1,
+                  fmt: str = "parquet", latest_first: bool = False) -> DataFrame:
+    """Streaming source over landed files; ``max_files_per_trigger`` is the
+    batch size.  Block streams start at the beginning; a consumer that must
+    start "now" passes ``latest_first`` with a fresh checkpoint."""
+    reader = (spark.readStream.format(fmt).schema(schema)
+              .option("maxFilesPerTrigger", max_files_per_trigger))
+    if latest_first:
+        reader = reader.option("latestFirst", "true")
+    return reader.load(path)
+
+
+def dedupe_stream(arrivals: DataFrame, delay: str) -> DataFrame:
+    """Drop redelivered blocks: one row per (chain, height) seen within the
+    watermark ``delay`` of event time (must cover how late a copy can come)."""
+    return (arrivals.withColumn("event_ts", F.col("ts").cast("timestamp"))
+            .withWatermark("event_ts", delay)
+            .dropDuplicatesWithinWatermark(["chain_id", "block_height"]))
+
+
+def run_available_now(stream: DataFrame, batch_fn, checkpoint: str) -> None:
+    """Process everything available, in micro-batches, then stop."""
+    q = (stream.writeStream.foreachBatch(batch_fn)
+         .option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def route_blocks_batch(store: BlockTable, heads_path: str):
+    """``foreachBatch`` body of the block router: put blocks, record the
+    batch head.  Due jobs are read from the heads by ``due_jobs``."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        store.put(batch, "first")
+        head = st.batch_head(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        (head.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(heads_path))
+
+    return handle
+
+
+def current_heads(spark: SparkSession, heads_path: str) -> DataFrame:
+    """Monotone chain heads: max over all batch snapshots."""
+    return spark.read.parquet(heads_path).groupBy("chain_id").agg(F.max("head").alias("head"))
+
+
+def consume_billing_batch(subscriptions: DataFrame, out_path: str):
+    """``foreachBatch`` body of the billing consumer: every event gets an
+    outcome row (errors included) -- all of them are acknowledged."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        out = bl.event_outcomes(batch, subscriptions).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(out_path))
+
+    return handle
+
+
+def land_files(df: DataFrame, path: str, n_files: int) -> None:
+    """Write a DataFrame as ``n_files`` files (a landing folder for a stream)."""
+    df.repartition(n_files).write.mode("append").parquet(path)
+
+
+def stream_dir(base: str, name: str) -> str:
+    return os.path.join(base, name)
+
+
+def flush_tick(hot: BlockTable, cold: BlockTable, threshold: int) -> int:
+    """One flush: copy the earliest ``threshold`` hot blocks of every chain
+    that has that many into cold (idempotent put), then drop them from hot.
+    Write-then-delete: a crash in between only re-copies on the next tick.
+    The hot tier is small by design and is rewritten from a checkpoint."""
+    ensure_checkpoint_dir(hot.spark)
+    moved = st.flush_plan(hot.read(), threshold).drop("rank").checkpoint(eager=True)
+    n = moved.count()
+    if n == 0:
+        return 0
+    cold.put(moved, "first")
+    remaining = st.delete_blocks(hot.read(), moved)
+    remaining = BlockTable.prepare(remaining).checkpoint(eager=True)
+    remaining.select(*[f.name for f in hot.read().schema.fields]).write.mode("overwrite") \
+        .partitionBy("chain_id", "height_bucket").parquet(hot.path)
+    return n
