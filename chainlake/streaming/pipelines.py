@@ -121,6 +121,7 @@ def flush_tick(hot: BlockTable, cold: BlockTable, threshold: int) -> int:
     cold.put(moved, "first")
     remaining = st.delete_blocks(hot.read(), moved)
     remaining = BlockTable.prepare(remaining).checkpoint(eager=True)
+    # static overwrite: partitions that became empty must disappear too
     remaining.select(*[f.name for f in hot.read().schema.fields]).write.mode("overwrite") \
-        .partitionBy("chain_id", "height_bucket").parquet(hot.path)
+        .option("partitionOverwriteMode", "static").partitionBy("chain_id", "height_bucket").parquet(hot.path)
     return n
