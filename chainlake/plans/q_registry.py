@@ -321,11 +321,24 @@ SQL_VIEWS["page1"] = (("webhook",), f"""
       SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, id DESC) AS rn,
              count(*) OVER (PARTITION BY customer_id) AS cnt FROM webhook) WHERE rn <= 5""")
 SQL_VIEWS["page2"] = (("webhook", "page1"), f"""
-    SELECT {_WCOLS}, true AS has_next, true AS has_prev, CAST(rn AS INTEGER) AS position FROM (
-      SELECT w.*, row_number() OVER (PARTITION BY w.customer_id ORDER BY w.created_at DESC, w.id DESC) AS rn
-      FROM webhook w JOIN (SELECT customer_id, created_at AS cc, id AS ci FROM page1 WHERE position = 5) c
-        ON c.customer_id = w.customer_id
-      WHERE w.created_at < c.cc OR (w.created_at = c.cc AND w.id < c.ci)) WHERE rn <= 5""")
+    WITH cur AS (SELECT customer_id, created_at AS cc, id AS ci FROM page1 WHERE position = 5),
+    fwd AS (SELECT w.*, row_number() OVER (PARTITION BY w.customer_id ORDER BY w.created_at DESC, w.id DESC) AS rn,
+                   count(*) OVER (PARTITION BY w.customer_id) AS cnt
+            FROM webhook w JOIN cur c ON c.customer_id = w.customer_id
+            WHERE w.created_at < c.cc OR (w.created_at = c.cc AND w.id < c.ci))
+    SELECT {_WCOLS}, cnt > 5 AS has_next, true AS has_prev, CAST(rn AS INTEGER) AS position FROM fwd WHERE rn <= 5
+    UNION ALL
+    SELECT p.* FROM page1 p WHERE NOT EXISTS (SELECT 1 FROM cur WHERE cur.customer_id = p.customer_id)""")
+SQL_VIEWS["page_back"] = (("webhook", "page1", "page2"), f"""
+    WITH cur AS (SELECT customer_id, created_at AS cc, id AS ci FROM page2 WHERE position = 1),
+    rev AS (SELECT w.*, row_number() OVER (PARTITION BY w.customer_id ORDER BY w.created_at ASC, w.id ASC) AS rn,
+                   count(*) OVER (PARTITION BY w.customer_id) AS cnt
+            FROM webhook w JOIN cur c ON c.customer_id = w.customer_id
+            WHERE w.created_at > c.cc OR (w.created_at = c.cc AND w.id > c.ci)),
+    revp AS (SELECT *, count(*) OVER (PARTITION BY customer_id) AS n_page FROM rev WHERE rn <= 5)
+    SELECT {_WCOLS}, true AS has_next, cnt > 5 AS has_prev, CAST(n_page - rn + 1 AS INTEGER) AS position FROM revp
+    UNION ALL
+    SELECT p.* FROM page1 p WHERE NOT EXISTS (SELECT 1 FROM cur WHERE cur.customer_id = p.customer_id)""")
 
 
 def _page1(spark, sf_dir):
@@ -355,8 +368,7 @@ def q_webhook_pages_next(spark, sf_dir):
     return rg.webhook_pages(w, 5, _cursor_of(_page1(spark, sf_dir), 5, False))
 
 
-@query("webhook_pages_back", f"""
-    SELECT {_WCOLS}, true AS has_next, false AS has_prev, position FROM page1""", ("page1",))
+@query("webhook_pages_back", "SELECT * FROM page_back", ("page_back",))
 def q_webhook_pages_back(spark, sf_dir):
     # forward to page 2, then back from its first row: page 1 again
     w = fx.webhooks(spark, sf_dir)
