@@ -125,10 +125,39 @@ def jobs_with_blocks(jobs: DataFrame, blocks: DataFrame) -> DataFrame:
     return wanted.join(b.select("chain_id", "block_height", "block"), ["chain_id", "block_height"])
 
 
-def new_jobs_with_latest(jobs: DataFrame, blocks: DataFrame) -> DataFrame:
+def recent_top_blocks(blocks: DataFrame, heads: DataFrame, n: int = MAX_BLOCKS_BOUND,
+                      lookback: int = HEIGHT_BUCKET) -> DataFrame:
+    """Latest ``n`` blocks of every chain without ranking the whole store.
+
+    Only heights in ``(head - lookback, head]`` are ranked; on a partitioned
+    store the window is a semi-join on the partition columns, so dynamic
+    partition pruning reads just the newest buckets.  Chains with fewer than
+    ``n`` blocks in the window (gaps, short chains) fall back to ranking
+    their whole chain -- a semi-join on ``chain_id`` that prunes to those
+    chains only -- so the result is exact.
+    """
+    h = heads.select("chain_id", "head")
+    # one sample height per bucket step of the window, plus the head itself
+    samples = F.array_union(F.sequence(F.greatest(F.col("head") - lookback + 1, F.lit(0)), F.col("head"),
+                                       F.lit(max(HEIGHT_BUCKET // 2, 1)).cast("bigint")), F.array(F.col("head")))
+    wanted = h.select("chain_id", F.explode(samples).alias("block_height"))
+    recent = _prune_to_requests(blocks, wanted).join(F.broadcast(h), "chain_id")  # one row per chain
+    recent = recent.where(F.col("block_height") > F.col("head") - lookback).drop("head")
+    top = latest_n_per_chain(recent.select("chain_id", "block_height", "block"), n)
+    short = (h.join(top.groupBy("chain_id").agg(F.count(F.lit(1)).alias("k")), "chain_id", "left")
+             .where(F.coalesce("k", F.lit(0)) < n).select("chain_id"))
+    full = latest_n_per_chain(blocks.join(short, "chain_id", "left_semi")
+                              .select("chain_id", "block_height", "block"), n)
+    return top.join(short, "chain_id", "left_anti").unionByName(full)
+
+
+def new_jobs_with_latest(jobs: DataFrame, blocks: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Latest ``max_blocks`` blocks of the chain for every new job.  The
     latest-10-per-chain table is at most 10 rows per chain: broadcast."""
-    top = latest_n_per_chain(blocks.select("chain_id", "block_height", "block"), MAX_BLOCKS_BOUND)
+    if heads is None:
+        top = latest_n_per_chain(blocks.select("chain_id", "block_height", "block"), MAX_BLOCKS_BOUND)
+    else:
+        top = recent_top_blocks(blocks, heads)
     return (jobs.join(F.broadcast(top), "chain_id")
             .where(F.col("rank") <= F.col("max_blocks"))
             .select("webhook_id", "chain_id", "block_height", "block"))
@@ -176,7 +205,7 @@ def relay_step(jobs: DataFrame, webhooks: DataFrame, blocks: DataFrame, heads: D
 
     live = j.where(F.col("outcome").isNull())
     old_rows = jobs_with_blocks(live.where(~F.col("is_new")), blocks)
-    new_rows = new_jobs_with_latest(live.where(F.col("is_new")), blocks)
+    new_rows = new_jobs_with_latest(live.where(F.col("is_new")), blocks, heads)
     desc_new = F.lit(mode == "reference")
     rows = (old_rows.withColumn("_d", F.lit(False))
             .unionByName(new_rows.withColumn("_d", desc_new)))

@@ -50,7 +50,7 @@ def q_normalize_flow_blocks(spark, sf_dir):
     FROM raw_evm, range(CAST(json_array_length(json_extract(raw, '$.transactions')) AS BIGINT)) r(i)""",
        ("raw_evm",))
 def q_explode_transactions(spark, sf_dir):
-    return pl.explode_transactions(pl.normalize_evm_blocks(fx.raw_evm(spark, sf_dir)))
+    return pl.explode_transactions(fx.raw_evm(spark, sf_dir))
 
 
 SQL_VIEWS["message"] = (("block",), """

@@ -79,15 +79,27 @@ def normalize_flow_blocks(raw: DataFrame, chain_id: Column | str = "chain_id", r
         F.to_json(F.col("p")).alias("block"))
 
 
-def explode_transactions(evm_blocks: DataFrame) -> DataFrame:
-    """One row per transaction of normalised EVM blocks, with its index."""
-    t = evm_blocks.select("chain_id", "block_height",
-                          F.posexplode("transactions").alias("tx_index", "tx"))
+TX_SCHEMA = T.StructType([
+    T.StructField("number", T.LongType()),
+    T.StructField("transactions", T.ArrayType(T.StructType([
+        T.StructField("to", T.StringType()),
+        T.StructField("from", T.StringType()),
+        T.StructField("nonce", T.LongType()),
+        T.StructField("value", T.LongType()),
+    ]))),
+])
+
+
+def explode_transactions(raw: DataFrame, chain_id: Column | str = "chain_id", raw_col: str = "raw") -> DataFrame:
+    """One row per transaction with its index.  The payload is parsed once
+    into typed structs (no re-serialisation and re-parsing per field)."""
+    chain = F.col(chain_id) if isinstance(chain_id, str) else chain_id
+    p = raw.select(chain.alias("chain_id"), F.from_json(F.col(raw_col), TX_SCHEMA).alias("p"))
+    t = p.select("chain_id", F.col("p.number").alias("block_height"),
+                 F.posexplode("p.transactions").alias("tx_index", "tx"))
     return t.select("chain_id", "block_height", F.col("tx_index").cast("bigint").alias("tx_index"),
-                    F.get_json_object("tx", "$.to").alias("to_address"),
-                    F.get_json_object("tx", "$.from").alias("from_address"),
-                    F.get_json_object("tx", "$.nonce").cast("bigint").alias("nonce"),
-                    F.get_json_object("tx", "$.value").cast("bigint").alias("value"))
+                    F.col("tx.to").alias("to_address"), F.col("tx.from").alias("from_address"),
+                    F.col("tx.nonce").alias("nonce"), F.col("tx.value").alias("value"))
 
 
 def append_message(blocks: DataFrame) -> DataFrame:

@@ -107,3 +107,14 @@ def test_current_failures(spark):
                               "attempt_id bigint, webhook_id string, failed boolean")
     got = {r.webhook_id: r.failures for r in dv.current_failures(a).collect()}
     assert got == {"w": 2, "v": 1}
+
+
+def test_recent_top_blocks_exact_with_gaps(spark):
+    rows = [("a", h, str(h)) for h in [1, 2, 3, 50_000, 50_001]] + [("b", h, str(h)) for h in range(0, 40)]
+    blocks = spark.createDataFrame(rows, "chain_id string, block_height bigint, block string")
+    heads = blocks.groupBy("chain_id").agg(F.max("block_height").alias("head"))
+    got = {}
+    for r in dv.recent_top_blocks(blocks, heads, n=4, lookback=10).collect():
+        got.setdefault(r.chain_id, []).append(r.block_height)
+    assert sorted(got["a"]) == [2, 3, 50_000, 50_001]   # window too short: exact fallback
+    assert sorted(got["b"]) == [36, 37, 38, 39]
