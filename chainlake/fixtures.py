@@ -233,7 +233,7 @@ def raw_evm(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"number":'), _s(h),
         F.lit(',"hash":"0xb'), _s("o_orderkey"),
         F.lit('","parentHash":"0xb'), _s(F.col("o_orderkey") - 5),
-        F.lit('","time":'), _s(F.expr("unix_seconds(cast(o_orderdate as timestamp))")),
+        F.lit('","time":'), _s(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)")),
         F.lit(',"gasUsed":'), _s(F.col("o_custkey") * 1000),
         F.lit(',"gasLimit":30000000,"miner":"0xc'), _s("o_custkey"),
         F.lit('","transactions":['), F.coalesce(F.col("txs"), F.lit("")), F.lit("]}"),

@@ -87,7 +87,8 @@ def q_delivery_latency(spark, sf_dir):
     a = fx.attempts(spark, sf_dir).where(~F.col("failed"))
     w = fx.webhooks(spark, sf_dir).select(F.col("id").alias("webhook_id"), F.col("blockchain_id").alias("chain_id"))
     b = fx.blocks(spark, sf_dir).select("chain_id", F.col("block_height").alias("msg_id"), F.col("ts").alias("block_ts"))
-    secs = (F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.col("block_ts").cast("timestamp")))
+    epoch = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+    secs = (F.expr(f"timestampdiff(SECOND, {epoch}, ts)") - F.expr(f"timestampdiff(SECOND, {epoch}, block_ts)"))
     return (a.join(w, "webhook_id").join(b, ["chain_id", "msg_id"])
             .groupBy("chain_id").agg(F.count(F.lit(1)).alias("n_deliveries"), F.sum(secs).alias("total_latency_s")))
 
