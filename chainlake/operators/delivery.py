@@ -285,11 +285,14 @@ def ack_delete(attempts: DataFrame, acks: DataFrame) -> DataFrame:
     return attempts.join(acks.select("webhook_id", "msg_id"), ["webhook_id", "msg_id"], "left_anti")
 
 
-def attempt_number(attempts: DataFrame) -> DataFrame:
-    """n-th delivery of each message (groups are bounded by max_retries)."""
-    from pyspark.sql.window import Window
-    w = Window.partitionBy("webhook_id", "msg_id").orderBy("ts", "attempt_id")
-    return attempts.withColumn("attempt_no", F.row_number().over(w))
+def attempt_number(attempts: DataFrame, bucket_hours: int = 24) -> DataFrame:
+    """n-th delivery of each message, ranked by time.  Ranked inside time
+    buckets with offsets from earlier buckets, so a message with a huge
+    number of attempts is not one window partition."""
+    from chainlake.operators.quality import bucketed_row_number
+    hours = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+    return bucketed_row_number(attempts, ["webhook_id", "msg_id"], ["ts", "attempt_id"],
+                               F.floor(hours / F.lit(bucket_hours)).cast("bigint"), "attempt_no")
 
 
 def delivery_outbox(step: DataFrame, webhooks: DataFrame, batch_id: int) -> DataFrame:

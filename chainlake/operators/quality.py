@@ -48,6 +48,23 @@ def with_next(df: DataFrame, part: str, order: str, value: str, out: str,
             .drop("_b", "_nxt", "_carry"))
 
 
+def bucketed_row_number(df: DataFrame, part: list[str], order: list[str], bucket_col, out: str) -> DataFrame:
+    """``row_number() over (partition by part order by order)`` without a
+    single window partition per key: rows are ranked inside ``bucket_col``
+    (a value monotone in the order), and the rank is offset by the number of
+    rows of the same key in earlier buckets (a cumulative sum over a small
+    per-bucket count summary)."""
+    d = df.withColumn("_b", bucket_col)
+    local = F.row_number().over(Window.partitionBy(*part, "_b").orderBy(*order))
+    d = d.withColumn("_local", local)
+    counts = d.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    return (d.join(offsets, [*part, "_b"])
+            .withColumn(out, (F.col("_local") + F.col("_off")).cast("int"))
+            .drop("_b", "_local", "_off"))
+
+
 def check_ascending(arrivals: DataFrame, bucket: int = DEFAULT_BUCKET) -> DataFrame:
     """Arrivals whose height is not above the previous arrival of the same
     chain (``arrivals(chain_id, seq, block_height)``)."""

@@ -37,3 +37,14 @@ def test_expected_heights_buckets(spark):
     heads = spark.createDataFrame([("c", 3, 25)], "chain_id string, low bigint, head bigint")
     hs = sorted(r.block_height for r in qa.expected_heights(heads, bucket=7).collect())
     assert hs == list(range(3, 26))
+
+
+@settings(max_examples=5, deadline=None)
+@given(S.lists(S.tuples(S.sampled_from(["a", "b"]), S.integers(0, 100)), min_size=1, max_size=50),
+       S.integers(1, 30))
+def test_bucketed_row_number_matches_plain(spark, rows, bucket):
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "k string, t bigint, i bigint")
+    w = Window.partitionBy("k").orderBy("t", "i")
+    plain = {r.i: r.rn for r in df.select("i", F.row_number().over(w).alias("rn")).collect()}
+    got = qa.bucketed_row_number(df, ["k"], ["t", "i"], F.floor(F.col("t") / bucket).cast("bigint"), "rn")
+    assert {r.i: r.rn for r in got.collect()} == plain
