@@ -11,6 +11,7 @@ from chainlake.operators import billing as bl
 from chainlake.operators import delivery as dv
 from chainlake.operators import store as st
 from chainlake.plans.catalog import query
+from chainlake.plans.q_delivery import _PLAN_SQL
 from chainlake.plans.q_quality import REPLAY_OFFSET
 from chainlake.sources.store_io import BlockTable, fresh_path, write_blocks_partitioned
 from chainlake.streaming import pipelines as sp
@@ -145,3 +146,18 @@ def q_flush_tick(spark, sf_dir):
 def q_read_backlog(spark, sf_dir):
     # backlog is read before new messages, oldest message id first
     return dv.pending_entries(fx.attempts(spark, sf_dir)).orderBy("webhook_id", "msg_id")
+
+
+@query("delivery_rounds", f"""
+    SELECT webhook_id, CAST(request_no AS BIGINT) AS round_id, first_height, last_height, n_blocks
+    FROM ({_PLAN_SQL.format(cursor="first_lo + 1")}) p WHERE request_no < 3""", ("job", "webhook", "block", "chain_head"))
+def q_delivery_rounds(spark, sf_dir):
+    """Three relay rounds over every due job equal the first three requests
+    of the closed-form plan."""
+    from chainlake.streaming import rounds as rd
+    base = fresh_path(spark, "rounds")
+    rd.init_cursors(fx.jobs(spark, sf_dir), f"{base}/cursors")
+    rd.run_rounds(spark, 3, f"{base}/cursors", f"{base}/outbox", fx.webhooks(spark, sf_dir),
+                  fx.blocks(spark, sf_dir), fx.chain_heads(spark, sf_dir))
+    return spark.read.parquet(f"{base}/outbox").select("webhook_id", "round_id", "first_height", "last_height",
+                                                       "n_blocks")
