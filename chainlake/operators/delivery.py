@@ -318,3 +318,4 @@ def delivery_summary(outbox: DataFrame) -> DataFrame:
                                          F.count(F.when(F.col("h").isNull() | F.col("t").isNull(), 1))
                                           .alias("n_missing_fields"))
     return reqs.join(blk, "webhook_id")
+

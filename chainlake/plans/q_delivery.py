@@ -287,3 +287,4 @@ def q_current_failures(spark, sf_dir):
 
 
 __all__ = ["job_json"]
+
