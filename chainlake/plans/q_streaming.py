@@ -11,6 +11,7 @@ from chainlake.operators import billing as bl
 from chainlake.operators import delivery as dv
 from chainlake.operators import store as st
 from chainlake.plans.catalog import query
+from chainlake.plans.q_billing import NOW, TTL_SECONDS
 from chainlake.plans.q_delivery import _PLAN_SQL
 from chainlake.plans.q_quality import REPLAY_OFFSET
 from chainlake.sources.store_io import BlockTable, fresh_path, write_blocks_partitioned
@@ -161,3 +162,38 @@ def q_delivery_rounds(spark, sf_dir):
                   fx.blocks(spark, sf_dir), fx.chain_heads(spark, sf_dir))
     return spark.read.parquet(f"{base}/outbox").select("webhook_id", "round_id", "first_height", "last_height",
                                                        "n_blocks")
+
+
+@query("entitlement_state_stream", f"""
+    WITH f AS (SELECT CAST(user_id AS VARCHAR) AS user_id, max(ts) AS last_fill FROM events
+               WHERE event_type = 'click' GROUP BY 1),
+    i AS (SELECT user_id, max(ts) AS last_invalidation FROM billing_outcome
+          WHERE action = 'invalidate' AND user_id IS NOT NULL AND error IS NULL GROUP BY user_id)
+    SELECT f.user_id, f.last_fill, i.last_invalidation,
+           CASE WHEN i.last_invalidation >= f.last_fill THEN 'invalidated'
+                WHEN f.last_fill + INTERVAL {TTL_SECONDS} SECOND <= TIMESTAMP '{NOW}' THEN 'expired'
+                ELSE 'cached' END AS state
+    FROM f LEFT JOIN i USING (user_id)""", ("billing_outcome",))
+def q_entitlement_state_stream(spark, sf_dir):
+    """Fills and invalidations arrive as a stream; the keyed state is kept
+    by a streaming aggregation and read back as the newest row per user."""
+    base = fresh_path(spark, "entitlement")
+    e = fx.table(spark, sf_dir, "events")
+    fills = e.where(F.col("event_type") == "click").select(F.col("user_id").cast("string").alias("user_id"), "ts",
+                                                           F.lit("fill").alias("kind"))
+    outcomes = bl.event_outcomes(fx.billing_events(spark, sf_dir),
+                                 bl.subscriptions_from_sessions(fx.sessions(spark, sf_dir)))
+    inv = (outcomes.where((F.col("action") == "invalidate") & F.col("user_id").isNotNull() & F.col("error").isNull())
+           .select("user_id", "ts", F.lit("invalidate").alias("kind")))
+    src = f"{base}/src"
+    sp.land_files(fills.unionByName(inv), src, 4)
+    stream = sp.entitlement_signals(sp.ingest_stream(spark, src, sp.SIGNAL_SCHEMA, max_files_per_trigger=1))
+    sp.run_available_now_update(stream, sp.entitlement_state_batch(f"{base}/state"), f"{base}/ckpt")
+    rows = spark.read.parquet(f"{base}/state")
+    latest = (rows.groupBy("user_id")
+              .agg(F.max_by(F.struct("last_fill", "last_invalidation"), "batch_id").alias("s"))
+              .select("user_id", "s.*").where(F.col("last_fill").isNotNull()))
+    ttl_end = F.col("last_fill") + F.expr(f"INTERVAL {TTL_SECONDS} SECONDS")
+    state = (F.when(F.col("last_invalidation") >= F.col("last_fill"), "invalidated")
+              .when(ttl_end <= F.lit(NOW).cast("timestamp_ntz"), "expired").otherwise("cached"))
+    return latest.select("user_id", "last_fill", "last_invalidation", state.alias("state"))

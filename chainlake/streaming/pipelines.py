@@ -125,3 +125,37 @@ def flush_tick(hot: BlockTable, cold: BlockTable, threshold: int) -> int:
     remaining.select(*[f.name for f in hot.read().schema.fields]).write.mode("overwrite") \
         .option("partitionOverwriteMode", "static").partitionBy("chain_id", "height_bucket").parquet(hot.path)
     return n
+
+
+SIGNAL_SCHEMA = T.StructType([
+    T.StructField("user_id", T.StringType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("kind", T.StringType()),   # 'fill' (read-through) or 'invalidate' (billing event)
+])
+
+
+def entitlement_signals(stream: DataFrame) -> DataFrame:
+    """Keyed streaming state of the cached entitlement: per user the latest
+    fill and the latest invalidation (a streaming aggregation: the state
+    store keeps two timestamps per user, nothing else)."""
+    return (stream.groupBy("user_id")
+            .agg(F.max(F.when(F.col("kind") == "fill", F.col("ts"))).alias("last_fill"),
+                 F.max(F.when(F.col("kind") == "invalidate", F.col("ts"))).alias("last_invalidation")))
+
+
+def entitlement_state_batch(out_path: str):
+    """``foreachBatch`` body: users whose state changed in this batch, keyed
+    by batch id (the newest row per user is the current state)."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(out_path))
+
+    return handle
+
+
+def run_available_now_update(stream: DataFrame, batch_fn, checkpoint: str) -> None:
+    q = (stream.writeStream.outputMode("update").foreachBatch(batch_fn)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
