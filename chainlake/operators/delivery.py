@@ -254,21 +254,22 @@ def delivery_plan(jobs: DataFrame, webhooks: DataFrame, heads: DataFrame, mode:
     m, L = F.col("max_blocks").cast("bigint"), F.col("head")
     first_lo = F.greatest(F.col("low"), L - m + 1)
     cursor_after_first = (first_lo + 1) if mode == "reference" else (L + 1)
-    j = j.withColumn("_start", F.when(F.col("is_new"), cursor_after_first).otherwise(F.col("next_height")))
-    j = j.withColumn("_k0", F.when(F.col("is_new"), F.lit(1)).otherwise(F.lit(0)))
-    span = (L - F.col("_start") + (1 if inclusive else 0))
+    start = F.when(F.col("is_new"), cursor_after_first).otherwise(F.col("next_height"))
+    span = L - start + (1 if inclusive else 0)
     n_req = F.when(span > 0, F.ceil(span / m)).otherwise(F.lit(0)).cast("bigint")
-    cont = (j.where(n_req > 0)
-            .select("webhook_id", "_start", "_k0", "max_blocks", "head",
-                    F.explode(F.sequence(F.lit(0).cast("bigint"), n_req - 1)).alias("k")))
-    lo = F.col("_start") + F.col("k") * F.col("max_blocks")
-    hi = F.least(lo + F.col("max_blocks") - 1, F.col("head"))
-    cont = cont.select("webhook_id", (F.col("k") + F.col("_k0")).alias("request_no"),
-                       lo.alias("first_height"), hi.alias("last_height"), (hi - lo + 1).alias("n_blocks"))
-    first = (j.where(F.col("is_new"))
-             .select("webhook_id", F.lit(0).cast("bigint").alias("request_no"), first_lo.alias("first_height"),
-                     L.alias("last_height"), (L - first_lo + 1).alias("n_blocks")))
-    return first.unionByName(cont)
+    # one pass: k = -1 is a new job's first request (latest m), k >= 0 the rest
+    k_min = F.when(F.col("is_new"), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
+    g = (j.select("webhook_id", "is_new", m.alias("m"), L.alias("L"), first_lo.alias("first_lo"),
+                  start.alias("s"), n_req.alias("n"), k_min.alias("k_min"))
+         .where(F.col("is_new") | (F.col("n") > 0))
+         .select("*", F.explode(F.sequence(F.col("k_min"), F.col("n") - 1)).alias("k")))
+    is_first = F.col("k") < 0
+    lo = F.when(is_first, F.col("first_lo")).otherwise(F.col("s") + F.col("k") * F.col("m"))
+    hi = F.when(is_first, F.col("L")).otherwise(F.least(F.col("s") + F.col("k") * F.col("m") + F.col("m") - 1, F.col("L")))
+    k0 = F.when(F.col("is_new"), F.lit(1)).otherwise(F.lit(0))
+    return g.select("webhook_id",
+                    F.when(is_first, F.lit(0)).otherwise(F.col("k") + k0).cast("bigint").alias("request_no"),
+                    lo.alias("first_height"), hi.alias("last_height"), (hi - lo + 1).alias("n_blocks"))
 
 
 def pending_entries(attempts: DataFrame) -> DataFrame:
