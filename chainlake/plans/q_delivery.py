@@ -288,3 +288,39 @@ def q_current_failures(spark, sf_dir):
 
 __all__ = ["job_json"]
 
+
+
+@query("delivery_plan_gapped", """
+    WITH RECURSIVE
+    hd AS (SELECT chain_id, max(block_height) AS head FROM received GROUP BY chain_id),
+    jw AS (SELECT j.webhook_id, j.chain_id, j.next_height, j.is_new, CAST(w.max_blocks AS BIGINT) AS m, hd.head
+           FROM job j JOIN webhook w ON w.id = j.webhook_id JOIN hd USING (chain_id)),
+    top AS (SELECT chain_id, block_height, row_number() OVER (PARTITION BY chain_id ORDER BY block_height DESC) AS rk
+            FROM received),
+    firstreq AS (SELECT jw.webhook_id, min(t.block_height) AS lo, max(t.block_height) AS hi, count(*) AS n
+                 FROM jw JOIN top t ON t.chain_id = jw.chain_id AND t.rk <= jw.m WHERE jw.is_new GROUP BY jw.webhook_id),
+    starts AS (SELECT jw.webhook_id, jw.chain_id, jw.m, jw.head,
+                      CASE WHEN jw.is_new THEN f.lo + 1 ELSE jw.next_height END AS s,
+                      CASE WHEN jw.is_new THEN 1 ELSE 0 END AS k
+               FROM jw LEFT JOIN firstreq f USING (webhook_id) WHERE NOT jw.is_new OR f.lo IS NOT NULL),
+    walk AS (
+      SELECT webhook_id, chain_id, m, head, s, k FROM starts
+      UNION ALL
+      SELECT w.webhook_id, w.chain_id, w.m, w.head,
+             (SELECT max(r.block_height) FROM received r
+              WHERE r.chain_id = w.chain_id AND r.block_height BETWEEN w.s AND w.s + w.m - 1) + 1, w.k + 1
+      FROM walk w
+      WHERE w.s < w.head AND EXISTS (SELECT 1 FROM received r
+              WHERE r.chain_id = w.chain_id AND r.block_height BETWEEN w.s AND w.s + w.m - 1))
+    SELECT webhook_id, CAST(0 AS BIGINT) AS request_no, lo AS first_height, hi AS last_height, n AS n_blocks
+    FROM firstreq
+    UNION ALL
+    SELECT w.webhook_id, CAST(w.k AS BIGINT), min(r.block_height), max(r.block_height), count(*)
+    FROM walk w JOIN received r ON r.chain_id = w.chain_id AND r.block_height BETWEEN w.s AND w.s + w.m - 1
+    WHERE w.s < w.head GROUP BY w.webhook_id, w.k""", ("job", "webhook", "received"))
+def q_delivery_plan_gapped(spark, sf_dir):
+    """Plan over a store that lost every block whose payload was still
+    pending: gaps everywhere, so requests span gaps shorter than m."""
+    from chainlake.operators.gapped import delivery_plan_gapped
+    received = fx.blocks(spark, sf_dir).where(~F.col("block").contains('"status":"P"'))
+    return delivery_plan_gapped(fx.jobs(spark, sf_dir), fx.webhooks(spark, sf_dir), received)

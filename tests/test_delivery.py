@@ -118,3 +118,44 @@ def test_recent_top_blocks_exact_with_gaps(spark):
         got.setdefault(r.chain_id, []).append(r.block_height)
     assert sorted(got["a"]) == [2, 3, 50_000, 50_001]   # window too short: exact fallback
     assert sorted(got["b"]) == [36, 37, 38, 39]
+
+
+def _simulate_gapped(H, s, is_new, m, mode):
+    H = sorted(H)
+    head = H[-1]
+    reqs = []
+    if is_new:
+        top = H[-m:]
+        reqs.append((top[0], top[-1], len(top)))
+        s = top[0] + 1 if mode == "reference" else top[-1] + 1
+    while s < head:
+        got = [h for h in H if s <= h <= s + m - 1]
+        if not got:
+            break
+        reqs.append((got[0], got[-1], len(got)))
+        s = got[-1] + 1
+    return reqs
+
+
+gcase = S.tuples(S.lists(S.integers(0, 80), min_size=1, max_size=40, unique=True), S.integers(0, 90),
+                 S.booleans(), S.integers(1, 10))
+
+
+@settings(max_examples=3, deadline=None)
+@given(S.lists(gcase, min_size=1, max_size=6), S.sampled_from(["reference", "ordered"]))
+def test_gapped_plan_equals_step_loop(spark, cases, mode):
+    from chainlake.operators.gapped import delivery_plan_gapped
+    rows_b, rows_j, rows_w, expect = [], [], [], {}
+    for i, (H, s, is_new, m) in enumerate(cases):
+        chain, wid = f"c{i}", f"w{i}"
+        rows_b += [(chain, h, "") for h in H]
+        rows_j.append((wid, chain, s, is_new))
+        rows_w.append((wid, chain, m, 3, "u", 1))
+        expect[wid] = _simulate_gapped(H, s, is_new, m, mode)
+    blocks = spark.createDataFrame(rows_b, "chain_id string, block_height bigint, block string")
+    out = delivery_plan_gapped(spark.createDataFrame(rows_j, JOB), spark.createDataFrame(rows_w, WH), blocks,
+                               mode=mode, bucket=16)
+    got = {}
+    for r in out.orderBy("webhook_id", "request_no").collect():
+        got.setdefault(r.webhook_id, []).append((r.first_height, r.last_height, r.n_blocks))
+    assert {k: v for k, v in expect.items() if v} == got
