@@ -88,3 +88,17 @@ def test_advance_head_is_monotone(spark):
     older = _blocks(spark, [3, 4])
     assert st.advance_head(prev, older).collect()[0].head == 10
     assert st.advance_head(prev, _blocks(spark, [11])).collect()[0].head == 11
+
+
+def test_bulk_ranges_cross_partitions(spark):
+    base = fresh_path(spark, "ranges")
+    t = BlockTable(spark, base)
+    t.put(_blocks(spark, list(range(9_000, 21_000, 7))))
+    ranges = spark.createDataFrame([(CHAIN, 9_990, 10_260, 1), (CHAIN, 19_990, 20_010, 2), (CHAIN, 5, 1, 3)],
+                                   "chain_id string, start_height bigint, end_height bigint, range_id bigint")
+    got = sorted((r.range_id, r.block_height) for r in st.get_block_ranges(t.read(), ranges, range_bucket=64).collect())
+    want = sorted([(1, h) for h in range(9_000, 21_000, 7) if 9_990 <= h <= 10_260] +
+                  [(2, h) for h in range(9_000, 21_000, 7) if 19_990 <= h <= 20_010])
+    assert got == want
+    plain = st.get_block_ranges(t.read().drop("height_bucket"), ranges, range_bucket=1024)
+    assert sorted((r.range_id, r.block_height) for r in plain.collect()) == want
