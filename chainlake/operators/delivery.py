@@ -114,15 +114,42 @@ def _prune_to_requests(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     return blocks.join(buckets, ["chain_id", "height_bucket"], "left_semi")
 
 
-def jobs_with_blocks(jobs: DataFrame, blocks: DataFrame) -> DataFrame:
+HOT_KEY_ROWS = 1_000_000  # a (chain, height) wanted by this many jobs is salted
+SALT_WAYS = 16
+
+
+def jobs_with_blocks(jobs: DataFrame, blocks: DataFrame, hot_rows: int = HOT_KEY_ROWS,
+                     salt: int = SALT_WAYS) -> DataFrame:
     """Blocks ``[next_height, next_height + max_blocks - 1]`` of every
-    (non-new) job, as an equi-join after exploding the range."""
+    (non-new) job, as an equi-join after exploding the range.
+
+    Many webhooks wait on the same newest heights, so a single (chain,
+    height) may be wanted by a third of all jobs.  Keys wanted at least
+    ``hot_rows`` times are found by a pre-aggregated count.  Their number is
+    at most ``|wanted| / hot_rows``, which is what makes broadcasting them
+    safe.  Their job rows are spread over ``salt`` sub-keys, and their block
+    rows are copied once per sub-key; all other keys join normally.
+    """
+    keys = ["chain_id", "block_height"]
     wanted = (jobs.select("webhook_id", "chain_id",
                           F.explode(F.sequence(F.col("next_height"),
                                                F.col("next_height") + F.col("max_blocks") - 1)).alias("block_height")))
     b = _prune_to_requests(blocks.select("chain_id", "block_height", "block",
                                          *(["height_bucket"] if "height_bucket" in blocks.columns else [])), wanted)
-    return wanted.join(b.select("chain_id", "block_height", "block"), ["chain_id", "block_height"])
+    b = b.select("chain_id", "block_height", "block")
+    if salt <= 1:
+        return wanted.join(b, keys)
+    hot = (wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+           .where(F.col("_n") >= hot_rows).select(*keys, F.lit(True).alias("_hot")))
+    hot_b = F.broadcast(hot)  # at most |wanted| / hot_rows keys
+    tagged = wanted.join(hot_b, keys, "left")
+    cold_part = tagged.where(F.col("_hot").isNull()).drop("_hot").join(b, keys)
+    hot_jobs = (tagged.where(F.col("_hot")).drop("_hot")
+                .withColumn("_salt", F.pmod(F.xxhash64("webhook_id"), F.lit(salt))))
+    hot_blocks = (b.join(hot_b, keys).drop("_hot")
+                  .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint")))))
+    hot_part = hot_jobs.join(hot_blocks, keys + ["_salt"]).drop("_salt")
+    return cold_part.unionByName(hot_part)
 
 
 def recent_top_blocks(blocks: DataFrame, heads: DataFrame, n: int = MAX_BLOCKS_BOUND,

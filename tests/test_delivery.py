@@ -159,3 +159,14 @@ def test_gapped_plan_equals_step_loop(spark, cases, mode):
     for r in out.orderBy("webhook_id", "request_no").collect():
         got.setdefault(r.webhook_id, []).append((r.first_height, r.last_height, r.n_blocks))
     assert {k: v for k, v in expect.items() if v} == got
+
+
+def test_hot_heights_are_salted_without_changing_results(spark):
+    blocks, heads = _chain(spark, "c", 0, 50)
+    rows = [(f"w{i}", "c", 40 + (i % 3), False) for i in range(60)]
+    jobs = spark.createDataFrame(rows, JOB).withColumn("max_blocks", F.lit(4))
+    plain = sorted(tuple(r) for r in dv.jobs_with_blocks(jobs, blocks, salt=1).collect())
+    salted = dv.jobs_with_blocks(jobs, blocks, hot_rows=10, salt=4)
+    assert sorted(tuple(r) for r in salted.collect()) == plain
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" in plan
