@@ -30,12 +30,18 @@ DEFAULT_CONF = {
 }
 
 
+LOCAL_DRIVER_MEMORY = "12g"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "chainlake") -> SparkSession:
     """Create (or reuse) a session with the engine defaults."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the whole cluster (clusters size it themselves)
+            builder = builder.config("spark.driver.memory", LOCAL_DRIVER_MEMORY)
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
