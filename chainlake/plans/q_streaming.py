@@ -5,6 +5,7 @@ derived from the driver tables, then returns what it wrote."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainlake import fixtures as fx
 from chainlake.operators import billing as bl
@@ -197,3 +198,47 @@ def q_entitlement_state_stream(spark, sf_dir):
     state = (F.when(F.col("last_invalidation") >= F.col("last_fill"), "invalidated")
               .when(ttl_end <= F.lit(NOW).cast("timestamp_ntz"), "expired").otherwise("cached"))
     return latest.select("user_id", "last_fill", "last_invalidation", state.alias("state"))
+
+
+@query("route_blocks_due", """
+    SELECT j.webhook_id, j.chain_id, j.next_height, j.is_new FROM job j JOIN chain_head h USING (chain_id)
+    WHERE j.next_height < h.head""", ("job", "chain_head"))
+def q_route_blocks_due(spark, sf_dir):
+    """The router's last batch lists every job that is due under the final heads."""
+    from chainlake.streaming import rounds as rd
+    base = fresh_path(spark, "route-due")
+    src = _arrival_files(spark, sf_dir, base)
+    store = BlockTable(spark, f"{base}/store").init()
+    rd.init_cursors(fx.jobs(spark, sf_dir), f"{base}/cursors")
+    stream = sp.ingest_stream(spark, src, sp.ARRIVAL_SCHEMA, max_files_per_trigger=2)
+    handle = sp.route_blocks_batch(store, f"{base}/heads", f"{base}/cursors", f"{base}/ready")
+    sp.run_available_now(stream, handle, f"{base}/ckpt")
+    ready = spark.read.parquet(f"{base}/ready")
+    last = ready.agg(F.max("batch_id").alias("batch_id"))
+    return ready.join(F.broadcast(last), "batch_id").select("webhook_id", "chain_id", "next_height", "is_new")
+
+
+EVM_RAW_SCHEMA = "chain_id string, seq bigint, raw string"
+
+
+@query("ingest_evm_stream", """
+    SELECT chain_id, CAST(json_extract(raw, '$.number') AS BIGINT) AS block_height,
+           to_json({'number': CAST(json_extract(raw, '$.number') AS BIGINT), 'hash': json_extract_string(raw, '$.hash'),
+                    'parentHash': json_extract_string(raw, '$.parentHash'), 'time': CAST(json_extract(raw, '$.time') AS BIGINT),
+                    'gasUsed': CAST(json_extract(raw, '$.gasUsed') AS BIGINT),
+                    'gasLimit': CAST(json_extract(raw, '$.gasLimit') AS BIGINT),
+                    'miner': json_extract_string(raw, '$.miner'),
+                    'txCount': CAST(json_array_length(json_extract(raw, '$.transactions')) AS INTEGER)})::VARCHAR AS block
+    FROM raw_evm""", ("raw_evm",))
+def q_ingest_evm_stream(spark, sf_dir):
+    """Raw node payloads land as JSON lines; the stream normalises them and
+    stores blocks idempotently (the forwarder + router path)."""
+    from chainlake.sources import payloads as pl
+    base = fresh_path(spark, "evm")
+    src = f"{base}/src"
+    fx.raw_evm(spark, sf_dir).repartition(4).write.mode("append").json(src)
+    store = BlockTable(spark, f"{base}/store").init()
+    stream = sp.ingest_stream(spark, src, T.StructType.fromDDL(EVM_RAW_SCHEMA), max_files_per_trigger=2, fmt="json")
+    norm = lambda df: pl.normalize_evm_blocks(df).select("chain_id", "block_height", "block", F.col("block_height").alias("seq"))
+    sp.run_available_now(stream, sp.route_blocks_batch(store, f"{base}/heads", normalize=norm), f"{base}/ckpt")
+    return store.read().select(*OUT)

@@ -69,15 +69,28 @@ def run_available_now(stream: DataFrame, batch_fn, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def route_blocks_batch(store: BlockTable, heads_path: str):
-    """``foreachBatch`` body of the block router: put blocks, record the
-    batch head.  Due jobs are read from the heads by ``due_jobs``."""
+def route_blocks_batch(store: BlockTable, heads_path: str, cursors_path: str | None = None,
+                       ready_path: str | None = None, normalize=None):
+    """``foreachBatch`` body of the block router: (normalise,) put blocks,
+    record the batch head, and -- when a cursor table is given -- write the
+    jobs that became due under the new heads (one snapshot per batch)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        store.put(batch, "first")
-        head = st.batch_head(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        rows = normalize(batch) if normalize is not None else batch
+        store.put(rows, "first")
+        head = st.batch_head(rows).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         (head.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(heads_path))
+        if cursors_path and ready_path:
+            from chainlake.operators.delivery import due_jobs
+            from chainlake.streaming.rounds import current_cursors
+            spark = batch.sparkSession
+            ready = (due_jobs(current_cursors(spark, cursors_path), current_heads(spark, heads_path))
+                     .where(F.col("state") == "ready")
+                     .select("webhook_id", "chain_id", "next_height", "is_new",
+                             F.lit(batch_id).cast("bigint").alias("batch_id")))
+            (ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(ready_path))
 
     return handle
 
