@@ -242,3 +242,20 @@ def q_ingest_evm_stream(spark, sf_dir):
     norm = lambda df: pl.normalize_evm_blocks(df).select("chain_id", "block_height", "block", F.col("block_height").alias("seq"))
     sp.run_available_now(stream, sp.route_blocks_batch(store, f"{base}/heads", normalize=norm), f"{base}/ckpt")
     return store.read().select(*OUT)
+
+
+@query("block_source_stream", "SELECT chain_id, block_height, block FROM block", ("block",))
+def q_block_source_stream(spark, sf_dir):
+    """Pluggable block source (Python streaming data source): height ranges
+    are fetched on executors, offsets are per-chain heights."""
+    from chainlake.sources.block_source import register
+    register(spark)
+    base = fresh_path(spark, "source")
+    fx.blocks(spark, sf_dir).select("chain_id", "block_height", "block").write.partitionBy("chain_id") \
+        .parquet(f"{base}/landed")
+    stream = (spark.readStream.format("chainlake_blocks").option("path", f"{base}/landed")
+              .option("heights_per_partition", "500").load())
+    q = (stream.writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(*OUT)
