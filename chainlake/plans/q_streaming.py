@@ -259,3 +259,17 @@ def q_block_source_stream(spark, sf_dir):
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select(*OUT)
+
+
+@query("append_message_stream", """
+    SELECT chain_id, seq AS msg_id, CAST(to_json({'Height': block_height, 'Block': block}) AS VARCHAR) AS data
+    FROM block""", ("block",))
+def q_append_message_stream(spark, sf_dir):
+    """Blocks flow through a stream and are appended as JSON messages."""
+    from chainlake.sources import payloads as pl
+    base = fresh_path(spark, "messages")
+    cols = [f.name for f in sp.ARRIVAL_SCHEMA.fields]
+    sp.land_files(fx.blocks(spark, sf_dir).select(*cols), f"{base}/src", 4)
+    stream = pl.append_message(sp.ingest_stream(spark, f"{base}/src", sp.ARRIVAL_SCHEMA, 2))
+    sp.write_messages(stream, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return spark.read.schema("chain_id string, msg_id bigint, data string").json(f"{base}/out")

@@ -172,3 +172,29 @@ def run_available_now_update(stream: DataFrame, batch_fn, checkpoint: str) -> No
     q = (stream.writeStream.outputMode("update").foreachBatch(batch_fn)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def flush_stream(spark: SparkSession, hot: BlockTable, cold: BlockTable, threshold: int,
+                 interval: str, checkpoint: str):
+    """Run ``flush_tick`` on a ``processingTime`` trigger (a rate source only
+    paces it).  Spark never overlaps micro-batches, so the next flush starts
+    a full interval after the previous one finished its work."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return (ticks.writeStream.trigger(processingTime=interval)
+            .foreachBatch(lambda _df, _bid: flush_tick(hot, cold, threshold))
+            .option("checkpointLocation", checkpoint).start())
+
+
+def write_messages(messages: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Append stream messages ``(chain_id, msg_id, data)`` as JSON lines."""
+    w = (messages.writeStream.format("json").outputMode("append")
+         .option("path", path).option("checkpointLocation", checkpoint))
+    return w.trigger(availableNow=True).start() if available_now else w.start()
+
+
+def send_outbox(outbox: DataFrame, send) -> None:
+    """Hand every outbox row to ``send(rows)`` per partition, on the
+    executors.  ``send`` is the pluggable delivery client (an HTTP POST in
+    production); rows carry ``(webhook_id, first_height, batch_id)`` so a
+    receiver can drop a resend after a retried task."""
+    outbox.foreachPartition(send)
