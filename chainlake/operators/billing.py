@@ -21,7 +21,22 @@ from pyspark.sql import functions as F
 
 from chainlake.functions.columns import METADATA_USER_TYPES, billing_action
 
-TRIAL_DAYS = 7  # fixed value: trial offered to users who never had a billing customer
+# Trial length, consumer error texts and subscription-gate
+# decisions (code, message), in the order the gate checks them.
+TRIAL_DAYS = 7
+EVENT_ERROR_PREFIX = 'an error occurred while processing event "{type}" with message ID "{id}": '
+MISSING_USER_ERROR = "metadata.userId: expected string, received undefined"
+MISSING_SUBSCRIPTION_ERROR = "subscription is missing in checkout session event"
+UNKNOWN_SUBSCRIPTION_ERROR = "no such subscription: "
+GATE_DECISIONS = [
+    ("no_session", "not_subscribed", "user is not subscribed"),
+    ("not_complete", "not_subscribed", "user must complete checkout session"),
+    ("no_customer", "internal_error", "could not obtain customer from session"),
+    ("customer_deleted", "not_subscribed", "user has been deleted and must subscribe again"),
+    ("no_subscription", "internal_error", "could not obtain subscription from session"),
+    ("canceled", "not_subscribed", "user has canceled their subscription"),
+    ("not_active", "invalid_subscription", "invalid subscription"),
+]
 
 
 def parse_billing_events(events: DataFrame) -> DataFrame:
@@ -42,8 +57,9 @@ def subscriptions_from_sessions(sessions: DataFrame) -> DataFrame:
 
 
 def _error(type_col: Column, event_id: Column, detail: Column) -> Column:
-    return F.concat(F.lit('an error occurred while processing event "'), type_col,
-                    F.lit('" with message ID "'), event_id.cast("string"), F.lit('": '), detail)
+    before_type, rest = EVENT_ERROR_PREFIX.split("{type}")
+    between, after_id = rest.split("{id}")
+    return F.concat(F.lit(before_type), type_col, F.lit(between), event_id.cast("string"), F.lit(after_id), detail)
 
 
 def resolve_billing_user(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -67,12 +83,10 @@ def resolve_billing_user(events: DataFrame, subscriptions: DataFrame) -> DataFra
     user = (F.when(by_meta, F.col("meta_user"))
              .when(is_invoice, F.col("sub_user"))
              .when(F.col("action") == "delete_sessions", F.col("cust_user")))
-    detail = (F.when(by_meta & F.col("meta_user").isNull(),
-                     F.lit("metadata.userId: expected string, received undefined"))
-               .when(is_invoice & F.col("subscription_ref").isNull(),
-                     F.lit("subscription is missing in checkout session event"))
+    detail = (F.when(by_meta & F.col("meta_user").isNull(), F.lit(MISSING_USER_ERROR))
+               .when(is_invoice & F.col("subscription_ref").isNull(), F.lit(MISSING_SUBSCRIPTION_ERROR))
                .when(is_invoice & F.col("sub_user").isNull(),
-                     F.concat(F.lit("no such subscription: "), F.col("subscription_ref"))))
+                     F.concat(F.lit(UNKNOWN_SUBSCRIPTION_ERROR), F.col("subscription_ref"))))
     return j.select("event_id", "ts", "type", "action", user.alias("user_id"),
                     F.when(detail.isNotNull(), _error(F.col("type"), F.col("event_id"), detail)).alias("error"))
 
@@ -103,15 +117,16 @@ def entitlement(users: DataFrame, sessions: DataFrame) -> DataFrame:
     s = sessions.select(F.col("customer_id").alias("user_id"), "status", "billing_customer_id",
                         "customer_deleted", "subscription_status", F.lit(True).alias("_has"))
     j = users.select("user_id").join(s, "user_id", "left")
-    code_msg = [
-        (F.col("_has").isNull(), "not_subscribed", "user is not subscribed"),
-        (F.col("status") != "complete", "not_subscribed", "user must complete checkout session"),
-        (F.col("billing_customer_id").isNull(), "internal_error", "could not obtain customer from session"),
-        (F.col("customer_deleted"), "not_subscribed", "user has been deleted and must subscribe again"),
-        (F.col("subscription_status").isNull(), "internal_error", "could not obtain subscription from session"),
-        (F.col("subscription_status") == "canceled", "not_subscribed", "user has canceled their subscription"),
-        (~F.col("subscription_status").isin("trialing", "active"), "invalid_subscription", "invalid subscription"),
-    ]
+    checks = {
+        "no_session": F.col("_has").isNull(),
+        "not_complete": F.col("status") != "complete",
+        "no_customer": F.col("billing_customer_id").isNull(),
+        "customer_deleted": F.col("customer_deleted"),
+        "no_subscription": F.col("subscription_status").isNull(),
+        "canceled": F.col("subscription_status") == "canceled",
+        "not_active": ~F.col("subscription_status").isin("trialing", "active"),
+    }
+    code_msg = [(checks[name], c, m) for name, c, m in GATE_DECISIONS]
     code, msg = F.lit("ok"), F.lit(None).cast("string")
     for cond, c, m in reversed(code_msg):
         code = F.when(cond, F.lit(c)).otherwise(code)
