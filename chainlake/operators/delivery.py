@@ -73,15 +73,36 @@ def jobs_with_webhook(jobs: DataFrame, webhooks: DataFrame) -> DataFrame:
             .withColumn("dropped", F.col("max_blocks").isNull()))
 
 
-def current_failures(attempts: DataFrame) -> DataFrame:
+ATTEMPT_BUCKET = 1_000_000  # attempt ids per pre-aggregation bucket
+
+
+def current_failures(attempts: DataFrame, bucket: int = ATTEMPT_BUCKET) -> DataFrame:
     """Failed deliveries of each webhook's current message: failures after
-    its last success (``attempts(attempt_id, webhook_id, failed)``).  Two
-    partial aggregations and a join -- no per-webhook list is collected."""
-    last_ok = (attempts.where(~F.col("failed")).groupBy("webhook_id")
-               .agg(F.max("attempt_id").alias("last_ok")))
-    return (attempts.where(F.col("failed")).join(last_ok, "webhook_id", "left")
-            .where(F.col("last_ok").isNull() | (F.col("attempt_id") > F.col("last_ok")))
-            .groupBy("webhook_id").agg(F.count(F.lit(1)).cast("int").alias("failures")))
+    its last success (``attempts(attempt_id, webhook_id, failed)``).
+
+    Pre-aggregated before any shuffle of raw rows: per (webhook, id bucket)
+    the last success, the failures after it and all failures; then per
+    webhook the buckets after the last successful one are summed.  A webhook
+    with a third of all attempts costs one small row per bucket."""
+    from pyspark.sql.window import Window
+    b = attempts.withColumn("_b", F.floor(F.col("attempt_id") / bucket).cast("bigint"))
+    # last success inside the bucket (a window bounded by the bucket size)
+    b = b.withColumn("_okb", F.max(F.when(~F.col("failed"), F.col("attempt_id")))
+                     .over(Window.partitionBy("webhook_id", "_b")))
+    per = (b.groupBy("webhook_id", "_b")
+           .agg(F.max("_okb").alias("_ok"),
+                F.count(F.when(F.col("failed"), 1)).alias("_fail"),
+                # failures after the bucket's own last success (all if it has none)
+                F.count(F.when(F.col("failed") & (F.col("attempt_id") > F.coalesce(F.col("_okb"), F.lit(-1))), 1))
+                .alias("_after")))
+    w = (per.groupBy("webhook_id")
+         .agg(F.max(F.when(F.col("_ok").isNotNull(), F.col("_b"))).alias("_last_ok_b"),
+              F.collect_list(F.struct("_b", "_fail", "_after")).alias("_bs")))
+    total = F.aggregate(
+        "_bs", F.lit(0).cast("bigint"),
+        lambda acc, x: acc + F.when(F.col("_last_ok_b").isNull() | (x["_b"] > F.col("_last_ok_b")), x["_fail"])
+                          .when(x["_b"] == F.col("_last_ok_b"), x["_after"]).otherwise(F.lit(0)).cast("bigint"))
+    return w.select("webhook_id", total.cast("int").alias("failures")).where(F.col("failures") > 0)
 
 
 def retry_skip(jobs: DataFrame, webhooks: DataFrame, failures: DataFrame) -> DataFrame:
@@ -300,12 +321,13 @@ def delivery_plan(jobs: DataFrame, webhooks: DataFrame, heads: DataFrame, mode:
 
 
 def pending_entries(attempts: DataFrame) -> DataFrame:
-    """Delivered but never acknowledged messages with their delivery count:
-    deliveries anti-joined with acknowledgements, then counted."""
-    acks = attempts.where(~F.col("failed")).select("webhook_id", "msg_id").distinct()
-    return (attempts.join(acks, ["webhook_id", "msg_id"], "left_anti")
-            .groupBy("webhook_id", "msg_id")
-            .agg(F.count(F.lit(1)).alias("delivery_count"), F.max("ts").alias("last_delivery")))
+    """Delivered but never acknowledged messages with their delivery count.
+    One partial aggregation per (webhook, message) -- no join of raw rows:
+    a message is pending when none of its deliveries succeeded."""
+    return (attempts.groupBy("webhook_id", "msg_id")
+            .agg(F.count(F.lit(1)).alias("delivery_count"), F.max("ts").alias("last_delivery"),
+                 F.max((~F.col("failed")).cast("int")).alias("_acked"))
+            .where(F.col("_acked") == 0).drop("_acked"))
 
 
 def ack_delete(attempts: DataFrame, acks: DataFrame) -> DataFrame:

@@ -170,3 +170,19 @@ def test_hot_heights_are_salted_without_changing_results(spark):
     assert sorted(tuple(r) for r in salted.collect()) == plain
     plan = salted._jdf.queryExecution().executedPlan().toString()
     assert "xxhash64" in plan
+
+
+@settings(max_examples=5, deadline=None)
+@given(S.lists(S.tuples(S.sampled_from(["a", "b", "c"]), S.booleans()), min_size=1, max_size=60), S.integers(1, 7))
+def test_current_failures_bucketed(spark, rows, bucket):
+    data = [(i, w, f) for i, (w, f) in enumerate(rows)]
+    expect = {}
+    for w in {w for _, w, _ in data}:
+        seq = [f for _, ww, f in data if ww == w]
+        last_ok = max([i for i, f in enumerate(seq) if not f], default=-1)
+        n = sum(1 for i, f in enumerate(seq) if f and i > last_ok)
+        if n:
+            expect[w] = n
+    a = spark.createDataFrame(data, "attempt_id bigint, webhook_id string, failed boolean")
+    got = {r.webhook_id: r.failures for r in dv.current_failures(a, bucket=bucket).collect()}
+    assert got == expect
