@@ -186,3 +186,27 @@ def test_current_failures_bucketed(spark, rows, bucket):
     a = spark.createDataFrame(data, "attempt_id bigint, webhook_id string, failed boolean")
     got = {r.webhook_id: r.failures for r in dv.current_failures(a, bucket=bucket).collect()}
     assert got == expect
+
+
+@settings(max_examples=5, deadline=None)
+@given(S.lists(S.tuples(S.integers(0, 40), S.integers(1, 10), S.integers(0, 45)), min_size=1, max_size=10))
+def test_ordered_plan_covers_each_block_once(spark, cases):
+    rows_j, rows_w, rows_h = [], [], []
+    for i, (span, m, s) in enumerate(cases):
+        head = 5 + span
+        rows_j.append((f"w{i}", f"c{i}", min(s, head), False))
+        rows_w.append((f"w{i}", f"c{i}", m, 3, "u", 1))
+        rows_h.append((f"c{i}", head, 0))
+    plan = dv.delivery_plan(spark.createDataFrame(rows_j, JOB), spark.createDataFrame(rows_w, WH),
+                            spark.createDataFrame(rows_h, "chain_id string, head bigint, low bigint"), mode="ordered")
+    got = {}
+    for r in plan.collect():
+        got.setdefault(r.webhook_id, []).extend(range(r.first_height, r.last_height + 1))
+    for i, (span, m, s) in enumerate(cases):
+        head, start = 5 + span, min(s, 5 + span)
+        covered = sorted(got.get(f"w{i}", []))
+        assert covered == sorted(set(covered))           # no block twice
+        if start < head:                                   # everything from the cursor is sent,
+            assert covered[0] == start                     # the head only when a batch reaches it
+            assert covered == list(range(start, covered[-1] + 1))
+            assert covered[-1] in (head - 1, head)

@@ -102,3 +102,20 @@ def test_bulk_ranges_cross_partitions(spark):
     assert got == want
     plain = st.get_block_ranges(t.read().drop("height_bucket"), ranges, range_bucket=1024)
     assert sorted((r.range_id, r.block_height) for r in plain.collect()) == want
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as S
+
+
+@settings(max_examples=5, deadline=None)
+@given(S.lists(S.integers(0, 60), max_size=30, unique=True), S.lists(S.integers(0, 60), max_size=30, unique=True),
+       S.integers(0, 60), S.integers(0, 60))
+def test_tiered_read_is_read_of_union(spark, hot_h, cold_h, a, b):
+    sch = "chain_id string, block_height bigint, block string"
+    hot = spark.createDataFrame([(CHAIN, h, f"hot{h}") for h in hot_h], sch)
+    cold = spark.createDataFrame([(CHAIN, h, f"cold{h}") for h in cold_h], sch)
+    ranges = spark.createDataFrame([(CHAIN, a, b)], "chain_id string, start_height bigint, end_height bigint")
+    got = sorted((r.block_height, r.block) for r in st.tiered_get_blocks(hot, cold, ranges).collect())
+    union = {h: f"cold{h}" for h in cold_h} | {h: f"hot{h}" for h in hot_h}
+    assert got == sorted((h, v) for h, v in union.items() if a <= h <= b)
