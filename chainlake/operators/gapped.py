@@ -98,19 +98,16 @@ def delivery_plan_gapped(jobs: DataFrame, webhooks: DataFrame, blocks: DataFrame
     level = _checkpoint(states.select(*KEYS, F.when(F.col("terminal"), F.col("h")).otherwise(F.col("p")).alias("anc"),
                                       F.when(F.col("terminal"), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("d")))
     levels = [level]
-    while True:
+    # level k holds d = min(2^k, depth); once the largest d is below 2^k every
+    # depth is complete (one aggregate per round, no comparison join)
+    while levels[-1].agg(F.max("d")).first()[0] >= (1 << (len(levels) - 1)):
         nxt = (level.alias("a").join(level.alias("b"),
                                      (F.col("a.chain_id") == F.col("b.chain_id")) & (F.col("a.m") == F.col("b.m")) &
                                      (F.col("a.anc") == F.col("b.h")))
                .select(F.col("a.chain_id").alias("chain_id"), F.col("a.m").alias("m"), F.col("a.h").alias("h"),
                        F.col("b.anc").alias("anc"), (F.col("a.d") + F.col("b.d")).alias("d")))
-        nxt = _checkpoint(nxt)
-        changed = (nxt.join(level.select(*KEYS, F.col("d").alias("d0")), KEYS)
-                   .where(F.col("d") != F.col("d0")).limit(1).count())
-        if changed == 0:
-            break
-        levels.append(nxt)
-        level = nxt
+        level = _checkpoint(nxt)
+        levels.append(level)
     depth = level.select(*KEYS, F.col("d").alias("depth"))
 
     # paths: from the state after the first step, split top-down by the jump tables
