@@ -16,7 +16,7 @@ from chainlake.plans.q_billing import NOW, TTL_SECONDS
 from chainlake.plans.q_delivery import _PLAN_SQL
 from chainlake.plans.q_quality import REPLAY_OFFSET
 from chainlake.sources.store_io import BlockTable, fresh_path, write_blocks_partitioned
-from chainlake.streaming import pipelines as sp
+from chainlake.streaming import runners as sp
 
 OUT = ["chain_id", "block_height", "block"]
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from chainlake.operators import store as st
 from chainlake.sources.store_io import BlockTable, fresh_path
-from chainlake.streaming.pipelines import flush_tick
+from chainlake.streaming.runners import flush_tick
 
 CHAIN = "dummy-chain"
 

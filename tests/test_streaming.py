@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from chainlake import fixtures as fx
 from chainlake.sources.store_io import BlockTable, fresh_path
-from chainlake.streaming import pipelines as sp
+from chainlake.streaming import runners as sp
 
 
 def test_router_restart_is_idempotent(spark, small_dir):
