@@ -30,7 +30,7 @@ SQL_VIEWS["removal"] = (("webhook",), """
 SQL_VIEWS["activation"] = (("webhook",), """
     SELECT customer_id || ':' || CAST(CAST(id AS BIGINT) // 50 AS VARCHAR) AS request_id,
            CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 'other' ELSE customer_id END AS customer_id, id
-    FROM webhook WHERE max_blocks <= 5""")
+    FROM webhook""")
 
 
 def patches(spark, sf_dir):
@@ -55,7 +55,7 @@ def removals(spark, sf_dir):
 
 
 def activations(spark, sf_dir):
-    w = fx.webhooks(spark, sf_dir).where(F.col("max_blocks") <= 5)
+    w = fx.webhooks(spark, sf_dir)  # one activation request per 50 consecutive ids of an owner
     idn = F.col("id").cast("bigint")
     return w.select(F.concat(F.col("customer_id"), F.lit(":"), F.expr("cast(id as bigint) div 50").cast("string"))
                     .alias("request_id"),
