@@ -83,3 +83,16 @@ def run_rounds(spark: SparkSession, n_rounds: int, cursor_path: str, outbox_path
                mode: str = "reference", start_round: int = 0) -> None:
     for r in range(start_round, start_round + n_rounds):
         run_round(spark, r, cursor_path, outbox_path, webhooks, blocks, heads, failures, mode)
+
+
+def relay_stream(spark: SparkSession, cursor_path: str, outbox_path: str, webhooks: DataFrame, blocks: DataFrame,
+                 heads: DataFrame, checkpoint: str, interval: str = "1 second", failures: DataFrame | None = None,
+                 mode: str = "reference"):
+    """The relay as a streaming query: every trigger runs one round whose id
+    is the micro-batch id.  A batch replayed after a failure re-runs the
+    same round, which rewrites the same outbox and cursor partitions."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return (ticks.writeStream.trigger(processingTime=interval)
+            .foreachBatch(lambda _df, batch_id: run_round(spark, batch_id, cursor_path, outbox_path, webhooks,
+                                                          blocks, heads, failures, mode))
+            .option("checkpointLocation", checkpoint).start())

@@ -80,3 +80,24 @@ def test_flush_stream_and_outbox_sender(spark, small_dir, tmp_path):
     import glob
     sent = [ln for f in glob.glob(f"{out_dir}/*") for ln in open(f).read().splitlines()]
     assert len(sent) == outbox.count() and len(set(sent)) == len(sent)
+
+
+def test_relay_stream_equals_rounds(spark, small_dir):
+    import time
+    from chainlake.streaming import rounds as rd
+    base = fresh_path(spark, "relay-stream")
+    wh, blocks, heads = fx.webhooks(spark, small_dir), fx.blocks(spark, small_dir), fx.chain_heads(spark, small_dir)
+    rd.init_cursors(fx.jobs(spark, small_dir), f"{base}/c1")
+    rd.run_rounds(spark, 2, f"{base}/c1", f"{base}/o1", wh, blocks, heads)
+    rd.init_cursors(fx.jobs(spark, small_dir), f"{base}/c2")
+    q = rd.relay_stream(spark, f"{base}/c2", f"{base}/o2", wh, blocks, heads, f"{base}/ckpt", "1 second")
+    deadline = time.time() + 120
+    while time.time() < deadline:
+        p = q.lastProgress
+        if p is not None and p["batchId"] >= 2:
+            break
+        time.sleep(1)
+    q.stop()
+    o1 = sorted(tuple(r) for r in spark.read.parquet(f"{base}/o1").collect())
+    o2 = sorted(tuple(r) for r in spark.read.parquet(f"{base}/o2").where("round_id < 2").collect())
+    assert o1 == o2 and o1
