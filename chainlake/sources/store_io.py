@@ -54,8 +54,27 @@ class BlockTable:
              .write.mode("ignore").partitionBy(*PARTITIONS).parquet(self.path))
         return self
 
+    @property
+    def tombstone_path(self) -> str:
+        return self.path.rstrip("/") + "__deleted"
+
+    def _exists(self, path: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+
     def read(self) -> DataFrame:
-        return self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
+        data = self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
+        if not self._exists(self.tombstone_path):
+            return data
+        tombs = self.spark.read.schema(STORE_SCHEMA).parquet(self.tombstone_path).select(*st.KEY, "block")
+        return data.join(tombs, [*st.KEY, "block"], "left_anti")
+
+    def delete(self, members: DataFrame) -> None:
+        """Hide exact members by appending tombstones: nothing is rewritten,
+        so a failure mid-way can only leave a member visible a bit longer."""
+        (self.prepare(members).write.mode("append").partitionBy(*PARTITIONS).parquet(self.tombstone_path))
 
     @staticmethod
     def prepare(batch: DataFrame) -> DataFrame:

@@ -53,11 +53,21 @@ def current_cursors(spark: SparkSession, path: str, before_round: int | None = N
 
 
 def compact_cursors(spark: SparkSession, path: str, base_round: int) -> None:
-    """Fold every snapshot into one base partition ``round_id = base_round``
-    (the newest round id seen) and drop the older partitions."""
+    """Fold every snapshot into the partition of ``base_round`` (the last
+    completed round) and then drop the older partitions.  Readers take the
+    newest round per webhook, so every intermediate state reads the same
+    cursors; only the base partition is replaced (dynamic overwrite)."""
     ensure_checkpoint_dir(spark)
-    cur = current_cursors(spark, path).withColumn("round_id", F.lit(base_round).cast("bigint")).checkpoint(eager=True)
-    cur.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("round_id").parquet(path)
+    cur = (current_cursors(spark, path, before_round=base_round + 1)
+           .withColumn("round_id", F.lit(base_round).cast("bigint")).checkpoint(eager=True))
+    _write_round(cur, path)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("round_id=") and int(name.split("=", 1)[1]) < base_round:
+            fs.delete(status.getPath(), True)
 
 
 def run_round(spark: SparkSession, round_id: int, cursor_path: str, outbox_path: str, webhooks: DataFrame,

@@ -123,57 +123,20 @@ def stream_dir(base: str, name: str) -> str:
 
 def flush_tick(hot: BlockTable, cold: BlockTable, threshold: int) -> int:
     """One flush: copy the earliest ``threshold`` hot blocks of every chain
-    that has that many into cold (idempotent put), then drop them from hot.
-    Write-then-delete: a crash in between only re-copies on the next tick.
-    The hot tier is small by design and is rewritten from a checkpoint."""
+    that has that many into cold (idempotent put), then hide them in hot
+    with tombstones.  Nothing is overwritten: a failure between the two
+    steps leaves the blocks in both tiers, which tiered reads resolve by
+    preferring hot, and the next tick finishes the move."""
     ensure_checkpoint_dir(hot.spark)
     moved = st.flush_plan(hot.read(), threshold).drop("rank").checkpoint(eager=True)
     n = moved.count()
     if n == 0:
         return 0
     cold.put(moved, "first")
-    remaining = st.delete_blocks(hot.read(), moved)
-    remaining = BlockTable.prepare(remaining).checkpoint(eager=True)
-    # static overwrite: partitions that became empty must disappear too
-    remaining.select(*[f.name for f in hot.read().schema.fields]).write.mode("overwrite") \
-        .option("partitionOverwriteMode", "static").partitionBy("chain_id", "height_bucket").parquet(hot.path)
+    hot.delete(moved)
     return n
 
 
-SIGNAL_SCHEMA = T.StructType([
-    T.StructField("user_id", T.StringType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("kind", T.StringType()),   # 'fill' (read-through) or 'invalidate' (billing event)
-])
-
-
-def entitlement_signals(stream: DataFrame) -> DataFrame:
-    """Keyed streaming state of the cached entitlement: per user the latest
-    fill and the latest invalidation (a streaming aggregation: the state
-    store keeps two timestamps per user, nothing else)."""
-    return (stream.groupBy("user_id")
-            .agg(F.max(F.when(F.col("kind") == "fill", F.col("ts"))).alias("last_fill"),
-                 F.max(F.when(F.col("kind") == "invalidate", F.col("ts"))).alias("last_invalidation")))
-
-
-def entitlement_state_batch(out_path: str):
-    """``foreachBatch`` body: users whose state changed in this batch, keyed
-    by batch id (the newest row per user is the current state)."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(out_path))
-
-    return handle
-
-
-def run_available_now_update(stream: DataFrame, batch_fn, checkpoint: str) -> None:
-    q = (stream.writeStream.outputMode("update").foreachBatch(batch_fn)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
 def flush_stream(spark: SparkSession, hot: BlockTable, cold: BlockTable, threshold: int,
                  interval: str, checkpoint: str):
     """Run ``flush_tick`` on a ``processingTime`` trigger (a rate source only
