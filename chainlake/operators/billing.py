@@ -39,14 +39,19 @@ GATE_DECISIONS = [
 ]
 
 
+EVENT_SCHEMA = ("type string, data struct<object: struct<id: string, subscription: string, "
+                "metadata: struct<userId: string>>>")
+
+
 def parse_billing_events(events: DataFrame) -> DataFrame:
-    p = F.col("payload")
-    return events.select(
+    """Read the fields the rules need with one parse per event."""
+    p = F.from_json("payload", EVENT_SCHEMA)
+    return events.withColumn("_p", p).select(
         "event_id", "ts",
-        F.get_json_object(p, "$.type").alias("type"),
-        F.get_json_object(p, "$.data.object.id").alias("object_id"),
-        F.get_json_object(p, "$.data.object.metadata.userId").alias("meta_user"),
-        F.get_json_object(p, "$.data.object.subscription").alias("subscription_ref"),
+        F.col("_p.type").alias("type"),
+        F.col("_p.data.object.id").alias("object_id"),
+        F.col("_p.data.object.metadata.userId").alias("meta_user"),
+        F.col("_p.data.object.subscription").alias("subscription_ref"),
     )
 
 
