@@ -103,6 +103,61 @@ class BlockTable:
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*PARTITIONS).parquet(self.path))
 
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _partition_dirs(self, root_path: str) -> dict:
+        """``{(chain_id, height_bucket): hadoop Path}`` of one dataset."""
+        from urllib.parse import unquote
+        jvm, fs = self._fs()
+        root = jvm.org.apache.hadoop.fs.Path(root_path)
+        out = {}
+        if not fs.exists(root):
+            return out
+        for c in fs.listStatus(root):
+            cname = c.getPath().getName()
+            if not (c.isDirectory() and cname.startswith("chain_id=")):
+                continue
+            for b in fs.listStatus(c.getPath()):
+                bname = b.getPath().getName()
+                if b.isDirectory() and bname.startswith("height_bucket="):
+                    out[(unquote(cname.split("=", 1)[1]), int(bname.split("=", 1)[1]))] = b.getPath()
+        return out
+
+    def compact(self) -> int:
+        """Apply tombstones physically; returns the number of partitions
+        touched.  Only partitions with tombstones are rewritten (from a
+        checkpointed copy, dynamic overwrite), partitions left without live
+        rows are deleted, and the applied tombstones are removed last.  Every
+        intermediate state reads the same rows: tombstoned rows are already
+        in the cold tier, so one that shows up again is a harmless copy."""
+        if not self._exists(self.tombstone_path):
+            return 0
+        ensure_checkpoint_dir(self.spark)
+        tombs = self.spark.read.schema(STORE_SCHEMA).parquet(self.tombstone_path)
+        # partition list: metadata only, at most chains x buckets of the hot tier
+        parts = {(r.chain_id, r.height_bucket) for r in tombs.select(*PARTITIONS).distinct().collect()}
+        if not parts:
+            return 0
+        part_df = self.spark.createDataFrame(sorted(parts), "chain_id string, height_bucket bigint")
+        live = self.read().join(part_df, PARTITIONS, "left_semi").checkpoint(eager=True)
+        kept = {(r.chain_id, r.height_bucket) for r in live.select(*PARTITIONS).distinct().collect()}
+        if kept:
+            (live.select(*[f.name for f in STORE_SCHEMA.fields]).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(self.path))
+        _, fs = self._fs()
+        data_dirs = self._partition_dirs(self.path)
+        for key in parts - kept:
+            if key in data_dirs:
+                fs.delete(data_dirs[key], True)
+        tomb_dirs = self._partition_dirs(self.tombstone_path)
+        for key in parts:
+            if key in tomb_dirs:
+                fs.delete(tomb_dirs[key], True)
+        return len(parts)
+
     def get_blocks(self, chain_id: str, start: int, end: int) -> DataFrame:
         return st.get_blocks(self.read(), chain_id, start, end)
 

@@ -121,7 +121,7 @@ def stream_dir(base: str, name: str) -> str:
     return os.path.join(base, name)
 
 
-def flush_tick(hot: BlockTable, cold: BlockTable, threshold: int) -> int:
+def flush_tick(hot: BlockTable, cold: BlockTable, threshold: int, compact: bool = False) -> int:
     """One flush: copy the earliest ``threshold`` hot blocks of every chain
     that has that many into cold (idempotent put), then hide them in hot
     with tombstones.  Nothing is overwritten: a failure between the two
@@ -134,6 +134,8 @@ def flush_tick(hot: BlockTable, cold: BlockTable, threshold: int) -> int:
         return 0
     cold.put(moved, "first")
     hot.delete(moved)
+    if compact:
+        hot.compact()
     return n
 
 
@@ -172,13 +174,14 @@ def run_available_now_update(stream: DataFrame, batch_fn, checkpoint: str) -> No
 
 
 def flush_stream(spark: SparkSession, hot: BlockTable, cold: BlockTable, threshold: int,
-                 interval: str, checkpoint: str):
+                 interval: str, checkpoint: str, compact_every: int = 10):
     """Run ``flush_tick`` on a ``processingTime`` trigger (a rate source only
-    paces it).  Spark never overlaps micro-batches, so the next flush starts
+    paces it); every ``compact_every``-th tick also compacts the hot tier.  Spark never overlaps micro-batches, so the next flush starts
     a full interval after the previous one finished its work."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return (ticks.writeStream.trigger(processingTime=interval)
-            .foreachBatch(lambda _df, _bid: flush_tick(hot, cold, threshold))
+            .foreachBatch(lambda _df, bid: flush_tick(hot, cold, threshold,
+                                                      compact=(bid % compact_every == compact_every - 1)))
             .option("checkpointLocation", checkpoint).start())
 
 

@@ -119,3 +119,18 @@ def test_tiered_read_is_read_of_union(spark, hot_h, cold_h, a, b):
     got = sorted((r.block_height, r.block) for r in st.tiered_get_blocks(hot, cold, ranges).collect())
     union = {h: f"cold{h}" for h in cold_h} | {h: f"hot{h}" for h in hot_h}
     assert got == sorted((h, v) for h, v in union.items() if a <= h <= b)
+
+
+def test_compaction_applies_tombstones(spark):
+    base = fresh_path(spark, "compact")
+    t = BlockTable(spark, base)
+    t.put(_blocks(spark, list(range(0, 30)) + list(range(20_000, 20_005))))
+    t.delete(t.read().where("block_height < 5 or block_height >= 20000"))
+    before = sorted(_heights(t.read()))
+    assert before == list(range(5, 30))
+    assert t.compact() == 2
+    assert sorted(_heights(t.read())) == before
+    raw = t.spark.read.schema("chain_id string, block_height bigint, block string, seq bigint, height_bucket bigint") \
+        .parquet(base)
+    assert sorted(_heights(raw)) == before                 # rows are physically gone
+    assert t.compact() == 0                                 # tombstones were consumed
