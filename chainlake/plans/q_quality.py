@@ -78,7 +78,7 @@ def q_metering(spark, sf_dir):
 
 @query("delivery_latency", """
     SELECT w.blockchain_id AS chain_id, count(*) AS n_deliveries,
-           sum(CAST(floor(epoch(a.ts)) AS BIGINT) - CAST(floor(epoch(b.ts)) AS BIGINT)) AS total_latency_s
+           CAST(sum(CAST(floor(epoch(a.ts)) AS BIGINT) - CAST(floor(epoch(b.ts)) AS BIGINT)) AS BIGINT) AS total_latency_s
     FROM attempt a JOIN webhook w ON w.id = a.webhook_id
     JOIN block b ON b.chain_id = w.blockchain_id AND b.block_height = a.msg_id
     WHERE NOT a.failed GROUP BY w.blockchain_id""", ("attempt", "webhook", "block"))

@@ -161,8 +161,8 @@ def q_delivery_rounds(spark, sf_dir):
     rd.init_cursors(fx.jobs(spark, sf_dir), f"{base}/cursors")
     rd.run_rounds(spark, 3, f"{base}/cursors", f"{base}/outbox", fx.webhooks(spark, sf_dir),
                   fx.blocks(spark, sf_dir), fx.chain_heads(spark, sf_dir))
-    return spark.read.parquet(f"{base}/outbox").select("webhook_id", "round_id", "first_height", "last_height",
-                                                       "n_blocks")
+    return spark.read.parquet(f"{base}/outbox").select("webhook_id", F.col("round_id").cast("bigint").alias("round_id"),
+                                                       "first_height", "last_height", "n_blocks")
 
 
 @query("entitlement_state_stream", f"""
