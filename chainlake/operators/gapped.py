@@ -134,3 +134,22 @@ def delivery_plan_gapped(jobs: DataFrame, webhooks: DataFrame, blocks: DataFrame
     first_reqs = first.select("webhook_id", F.lit(0).cast("bigint").alias("request_no"), "first_height",
                               "last_height", "n_blocks")
     return first_reqs.unionByName(step_reqs).unionByName(path_reqs)
+
+
+def plan_deliveries(jobs: DataFrame, webhooks: DataFrame, blocks: DataFrame, mode: str = "reference",
+                    inclusive: bool = False) -> DataFrame:
+    """Delivery plan for any store: chains whose heights are contiguous
+    (``count == head - low + 1``, one aggregate per chain) use the closed
+    form, the others the exact gapped plan."""
+    from chainlake.operators.delivery import delivery_plan
+    stats = (blocks.groupBy("chain_id")
+             .agg(F.max("block_height").alias("head"), F.min("block_height").alias("low"),
+                  F.countDistinct("block_height").alias("n")))
+    contiguous = stats.where(F.col("n") == F.col("head") - F.col("low") + 1)
+    chains = F.broadcast(contiguous.select("chain_id"))  # one row per chain
+    closed = delivery_plan(jobs.join(chains, "chain_id", "left_semi"), webhooks,
+                           contiguous.select("chain_id", "head", "low"), mode=mode, inclusive=inclusive)
+    gappy_jobs = jobs.join(chains, "chain_id", "left_anti")
+    gappy_blocks = blocks.join(chains, "chain_id", "left_anti")
+    return closed.unionByName(delivery_plan_gapped(gappy_jobs, webhooks, gappy_blocks, mode=mode,
+                                                   inclusive=inclusive))

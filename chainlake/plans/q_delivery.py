@@ -290,7 +290,7 @@ __all__ = ["job_json"]
 
 
 
-@query("delivery_plan_gapped", """
+_GAPPED_SQL = """
     WITH RECURSIVE
     hd AS (SELECT chain_id, max(block_height) AS head FROM received GROUP BY chain_id),
     jw AS (SELECT j.webhook_id, j.chain_id, j.next_height, j.is_new, CAST(w.max_blocks AS BIGINT) AS m, hd.head
@@ -317,10 +317,34 @@ __all__ = ["job_json"]
     UNION ALL
     SELECT w.webhook_id, CAST(w.k AS BIGINT), min(r.block_height), max(r.block_height), count(*)
     FROM walk w JOIN received r ON r.chain_id = w.chain_id AND r.block_height BETWEEN w.s AND w.s + w.m - 1
-    WHERE w.s < w.head GROUP BY w.webhook_id, w.k""", ("job", "webhook", "received"))
+    WHERE w.s < w.head GROUP BY w.webhook_id, w.k"""
+
+
+@query("delivery_plan_gapped", _GAPPED_SQL, ("job", "webhook", "received"))
 def q_delivery_plan_gapped(spark, sf_dir):
     """Plan over a store that lost every block whose payload was still
     pending: gaps everywhere, so requests span gaps shorter than m."""
     from chainlake.operators.gapped import delivery_plan_gapped
     received = fx.blocks(spark, sf_dir).where(~F.col("block").contains('"status":"P"'))
     return delivery_plan_gapped(fx.jobs(spark, sf_dir), fx.webhooks(spark, sf_dir), received)
+
+
+SQL_VIEWS["mixed_store"] = (("block",), """
+    SELECT * FROM block WHERE chain_id <> 'ASIA' OR block NOT LIKE '%"status":"P"%'""")
+SQL_VIEWS["gapped_plan"] = (("job", "webhook", "mixed_store"),
+                            "SELECT * FROM (" + _GAPPED_SQL.replace("received", "mixed_store") + ") g")
+
+
+@query("plan_deliveries", """
+    SELECT * FROM (""" + _PLAN_SQL.format(cursor="first_lo + 1") + """) p
+    WHERE webhook_id IN (SELECT webhook_id FROM job WHERE chain_id <> 'ASIA')
+    UNION ALL
+    SELECT * FROM gapped_plan WHERE webhook_id IN (SELECT webhook_id FROM job WHERE chain_id = 'ASIA')""",
+       ("job", "webhook", "block", "chain_head", "gapped_plan"))
+def q_plan_deliveries(spark, sf_dir):
+    """One chain lost its pending blocks (gaps), the others are whole: each
+    chain gets the method its heights allow."""
+    from chainlake.operators.gapped import plan_deliveries
+    b = fx.blocks(spark, sf_dir)
+    store = b.where((F.col("chain_id") != "ASIA") | ~F.col("block").contains('"status":"P"'))
+    return plan_deliveries(fx.jobs(spark, sf_dir), fx.webhooks(spark, sf_dir), store)
