@@ -57,11 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared (HDFS/S3/...) folder and is used as
-    is.  Only when it is unset -- tests and local runs -- do we pick a local
-    folder of our own.
+    is; without it we raise, since a folder of the driver's machine is out of
+    the executors' reach.  Only in local mode (tests) do we pick one ourselves.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="chainlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
