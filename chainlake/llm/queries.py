@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, toxicity
+from . import chat_format, decontaminate, html_text, license_scan, lm_score, packing, simhash, toxicity, url_filter, vector_join
 from .common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,11 +24,26 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op4_decontaminate", """
+@query("op1_url_filter")
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op3_html_text")
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_decontaminate", r"""
 with w as (
   select id, kind, list_transform(regexp_extract_all(translate(coalesce(text, ''),
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x) as words
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x) as words
   from (select doc_id as id, text, 'd' as kind from documents
         union all select item_id, text, 'i' from benchmark)),
 g as (
@@ -59,7 +74,62 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "predicted", F.size("spans").cast("long").alias("n_spans"))
 
 
+#: Both turns of conversation -7, which op7 formats besides those of the table.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query("op7_chat_format", r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e as (
+  select *, replace(replace(replace(replace(text, '\', '\b'), '#', '\h'), '</', '<\s'), '<|', '<\p') as body,
+         replace(replace(replace(replace(replace(role, '\', '\b'), '#', '\h'), '</', '<\s'), '<|', '<\p'), ':', '\c') as head
+  from c)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length(head) + length(body) + 14)::bigint as formatted_chars
+from e group by conv_id
+""")
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    read = chat_format.read_back(chat_format.format_chats(rows.unionByName(control)))
+    turns = F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    learned = F.array_join("learned", "")
+    return read.select(
+        "conv_id", F.size("read").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op8_lm_score")
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op9_simhash_near_dedup")
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op10_vector_join", """
+with recursive v as (
+  select row_number() over () as n, vec_id, label, embedding::double[] as e from embeddings),
+g as (
+  select * from v where label is not null and e is not null and len(e) > 0
+    and len(list_filter(e, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, x -> x <> 0)) > 0),
+l as (
+  select a.n as a, b.n as b, a.vec_id as a_id, b.vec_id as b_id from g a join g b
+    on a.label = b.label and a.n <> b.n and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
+r as (select n as a, n as b from v union select r.a, l.b from r join l on l.a = r.b),
+m as (select r.a, min(v.vec_id) as component_id from r join v on v.n = r.b group by r.a)
+select v.vec_id, coalesce(k.n_links, 0)::bigint as n_links, m.component_id, v.vec_id = m.component_id as kept
+from v join m on m.a = v.n left join (select a, count(*) as n_links from l group by a) k on k.a = v.n
+""")
+def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)

@@ -4,15 +4,16 @@ Training (on a bounded sample of labelled documents, see ``fit``):
 1. Labels exist per document only.  Token labels come from a lexicon of words
    and word beginnings that explains the toxic documents: the feature that
    occurs in the most unexplained toxic documents is taken, if it is far more
-   frequent in toxic than in clean ones, until none is left.
+   frequent in toxic than in clean ones, until none is left; equally telling
+   features of many toxic documents are added.
 2. A two-state linear-chain CRF (clean, toxic) is fitted to these token labels
    by gradient steps on the exact log-likelihood.  Its features are the word
    and its first 3, 4 and 5 characters, so that inflected forms that were never
    seen share weights with known ones.
 3. A logistic function maps a document's token marginals to a score.
 
-Scoring runs the forward-backward recursion over whole texts, all documents
-of a batch side by side; tokens with a marginal of 0.5 or more are the
+A chain is a line.  Scoring runs the forward-backward recursion over all lines
+of whole texts, those of a batch side by side; tokens with a marginal of 0.5 or more are the
 offending ones and are returned as character offsets.
 """
 
@@ -27,48 +28,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, id_and_text
+from .common import crc_remainder, id_and_text, ship_package
 
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-SAMPLE = 2000          # labelled documents of each class that are fitted at most
+WORD_OR_BREAK = re.compile(TOKEN.pattern + rb"|\n")
+SAMPLE = 1200          # labelled documents of each class that are fitted at most
 SAMPLE_BYTES = 200_000  # longer documents are left out of the sample (they are scored whole)
-STEPS = 40
+STEPS = 30
 MIN_LOG_ODDS = 3.0
+SURE_LOG_ODDS = 4.5
 LEAST_WEIGHT = 0.02    # features with smaller weights are left out of the model
 CACHE = 400_000        # words whose weight a worker remembers
 
 
-def features(word: bytes) -> list[bytes]:
-    """Features of a lower-cased word: itself and its first 3, 4 and 5 characters."""
+PREFIXES = (3, 4, 5)
+
+
+def features(word: bytes) -> list[tuple[int, str]]:
+    """Features of a lower-cased word: itself (kind 0) and its first 3, 4 and 5 characters."""
     text = word.decode("utf-8", "replace")
-    return [b"w" + word] + [b"%d" % n + text[:n].encode() for n in (3, 4, 5) if len(text) >= n]
+    return [(0, text)] + [(n, text[:n]) for n in PREFIXES if len(text) >= n]
 
 
 @dataclass
 class Model:
-    weights: dict[bytes, float]  # score of the toxic state over the clean one, by feature of the sample
+    weights: dict[int, dict[str, float]]  # score of toxic over clean, by kind and text of a feature
     bias: float
-    transitions: np.ndarray      # (2, 2) log potentials, from state to state
-    calibration: np.ndarray      # intercept and slopes over ``summary``
+    transitions: np.ndarray  # (2, 2) log potentials, from state to state
+    calibration: np.ndarray  # intercept and slopes over ``summary``
 
     def emission(self, word: bytes) -> float:
-        return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
+        text = word.decode("utf-8", "replace")
+        total = self.bias + self.weights[0].get(text, 0.0)
+        for n in PREFIXES:
+            if len(text) >= n:
+                total += self.weights[n].get(text[:n], 0.0)
+        return total
 
 
 class Emissions(dict):
     """word -> emission score; forgets everything when it is full."""
 
     def __init__(self, model: Model):
-        super().__init__()
+        super().__init__({b"\n": np.nan})
         self.model = model
 
     def __missing__(self, word: bytes) -> float:
         if len(self) >= CACHE:
             self.clear()
+            self[b"\n"] = np.nan
         self[word] = value = self.model.emission(word)
         return value
 
 
+def _tokens(text: bytes) -> list[bytes]:
+    """Lower-cased words with a line feed after each line."""
+    return WORD_OR_BREAK.findall(text.lower() + b"\n")
+
+
+def line_lengths(breaks: np.ndarray) -> np.ndarray:
+    """Words of each line, from the places of the line feeds among all tokens."""
+    at = np.flatnonzero(breaks)
+    return np.diff(at, prepend=-1) - 1
+
+
 def _layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chains by falling length: their order, their first tokens, and how many reach each step."""
     order = np.argsort(-lengths, kind="stable")
@@ -157,7 +180,8 @@ def _lexicon(docs: list[np.ndarray], toxic: np.ndarray, dim: int) -> list[int]:
     rate = np.log((clean + 0.5) / (n_clean + 1))
     left = [d for d, y in zip(docs, toxic) if y]
     everywhere = np.bincount(np.concatenate(left), minlength=dim)
-    allowed = np.log((everywhere + 0.5) / (n_toxic + 1)) - rate >= MIN_LOG_ODDS
+    odds = np.log((everywhere + 0.5) / (n_toxic + 1)) - rate
+    allowed = odds >= MIN_LOG_ODDS
     least = max(2, n_toxic // 400)
     chosen = np.zeros(dim, bool)
     while left:
@@ -169,6 +193,8 @@ def _lexicon(docs: list[np.ndarray], toxic: np.ndarray, dim: int) -> list[int]:
         # word beginnings of equal reach explain the same documents: all are taken
         chosen |= covered > best - 0.5
         left = [d for d in left if not chosen[d].any()]
+    # features of many toxic documents count even where others explain these already
+    chosen |= (odds >= SURE_LOG_ODDS) & (everywhere >= max(5, n_toxic // 20))
     return np.flatnonzero(chosen).tolist()
 
 
@@ -177,10 +203,15 @@ def fit_model(texts: list[bytes], labels: list[int]) -> Model:
     toxic = np.array(labels, bool)
     if not toxic.any() or toxic.all():
         base = 5.0 if len(toxic) and toxic.all() else -5.0
-        return Model({}, -10.0, np.zeros((2, 2)), np.array([base, 0, 0, 0]))
-    words: dict[bytes, int] = {}
-    chains = [np.array([words.setdefault(w, len(words)) for w in TOKEN.findall(t.lower())], np.int64) for t in texts]
-    known: dict[bytes, int] = {}
+        return Model({k: {} for k in (0, *PREFIXES)}, -10.0, np.zeros((2, 2)), np.array([base, 0, 0, 0]))
+    words: dict[bytes, int] = {b"\n": -1}
+    rows = [np.array([words.setdefault(w, len(words) - 1) for w in _tokens(t)], np.int64) for t in texts]
+    del words[b"\n"]
+    tokens = np.concatenate(rows)
+    lines = line_lengths(tokens < 0)
+    tokens = tokens[tokens >= 0]
+    chains = [r[r >= 0] for r in rows]
+    known: dict[tuple[int, str], int] = {}
     own = [[known.setdefault(f, len(known)) for f in features(w)] for w in words]
     dim, width = len(known), max(map(len, own))
     table = np.full((len(own), width), dim, np.int64)  # feature ``dim`` pads and has no weight
@@ -192,10 +223,9 @@ def fit_model(texts: list[bytes], labels: list[int]) -> Model:
     lexicon[_lexicon(bags, toxic, dim)] = True
     marked = lexicon[table].any(axis=1)
     lengths = np.array([len(c) for c in chains])
-    tokens = np.concatenate(chains)
     gold = marked[tokens] & np.repeat(toxic, lengths)
     starts = np.zeros(len(tokens), bool)
-    starts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    starts[(np.cumsum(lines) - lines)[lines > 0]] = True
     to = np.flatnonzero(~starts)
     gold_pairs = np.zeros((2, 2))
     np.add.at(gold_pairs, (gold[to - 1].astype(int), gold[to].astype(int)), 1)
@@ -208,17 +238,20 @@ def fit_model(texts: list[bytes], labels: list[int]) -> Model:
     flat = table.ravel()
     for step in range(1, STEPS + 1):
         by_word = theta[:size][table].sum(axis=1) + theta[size]
-        marginal, pairs, _ = forward_backward(by_word[tokens], lengths, theta[size + 1:].reshape(2, 2))
+        marginal, pairs, _ = forward_backward(by_word[tokens], lines, theta[size + 1:].reshape(2, 2))
         gap = gold_counts - np.bincount(tokens, marginal, len(own))
         grad = np.concatenate([np.bincount(flat, np.repeat(gap, width), size), [gap.sum()],
                                (gold_pairs - pairs).ravel()]) / norm - 1e-4 * theta
         grad[dim] = 0  # the padding
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta += 0.3 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    weights = {f: float(theta[i]) for f, i in known.items() if abs(theta[i]) >= LEAST_WEIGHT}
+    weights: dict[int, dict[str, float]] = {k: {} for k in (0, *PREFIXES)}
+    for (kind, text), i in known.items():
+        if abs(theta[i]) >= LEAST_WEIGHT:
+            weights[kind][text] = float(theta[i])
     model = Model(weights, float(theta[size]), theta[size + 1:].reshape(2, 2), np.zeros(4))
     by_word = np.array([model.emission(w) for w in words])
-    marginal, _, _ = forward_backward(by_word[tokens], lengths, model.transitions)
+    marginal, _, _ = forward_backward(by_word[tokens], lines, model.transitions)
     model.calibration = _calibrate(summary(marginal, lengths), toxic.astype(float))
     return model
 
@@ -249,9 +282,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_texts(model: Model, texts: list[bytes], cache: Emissions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Score of each text, marginal of each token, tokens of each text."""
     get = cache.__getitem__
-    parts = [np.array(list(map(get, TOKEN.findall(t.lower()))), np.float64) for t in texts]
-    lengths = np.array([len(p) for p in parts], np.int64)
-    marginals, _, _ = forward_backward(np.concatenate(parts) if parts else np.empty(0), lengths, model.transitions)
+    parts = [np.array(list(map(get, _tokens(t))), np.float64) for t in texts]
+    scores = np.concatenate([np.empty(0), *parts])
+    breaks = np.isnan(scores)
+    lengths = np.array([np.count_nonzero(~np.isnan(p)) for p in parts], np.int64)
+    marginals, _, _ = forward_backward(scores[~breaks], line_lengths(breaks), model.transitions)
     x = summary(marginals, lengths)
     return _sigmoid(model.calibration[0] + x @ model.calibration[1:]), marginals, lengths
 
@@ -311,6 +346,7 @@ def _in_characters(text: bytes, places: list[tuple[int, int]]) -> list[dict]:
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` with a score below ``threshold``, all columns as they were, without a shuffle."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
