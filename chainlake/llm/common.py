@@ -57,6 +57,19 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def text_key(col: Column) -> Column:
+    """64-bit hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

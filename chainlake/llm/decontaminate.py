@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, id_and_text
+from .common import cut_lineage, id_and_text, text_key
 from .grams import Words, filter_test, hash_filter
 
 SHINGLE = 5
@@ -134,7 +134,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                       **parameters) -> DataFrame:
     """Rows of ``docs`` that contain no item, all columns as they were."""
     found = (contaminated(docs, items, id_col, text_col, **parameters)
-             .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+             .select("doc_id", "text_key").distinct())
+    same = docs[id_col].cast("long").eqNullSafe(found["doc_id"]) & (text_key(docs[text_col]) == found["text_key"])
     return docs.join(found, same, "left_anti")

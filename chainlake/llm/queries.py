@@ -41,9 +41,9 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_decontaminate", r"""
 with w as (
-  select id, kind, list_transform(regexp_extract_all(translate(coalesce(text, ''),
+  select id, kind, regexp_extract_all(translate(coalesce(text, ''),
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x) as words
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
   from (select doc_id as id, text, 'd' as kind from documents
         union all select item_id, text, 'i' from benchmark)),
 g as (
@@ -122,7 +122,7 @@ with recursive v as (
   select row_number() over () as n, vec_id, label, embedding::double[] as e from embeddings),
 g as (
   select * from v where label is not null and e is not null and len(e) > 0
-    and len(list_filter(e, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, x -> x <> 0)) > 0),
+    and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
 l as (
   select a.n as a, b.n as b, a.vec_id as a_id, b.vec_id as b_id from g a join g b
     on a.label = b.label and a.n <> b.n and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, id_and_text
+from .common import cut_lineage, fresh_name, id_and_text, text_key
 from .components import connected_components
 
 BITS = 64
@@ -146,10 +146,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = (found.join(one, "root")
             .where(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_key") == F.col("k.text_key")))
             .groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies")))
-    kept = cut_lineage(kept.withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "copies": "_copies"}))
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"),
-                              "_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))})
-    same = keyed["_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_key"])
-    single = keyed.join(kept.where("_copies = 1"), same, "left_semi").select(*docs.columns)
-    repeated = keyed.join(kept.where("_copies > 1"), same, "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["_id", "_key"]).select(*docs.columns))
+    kept = cut_lineage(kept)
+    own_id, own_key = fresh_name(docs, "id_"), fresh_name(docs, "key_")
+    keyed = docs.withColumns({own_id: docs[id_col].cast("long"), own_key: text_key(docs[text_col])})
+    same = keyed[own_id].eqNullSafe(kept["doc_id"]) & (keyed[own_key] == kept["text_key"])
+    single = keyed.join(kept.where("copies = 1"), same, "left_semi")
+    repeated = keyed.join(kept.where("copies > 1"), same, "left_semi").dropDuplicates([own_id, own_key])
+    return single.unionByName(repeated).drop(own_id, own_key)
