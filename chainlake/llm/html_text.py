@@ -128,6 +128,11 @@ class Lines(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def close(self) -> None:
+        if self.rawdata.startswith("<!--"):  # a comment that never ends
+            self.rawdata = ""
+        super().close()
+
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][3]:
             self._text.append(data)

@@ -233,6 +233,20 @@ def score_words(words: DataFrame, path: str, weights: np.ndarray) -> DataFrame:
     return words.mapInArrow(run, "word binary, c long, lattice double")
 
 
+def _least_common(words: DataFrame) -> float:
+    """A count that fewer than ``COMMON`` words reach, from a histogram of at most 1024 rows."""
+    steps = 16  # bins for each doubling of the count
+    found = (words.where("c > 0").groupBy(F.floor(F.log2("c") * steps).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(F.col("bin").desc()).collect())
+    least, total = float("inf"), 1  # the end symbol comes along
+    for r in found:
+        total += r.n
+        if total > COMMON:
+            break
+        least = 2.0 ** (r.bin / steps)
+    return least
+
+
 def _scan(docs: DataFrame, common: list) -> DataFrame:
     """Per row: sums over the words in ``common`` and the end, and the other words with their numbers."""
     places = {bytes(r.word): i for i, r in enumerate(common)}
@@ -283,8 +297,8 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     weights = train_weights(counts, vocabulary_path)
     base = F.log10((F.col("c") + BASE_SMOOTHING) / F.lit(total.n + BASE_SMOOTHING * (total.v + 1)))
     scored = cut_lineage(score_words(counts, vocabulary_path, weights).withColumn("base", base))
-    common = scored.orderBy((F.col("word") != F.lit(END)).asc(), F.col("c").desc(), "word").limit(COMMON).collect()
-    if not common or bytes(common[0].word) != END:  # no training row: the end symbol was never counted
+    common = scored.where((F.col("word") == F.lit(END)) | (F.col("c") >= _least_common(scored))).collect()
+    if not any(bytes(r.word) == END for r in common):  # no training row: the end symbol was never counted
         end = float(weights[vocabulary(vocabulary_path).end] / np.log(10))
         unseen = float(np.log10(BASE_SMOOTHING / (total.n + BASE_SMOOTHING * (total.v + 1))))
         common = [scored.sparkSession.createDataFrame([(END, 0, end, unseen)], scored.schema).first(), *common]

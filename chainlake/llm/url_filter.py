@@ -86,8 +86,8 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     for done in range(CHECK_EVERY, ROUNDS + 1, CHECK_EVERY):
         before = state
         for _ in range(CHECK_EVERY):
-            passed = (flow.join(state, (flow.kind == state.kind) & (flow.src == state.host))
-                      .select(flow.kind, F.col("dst").alias("host"), (DAMPING * F.col("score") * F.col("share")).alias("score")))
+            passed = (flow.join(state.withColumnRenamed("host", "src"), ["kind", "src"])
+                      .select("kind", F.col("dst").alias("host"), (DAMPING * F.col("score") * F.col("share")).alias("score")))
             state = passed.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         state = cut_lineage(state)
         moved = (state.unionByName(before.withColumn("score", -F.col("score")))
