@@ -102,3 +102,9 @@ def valid_url(url) -> Column:
     """Absolute URL with a scheme and a host (what a URL parser accepts)."""
     u = _c(url)
     return u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#\s]+([/?#]\S*)?$")
+
+
+def div_floor(col: Column, width: int) -> Column:
+    """Integer floor of ``col / width``, exact over the whole BIGINT range."""
+    w = F.lit(width).cast("bigint")
+    return F.call_function("div", col.cast("bigint") - F.pmod(col.cast("bigint"), w), w)

@@ -23,11 +23,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from chainlake.functions.columns import attempts_allowed, job_json
-from chainlake.operators.store import HEIGHT_BUCKET, latest_n_per_chain
+from chainlake.functions.columns import attempts_allowed, div_floor, job_json
+from chainlake.operators.store import HEIGHT_BUCKET
 
-MAX_BLOCKS_BOUND = 10  # registry limit; bounds the per-job fan-out
+PLAN_CHUNK = 8192  # requests of a job that one row of the plan's first step stands for
 
 
 def _heads_b(heads: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def current_failures(attempts: DataFrame, bucket: int = ATTEMPT_BUCKET) -> DataF
     webhook the buckets after the last successful one are summed.  A webhook
     with a third of all attempts costs one small row per bucket."""
     from pyspark.sql.window import Window
-    b = attempts.withColumn("_b", F.floor(F.col("attempt_id") / bucket).cast("bigint"))
+    b = attempts.withColumn("_b", div_floor(F.col("attempt_id"), bucket))
     # last success inside the bucket (a window bounded by the bucket size)
     b = b.withColumn("_okb", F.max(F.when(~F.col("failed"), F.col("attempt_id")))
                      .over(Window.partitionBy("webhook_id", "_b")))
@@ -130,7 +131,7 @@ def _prune_to_requests(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     dynamic partition pruning skips the rest of the archive."""
     if "height_bucket" not in blocks.columns:
         return blocks
-    buckets = (wanted.select("chain_id", F.floor(F.col("block_height") / HEIGHT_BUCKET).cast("bigint")
+    buckets = (wanted.select("chain_id", div_floor(F.col("block_height"), HEIGHT_BUCKET)
                              .alias("height_bucket")).distinct())
     return blocks.join(buckets, ["chain_id", "height_bucket"], "left_semi")
 
@@ -173,47 +174,63 @@ def jobs_with_blocks(jobs: DataFrame, blocks: DataFrame, hot_rows: int = HOT_KEY
     return cold_part.unionByName(hot_part)
 
 
-def recent_top_blocks(blocks: DataFrame, heads: DataFrame, n: int = MAX_BLOCKS_BOUND,
-                      lookback: int = HEIGHT_BUCKET) -> DataFrame:
-    """Latest ``n`` blocks of every chain without ranking the whole store.
+def batch_bounds(jobs: DataFrame) -> DataFrame:
+    """``(chain_id, n)``: the largest batch size of the jobs on each chain."""
+    return jobs.groupBy("chain_id").agg(F.max("max_blocks").cast("bigint").alias("n"))
+
+
+def _latest(blocks: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Latest ``n`` blocks per chain, ``n`` from ``bounds(chain_id, n)``."""
+    ranked = blocks.select("chain_id", "block_height", "block").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("chain_id").orderBy(F.col("block_height").desc())))
+    return ranked.join(bounds, "chain_id").where(F.col("rank") <= F.col("n")).drop("n")
+
+
+def latest_needed(blocks: DataFrame, heads: DataFrame, bounds: DataFrame,
+                  lookback: int = HEIGHT_BUCKET) -> DataFrame:
+    """Latest ``n`` blocks of every chain in ``bounds(chain_id, n)`` without
+    ranking the whole store.
 
     Only heights in ``(head - lookback, head]`` are ranked; on a partitioned
     store the window is a semi-join on the partition columns, so dynamic
     partition pruning reads just the newest buckets.  Chains with fewer than
-    ``n`` blocks in the window (gaps, short chains) fall back to ranking
-    their whole chain -- a semi-join on ``chain_id`` that prunes to those
-    chains only -- so the result is exact.
+    ``n`` blocks in the window (gaps, short chains, a batch size above the
+    window) fall back to ranking their whole chain -- a semi-join on
+    ``chain_id`` that prunes to those chains only -- so the result is exact.
     """
-    h = heads.select("chain_id", "head")
+    h = heads.select("chain_id", "head").join(bounds, "chain_id")
     # one sample height per bucket step of the window, plus the head itself
     samples = F.array_union(F.sequence(F.greatest(F.col("head") - lookback + 1, F.lit(0)), F.col("head"),
                                        F.lit(max(HEIGHT_BUCKET // 2, 1)).cast("bigint")), F.array(F.col("head")))
     wanted = h.select("chain_id", F.explode(samples).alias("block_height"))
     recent = _prune_to_requests(blocks, wanted).join(F.broadcast(h), "chain_id")  # one row per chain
-    recent = recent.where(F.col("block_height") > F.col("head") - lookback).drop("head")
-    top = latest_n_per_chain(recent.select("chain_id", "block_height", "block"), n)
-    short = (h.join(top.groupBy("chain_id").agg(F.count(F.lit(1)).alias("k")), "chain_id", "left")
-             .where(F.coalesce("k", F.lit(0)) < n).select("chain_id"))
-    full = latest_n_per_chain(blocks.join(short, "chain_id", "left_semi")
-                              .select("chain_id", "block_height", "block"), n)
+    recent = recent.where(F.col("block_height") > F.col("head") - lookback)
+    top = _latest(recent, bounds)
+    found = top.groupBy("chain_id").agg(F.count(F.lit(1)).alias("k"))
+    short = (h.join(found, "chain_id", "left").where(F.coalesce("k", F.lit(0)) < F.col("n")).select("chain_id"))
+    full = _latest(blocks.join(short, "chain_id", "left_semi"), bounds)
     return top.join(short, "chain_id", "left_anti").unionByName(full)
 
 
+def recent_top_blocks(blocks: DataFrame, heads: DataFrame, n: int, lookback: int = HEIGHT_BUCKET) -> DataFrame:
+    """``latest_needed`` with the same ``n`` for every chain."""
+    return latest_needed(blocks, heads, heads.select("chain_id", F.lit(n).cast("bigint").alias("n")), lookback)
+
+
 def new_jobs_with_latest(jobs: DataFrame, blocks: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """Latest ``max_blocks`` blocks of the chain for every new job.  The
-    latest-10-per-chain table is at most 10 rows per chain: broadcast."""
-    if heads is None:
-        top = latest_n_per_chain(blocks.select("chain_id", "block_height", "block"), MAX_BLOCKS_BOUND)
-    else:
-        top = recent_top_blocks(blocks, heads)
-    return (jobs.join(F.broadcast(top), "chain_id")
+    """Latest ``max_blocks`` blocks of the chain for every new job.  As many
+    blocks per chain are ranked as its largest batch asks for; the planner
+    broadcasts them only if their payloads are small."""
+    bounds = batch_bounds(jobs)
+    top = _latest(blocks, bounds) if heads is None else latest_needed(blocks, heads, bounds)
+    return (jobs.join(top, "chain_id")
             .where(F.col("rank") <= F.col("max_blocks"))
             .select("webhook_id", "chain_id", "block_height", "block"))
 
 
 def build_payload(rows: DataFrame, descending=False) -> DataFrame:
     """One request per webhook: ordered JSON array of block strings.  A
-    group holds at most ``max_blocks`` (<= 10) rows, so memory is bounded.
+    group holds one request, ``max_blocks`` rows of its own webhook.
     ``descending`` may be a bool or a boolean column of ``rows``."""
     desc = descending if not isinstance(descending, bool) else F.lit(descending)
     g = (rows.withColumn("_desc", desc).groupBy("webhook_id")
@@ -293,9 +310,12 @@ def delivery_plan(jobs: DataFrame, webhooks: DataFrame, heads: DataFrame, mode:
     Closed form for chains with contiguous heights (check ``height_gaps``):
     a job at ``s`` with head ``L`` and batch ``m`` gets requests
     ``lo = s + k*m`` for every ``lo < L`` (``<= L`` if inclusive), each
-    ``[lo, least(lo+m-1, L)]``.  A new job first gets the latest ``m``
-    blocks and continues from the cursor its ``mode`` gives.  Pure map-side
-    row generation: no shuffle beyond the webhook lookup.
+    ``[lo, least(lo+m-1, L)]``.  A first range that begins below the oldest
+    stored block is clipped to it; one that ends below it finds nothing, so
+    the job is evicted and has no request.  A new job first gets the latest
+    ``m`` blocks and continues from the cursor its ``mode`` gives.  Rows are
+    made in two steps of bounded arrays, so a far-behind job is neither one
+    huge row nor one task's work; no shuffle beyond the webhook lookup.
     """
     j = (jobs.join(webhooks.select(F.col("id").alias("webhook_id"), "max_blocks"), "webhook_id")
          .join(_heads_b(heads.select("chain_id", "head", "low")), "chain_id"))
@@ -307,12 +327,14 @@ def delivery_plan(jobs: DataFrame, webhooks: DataFrame, heads: DataFrame, mode:
     n_req = F.when(span > 0, F.ceil(span / m)).otherwise(F.lit(0)).cast("bigint")
     # one pass: k = -1 is a new job's first request (latest m), k >= 0 the rest
     k_min = F.when(F.col("is_new"), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
-    g = (j.select("webhook_id", "is_new", m.alias("m"), L.alias("L"), first_lo.alias("first_lo"),
+    g = (j.select("webhook_id", "is_new", m.alias("m"), L.alias("L"), F.col("low"), first_lo.alias("first_lo"),
                   start.alias("s"), n_req.alias("n"), k_min.alias("k_min"))
-         .where(F.col("is_new") | (F.col("n") > 0))
-         .select("*", F.explode(F.sequence(F.col("k_min"), F.col("n") - 1)).alias("k")))
+         .where(F.col("is_new") | ((F.col("n") > 0) & (F.col("s") + F.col("m") > F.col("low"))))
+         .select("*", F.explode(F.sequence(F.col("k_min"), F.col("n") - 1, F.lit(PLAN_CHUNK).cast("bigint"))).alias("c"))
+         .repartition("webhook_id", "c")
+         .select("*", F.explode(F.sequence(F.col("c"), F.least(F.col("c") + PLAN_CHUNK, F.col("n")) - 1)).alias("k")))
     is_first = F.col("k") < 0
-    lo = F.when(is_first, F.col("first_lo")).otherwise(F.col("s") + F.col("k") * F.col("m"))
+    lo = F.when(is_first, F.col("first_lo")).otherwise(F.greatest(F.col("s") + F.col("k") * F.col("m"), F.col("low")))
     hi = F.when(is_first, F.col("L")).otherwise(F.least(F.col("s") + F.col("k") * F.col("m") + F.col("m") - 1, F.col("L")))
     k0 = F.when(F.col("is_new"), F.lit(1)).otherwise(F.lit(0))
     return g.select("webhook_id",

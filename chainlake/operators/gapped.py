@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainlake.operators.delivery import MAX_BLOCKS_BOUND, recent_top_blocks
+from chainlake.functions.columns import div_floor
+from chainlake.operators.delivery import latest_needed
 from chainlake.operators.quality import bucketed_row_number
 from chainlake.session import ensure_checkpoint_dir
 
@@ -35,18 +36,19 @@ def _states(blocks: DataFrame, needed_m: DataFrame, heads: DataFrame, inclusive:
     """``(chain_id, m, h, r, succ, p, rp, terminal)`` for every stored height
     and every batch size used on its chain."""
     h = blocks.select("chain_id", F.col("block_height").alias("h")).distinct()
-    h = bucketed_row_number(h, ["chain_id"], ["h"], F.floor(F.col("h") / bucket).cast("bigint"), "r")
-    nxt = (h.select("chain_id", "h", "r", F.explode(F.sequence(F.lit(1), F.lit(MAX_BLOCKS_BOUND))).alias("k"))
+    h = bucketed_row_number(h, ["chain_id"], ["h"], div_floor(F.col("h"), bucket), "r")
+    # at most m distinct heights lie in (h, h + m], so the m-th successor bounds the search
+    most = F.broadcast(needed_m.groupBy("chain_id").agg(F.max("m").alias("most")))  # one row per chain
+    nxt = (h.join(most, "chain_id")
+           .select("chain_id", "h", "r", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("most"))).alias("k"))
            .withColumn("rk", F.col("r") + F.col("k"))
            .join(h.select("chain_id", F.col("r").alias("rk"), F.col("h").alias("hk")), ["chain_id", "rk"]))
-    per_m = [F.max(F.when((F.col("k") <= m) & (F.col("hk") <= F.col("h") + m), F.struct("hk", "rk"))).alias(f"p{m}")
-             for m in range(1, MAX_BLOCKS_BOUND + 1)]
-    agg = nxt.groupBy("chain_id", "h", "r").agg(F.min("hk").alias("succ"), *per_m)
+    succ = nxt.where("k = 1").select("chain_id", "h", F.col("hk").alias("succ"))
+    reach = (nxt.join(needed_m, "chain_id").where(F.col("hk") <= F.col("h") + F.col("m"))
+             .groupBy("chain_id", "m", "h").agg(F.max(F.struct("hk", "rk")).alias("pp")))
     # heights without any successor (the head) still are states
-    base = h.join(agg.drop("r"), ["chain_id", "h"], "left")
-    st = (base.join(F.broadcast(needed_m), "chain_id")  # at most 10 batch sizes per chain
-          .withColumn("pp", F.element_at(F.array(*[F.col(f"p{m}") for m in range(1, MAX_BLOCKS_BOUND + 1)]),
-                                         F.col("m").cast("int")))
+    st = (h.join(needed_m, "chain_id").join(reach, ["chain_id", "m", "h"], "left")
+          .join(succ, ["chain_id", "h"], "left")
           .join(F.broadcast(heads.select("chain_id", "head")), "chain_id"))  # one row per chain
     last_ok = (F.col("h") + 1 <= F.col("head")) if inclusive else (F.col("h") + 1 < F.col("head"))
     return st.select("chain_id", "m", "h", "r", "succ", F.col("pp.hk").alias("p"), F.col("pp.rk").alias("rp"),
@@ -73,8 +75,10 @@ def delivery_plan_gapped(jobs: DataFrame, webhooks: DataFrame, blocks: DataFrame
     due = (F.col("s") <= F.col("head")) if inclusive else (F.col("s") < F.col("head"))
 
     # new jobs: the latest m stored blocks first, then the cursor of the mode
-    top = recent_top_blocks(blocks, heads)
-    first = (j.where(F.col("is_new")).join(F.broadcast(top.select("chain_id", "block_height", "rank")), "chain_id")
+    new = j.where(F.col("is_new"))
+    stored = blocks if "block" in blocks.columns else blocks.withColumn("block", F.lit(None).cast("string"))
+    top = latest_needed(stored, heads, new.groupBy("chain_id").agg(F.max("m").alias("n")))
+    first = (new.join(top.select("chain_id", "block_height", "rank"), "chain_id")
              .where(F.col("rank") <= F.col("m"))
              .groupBy("webhook_id").agg(F.min("block_height").alias("first_height"),
                                         F.max("block_height").alias("last_height"),
@@ -85,7 +89,7 @@ def delivery_plan_gapped(jobs: DataFrame, webhooks: DataFrame, blocks: DataFrame
                       F.when(F.col("is_new"), after).otherwise(F.col("next_height")).alias("s"),
                       F.when(F.col("is_new"), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("k0"))
               .where(due))
-    # first step from an arbitrary cursor: at most m (<= 10) heights, equi-join
+    # first step from an arbitrary cursor: at most m heights, equi-join
     rng = (starts.select("*", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("m") - 1)).alias("block_height"))
            .join(blocks.select("chain_id", "block_height").distinct(), ["chain_id", "block_height"]))
     step1 = (rng.groupBy("webhook_id", "chain_id", "m", "k0")
@@ -100,7 +104,7 @@ def delivery_plan_gapped(jobs: DataFrame, webhooks: DataFrame, blocks: DataFrame
     levels = [level]
     # level k holds d = min(2^k, depth); once the largest d is below 2^k every
     # depth is complete (one aggregate per round, no comparison join)
-    while levels[-1].agg(F.max("d")).first()[0] >= (1 << (len(levels) - 1)):
+    while (levels[-1].agg(F.max("d")).first()[0] or 0) >= (1 << (len(levels) - 1)):
         nxt = (level.alias("a").join(level.alias("b"),
                                      (F.col("a.chain_id") == F.col("b.chain_id")) & (F.col("a.m") == F.col("b.m")) &
                                      (F.col("a.anc") == F.col("b.h")))

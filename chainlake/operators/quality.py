@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chainlake.functions.columns import div_floor
 from chainlake.operators.store import dedupe_blocks
 
 DEFAULT_BUCKET = 1_000_000
@@ -21,7 +22,7 @@ DEFAULT_BUCKET = 1_000_000
 def with_previous(df: DataFrame, part: str, order: str, value: str, out: str,
                   bucket: int = DEFAULT_BUCKET) -> DataFrame:
     """``out`` = ``value`` of the previous row by ``order`` within ``part``."""
-    b = F.floor(F.col(order) / F.lit(bucket)).cast("bigint")
+    b = div_floor(F.col(order), bucket)
     d = df.withColumn("_b", b)
     inner = F.lag(value).over(Window.partitionBy(part, "_b").orderBy(order))
     d = d.withColumn("_prev", inner)
@@ -36,7 +37,7 @@ def with_previous(df: DataFrame, part: str, order: str, value: str, out: str,
 def with_next(df: DataFrame, part: str, order: str, value: str, out: str,
               bucket: int = DEFAULT_BUCKET) -> DataFrame:
     """``out`` = ``value`` of the next row by ``order`` within ``part``."""
-    b = F.floor(F.col(order) / F.lit(bucket)).cast("bigint")
+    b = div_floor(F.col(order), bucket)
     d = df.withColumn("_b", b)
     inner = F.lead(value).over(Window.partitionBy(part, "_b").orderBy(order))
     d = d.withColumn("_nxt", inner)
@@ -113,8 +114,8 @@ def expected_heights(heads: DataFrame, bucket: int = 100_000) -> DataFrame:
     two steps -- buckets first, spread over tasks, then heights inside each
     bucket -- so a long chain is not generated by a single task."""
     b = (heads.select("chain_id", "low", "head",
-                      F.explode(F.sequence(F.floor(F.col("low") / bucket).cast("bigint"),
-                                           F.floor(F.col("head") / bucket).cast("bigint"))).alias("_b"))
+                      F.explode(F.sequence(div_floor(F.col("low"), bucket),
+                                           div_floor(F.col("head"), bucket))).alias("_b"))
          .repartition("chain_id", "_b"))
     lo = F.greatest(F.col("low"), F.col("_b") * bucket)
     hi = F.least(F.col("head"), F.col("_b") * bucket + bucket - 1)

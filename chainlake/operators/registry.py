@@ -122,12 +122,16 @@ def create_webhooks(requests: DataFrame, chains: DataFrame, id_col: Column | Non
 def update_webhooks(webhooks: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply ``patches(id, customer_id, url?, max_blocks?, max_retries?,
     timeout_ms?)``: null keeps the old value; only the owner's rows change.
+    Several patches of one webhook are applied in the order of their ``seq``
+    (then of the value): each field takes its last non-null value.
     Returns ``(registry, affected_counts per customer)``."""
     p = validate_webhook_patch(patches).where(F.col("valid") & (F.col("n_fields") > 0))
-    p = p.select("id", F.col("customer_id").alias("_owner"),
-                 *[F.col(c).alias(f"_new_{c}") for c in ("url", "max_blocks", "max_retries", "timeout_ms")])
-    j = webhooks.join(p, "id", "left")
-    hit = F.col("_owner").isNotNull() & (F.col("_owner") == F.col("customer_id"))
+    p = p if "seq" in p.columns else p.withColumn("seq", F.lit(0))
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct("seq", c)))[c].alias(f"_new_{c}")
+            for c in ("url", "max_blocks", "max_retries", "timeout_ms")]
+    p = p.groupBy("id", F.col("customer_id").alias("_owner")).agg(*last)
+    j = webhooks.join(p, (webhooks["id"] == p["id"]) & (webhooks["customer_id"] == p["_owner"]), "left").drop(p["id"])
+    hit = F.col("_owner").isNotNull()
     out = j.select(*[F.when(hit, F.coalesce(F.col(f"_new_{c}"), F.col(c))).otherwise(F.col(c)).alias(c)
                      if c in ("url", "max_blocks", "max_retries", "timeout_ms") else F.col(c)
                      for c in webhooks.columns])
@@ -147,13 +151,13 @@ def activate_webhooks(webhooks: DataFrame, active_set: DataFrame, requests: Data
                       ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Activate ``requests(request_id, customer_id, id)``.
 
-    Only the owner's existing ids count.  Ids not yet in the active set get
+    Only the owner's existing, inactive ids count.  Ids not yet in the active set get
     a job ``(height 0, is_new)``; every such id joins the set; the flag
     becomes 1.  Returns ``(registry, new_jobs, new_active_set, counts)``
     where counts is the true number activated per request.
     """
-    ok = requests.join(webhooks.select("id", "customer_id", "blockchain_id", "shard_id"),
-                       ["id", "customer_id"])
+    inactive = webhooks.where(F.col("is_active") == 0)
+    ok = requests.join(inactive.select("id", "customer_id", "blockchain_id", "shard_id"), ["id", "customer_id"])
     fresh = ok.join(active_set.select("id"), "id", "left_anti")
     jobs = fresh.select(F.col("id").alias("webhook_id"), F.col("blockchain_id").alias("chain_id"), "shard_id",
                         F.lit(0).cast("bigint").alias("next_height"), F.lit(True).alias("is_new")).distinct()
@@ -199,7 +203,7 @@ def search_webhooks(webhooks: DataFrame, customer_id: str | Column | None = None
     if is_active is not None:
         df = df.where(F.col("is_active") == (1 if is_active else 0))
     if url_like:
-        pat = f"%{url_like}%"
+        pat = "%" + url_like.replace("\\", "\\\\") + "%"  # a backslash is itself
         df = df.where(F.col("url").like(pat) if case_sensitive else F.col("url").ilike(pat))
     return df
 
@@ -221,8 +225,11 @@ def cursor_row(webhooks: DataFrame, customer_id: str, cursor_id: str) -> DataFra
         F.col("created_at").alias("cursor_created_at"), F.col("id").alias("cursor_id"))
 
 
-def clamp_limit(limit: int) -> int:
-    return max(C.PAGE_LIMIT_MIN, min(C.PAGE_LIMIT_MAX, int(limit)))
+def page_limit(limit: int) -> int:
+    """The limit as asked for; a negative one is an error, none is cut silently."""
+    if int(limit) < 0:
+        raise ValueError(f"page limit must not be negative: {limit}")
+    return int(limit)
 
 
 def webhook_page(webhooks: DataFrame, customer_id: str, limit: int, cursor_id: str | None = None,
@@ -231,7 +238,7 @@ def webhook_page(webhooks: DataFrame, customer_id: str, limit: int, cursor_id: s
     ``(created_at, id)`` desc (asc when reverse), the extra row only sets the
     flags.  An unknown cursor id gives the first page.  Adds ``has_next``,
     ``has_prev`` and ``position`` (display order)."""
-    limit = clamp_limit(limit)
+    limit = page_limit(limit)
     base = search_webhooks(webhooks, customer_id, **filters)
     cursors = None
     if cursor_id is not None:
@@ -249,7 +256,7 @@ def webhook_pages(webhooks: DataFrame, limit: int, cursors: DataFrame | None = N
     WindowGroupLimit: each task keeps limit+1 rows per customer before the
     shuffle, so a customer with a third of all webhooks is still cheap.
     """
-    limit = clamp_limit(limit)
+    limit = page_limit(limit)
     if cursors is None:
         df = webhooks.withColumn("reverse", F.lit(False)).withColumn("_first", F.lit(True))
     else:

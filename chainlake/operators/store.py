@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chainlake.functions.columns import div_floor
+
 KEY = ["chain_id", "block_height"]
 STORE_COLUMNS = ["chain_id", "block_height", "block"]
 HEIGHT_BUCKET = 10_000  # heights per storage partition
 
 
 def height_bucket(height: Column) -> Column:
-    return F.floor(height / F.lit(HEIGHT_BUCKET)).cast("bigint")
+    return div_floor(height, HEIGHT_BUCKET)
 
 
 def _height_between(df: DataFrame, start: Column, end: Column) -> Column:
@@ -117,17 +119,17 @@ def get_block_ranges(store: DataFrame, ranges: DataFrame, range_bucket: int = RA
     """
     r = ranges if "range_id" in ranges.columns else ranges.withColumn("range_id", F.lit(0).cast("bigint"))
     r = r.where(F.col("start_height") <= F.col("end_height"))
-    rb = F.explode(F.sequence(F.floor(F.col("start_height") / range_bucket).cast("bigint"),
-                              F.floor(F.col("end_height") / range_bucket).cast("bigint"))).alias("_rb")
+    rb = F.explode(F.sequence(div_floor(F.col("start_height"), range_bucket),
+                              div_floor(F.col("end_height"), range_bucket))).alias("_rb")
     r = r.select("*", rb)
     s = store
     if "height_bucket" in store.columns:
-        lo_part = F.floor(F.col("_rb") * range_bucket / HEIGHT_BUCKET).cast("bigint")
-        hi_part = F.floor((F.col("_rb") * range_bucket + range_bucket - 1) / HEIGHT_BUCKET).cast("bigint")
+        lo_part = div_floor(F.col("_rb") * range_bucket, HEIGHT_BUCKET)
+        hi_part = div_floor(F.col("_rb") * range_bucket + range_bucket - 1, HEIGHT_BUCKET)
         parts = (r.select("chain_id", F.explode(F.array_distinct(F.array(lo_part, hi_part))).alias("height_bucket"))
                  .distinct())
         s = s.join(parts, ["chain_id", "height_bucket"], "left_semi")
-    s = s.withColumn("_rb", F.floor(F.col("block_height") / range_bucket).cast("bigint"))
+    s = s.withColumn("_rb", div_floor(F.col("block_height"), range_bucket))
     joined = s.join(r, ["chain_id", "_rb"]).drop("_rb")
     return joined.where(_height_between(joined, F.col("start_height"), F.col("end_height")))
 

@@ -184,7 +184,7 @@ def q_remove_counts(spark, sf_dir):
 
 SQL_VIEWS["activation_ok"] = (("activation", "webhook"), """
     SELECT a.request_id, a.id, w.blockchain_id, w.shard_id, w.is_active
-    FROM activation a JOIN webhook w ON w.id = a.id AND w.customer_id = a.customer_id""")
+    FROM activation a JOIN webhook w ON w.id = a.id AND w.customer_id = a.customer_id WHERE w.is_active = 0""")
 
 
 def _activate(spark, sf_dir):

@@ -1,11 +1,13 @@
 """Delivery semantics: due rule, first delivery modes, retries, plan = step loop."""
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as S
 from pyspark.sql import functions as F
 
 from chainlake.functions.columns import attempts_allowed
 from chainlake.operators import delivery as dv
+from chainlake.operators.gapped import plan_deliveries
 
 WH = "id string, blockchain_id string, max_blocks int, max_retries int, url string, timeout_ms int"
 JOB = "webhook_id string, chain_id string, next_height bigint, is_new boolean"
@@ -210,3 +212,39 @@ def test_ordered_plan_covers_each_block_once(spark, cases):
             assert covered[0] == start                     # the head only when a batch reaches it
             assert covered == list(range(start, covered[-1] + 1))
             assert covered[-1] in (head - 1, head)
+
+
+@pytest.mark.parametrize("shape", ["contiguous", "gappy", "both", "no_blocks", "no_jobs"])
+@pytest.mark.parametrize("mode", ["reference", "ordered"])
+def test_plan_of_any_store(spark, shape, mode):
+    """Stores that begin above 0, cursors below them and large batches; both planners agree with the simulation."""
+    chains = {"a": list(range(100, 161)), "b": [5, 6, 9, 30, 31, 32, 33, 70, 71, 72]}
+    chains = {"contiguous": {"a": chains["a"]}, "gappy": {"b": chains["b"]}, "no_blocks": {}}.get(shape, chains)
+    cases = [(f"{c}{i}", c, s, new, m) for c in ("a", "b") for i, (s, new, m) in enumerate(
+        [(0, False, 5), (98, False, 5), (120, False, 7), (0, True, 40), (100, False, 15), (29, False, 40), (71, True, 1)])]
+    cases = [] if shape == "no_jobs" else cases
+    jobs = spark.createDataFrame([(w, c, 0, s, new) for w, c, s, new, _ in cases],
+                                 "webhook_id string, chain_id string, shard_id int, next_height bigint, is_new boolean")
+    hooks = spark.createDataFrame([(w, m) for w, *_, m in cases], "id string, max_blocks int")
+    blocks = spark.createDataFrame([(c, h, str(h)) for c, hs in chains.items() for h in hs],
+                                   "chain_id string, block_height bigint, block string")
+    want = sorted((w, k, *r) for w, c, s, new, m in cases if c in chains
+                  for k, r in enumerate(_simulate_gapped(chains[c], s, new, m, mode)))
+    got = plan_deliveries(jobs, hooks, blocks, mode=mode)
+    assert sorted((r.webhook_id, r.request_no, r.first_height, r.last_height, r.n_blocks) for r in got.collect()) == want
+
+
+def test_new_job_gets_more_than_ten_blocks(spark):
+    jobs = spark.createDataFrame([("w", "a", 15)], "webhook_id string, chain_id string, max_blocks int")
+    blocks = spark.createDataFrame([("a", h, str(h)) for h in range(30)], "chain_id string, block_height bigint, block string")
+    heads = spark.createDataFrame([("a", 29)], "chain_id string, head bigint")
+    for h in (None, heads):
+        assert sorted(r.block_height for r in dv.new_jobs_with_latest(jobs, blocks, h).collect()) == list(range(15, 30))
+
+
+def test_far_behind_job_is_planned_in_chunks(spark):
+    jobs = spark.createDataFrame([("w", "a", 0, False)], "webhook_id string, chain_id string, next_height bigint, is_new boolean")
+    hooks = spark.createDataFrame([("w", 1)], "id string, max_blocks int")
+    heads = spark.createDataFrame([("a", 100_000, 0)], "chain_id string, head bigint, low bigint")
+    r = dv.delivery_plan(jobs, hooks, heads).agg(F.count("*"), F.min("request_no"), F.max("request_no"), F.sum("n_blocks")).first()
+    assert tuple(r) == (100_000, 0, 99_999, 100_000)

@@ -1,3 +1,5 @@
+import pytest
+
 """Registry CRUD contract: create, update, read, activate, remove, list."""
 
 from pyspark.sql import functions as F
@@ -57,5 +59,34 @@ def test_validation_messages(spark):
                                  "blockchain_id must have at most 1024 characters"}
 
 
-def test_limit_clamped():
-    assert rg.clamp_limit(100) == 25 and rg.clamp_limit(-3) == 0
+def test_limit_is_not_cut():
+    assert rg.page_limit(100) == 100
+    with pytest.raises(ValueError):
+        rg.page_limit(-3)
+
+
+WEBHOOK = ("id string, customer_id string, blockchain_id string, shard_id int, is_active int, url string, max_blocks int, "
+           "max_retries int, timeout_ms int")
+
+
+def test_two_patches_of_one_webhook_give_one_row(spark):
+    w = spark.createDataFrame([("w", "c", "b", 0, 0, "u", 1, 1, 1), ("x", "c", "b", 0, 0, "u", 1, 1, 1)], WEBHOOK)
+    p = spark.createDataFrame([("w", "c", "b", "new", 5, None, None, 2), ("w", "c", "b", "old", None, 3, None, 1),
+                               ("w", "other", "b", "no", 9, 9, 9, 9)],
+                              "id string, customer_id string, blockchain_id string, url string, max_blocks int, max_retries int, timeout_ms int, seq int")
+    out, counts = rg.update_webhooks(w, p)
+    got = {r.id: (r.url, r.max_blocks, r.max_retries, r.timeout_ms) for r in out.collect()}
+    assert out.count() == 2 and got == {"w": ("new", 5, 3, 1), "x": ("u", 1, 1, 1)}
+    assert [(r.customer_id, r.affected) for r in counts.collect()] == [("c", 1)]
+
+
+def test_active_ids_are_not_activated_again(spark):
+    w = spark.createDataFrame([("on", "c", "b", 0, 1, "u", 1, 1, 1), ("off", "c", "b", 0, 0, "u", 1, 1, 1)], WEBHOOK)
+    req = spark.createDataFrame([(1, "c", "on"), (1, "c", "off")], "request_id int, customer_id string, id string")
+    _, jobs, _, counts = rg.activate_webhooks(w, w.where("is_active = 1").select("id"), req)
+    assert [r.webhook_id for r in jobs.collect()] == ["off"] and counts.first().activated == 1
+
+
+def test_search_text_with_a_backslash(spark):
+    w = spark.createDataFrame([("a", "c", "b", 0, 0, "x\\\\B", 1, 1, 1), ("b", "c", "b", 0, 0, "xB", 1, 1, 1)], WEBHOOK)
+    assert [r.id for r in rg.search_webhooks(w, url_like="x\\\\b").collect()] == ["a"]
