@@ -71,12 +71,12 @@ WEBHOOK = ("id string, customer_id string, blockchain_id string, shard_id int, i
 
 def test_two_patches_of_one_webhook_give_one_row(spark):
     w = spark.createDataFrame([("w", "c", "b", 0, 0, "u", 1, 1, 1), ("x", "c", "b", 0, 0, "u", 1, 1, 1)], WEBHOOK)
-    p = spark.createDataFrame([("w", "c", "b", "new", 5, None, None, 2), ("w", "c", "b", "old", None, 3, None, 1),
-                               ("w", "other", "b", "no", 9, 9, 9, 9)],
+    p = spark.createDataFrame([("w", "c", "b", "https://new.example.com", 5, None, None, 2), ("w", "c", "b", "https://old.example.com", None, 3, None, 1),
+                               ("w", "other", "b", "https://no.example.com", 9, 9, 9, 9)],
                               "id string, customer_id string, blockchain_id string, url string, max_blocks int, max_retries int, timeout_ms int, seq int")
     out, counts = rg.update_webhooks(w, p)
     got = {r.id: (r.url, r.max_blocks, r.max_retries, r.timeout_ms) for r in out.collect()}
-    assert out.count() == 2 and got == {"w": ("new", 5, 3, 1), "x": ("u", 1, 1, 1)}
+    assert out.count() == 2 and got == {"w": ("https://new.example.com", 5, 3, 1), "x": ("u", 1, 1, 1)}
     assert [(r.customer_id, r.affected) for r in counts.collect()] == [("c", 1)]
 
 
