@@ -160,11 +160,17 @@ def billing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(F.col("event_type") == "error", "customer.subscription.deleted")
               .when(F.col("event_type") == "view", "invoice.upcoming")
               .when(F.pmod(k, F.lit(3)) == 0, "customer.deleted")
+              .when(F.pmod(k, F.lit(3)) == 1, "checkout.session.completed")
               .otherwise("product.created"))
-    no_user = F.pmod(k, F.lit(10)) == 0
-    meta = F.when(no_user, F.lit("{}")).otherwise(F.concat(F.lit('{"userId":"'), u, F.lit('"}')))
-    sub_ref = F.when(no_user, F.lit("null")).otherwise(F.concat(F.lit('"sub_'), u, F.lit('"')))
-    obj = (F.when(etype.startswith("customer.subscription."),
+    kind = F.pmod(k, F.lit(10))  # 0: no user; 5: wrong type or expanded; 7: expanded without a user
+    named = F.concat(F.lit('{"userId":"'), u, F.lit('"}'))
+    meta = (F.when(kind == 0, F.lit("{}")).when(kind == 5, F.concat(F.lit('{"userId":'), u, F.lit("}")))
+             .otherwise(named))
+    sub_object = F.concat(F.lit('{"id":"sub_'), u, F.lit('","metadata":'))
+    sub_ref = (F.when(kind == 0, F.lit("null")).when(kind == 5, F.concat(sub_object, named, F.lit("}")))
+                .when(kind == 7, F.concat(sub_object, F.lit("{}}")))
+                .otherwise(F.concat(F.lit('"sub_'), u, F.lit('"'))))
+    obj = (F.when(etype.startswith("customer.subscription.") | (etype == "checkout.session.completed"),
                   F.concat(F.lit('{"id":"sub_'), u, F.lit('","customer":"cus_'), u, F.lit('","metadata":'), meta, F.lit("}")))
             .when(etype.startswith("invoice."),
                   F.concat(F.lit('{"id":"in_'), _s("event_id"), F.lit('","subscription":'), sub_ref, F.lit("}")))
@@ -317,23 +323,28 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "billing_event": ((), """
         SELECT event_id, ts,
           '{"id":"evt_' || CAST(event_id AS VARCHAR) || '","type":"' || etype || '","data":{"object":' ||
-          CASE WHEN starts_with(etype, 'customer.subscription.')
+          CASE WHEN starts_with(etype, 'customer.subscription.') OR etype = 'checkout.session.completed'
                  THEN '{"id":"sub_' || u || '","customer":"cus_' || u || '","metadata":' ||
-                      CASE WHEN no_user THEN '{}' ELSE '{"userId":"' || u || '"}' END || '}'
+                      CASE kind WHEN 0 THEN '{}' WHEN 5 THEN '{"userId":' || u || '}'
+                                ELSE '{"userId":"' || u || '"}' END || '}'
                WHEN starts_with(etype, 'invoice.')
                  THEN '{"id":"in_' || CAST(event_id AS VARCHAR) || '","subscription":' ||
-                      CASE WHEN no_user THEN 'null' ELSE '"sub_' || u || '"' END || '}'
+                      CASE kind WHEN 0 THEN 'null'
+                                WHEN 5 THEN '{"id":"sub_' || u || '","metadata":{"userId":"' || u || '"}}'
+                                WHEN 7 THEN '{"id":"sub_' || u || '","metadata":{}}'
+                                ELSE '"sub_' || u || '"' END || '}'
                WHEN etype = 'customer.deleted' THEN '{"id":"cus_' || u || '"}'
                ELSE '{"id":"x_' || CAST(event_id AS VARCHAR) || '"}' END || '}}' AS payload
         FROM (
           SELECT event_id, ts, CAST(user_id AS VARCHAR) AS u,
-                 CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 = 0 AS no_user,
+                 CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS kind,
                  CASE event_type WHEN 'signup' THEN 'customer.subscription.created'
                                  WHEN 'purchase' THEN 'invoice.paid'
                                  WHEN 'error' THEN 'customer.subscription.deleted'
                                  WHEN 'view' THEN 'invoice.upcoming'
-                                 ELSE CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 = 0
-                                           THEN 'customer.deleted' ELSE 'product.created' END END AS etype
+                                 ELSE CASE CAST(json_extract_string(props, '$.k') AS BIGINT) % 3
+                                           WHEN 0 THEN 'customer.deleted' WHEN 1 THEN 'checkout.session.completed'
+                                           ELSE 'product.created' END END AS etype
           FROM events) e"""),
     "session": ((), """
         SELECT 'cs_' || CAST(o_orderkey AS VARCHAR) AS id, o_orderdate AS created_at,

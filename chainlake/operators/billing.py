@@ -25,7 +25,7 @@ from chainlake.functions.columns import METADATA_USER_TYPES, billing_action
 # decisions (code, message), in the order the gate checks them.
 TRIAL_DAYS = 7
 EVENT_ERROR_PREFIX = 'an error occurred while processing event "{type}" with message ID "{id}": '
-MISSING_USER_ERROR = "metadata.userId: expected string, received undefined"
+WRONG_USER_ERROR = "metadata.userId: expected string, received "
 MISSING_SUBSCRIPTION_ERROR = "subscription is missing in checkout session event"
 UNKNOWN_SUBSCRIPTION_ERROR = "no such subscription: "
 GATE_DECISIONS = [
@@ -39,26 +39,47 @@ GATE_DECISIONS = [
 ]
 
 
-EVENT_SCHEMA = ("type string, data struct<object: struct<id: string, subscription: string, "
-                "metadata: struct<userId: string>>>")
+EVENT_SCHEMA = ("type string, data struct<object: struct<id: string, subscription: variant, "
+                "metadata: struct<userId: variant>>>")
+
+
+def _string_of(v: Column) -> Column:
+    """A variant's text if it is a JSON string, else null (numbers are not coerced)."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _json_type(v: Column) -> Column:
+    """What a validator calls the type of a variant; ``undefined`` if it is absent."""
+    t = F.schema_of_variant(v)
+    return (F.when(v.isNull(), "undefined").when(t == "VOID", "null").when(t == "BOOLEAN", "boolean")
+             .when(t == "STRING", "string").when(t.startswith("OBJECT"), "object")
+             .when(t.startswith("ARRAY"), "array").otherwise("number"))
 
 
 def parse_billing_events(events: DataFrame) -> DataFrame:
-    """Read the fields the rules need with one parse per event."""
-    p = F.from_json("payload", EVENT_SCHEMA)
-    return events.withColumn("_p", p).select(
-        "event_id", "ts",
-        F.col("_p.type").alias("type"),
-        F.col("_p.data.object.id").alias("object_id"),
-        F.col("_p.data.object.metadata.userId").alias("meta_user"),
-        F.col("_p.data.object.subscription").alias("subscription_ref"),
-    )
+    """Read the fields the rules need with one parse per event.
+
+    ``meta_user`` is the event's own ``metadata.userId`` and ``meta_type`` its
+    JSON type; ``subscription_ref`` is a subscription id; a subscription that
+    is expanded to an object gives ``sub_meta_user``/``sub_meta_type`` instead.
+    """
+    e = events.withColumn("_p", F.from_json("payload", EVENT_SCHEMA)).select(
+        "event_id", "ts", F.col("_p.type").alias("type"), F.col("_p.data.object.id").alias("object_id"),
+        F.col("_p.data.object.metadata.userId").alias("_u"), F.col("_p.data.object.subscription").alias("_s"))
+    expanded = F.schema_of_variant("_s").startswith("OBJECT")
+    inner = F.try_variant_get(F.col("_s"), "$.metadata.userId", "variant")
+    return e.select(
+        "event_id", "ts", "type", "object_id",
+        _string_of(F.col("_u")).alias("meta_user"), _json_type(F.col("_u")).alias("meta_type"),
+        _string_of(F.col("_s")).alias("subscription_ref"),
+        F.when(expanded, _string_of(inner)).alias("sub_meta_user"),
+        F.when(expanded, _json_type(inner)).alias("sub_meta_type"))
 
 
 def subscriptions_from_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.where(F.col("subscription_id").isNotNull()).select(
-        "subscription_id", F.concat(F.lit("cus_"), F.col("customer_id")).alias("billing_customer_id"),
-        F.col("customer_id").alias("user_id"), F.col("subscription_status").alias("status"), "created_at")
+        "subscription_id", "billing_customer_id", F.col("customer_id").alias("user_id"),
+        F.col("subscription_status").alias("status"), "created_at")
 
 
 def _error(type_col: Column, event_id: Column, detail: Column) -> Column:
@@ -67,30 +88,48 @@ def _error(type_col: Column, event_id: Column, detail: Column) -> Column:
     return F.concat(F.lit(before_type), type_col, F.lit(between), event_id.cast("string"), F.lit(after_id), detail)
 
 
+def _billing_lookup(subscriptions: DataFrame) -> DataFrame:
+    """``(kind, ref, found_user)``: the user of each subscription and of the
+    latest subscription of each billing customer."""
+    subs = (subscriptions.where(F.col("subscription_id").isNotNull())
+            .groupBy(F.col("subscription_id").alias("ref"))
+            .agg(F.max_by("user_id", "created_at").alias("found_user")).withColumn("kind", F.lit("subscription")))
+    latest = (subscriptions.where(F.col("billing_customer_id").isNotNull())
+              .groupBy(F.col("billing_customer_id").alias("ref"))
+              .agg(F.max_by("user_id", F.struct("created_at", "subscription_id")).alias("found_user"))
+              .withColumn("kind", F.lit("customer")))
+    return subs.unionByName(latest)
+
+
 def resolve_billing_user(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Per event: ``action``, resolved ``user_id`` and ``error``.
 
-    Subscription and checkout events carry the user in their metadata
-    (missing -> error); invoices reach it through their subscription
-    (missing reference -> error); ``customer.deleted`` goes through the
-    customer's most recent subscription (none -> nothing to do).
+    Subscription and checkout events carry the user in their metadata (absent
+    or not a string -> error); invoices reach it through their subscription
+    (missing reference -> error; an expanded subscription carries its own
+    metadata); ``customer.deleted`` goes through the customer's most recent
+    subscription (none -> nothing to do).  Only invoices with a subscription
+    id and deletions are joined, by one lookup; all other events pass by.
     """
     e = parse_billing_events(events).withColumn("action", billing_action("type"))
-    subs = subscriptions.select(F.col("subscription_id").alias("subscription_ref"),
-                                F.col("user_id").alias("sub_user"))
-    latest_sub = (subscriptions.groupBy("billing_customer_id")
-                  .agg(F.max_by("user_id", "created_at").alias("cust_user"))
-                  .withColumnRenamed("billing_customer_id", "object_id"))
-    j = (e.join(subs, "subscription_ref", "left")
-          .join(latest_sub, "object_id", "left"))
     by_meta = F.col("type").isin(*METADATA_USER_TYPES)
     is_invoice = (F.col("action") == "invalidate") & ~by_meta
+    deletion = F.col("action") == "delete_sessions"
+    by_sub = is_invoice & F.col("subscription_ref").isNotNull()
+    e = e.withColumns({
+        "kind": F.when(by_sub, "subscription").when(deletion & F.col("object_id").isNotNull(), "customer"),
+        "ref": F.when(by_sub, F.col("subscription_ref")).when(deletion, F.col("object_id"))})
+    looked = e.where(F.col("kind").isNotNull()).join(_billing_lookup(subscriptions), ["kind", "ref"], "left")
+    j = looked.unionByName(e.where(F.col("kind").isNull()).withColumn("found_user", F.lit(None).cast("string")))
+    expanded = is_invoice & F.col("sub_meta_type").isNotNull()
     user = (F.when(by_meta, F.col("meta_user"))
-             .when(is_invoice, F.col("sub_user"))
-             .when(F.col("action") == "delete_sessions", F.col("cust_user")))
-    detail = (F.when(by_meta & F.col("meta_user").isNull(), F.lit(MISSING_USER_ERROR))
-               .when(is_invoice & F.col("subscription_ref").isNull(), F.lit(MISSING_SUBSCRIPTION_ERROR))
-               .when(is_invoice & F.col("sub_user").isNull(),
+             .when(expanded, F.col("sub_meta_user"))
+             .when(is_invoice | deletion, F.col("found_user")))
+    detail = (F.when(by_meta & F.col("meta_user").isNull(), F.concat(F.lit(WRONG_USER_ERROR), F.col("meta_type")))
+               .when(expanded & F.col("sub_meta_user").isNull(),
+                     F.concat(F.lit(WRONG_USER_ERROR), F.col("sub_meta_type")))
+               .when(is_invoice & ~expanded & F.col("subscription_ref").isNull(), F.lit(MISSING_SUBSCRIPTION_ERROR))
+               .when(is_invoice & ~expanded & F.col("found_user").isNull(),
                      F.concat(F.lit(UNKNOWN_SUBSCRIPTION_ERROR), F.col("subscription_ref"))))
     return j.select("event_id", "ts", "type", "action", user.alias("user_id"),
                     F.when(detail.isNotNull(), _error(F.col("type"), F.col("event_id"), detail)).alias("error"))
@@ -140,6 +179,10 @@ def entitlement(users: DataFrame, sessions: DataFrame) -> DataFrame:
                     (code == "ok").alias("entitled"))
 
 
+# resolutions that create a checkout session; only these can offer a trial
+NEW_SESSION_RESOLUTIONS = ("new", "new_keep_ids", "new_with_customer", "delete_and_new")
+
+
 def checkout_resolution(users: DataFrame, sessions: DataFrame, portal_url: str) -> DataFrame:
     """What a checkout request does for each user, plus the trial offer."""
     s = sessions.select(F.col("customer_id").alias("user_id"), "status", "url", "client_reference_id",
@@ -162,7 +205,8 @@ def checkout_resolution(users: DataFrame, sessions: DataFrame, portal_url: str)
          .when(F.col("_r") == "portal", F.lit(portal_url)).alias("url"),
         F.when(keeps_ids, F.col("client_reference_id")).alias("client_reference_id"),
         F.when(keeps_ids, F.col("billing_customer_id")).alias("billing_customer_id"),
-        trial_days(F.when(keeps_ids, F.col("billing_customer_id"))).alias("trial_days"),
+        F.when(F.col("_r").isin(*NEW_SESSION_RESOLUTIONS),
+               trial_days(F.when(keeps_ids, F.col("billing_customer_id")))).alias("trial_days"),
     )
 
 
@@ -172,20 +216,28 @@ def trial_days(billing_customer_id: Column) -> Column:
 
 
 def swap_session(sessions: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Apply new checkout sessions: replace a user's row only while its
-    client reference still equals ``expected_reference``; insert when the
-    user has none (insert-ignore, unique per user)."""
-    cur = sessions.select("customer_id", F.col("client_reference_id").alias("_cur_ref"))
-    p = proposals.join(cur, "customer_id", "left")
-    accept = ((F.col("_cur_ref").isNull() & F.col("expected_reference").isNull()) |
-              (F.col("_cur_ref") == F.col("expected_reference")))
-    winners = p.where(accept).drop("_cur_ref", "expected_reference")
+    """Apply new checkout sessions, one per user at most.
+
+    A proposal is accepted only while the user's client reference still equals
+    its ``expected_reference`` (null: the user has no row).  An accepted one
+    updates the user's row in place, so ``id`` and ``created_at`` stay and the
+    other columns are those of the new session; with ``delete_old`` (an
+    optional column) the old row is deleted and a new one inserted instead.
+    """
+    cur = sessions.select("customer_id", F.col("client_reference_id").alias("_cur_ref"),
+                          F.col("id").alias("_cur_id"), F.col("created_at").alias("_cur_created"))
+    p = proposals if "delete_old" in proposals.columns else proposals.withColumn("delete_old", F.lit(False))
+    p = (p.join(cur, "customer_id", "left")
+         .where(F.col("_cur_ref").eqNullSafe(F.col("expected_reference"))))
     # one proposal per user wins: the smallest session id (deterministic)
-    winners = (winners.groupBy("customer_id")
-               .agg(F.min_by(F.struct(*[c for c in winners.columns if c != "customer_id"]), "id").alias("w"))
+    winners = (p.groupBy("customer_id")
+               .agg(F.min_by(F.struct(*[c for c in p.columns if c != "customer_id"]), "session_id").alias("w"))
                .select("customer_id", "w.*"))
+    keeps = F.col("_cur_id").isNotNull() & ~F.col("delete_old")
+    winners = winners.withColumns({"id": F.when(keeps, F.col("_cur_id")).otherwise(F.col("id")),
+                                   "created_at": F.when(keeps, F.col("_cur_created")).otherwise(F.col("created_at"))})
     kept = sessions.join(winners.select("customer_id"), "customer_id", "left_anti")
-    return kept.select(*winners.columns).unionByName(winners)
+    return kept.unionByName(winners.select(*sessions.columns)).select(*sessions.columns)
 
 
 def entitlement_state(fills: DataFrame, invalidations: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:

@@ -19,32 +19,50 @@ def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
+def _json_type_sql(path: str) -> str:
+    return (f"CASE json_type(payload, '{path}') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' "
+            f"WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' "
+            f"ELSE CASE WHEN json_type(payload, '{path}') IS NULL THEN 'undefined' ELSE 'number' END END")
+
+
+def _string_sql(path: str) -> str:
+    return f"CASE WHEN json_type(payload, '{path}') = 'VARCHAR' THEN json_extract_string(payload, '{path}') END"
+
+
+_META = "$.data.object.metadata.userId"
+_SUB = "$.data.object.subscription"
 SQL_VIEWS["subscription"] = (("session",), """
-    SELECT subscription_id, 'cus_' || customer_id AS billing_customer_id, customer_id AS user_id,
+    SELECT subscription_id, billing_customer_id, customer_id AS user_id,
            subscription_status AS status, created_at FROM session WHERE subscription_id IS NOT NULL""")
 SQL_VIEWS["billing_resolved"] = (("billing_event", "subscription"), f"""
     SELECT event_id, ts, type, action,
-      CASE WHEN by_meta THEN meta_user WHEN is_invoice THEN sub_user
-           WHEN action = 'delete_sessions' THEN cust_user END AS user_id,
+      CASE WHEN by_meta THEN meta_user WHEN is_invoice AND expanded THEN sub_meta_user
+           WHEN is_invoice THEN sub_user WHEN action = 'delete_sessions' THEN cust_user END AS user_id,
       CASE WHEN detail IS NOT NULL THEN 'an error occurred while processing event "' || type
            || '" with message ID "' || CAST(event_id AS VARCHAR) || '": ' || detail END AS error
     FROM (
-      SELECT *, action = 'invalidate' AND NOT by_meta AS is_invoice,
-        CASE WHEN by_meta AND meta_user IS NULL THEN 'metadata.userId: expected string, received undefined'
-             WHEN action = 'invalidate' AND NOT by_meta AND subscription_ref IS NULL
+      SELECT *,
+        CASE WHEN by_meta AND meta_user IS NULL THEN 'metadata.userId: expected string, received ' || meta_type
+             WHEN is_invoice AND expanded AND sub_meta_user IS NULL
+               THEN 'metadata.userId: expected string, received ' || sub_meta_type
+             WHEN is_invoice AND NOT expanded AND subscription_ref IS NULL
                THEN 'subscription is missing in checkout session event'
-             WHEN action = 'invalidate' AND NOT by_meta AND sub_user IS NULL
+             WHEN is_invoice AND NOT expanded AND sub_user IS NULL
                THEN 'no such subscription: ' || subscription_ref END AS detail
       FROM (
-        SELECT e.*, s.user_id AS sub_user, c.cust_user,
-          CASE WHEN e.type IN {_in(INVALIDATE_TYPES)} THEN 'invalidate' WHEN e.type IN {_in(EMAIL_TYPES)} THEN 'email'
-               WHEN e.type IN {_in(DELETE_TYPES)} THEN 'delete_sessions' ELSE 'ignore' END AS action,
-          coalesce(e.type IN {_in(METADATA_USER_TYPES)}, false) AS by_meta
-        FROM (SELECT event_id, ts, json_extract_string(payload, '$.type') AS type,
-                     json_extract_string(payload, '$.data.object.id') AS object_id,
-                     json_extract_string(payload, '$.data.object.metadata.userId') AS meta_user,
-                     json_extract_string(payload, '$.data.object.subscription') AS subscription_ref
-              FROM billing_event) e
+        SELECT e.*, s.user_id AS sub_user, c.cust_user, e.action = 'invalidate' AND NOT e.by_meta AS is_invoice
+        FROM (SELECT *,
+                CASE WHEN type IN {_in(INVALIDATE_TYPES)} THEN 'invalidate' WHEN type IN {_in(EMAIL_TYPES)} THEN 'email'
+                     WHEN type IN {_in(DELETE_TYPES)} THEN 'delete_sessions' ELSE 'ignore' END AS action,
+                coalesce(type IN {_in(METADATA_USER_TYPES)}, false) AS by_meta
+              FROM (SELECT event_id, ts, json_extract_string(payload, '$.type') AS type,
+                           json_extract_string(payload, '$.data.object.id') AS object_id,
+                           {_string_sql(_META)} AS meta_user, {_json_type_sql(_META)} AS meta_type,
+                           {_string_sql(_SUB)} AS subscription_ref,
+                           coalesce(json_type(payload, '{_SUB}') = 'OBJECT', false) AS expanded,
+                           {_string_sql(_SUB + ".metadata.userId")} AS sub_meta_user,
+                           {_json_type_sql(_SUB + ".metadata.userId")} AS sub_meta_type
+                    FROM billing_event)) e
         LEFT JOIN subscription s ON s.subscription_id = e.subscription_ref
         LEFT JOIN (SELECT billing_customer_id, arg_max(user_id, created_at) AS cust_user FROM subscription
                    GROUP BY billing_customer_id) c ON c.billing_customer_id = e.object_id) x) y""")
@@ -62,14 +80,13 @@ def _outcomes(spark, sf_dir):
     return bl.event_outcomes(fx.billing_events(spark, sf_dir), _subs(spark, sf_dir))
 
 
-@query("metadata_user", """
-    SELECT event_id, json_extract_string(payload, '$.data.object.metadata.userId') AS user_id,
-           json_extract_string(payload, '$.data.object.metadata.userId') IS NOT NULL AS valid
-    FROM billing_event WHERE starts_with(json_extract_string(payload, '$.type'), 'customer.subscription.')""",
+@query("metadata_user", f"""
+    SELECT event_id, {_string_sql(_META)} AS user_id, {_string_sql(_META)} IS NOT NULL AS valid
+    FROM billing_event WHERE json_extract_string(payload, '$.type') IN {_in(METADATA_USER_TYPES)}""",
        ("billing_event",))
 def q_metadata_user(spark, sf_dir):
     e = bl.parse_billing_events(fx.billing_events(spark, sf_dir))
-    return (e.where(F.col("type").startswith("customer.subscription."))
+    return (e.where(F.col("type").isin(*METADATA_USER_TYPES))
             .select("event_id", F.col("meta_user").alias("user_id"), F.col("meta_user").isNotNull().alias("valid")))
 
 
@@ -144,7 +161,8 @@ SQL_VIEWS["checkout"] = (("app_user", "session"), f"""
            CASE WHEN r IN ('new_keep_ids', 'new_with_customer') THEN client_reference_id END AS client_reference_id,
            CASE WHEN r IN ('new_keep_ids', 'new_with_customer') THEN billing_customer_id END AS billing_customer_id,
            CASE WHEN r IN ('new_keep_ids', 'new_with_customer') AND billing_customer_id IS NOT NULL THEN 0
-                ELSE {bl.TRIAL_DAYS} END AS trial_days
+                WHEN r IN ('new', 'new_keep_ids', 'new_with_customer', 'delete_and_new') THEN {bl.TRIAL_DAYS}
+                END AS trial_days
     FROM (SELECT u.user_id, s.url, s.client_reference_id, s.billing_customer_id,
             CASE WHEN s.id IS NULL THEN 'new' WHEN s.status = 'open' THEN 'existing_url'
                  WHEN s.status = 'expired' THEN 'new_keep_ids'
@@ -172,16 +190,17 @@ SQL_VIEWS["proposal"] = (("checkout", "session"), f"""
            'https://checkout.example.com/c/new-' || c.user_id AS url, 'open' AS status,
            c.billing_customer_id, false AS customer_deleted, CAST(NULL AS VARCHAR) AS subscription_id,
            CAST(NULL AS VARCHAR) AS subscription_status,
-           CASE WHEN CAST(c.user_id AS BIGINT) % 5 = 0 THEN 'stale' ELSE s.client_reference_id END AS expected_reference
+           CASE WHEN CAST(c.user_id AS BIGINT) % 5 = 0 THEN 'stale' ELSE s.client_reference_id END AS expected_reference,
+           c.resolution = 'delete_and_new' AS delete_old
     FROM checkout c LEFT JOIN session s ON s.customer_id = c.user_id
-    WHERE c.resolution IN ('new', 'new_keep_ids', 'new_with_customer')""")
+    WHERE c.resolution IN {_in(bl.NEW_SESSION_RESOLUTIONS)}""")
 
 
 def _proposals(spark, sf_dir):
     c = bl.checkout_resolution(fx.users(spark, sf_dir), fx.sessions(spark, sf_dir), PORTAL_URL)
     s = fx.sessions(spark, sf_dir).select("customer_id", F.col("client_reference_id").alias("_ref"))
     u = F.col("user_id")
-    return (c.where(F.col("resolution").isin("new", "new_keep_ids", "new_with_customer"))
+    return (c.where(F.col("resolution").isin(*bl.NEW_SESSION_RESOLUTIONS))
             .join(s, c.user_id == s.customer_id, "left")
             .select(F.concat(F.lit("cs_new_"), u).alias("id"),
                     F.lit(fx.EPOCH).cast("timestamp_ntz").alias("created_at"),
@@ -192,12 +211,16 @@ def _proposals(spark, sf_dir):
                     F.lit(False).alias("customer_deleted"), F.lit(None).cast("string").alias("subscription_id"),
                     F.lit(None).cast("string").alias("subscription_status"),
                     F.when(F.pmod(u.cast("bigint"), F.lit(5)) == 0, F.lit("stale")).otherwise(F.col("_ref"))
-                    .alias("expected_reference")))
+                    .alias("expected_reference"),
+                    (F.col("resolution") == "delete_and_new").alias("delete_old")))
 
 
 @query("swap_session", f"""
     WITH winners AS (
-      SELECT p.* EXCLUDE (expected_reference) FROM proposal p LEFT JOIN session s ON s.customer_id = p.customer_id
+      SELECT p.* EXCLUDE (expected_reference, delete_old, id, created_at),
+             CASE WHEN s.id IS NULL OR p.delete_old THEN p.id ELSE s.id END AS id,
+             CASE WHEN s.id IS NULL OR p.delete_old THEN p.created_at ELSE s.created_at END AS created_at
+      FROM proposal p LEFT JOIN session s ON s.customer_id = p.customer_id
       WHERE (s.client_reference_id IS NULL AND p.expected_reference IS NULL)
          OR s.client_reference_id = p.expected_reference)
     SELECT {", ".join(_SESSION_COLS)} FROM session s

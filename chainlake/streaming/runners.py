@@ -42,15 +42,16 @@ BILLING_SCHEMA = T.StructType([
 
 
 def ingest_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int = 1,
-                  fmt: str = "parquet", latest_first: bool = False) -> DataFrame:
+                  fmt: str = "parquet", start_at=None) -> DataFrame:
     """Streaming source over landed files; ``max_files_per_trigger`` is the
-    batch size.  Block streams start at the beginning; a consumer that must
-    start "now" passes ``latest_first`` with a fresh checkpoint."""
-    reader = (spark.readStream.format(fmt).schema(schema)
-              .option("maxFilesPerTrigger", max_files_per_trigger))
-    if latest_first:
-        reader = reader.option("latestFirst", "true")
-    return reader.load(path)
+    batch size.  Block streams start at the beginning.  A consumer that must
+    start "now" passes ``start_at``, a fixed timestamp (keep it over
+    restarts): files landed before it are listed but none of their rows pass."""
+    df = (spark.readStream.format(fmt).schema(schema)
+          .option("maxFilesPerTrigger", max_files_per_trigger).load(path))
+    if start_at is None:
+        return df
+    return df.where(F.col("_metadata.file_modification_time") >= F.lit(start_at))
 
 
 def dedupe_stream(arrivals: DataFrame, delay: str) -> DataFrame:
@@ -100,14 +101,35 @@ def current_heads(spark: SparkSession, heads_path: str) -> DataFrame:
     return spark.read.parquet(heads_path).groupBy("chain_id").agg(F.max("head").alias("head"))
 
 
-def consume_billing_batch(subscriptions: DataFrame, out_path: str):
+def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
+    """One partition per batch id, overwritten when the batch is replayed."""
+    (df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
+
+def consume_billing_batch(subscriptions, out_path: str, signals_path: str | None = None,
+                          deletions_path: str | None = None):
     """``foreachBatch`` body of the billing consumer: every event gets an
-    outcome row (errors included) -- all of them are acknowledged."""
+    outcome row (errors included) -- all of them are acknowledged.
+
+    ``subscriptions`` is a DataFrame or a function that reads them anew for
+    each batch.  The side effects are rows too: ``signals_path`` receives
+    the cache invalidations of ``entitlement_signals``, ``deletions_path`` the
+    users whose checkout session is to be removed (``customer_id``)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        out = bl.event_outcomes(batch, subscriptions).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(out_path))
+        subs = subscriptions() if callable(subscriptions) else subscriptions
+        out = bl.event_outcomes(batch, subs)
+        _write_batch(out, batch_id, out_path)
+        schema = T.StructType([*out.schema.fields, T.StructField("batch_id", T.LongType())])
+        done = (batch.sparkSession.read.schema(schema).parquet(out_path).where((F.col("batch_id") == batch_id) & (F.col("status") == "ok")
+                                                   & F.col("user_id").isNotNull()))
+        if signals_path:
+            _write_batch(done.where(F.col("action").isin("invalidate", "delete_sessions"))
+                         .select("user_id", "ts", F.lit("invalidate").alias("kind")), batch_id, signals_path)
+        if deletions_path:
+            _write_batch(done.where(F.col("action") == "delete_sessions")
+                         .select(F.col("user_id").alias("customer_id")).distinct(), batch_id, deletions_path)
 
     return handle
 
