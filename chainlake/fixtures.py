@@ -28,6 +28,11 @@ from pyspark.sql import functions as F
 EPOCH = "2024-01-01 00:00:00"
 SHARDS_PER_CHAIN = 4
 CHAIN_COUNT = 5
+WEI_ZEROS = "0" * 18
+NONCE_BASE = 2 ** 63  # block nonces are unsigned 64-bit numbers
+
+
+EVM_HASH_KEYS = ("root", "txHash", "receiptHash", "uncleHash", "mixDigest", "bloom")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -218,9 +223,13 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tx_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: sorted JSON transaction list and collection/seal id lists."""
     li = table(spark, sf_dir, "lineitem")
+    cents = _s(F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    value = (F.when(F.col("l_linenumber") == 1, F.concat(F.lit('"0x'), F.lower(F.hex("l_partkey")), F.lit('"')))
+              .when(F.col("l_linenumber") == 2, F.concat(F.lit('"'), cents, F.lit(WEI_ZEROS + '"')))
+              .otherwise(cents))
     tx = F.concat(F.lit('{"to":"0xp'), _s("l_partkey"), F.lit('","from":"0xs'), _s("l_suppkey"),
                   F.lit('","nonce":'), _s("l_linenumber"),
-                  F.lit(',"value":'), _s(F.round(F.col("l_extendedprice") * 100).cast("bigint")), F.lit("}"))
+                  F.lit(',"value":'), value, F.lit("}"))
     coll = F.concat(F.lit('{"collection_id":"c'), _s("l_partkey"), F.lit('"}'))
     seal = F.concat(F.lit('{"block_id":"f'), _s("l_orderkey"), F.lit('","execution_receipt_id":"r'),
                     _s("l_suppkey"), F.lit('"}'))
@@ -241,8 +250,18 @@ def raw_evm(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","parentHash":"0xb'), _s(F.col("o_orderkey") - 5),
         F.lit('","time":'), _s(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)")),
         F.lit(',"gasUsed":'), _s(F.col("o_custkey") * 1000),
-        F.lit(',"gasLimit":30000000,"miner":"0xc'), _s("o_custkey"),
-        F.lit('","transactions":['), F.coalesce(F.col("txs"), F.lit("")), F.lit("]}"),
+        F.lit(',"gasLimit":30000000,"coinbase":"0xc'), _s("o_custkey"),
+        F.lit('","baseFee":"'), _s(F.col("o_orderkey") * 7), F.lit('","difficulty":"'), _s("o_orderkey"),
+        F.lit(WEI_ZEROS + '","size":'), _s(F.col("o_custkey") + 500),
+        F.lit(',"nonce":'), _s(F.col("o_orderkey").cast("decimal(20,0)") + F.lit(str(NONCE_BASE)).cast("decimal(20,0)")),
+        *[F.concat(F.lit(f'{"," if i == 0 else chr(34) + ","}"{k}":"0x{k[0]}'), _s("o_orderkey"))
+          for i, k in enumerate(EVM_HASH_KEYS)],
+        F.lit('","extra":'), F.when(F.pmod("o_orderkey", F.lit(3)) == 0, F.lit("null")).otherwise(F.lit('"AA=="')),
+        F.when(F.pmod("o_orderkey", F.lit(2)) == 0, F.lit(',"blobGasUsed":131072,"excessBlobGas":0')).otherwise(F.lit("")),
+        F.lit(',"receivedAt":"'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit('","header":{"number":'), _s(h), F.lit(',"unknown":[1,{"k":null}]},"uncles":[],"transactions":['),
+        F.coalesce(F.col("txs"), F.lit("")), F.lit("]"),
+        F.when(F.pmod("o_orderkey", F.lit(5)) == 1, F.lit(',"withdrawals":[{"index":1}]')).otherwise(F.lit("")), F.lit("}"),
     )
     return (o.join(t, o.o_orderkey == t.l_orderkey, "left")
              .join(_chain_names(spark, sf_dir), F.pmod(F.col("o_orderkey"), F.lit(CHAIN_COUNT)) == F.col("chain_no"))
@@ -259,7 +278,8 @@ def raw_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","parent_id":"f'), _s(F.col("o_orderkey") - 5),
         F.lit('","height":'), _s(h),
         F.lit(',"timestamp":"'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-        F.lit('","status":'), F.when(F.col("o_orderstatus") == "F", "4").otherwise("2"),
+        F.lit('","status":'), F.when(F.pmod("o_orderkey", F.lit(7)) == 0, "null")
+                               .when(F.col("o_orderstatus") == "F", "4").otherwise("2"),
         F.lit(',"collection_ids":['), F.coalesce(F.col("colls"), F.lit("")),
         F.lit('],"seals":['), F.coalesce(F.col("seals"), F.lit("")), F.lit("]}"),
     )
@@ -272,6 +292,8 @@ def raw_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 # DuckDB side: the same views as SQL, composed into WITH clauses.
 # --------------------------------------------------------------------------
 
+_EVM_HASHES_SQL = "".join(f'"{k}":"0x{k[0]}\' || CAST(o.o_orderkey AS VARCHAR) || \'",' for k in EVM_HASH_KEYS)
+
 SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "chain": ((), f"""
         SELECT r_name AS id, CAST(r_regionkey AS BIGINT) AS chain_no, CAST({SHARDS_PER_CHAIN} AS INTEGER) AS shard_count,
@@ -361,27 +383,38 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                     ELSE 'past_due' END AS subscription_status
         FROM orders WHERE (o_custkey, o_orderkey) IN (SELECT o_custkey, max(o_orderkey) FROM orders GROUP BY o_custkey)"""),
     "app_user": ((), "SELECT CAST(c_custkey AS VARCHAR) AS user_id FROM customer"),
-    "tx_list": ((), """
-        SELECT l_orderkey,
-          string_agg('{"to":"0xp' || CAST(l_partkey AS VARCHAR) || '","from":"0xs' || CAST(l_suppkey AS VARCHAR)
-                     || '","nonce":' || CAST(l_linenumber AS VARCHAR) || ',"value":'
-                     || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) || '}', ','
-                     ORDER BY '{"to":"0xp' || CAST(l_partkey AS VARCHAR) || '","from":"0xs' || CAST(l_suppkey AS VARCHAR)
-                     || '","nonce":' || CAST(l_linenumber AS VARCHAR) || ',"value":'
-                     || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) || '}') AS txs,
-          string_agg('{"collection_id":"c' || CAST(l_partkey AS VARCHAR) || '"}', ','
-                     ORDER BY '{"collection_id":"c' || CAST(l_partkey AS VARCHAR) || '"}') AS colls,
-          string_agg('{"block_id":"f' || CAST(l_orderkey AS VARCHAR) || '","execution_receipt_id":"r' || CAST(l_suppkey AS VARCHAR) || '"}', ','
-                     ORDER BY '{"block_id":"f' || CAST(l_orderkey AS VARCHAR) || '","execution_receipt_id":"r' || CAST(l_suppkey AS VARCHAR) || '"}') AS seals
-        FROM lineitem GROUP BY l_orderkey"""),
-    "raw_evm": (("tx_list",), """
+    "tx_list": ((), f"""
+        SELECT l_orderkey, string_agg(tx, ',' ORDER BY tx) AS txs, string_agg(coll, ',' ORDER BY coll) AS colls,
+               string_agg(seal, ',' ORDER BY seal) AS seals
+        FROM (
+          SELECT l_orderkey,
+            '{{"to":"0xp' || CAST(l_partkey AS VARCHAR) || '","from":"0xs' || CAST(l_suppkey AS VARCHAR)
+            || '","nonce":' || CAST(l_linenumber AS VARCHAR) || ',"value":'
+            || CASE l_linenumber WHEN 1 THEN '"0x' || lower(to_hex(l_partkey)) || '"'
+                                 WHEN 2 THEN '"' || cents || '{WEI_ZEROS}"' ELSE cents END || '}}' AS tx,
+            '{{"collection_id":"c' || CAST(l_partkey AS VARCHAR) || '"}}' AS coll,
+            '{{"block_id":"f' || CAST(l_orderkey AS VARCHAR) || '","execution_receipt_id":"r'
+            || CAST(l_suppkey AS VARCHAR) || '"}}' AS seal
+          FROM (SELECT *, CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS cents FROM lineitem))
+        GROUP BY l_orderkey"""),
+    "raw_evm": (("tx_list",), f"""
         SELECT r.r_name AS chain_id, o.o_orderkey AS seq,
-          '{"number":' || CAST(o.o_orderkey // 5 AS VARCHAR) || ',"hash":"0xb' || CAST(o.o_orderkey AS VARCHAR)
+          '{{"number":' || CAST(o.o_orderkey // 5 AS VARCHAR) || ',"hash":"0xb' || CAST(o.o_orderkey AS VARCHAR)
           || '","parentHash":"0xb' || CAST(o.o_orderkey - 5 AS VARCHAR)
           || '","time":' || CAST(CAST(epoch(o.o_orderdate) AS BIGINT) AS VARCHAR)
           || ',"gasUsed":' || CAST(o.o_custkey * 1000 AS VARCHAR)
-          || ',"gasLimit":30000000,"miner":"0xc' || CAST(o.o_custkey AS VARCHAR)
-          || '","transactions":[' || coalesce(t.txs, '') || ']}' AS raw
+          || ',"gasLimit":30000000,"coinbase":"0xc' || CAST(o.o_custkey AS VARCHAR)
+          || '","baseFee":"' || CAST(o.o_orderkey * 7 AS VARCHAR)
+          || '","difficulty":"' || CAST(o.o_orderkey AS VARCHAR) || '{WEI_ZEROS}'
+          || '","size":' || CAST(o.o_custkey + 500 AS VARCHAR)
+          || ',"nonce":' || CAST(CAST(o.o_orderkey AS HUGEINT) + {NONCE_BASE} AS VARCHAR)
+          || ',{_EVM_HASHES_SQL}"extra":'
+          || CASE WHEN o.o_orderkey % 3 = 0 THEN 'null' ELSE '"AA=="' END
+          || CASE WHEN o.o_orderkey % 2 = 0 THEN ',"blobGasUsed":131072,"excessBlobGas":0' ELSE '' END
+          || ',"receivedAt":"' || strftime(o.o_orderdate, '%Y-%m-%dT%H:%M:%SZ')
+          || '","header":{{"number":' || CAST(o.o_orderkey // 5 AS VARCHAR) || ',"unknown":[1,{{"k":null}}]}},"uncles":[],"transactions":['
+          || coalesce(t.txs, '') || ']'
+          || CASE WHEN o.o_orderkey % 5 = 1 THEN ',"withdrawals":[{{"index":1}}]' ELSE '' END || '}}' AS raw
         FROM orders o LEFT JOIN tx_list t ON t.l_orderkey = o.o_orderkey
         JOIN region r ON r.r_regionkey = o.o_orderkey % 5"""),
     "raw_flow": (("tx_list",), """
@@ -389,7 +422,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           '{"id":"f' || CAST(o.o_orderkey AS VARCHAR) || '","parent_id":"f' || CAST(o.o_orderkey - 5 AS VARCHAR)
           || '","height":' || CAST(o.o_orderkey // 5 AS VARCHAR)
           || ',"timestamp":"' || strftime(o.o_orderdate, '%Y-%m-%dT%H:%M:%SZ')
-          || '","status":' || CASE WHEN o.o_orderstatus = 'F' THEN '4' ELSE '2' END
+          || '","status":' || CASE WHEN o.o_orderkey % 7 = 0 THEN 'null' WHEN o.o_orderstatus = 'F' THEN '4' ELSE '2' END
           || ',"collection_ids":[' || coalesce(t.colls, '') || '],"seals":[' || coalesce(t.seals, '') || ']}' AS raw
         FROM orders o LEFT JOIN tx_list t ON t.l_orderkey = o.o_orderkey
         JOIN region r ON r.r_regionkey = o.o_orderkey % 5"""),

@@ -12,21 +12,32 @@ from chainlake.plans.catalog import query
 from chainlake.sources import payloads as pl
 
 
+def _evm_document_sql() -> str:
+    """The whole block document, each key from the raw payload."""
+    text = lambda k: f"json_extract_string(raw, '$.{k}')"
+    parts = []
+    for f in pl.EVM_KEYS.fields:
+        kind = f.dataType.simpleString()
+        parts.append(f"'{f.name}': " + (text(f.name) if kind == "string" else f"CAST({text(f.name)} AS "
+                     + ("BIGINT" if kind == "bigint" else "UBIGINT") + ")"))
+    parts += [f"'{k}': json_extract(raw, '$.{k}')" for k in pl.EVM_RAW_KEYS]
+    return f"CAST(to_json({{{', '.join(parts)}}}) AS VARCHAR)"
+
+
+SQL_VIEWS["evm_block"] = (("raw_evm",), f"""
+    SELECT chain_id, CAST(json_extract(raw, '$.number') AS BIGINT) AS block_height, raw,
+           {_evm_document_sql()} AS block FROM raw_evm""")
+
+
 @query("normalize_evm_blocks", """
-    SELECT chain_id, CAST(json_extract(raw, '$.number') AS BIGINT) AS block_height,
+    SELECT chain_id, block_height,
            json_extract_string(raw, '$.hash') AS hash, json_extract_string(raw, '$.parentHash') AS parent_hash,
            CAST(json_extract(raw, '$.time') AS BIGINT) AS time, CAST(json_extract(raw, '$.gasUsed') AS BIGINT) AS gas_used,
-           CAST(json_extract(raw, '$.gasLimit') AS BIGINT) AS gas_limit, json_extract_string(raw, '$.miner') AS miner,
-           CAST(json_array_length(json_extract(raw, '$.transactions')) AS BIGINT) AS n_transactions,
-           to_json({'number': CAST(json_extract(raw, '$.number') AS BIGINT), 'hash': json_extract_string(raw, '$.hash'),
-                    'parentHash': json_extract_string(raw, '$.parentHash'), 'time': CAST(json_extract(raw, '$.time') AS BIGINT),
-                    'gasUsed': CAST(json_extract(raw, '$.gasUsed') AS BIGINT),
-                    'gasLimit': CAST(json_extract(raw, '$.gasLimit') AS BIGINT),
-                    'miner': json_extract_string(raw, '$.miner'),
-                    'txCount': CAST(json_array_length(json_extract(raw, '$.transactions')) AS INTEGER)})::VARCHAR AS block
-    FROM raw_evm""", ("raw_evm",))
+           CAST(json_extract(raw, '$.gasLimit') AS BIGINT) AS gas_limit, json_extract_string(raw, '$.coinbase') AS coinbase,
+           CAST(json_array_length(json_extract(raw, '$.transactions')) AS BIGINT) AS n_transactions, block
+    FROM evm_block""", ("evm_block",))
 def q_normalize_evm_blocks(spark, sf_dir):
-    return pl.normalize_evm_blocks(fx.raw_evm(spark, sf_dir)).drop("transactions")
+    return pl.normalize_evm_blocks(fx.raw_evm(spark, sf_dir))
 
 
 @query("normalize_flow_blocks", """
@@ -35,18 +46,18 @@ def q_normalize_evm_blocks(spark, sf_dir):
            CAST(strptime(json_extract_string(raw, '$.timestamp'), '%Y-%m-%dT%H:%M:%SZ') AS TIMESTAMP) AS ts,
            CAST(json_extract(raw, '$.status') AS INTEGER) AS status,
            array_to_string(CAST(json_extract_string(raw, '$.collection_ids[*].collection_id') AS VARCHAR[]), ',') AS collection_ids,
-           CAST(json_array_length(json_extract(raw, '$.seals')) AS BIGINT) AS n_seals
-    FROM raw_flow""", ("raw_flow",))
+           CAST(json_array_length(json_extract(raw, '$.seals')) AS BIGINT) AS n_seals, raw AS block
+    FROM raw_flow""", ("raw_flow",))  # the fixture's payload has every key in document order
 def q_normalize_flow_blocks(spark, sf_dir):
-    return pl.normalize_flow_blocks(fx.raw_flow(spark, sf_dir)).drop("block")
+    return pl.normalize_flow_blocks(fx.raw_flow(spark, sf_dir))
 
 
 @query("explode_transactions", """
     SELECT chain_id, CAST(json_extract(raw, '$.number') AS BIGINT) AS block_height, CAST(r.i AS BIGINT) AS tx_index,
            json_extract_string(raw, '$.transactions[' || r.i || '].to') AS to_address,
            json_extract_string(raw, '$.transactions[' || r.i || '].from') AS from_address,
-           CAST(json_extract(raw, '$.transactions[' || r.i || '].nonce') AS BIGINT) AS nonce,
-           CAST(json_extract(raw, '$.transactions[' || r.i || '].value') AS BIGINT) AS value
+           json_extract_string(raw, '$.transactions[' || r.i || '].nonce') AS nonce,
+           json_extract_string(raw, '$.transactions[' || r.i || '].value') AS value
     FROM raw_evm, range(CAST(json_array_length(json_extract(raw, '$.transactions')) AS BIGINT)) r(i)""",
        ("raw_evm",))
 def q_explode_transactions(spark, sf_dir):
@@ -94,6 +105,10 @@ SQL_VIEWS["doc"] = (("block",), """
            WHEN seq % 13 = 0 THEN '{"chain_id":"' || chain_id || '","block_height":' || CAST(block_height AS VARCHAR)
                                   || ',"block":' || to_json(block) || ',"extra":1}'
            WHEN seq % 17 = 0 THEN '{"chain_id":"' || chain_id || '","block_height":' || CAST(block_height AS VARCHAR) || '}'
+           WHEN seq % 19 = 0 THEN '{"chain_id":"' || chain_id || '","block_height":"' || CAST(block_height AS VARCHAR)
+                                  || '","block":' || to_json(block) || '}'
+           WHEN seq % 23 = 0 THEN '{"chain_id":5,"block_height":' || CAST(block_height AS VARCHAR)
+                                  || ',"block":' || to_json(block) || '}'
            ELSE '{"chain_id":"' || chain_id || '","block_height":' || CAST(block_height AS VARCHAR)
                 || ',"block":' || to_json(block) || '}' END AS doc
     FROM block""")
@@ -108,17 +123,23 @@ def _docs(spark, sf_dir):
     doc = (F.when(F.pmod(s, F.lit(11)) == 0, F.concat(head, F.lit('"x'), h, F.lit('","block":'), blk, F.lit("}")))
             .when(F.pmod(s, F.lit(13)) == 0, F.concat(head, h, F.lit(',"block":'), blk, F.lit(',"extra":1}')))
             .when(F.pmod(s, F.lit(17)) == 0, F.concat(head, h, F.lit("}")))
+            .when(F.pmod(s, F.lit(19)) == 0, F.concat(head, F.lit('"'), h, F.lit('","block":'), blk, F.lit("}")))
+            .when(F.pmod(s, F.lit(23)) == 0, F.concat(F.lit('{"chain_id":5,"block_height":'), h, F.lit(',"block":'), blk,
+                                                      F.lit("}")))
             .otherwise(F.concat(head, h, F.lit(',"block":'), blk, F.lit("}"))))
     return b.select("seq", doc.alias("doc"))
 
 
 @query("enforce_schema", """
-    SELECT seq, json_extract_string(doc, '$.chain_id') AS chain_id,
-           TRY_CAST(json_extract_string(doc, '$.block_height') AS BIGINT) AS block_height,
+    SELECT seq, CASE WHEN json_type(doc, '$.chain_id') = 'VARCHAR' THEN json_extract_string(doc, '$.chain_id') END AS chain_id,
+           CASE WHEN json_type(doc, '$.block_height') IN ('BIGINT', 'UBIGINT')
+                THEN TRY_CAST(json_extract_string(doc, '$.block_height') AS BIGINT) END AS block_height,
            json_extract_string(doc, '$.block') AS block,
            CASE WHEN seq % 11 = 0 THEN 'bad type for block_height'
                 WHEN seq % 13 = 0 THEN 'extra properties: extra'
-                WHEN seq % 17 = 0 THEN 'missing field block' END AS reason
+                WHEN seq % 17 = 0 THEN 'missing field block'
+                WHEN seq % 19 = 0 THEN 'bad type for block_height'
+                WHEN seq % 23 = 0 THEN 'bad type for chain_id' END AS reason
     FROM doc""", ("doc",))
 def q_enforce_schema(spark, sf_dir):
     return pl.enforce_schema(_docs(spark, sf_dir))

@@ -221,15 +221,7 @@ def q_route_blocks_due(spark, sf_dir):
 EVM_RAW_SCHEMA = "chain_id string, seq bigint, raw string"
 
 
-@query("ingest_evm_stream", """
-    SELECT chain_id, CAST(json_extract(raw, '$.number') AS BIGINT) AS block_height,
-           to_json({'number': CAST(json_extract(raw, '$.number') AS BIGINT), 'hash': json_extract_string(raw, '$.hash'),
-                    'parentHash': json_extract_string(raw, '$.parentHash'), 'time': CAST(json_extract(raw, '$.time') AS BIGINT),
-                    'gasUsed': CAST(json_extract(raw, '$.gasUsed') AS BIGINT),
-                    'gasLimit': CAST(json_extract(raw, '$.gasLimit') AS BIGINT),
-                    'miner': json_extract_string(raw, '$.miner'),
-                    'txCount': CAST(json_array_length(json_extract(raw, '$.transactions')) AS INTEGER)})::VARCHAR AS block
-    FROM raw_evm""", ("raw_evm",))
+@query("ingest_evm_stream", "SELECT chain_id, block_height, block FROM evm_block", ("evm_block",))
 def q_ingest_evm_stream(spark, sf_dir):
     """Raw node payloads land as JSON lines; the stream normalises them and
     stores blocks idempotently (the forwarder + router path)."""

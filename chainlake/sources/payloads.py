@@ -7,21 +7,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# EVM block as delivered by an RPC node (subset of fields that are read;
-# nested arrays stay raw JSON so unknown keys survive).
-EVM_SCHEMA = T.StructType([
-    T.StructField("number", T.LongType()),
-    T.StructField("hash", T.StringType()),
-    T.StructField("parentHash", T.StringType()),
-    T.StructField("time", T.LongType()),
-    T.StructField("gasUsed", T.LongType()),
-    T.StructField("gasLimit", T.LongType()),
-    T.StructField("baseFee", T.StringType()),
-    T.StructField("miner", T.StringType()),
-    T.StructField("transactions", T.ArrayType(T.StringType())),
-    T.StructField("uncles", T.ArrayType(T.StringType())),
-    T.StructField("withdrawals", T.ArrayType(T.StringType())),
-])
+# Keys of the EVM block document with their types.  Header,
+# transactions, uncles and withdrawals stay raw JSON text, so that unknown
+# keys and numbers of any size survive.
+_EVM_LONGS = ("blobGasUsed", "excessBlobGas", "gasLimit", "gasUsed", "number", "size", "time")
+_EVM_TYPES = {**dict.fromkeys(_EVM_LONGS, T.LongType()), "nonce": T.DecimalType(20, 0)}  # all others are strings
+EVM_KEYS = T.StructType([T.StructField(k, _EVM_TYPES.get(k, T.StringType())) for k in (
+    "receivedAt", "baseFee", "blobGasUsed", "bloom", "coinbase", "difficulty", "excessBlobGas", "extra", "gasLimit",
+    "gasUsed", "hash", "mixDigest", "nonce", "number", "parentHash", "receiptHash", "root", "size", "time", "txHash",
+    "uncleHash")])
+EVM_RAW_KEYS = {"header": "{", "transactions": "[", "uncles": "[", "withdrawals": "["}
+EVM_SCHEMA = T.StructType([*EVM_KEYS.fields, *[T.StructField(k, T.StringType()) for k in EVM_RAW_KEYS],
+                           T.StructField("miner", T.StringType())])  # some nodes call the coinbase so
 
 FLOW_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
@@ -47,22 +44,29 @@ BLOCK_SCHEMA = T.StructType([
 ])
 
 
+def _raw_or_null(text: Column, opening: str) -> Column:
+    """Raw JSON of the expected kind (object or array); JSON null otherwise."""
+    return F.when(F.startswith(text, F.lit(opening)), text).otherwise(F.lit("null"))
+
+
 def normalize_evm_blocks(raw: DataFrame, chain_id: Column | str = "chain_id", raw_col: str = "raw") -> DataFrame:
-    """EVM payloads -> store rows: height = ``number``; ``block`` is the
-    normalised JSON document (header fields + raw transactions)."""
+    """EVM payloads -> store rows: height = ``number``; ``block`` is the whole
+    document with every key (null where the payload has none), transactions
+    included.  A payload that is not JSON gives null fields."""
     chain = F.col(chain_id) if isinstance(chain_id, str) else chain_id
     p = raw.select(chain.alias("chain_id"), F.from_json(F.col(raw_col), EVM_SCHEMA).alias("p"))
-    doc = F.to_json(F.struct(
-        F.col("p.number").alias("number"), F.col("p.hash").alias("hash"),
-        F.col("p.parentHash").alias("parentHash"), F.col("p.time").alias("time"),
-        F.col("p.gasUsed").alias("gasUsed"), F.col("p.gasLimit").alias("gasLimit"),
-        F.col("p.miner").alias("miner"), F.size("p.transactions").alias("txCount")))
+    field = {f.name: F.col(f"p.{f.name}") for f in EVM_KEYS.fields}
+    field["coinbase"] = F.coalesce("p.coinbase", "p.miner")
+    scalars = F.to_json(F.struct(*[c.alias(k) for k, c in field.items()]), {"ignoreNullFields": "false"})
+    doc = F.concat(F.rtrim(scalars, F.lit("}")), *[
+        F.concat(F.lit(f',"{k}":'), _raw_or_null(F.col(f"p.{k}"), opening)) for k, opening in EVM_RAW_KEYS.items()],
+        F.lit("}"))
     return p.select(
         "chain_id", F.col("p.number").alias("block_height"), F.col("p.hash").alias("hash"),
         F.col("p.parentHash").alias("parent_hash"), F.col("p.time").alias("time"),
         F.col("p.gasUsed").alias("gas_used"), F.col("p.gasLimit").alias("gas_limit"),
-        F.col("p.miner").alias("miner"), F.size("p.transactions").cast("bigint").alias("n_transactions"),
-        F.col("p.transactions").alias("transactions"), doc.alias("block"))
+        field["coinbase"].alias("coinbase"),
+        F.json_array_length("p.transactions").cast("bigint").alias("n_transactions"), doc.alias("block"))
 
 
 def normalize_flow_blocks(raw: DataFrame, chain_id: Column | str = "chain_id", raw_col: str = "raw") -> DataFrame:
@@ -76,7 +80,7 @@ def normalize_flow_blocks(raw: DataFrame, chain_id: Column | str = "chain_id", r
         F.col("p.status").alias("status"),
         F.array_join(F.transform("p.collection_ids", lambda c: c["collection_id"]), ",").alias("collection_ids"),
         F.size("p.seals").cast("bigint").alias("n_seals"),
-        F.to_json(F.col("p")).alias("block"))
+        F.to_json(F.col("p"), {"ignoreNullFields": "false"}).alias("block"))
 
 
 TX_SCHEMA = T.StructType([
@@ -84,15 +88,17 @@ TX_SCHEMA = T.StructType([
     T.StructField("transactions", T.ArrayType(T.StructType([
         T.StructField("to", T.StringType()),
         T.StructField("from", T.StringType()),
-        T.StructField("nonce", T.LongType()),
-        T.StructField("value", T.LongType()),
+        T.StructField("nonce", T.StringType()),
+        T.StructField("value", T.StringType()),
     ]))),
 ])
 
 
 def explode_transactions(raw: DataFrame, chain_id: Column | str = "chain_id", raw_col: str = "raw") -> DataFrame:
     """One row per transaction with its index.  The payload is parsed once
-    into typed structs (no re-serialisation and re-parsing per field)."""
+    into typed structs (no re-serialisation and re-parsing per field).  Nonce
+    and value keep the payload's own text, so hexadecimal and 256-bit numbers
+    are exact; they are null only where the payload has none."""
     chain = F.col(chain_id) if isinstance(chain_id, str) else chain_id
     p = raw.select(chain.alias("chain_id"), F.from_json(F.col(raw_col), TX_SCHEMA).alias("p"))
     t = p.select("chain_id", F.col("p.number").alias("block_height"),
@@ -123,18 +129,24 @@ def parse_message(messages: DataFrame, schema: T.StructType = BLOCK_MESSAGE_SCHE
     return p.select(*keep, *cols, F.when(missing, F.col("data")).alias("_corrupt"))
 
 
+# JSON types, as a parsed value reports them, that a column type accepts
+JSON_TYPES = {"string": r"^STRING$", "bigint": r"^BIGINT$", "int": r"^BIGINT$", "boolean": r"^BOOLEAN$",
+              "double": r"^(BIGINT|DOUBLE|DECIMAL)"}
+
+
 def enforce_schema(docs: DataFrame, schema: T.StructType = BLOCK_SCHEMA, doc_col: str = "doc") -> DataFrame:
-    """Strict document validation: required fields, fixed types, no extra
-    properties.  Adds ``reason`` (null when valid) and the typed fields."""
-    m = F.from_json(F.col(doc_col), T.MapType(T.StringType(), T.StringType()))
+    """Strict document validation: required fields, fixed JSON types (a quoted
+    number is a string, never an integer), no extra properties.  Adds
+    ``reason`` (null when valid) and the typed fields."""
+    m = F.from_json(F.col(doc_col), "map<string, variant>")
     d = docs.withColumn("_m", m)
     allowed = F.array(*[F.lit(f.name) for f in schema.fields])
     extra = F.array_except(F.map_keys("_m"), allowed)
     checks = [F.when(F.col("_m").isNull(), F.lit("not a JSON object"))]
     typed = []
     for f in schema.fields:
-        v = F.col("_m")[f.name]
-        tv = v.try_cast(f.dataType) if not isinstance(f.dataType, T.StringType) else v
+        v, kind = F.col("_m")[f.name], f.dataType.simpleString()
+        tv = F.when(F.schema_of_variant(v).rlike(JSON_TYPES[kind]), F.try_variant_get(v, "$", kind))
         checks.append(F.when(v.isNull(), F.lit(f"missing field {f.name}")))
         checks.append(F.when(v.isNotNull() & tv.isNull(), F.lit(f"bad type for {f.name}")))
         typed.append(tv.alias(f.name))
