@@ -100,6 +100,10 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     if max_bits not in (0, 1, 2):
         raise ValueError("max_bits must be 0, 1 or 2")
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    # a fingerprint is 8 bytes but grows to 64 rows: adaptive execution would merge such
+    # narrow partitions into a few tasks, so the expansion gets a fixed number of them (by a
+    # hash of its own: a repartition on the key that the rows are grouped by is dropped)
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     index = _signatures(fps, max_bits // 2 + 1)
     shared = index.groupBy("bit", "rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cut_lineage(index.join(shared, ["bit", "rest"]))
