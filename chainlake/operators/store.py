@@ -55,7 +55,7 @@ def dedupe_blocks(incoming: DataFrame, policy: str = "first") -> DataFrame:
                 .select(*KEY, "block", "seq"))
     pick = F.min_by if policy == "first" else F.max_by
     return (incoming.groupBy(*KEY)
-            .agg(pick(F.struct("seq", "block"), "seq").alias("r"))
+            .agg(pick(F.struct("seq", "block"), F.struct("seq", "block")).alias("r"))  # ties: by payload
             .select(*KEY, F.col("r.block").alias("block"), F.col("r.seq").alias("seq")))
 
 

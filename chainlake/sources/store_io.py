@@ -6,15 +6,17 @@
 * ``put`` is idempotent: the batch is deduplicated, only the partitions it
   touches are read (dynamic partition pruning through a semi-join on the
   partition columns), and only heights the store lacks are appended.
-* Upserts (``last``) rewrite just the touched partitions with dynamic
-  partition overwrite; the merged data is first checkpointed into the
-  shared folder named by ``spark.checkpoint.dir`` because Spark cannot
-  overwrite a path it is reading in the same job.
+* Every write carries a ``version`` (a growing number).  A deletion appends
+  tombstones, which hide only rows of an earlier version, so a block that is
+  put again after its deletion is visible.
+* Nothing is rewritten in place: an upsert (``last``) appends the new rows
+  and then hides the replaced ones, so concurrent puts lose nothing.
 """
 
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ STORE_SCHEMA = T.StructType([
     T.StructField("block_height", T.LongType()),
     T.StructField("block", T.StringType()),
     T.StructField("seq", T.LongType()),
+    T.StructField("version", T.LongType()),
     T.StructField("chain_id", T.StringType()),
     T.StructField("height_bucket", T.LongType()),
 ])
@@ -37,9 +40,10 @@ class BlockTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
+        self._version = 0
 
     def exists(self) -> bool:
-        return os.path.exists(os.path.join(self.path, "_SUCCESS")) or self._has_files()
+        return self._has_files()
 
     def _has_files(self) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -64,17 +68,36 @@ class BlockTable:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(conf).exists(p)
 
+    def _next_version(self) -> int:
+        """A number above that of every earlier write of this driver (and, by the clock, of others)."""
+        self._version = max(time.time_ns(), self._version + 1)
+        return self._version
+
+    @staticmethod
+    def _visible(data: DataFrame, tombs: DataFrame) -> DataFrame:
+        # the partition columns are join keys too: a pruned read prunes the tombstones alike
+        member = [*PARTITIONS, "block_height", "block"]
+        gone = tombs.groupBy(*member).agg(F.max("version").alias("_gone"))
+        hidden = F.col("_gone").isNotNull() & (F.coalesce("version", F.lit(0)) <= F.col("_gone"))
+        return data.join(gone, member, "left").where(~hidden).select(*data.columns)
+
     def read(self) -> DataFrame:
+        """Visible rows."""
         data = self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
         if not self._exists(self.tombstone_path):
-            return data
-        tombs = self.spark.read.schema(STORE_SCHEMA).parquet(self.tombstone_path).select(*st.KEY, "block")
-        return data.join(tombs, [*st.KEY, "block"], "left_anti")
+            return data.drop("version")
+        tombs = self.spark.read.schema(STORE_SCHEMA).parquet(self.tombstone_path)
+        return self._visible(data, tombs).drop("version")
 
     def delete(self, members: DataFrame) -> None:
         """Hide exact members by appending tombstones: nothing is rewritten,
-        so a failure mid-way can only leave a member visible a bit longer."""
-        (self.prepare(members).write.mode("append").partitionBy(*PARTITIONS).parquet(self.tombstone_path))
+        so a failure mid-way can only leave a member visible a bit longer.
+        Rows that are put later are not hidden."""
+        self._hide(members, self._next_version())
+
+    def _hide(self, members: DataFrame, version: int) -> None:
+        (self.prepare(members).withColumn("version", F.lit(version)).select(*[f.name for f in STORE_SCHEMA.fields])
+         .write.mode("append").partitionBy(*PARTITIONS).parquet(self.tombstone_path))
 
     @staticmethod
     def prepare(batch: DataFrame) -> DataFrame:
@@ -94,14 +117,16 @@ class BlockTable:
         existing = self._touched(b)
         if policy == "first":
             new = b.join(existing.select(*st.KEY), st.KEY, "left_anti")
-            new.select(*[f.name for f in STORE_SCHEMA.fields]).write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
+            (new.withColumn("version", F.lit(self._next_version())).select(*[f.name for f in STORE_SCHEMA.fields])
+             .write.mode("append").partitionBy(*PARTITIONS).parquet(self.path))
             return
-        merged = st.put_blocks(existing, b, policy).withColumn(
-            "height_bucket", st.height_bucket(F.col("block_height")))
-        ensure_checkpoint_dir(self.spark)
-        merged = merged.select(*[f.name for f in STORE_SCHEMA.fields]).checkpoint(eager=True)
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*PARTITIONS).parquet(self.path))
+        hides, version = self._next_version(), self._next_version()
+        new = b.join(existing.select(*st.KEY, "block"), [*st.KEY, "block"], "left_anti")
+        (new.withColumn("version", F.lit(version)).select(*[f.name for f in STORE_SCHEMA.fields])
+         .write.mode("append").partitionBy(*PARTITIONS).parquet(self.path))
+        if policy == "last":  # the replaced rows are older than ``hides``, the new ones are not
+            winner = b.select(*st.KEY, F.col("block").alias("_new"))
+            self._hide(existing.join(winner, st.KEY).where("block <> _new").drop("_new"), hides)
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -128,36 +153,43 @@ class BlockTable:
 
     def compact(self) -> int:
         """Apply tombstones physically; returns the number of partitions
-        touched.  Only partitions with tombstones are rewritten (from a
-        checkpointed copy, dynamic overwrite), partitions left without live
-        rows are deleted, and the applied tombstones are removed last.  Every
-        intermediate state reads the same rows: tombstoned rows are already
-        in the cold tier, so one that shows up again is a harmless copy."""
+        touched.  The files of the partitions with tombstones are listed; their
+        live rows are appended as new files, then exactly the listed data files
+        and, last, the listed tombstone files are deleted.  What other writers
+        add in the meantime stays.  Until the end a reader may see a live row
+        twice, never too few; a failed call is made good by the next one.  A
+        query that began before must be started anew when its files are gone."""
         if not self._exists(self.tombstone_path):
             return 0
         ensure_checkpoint_dir(self.spark)
-        tombs = self.spark.read.schema(STORE_SCHEMA).parquet(self.tombstone_path)
-        # partition list: metadata only, at most chains x buckets of the hot tier
-        parts = {(r.chain_id, r.height_bucket) for r in tombs.select(*PARTITIONS).distinct().collect()}
-        if not parts:
+        tomb_dirs = self._partition_dirs(self.tombstone_path)
+        old_tombs = self._files(tomb_dirs, tomb_dirs)
+        if not old_tombs:
             return 0
-        part_df = self.spark.createDataFrame(sorted(parts), "chain_id string, height_bucket bigint")
-        live = self.read().join(part_df, PARTITIONS, "left_semi").checkpoint(eager=True)
-        kept = {(r.chain_id, r.height_bucket) for r in live.select(*PARTITIONS).distinct().collect()}
-        if kept:
-            (live.select(*[f.name for f in STORE_SCHEMA.fields]).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(self.path))
+        parts = {k for k in tomb_dirs if self._files(tomb_dirs, [k])}
+        old_data = self._files(self._partition_dirs(self.path), parts)
+
+        def listed(root: str, files: list) -> DataFrame:
+            return (self.spark.read.schema(STORE_SCHEMA).option("basePath", root)
+                    .parquet(*[f.toString() for f in files]))
+
+        if old_data:
+            live = self._visible(listed(self.path, old_data), listed(self.tombstone_path, old_tombs))
+            live = (live.groupBy(*PARTITIONS, "block_height", "block")
+                    .agg(F.min("seq").alias("seq"), F.max("version").alias("version")))
+            live = live.select(*[f.name for f in STORE_SCHEMA.fields]).checkpoint(eager=True)
+            live.write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
         _, fs = self._fs()
-        data_dirs = self._partition_dirs(self.path)
-        for key in parts - kept:
-            if key in data_dirs:
-                fs.delete(data_dirs[key], True)
-        tomb_dirs = self._partition_dirs(self.tombstone_path)
-        for key in parts:
-            if key in tomb_dirs:
-                fs.delete(tomb_dirs[key], True)
+        for path in old_data + old_tombs:
+            fs.delete(path, False)
         return len(parts)
 
+    def _files(self, dirs: dict, keys) -> list:
+        """Data files that the given partitions have at this moment."""
+        _, fs = self._fs()
+        return [f.getPath() for key in keys if key in dirs for f in fs.listStatus(dirs[key])
+                if not f.getPath().getName().startswith((".", "_"))]
+
     def get_blocks(self, chain_id: str, start: int, end: int) -> DataFrame:
         return st.get_blocks(self.read(), chain_id, start, end)
 

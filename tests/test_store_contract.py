@@ -134,3 +134,83 @@ def test_compaction_applies_tombstones(spark):
         .parquet(base)
     assert sorted(_heights(raw)) == before                 # rows are physically gone
     assert t.compact() == 0                                 # tombstones were consumed
+
+
+MEMBER = "chain_id string, block_height bigint, block string, seq bigint"
+
+
+def test_put_after_delete_is_visible(spark):
+    t = BlockTable(spark, fresh_path(spark, "put-delete-put"))
+    one = _blocks(spark, [1, 2, 3])
+    t.put(one)
+    t.delete(one.where("block_height = 2"))
+    assert sorted(_heights(t.read())) == [1, 3]
+    t.put(one)
+    assert sorted(_heights(t.read())) == [1, 2, 3]
+    assert t.compact() == 1
+    assert sorted(_heights(t.read())) == [1, 2, 3]
+    t.delete(one)
+    assert t.compact() == 1 and t.read().count() == 0
+    t.put(one)
+    assert sorted(_heights(t.read())) == [1, 2, 3]
+
+
+def test_upsert_there_and_back(spark):
+    t = BlockTable(spark, fresh_path(spark, "upsert"))
+    row = lambda text, seq: spark.createDataFrame([(CHAIN, 1, text, seq)], MEMBER)
+    for seq, text in enumerate(["a", "b", "b", "a", "c", "a"]):
+        t.put(row(text, seq), "last")
+        assert [r.block for r in t.read().collect()] == [text]
+    t.put(row("z", 9), "exact")
+    t.put(row("z", 9), "exact")
+    assert sorted(r.block for r in t.read().collect()) == ["a", "z"]
+    t.compact()
+    assert sorted(r.block for r in t.read().collect()) == ["a", "z"]
+
+
+def test_compaction_keeps_what_arrives_meanwhile(spark, monkeypatch):
+    t = BlockTable(spark, fresh_path(spark, "append-compact"))
+    t.put(_blocks(spark, [1, 2, 3, 4]))
+    t.delete(_blocks(spark, [1]))
+    visible, other = BlockTable._visible, BlockTable(spark, t.path)
+
+    def late(data, tombs):
+        # another writer puts and deletes after the files were listed
+        monkeypatch.setattr(BlockTable, "_visible", staticmethod(visible))
+        other.put(_blocks(spark, [5]))
+        other.delete(_blocks(spark, [2]))
+        return visible(data, tombs)
+
+    monkeypatch.setattr(BlockTable, "_visible", staticmethod(late))
+    assert t.compact() == 1
+    assert sorted(_heights(t.read())) == [3, 4, 5]
+    assert t.compact() == 1
+    assert sorted(_heights(t.read())) == [3, 4, 5]
+
+
+def test_failed_compaction_is_made_good(spark, monkeypatch):
+    t = BlockTable(spark, fresh_path(spark, "failed-compact"))
+    t.put(_blocks(spark, [1, 2, 3]))
+    t.delete(_blocks(spark, [1]))
+    with monkeypatch.context() as m:
+        m.setattr(BlockTable, "_fs", lambda self, real=BlockTable._fs: (real(self)[0], Unwilling(real(self)[1])))
+        try:
+            t.compact()
+        except OSError:
+            pass
+    assert sorted(set(_heights(t.read()))) == [2, 3]
+    t.compact()
+    assert sorted(_heights(t.read())) == [2, 3]
+
+
+class Unwilling:
+    """A file system that refuses to delete."""
+
+    def __init__(self, fs):
+        self.fs = fs
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+    def delete(self, *args):
+        raise OSError("refused")
