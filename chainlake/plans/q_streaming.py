@@ -165,6 +165,31 @@ def q_delivery_rounds(spark, sf_dir):
                                                        "first_height", "last_height", "n_blocks")
 
 
+@query("delivery_rounds_feedback", f"""
+    WITH p AS (SELECT p.*, CAST(p.webhook_id AS BIGINT) % 3 = 0 AS fails, w.max_retries
+               FROM ({_PLAN_SQL.format(cursor="first_lo + 1")}) p JOIN webhook w ON w.id = p.webhook_id)
+    SELECT webhook_id, CAST(request_no AS BIGINT) AS round_id, first_height, last_height, n_blocks
+    FROM p WHERE request_no < 2 AND NOT fails
+    UNION ALL
+    SELECT webhook_id, r.i, first_height, last_height, n_blocks FROM p, range(2) r(i)
+    WHERE request_no = 0 AND fails AND (r.i = 0 OR max_retries > 2)""", ("job", "webhook", "block", "chain_head"))
+def q_delivery_rounds_feedback(spark, sf_dir):
+    """Two rounds with a sender that fails for every third webhook: its
+    cursor stays and the request is repeated, or skipped (no request in that
+    round) once its attempts are used up."""
+    from chainlake.streaming import rounds as rd
+    base = fresh_path(spark, "feedback")
+    rd.init_cursors(fx.jobs(spark, sf_dir), f"{base}/cursors")
+
+    def send(outbox):
+        return outbox.select("webhook_id", (F.pmod(F.col("webhook_id").cast("bigint"), F.lit(3)) != 0).alias("delivered"))
+
+    rd.run_rounds(spark, 2, f"{base}/cursors", f"{base}/outbox", fx.webhooks(spark, sf_dir),
+                  fx.blocks(spark, sf_dir), fx.chain_heads(spark, sf_dir), send=send)
+    return spark.read.parquet(f"{base}/outbox").select("webhook_id", F.col("round_id").cast("bigint").alias("round_id"),
+                                                       "first_height", "last_height", "n_blocks")
+
+
 @query("entitlement_state_stream", f"""
     WITH f AS (SELECT CAST(user_id AS VARCHAR) AS user_id, max(ts) AS last_fill FROM events
                WHERE event_type = 'click' GROUP BY 1),

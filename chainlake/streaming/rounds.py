@@ -1,12 +1,20 @@
 """Delivery rounds with idempotent cursors (no MERGE needed).
 
 One round = the jobs that are due (new ones, or ``next_height < head``) go
-through ``relay_step``; delivered requests are written to the outbox and the
-moved cursors to a snapshot, both partitioned by ``round_id`` and written
-with dynamic partition overwrite, so replaying a round rewrites the same
-partitions.  The current cursor of a webhook is the snapshot row with the
-highest round id (``max_by``); ``compact_cursors`` folds old snapshots into
-one base so reads stay small.
+through ``relay_step``; the requests are written to the outbox, handed to the
+sender, and its results decide which cursors move.  Outbox, attempts and
+cursor snapshots are folders keyed by ``round_id`` that a replay replaces.
+The current cursor of a webhook is the snapshot row with the highest round id
+(``max_by``); a null ``next_height`` says that the job has left.
+``compact_rounds`` folds old snapshots into one base so reads stay small.
+
+A cursor moves only on a reported success, on a skip, or past evicted blocks.
+A failed request stays where it is and is counted under its own
+``(webhook_id, next_height, is_new)``, so a skip or a success starts at zero.
+
+``webhooks``, ``blocks`` and ``heads`` are DataFrames or functions that
+return one; a function is called in every round, so that a long-running relay
+sees what arrived since (a Parquet DataFrame keeps its list of files).
 
 A round is one distributed job over all webhooks; the loop only decides how
 many rounds to run (a trigger), it never touches individual jobs.
@@ -30,79 +38,158 @@ CURSOR_SCHEMA = T.StructType([
 ])
 
 
-def _write_round(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("round_id").parquet(path))
+ATTEMPT_SCHEMA = T.StructType([
+    T.StructField("webhook_id", T.StringType()),
+    T.StructField("next_height", T.LongType()),
+    T.StructField("is_new", T.BooleanType()),
+    T.StructField("failures", T.LongType()),
+    T.StructField("round_id", T.LongType()),
+])
+JOB = ["webhook_id", "next_height", "is_new"]
+
+
+def _now(source) -> DataFrame:
+    return source() if callable(source) else source
+
+
+def _write_round(df: DataFrame, path: str, round_id: int) -> None:
+    """Replace the folder of one round, also by an empty one."""
+    df.drop("round_id").write.mode("overwrite").parquet(f"{path}/round_id={round_id}")
+
+
+def _fs(spark: SparkSession, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
 
 
 def init_cursors(jobs: DataFrame, path: str) -> None:
     """Seed snapshot (round -1) from a jobs table."""
-    _write_round(jobs.select("webhook_id", "chain_id", "next_height", "is_new",
-                             F.lit(-1).cast("bigint").alias("round_id")), path)
+    _write_round(jobs.select("webhook_id", "chain_id", "next_height", "is_new"), path, -1)
 
 
 def current_cursors(spark: SparkSession, path: str, before_round: int | None = None) -> DataFrame:
     """Newest snapshot row per webhook (only rounds before ``before_round``:
-    a round never reads its own output, so re-running it is idempotent)."""
+    a round never reads its own output, so re-running it is idempotent).
+    Jobs that have left are not listed."""
     c = spark.read.schema(CURSOR_SCHEMA).parquet(path)
     if before_round is not None:
         c = c.where(F.col("round_id") < before_round)  # partition filter
     return (c.groupBy("webhook_id")
             .agg(F.max_by(F.struct("chain_id", "next_height", "is_new"), "round_id").alias("c"))
-            .select("webhook_id", "c.*"))
+            .select("webhook_id", "c.*").where(F.col("next_height").isNotNull()))
 
 
-def compact_cursors(spark: SparkSession, path: str, base_round: int) -> None:
-    """Fold every snapshot into the partition of ``base_round`` (the last
-    completed round) and then drop the older partitions.  Readers take the
-    newest round per webhook, so every intermediate state reads the same
-    cursors; only the base partition is replaced (dynamic overwrite)."""
+def message_failures(spark: SparkSession, path: str, before_round: int) -> DataFrame:
+    """Failed sends of each message ``(webhook_id, next_height, is_new, failures)``."""
+    fs, root = _fs(spark, path)
+    if not fs.exists(root):
+        return spark.createDataFrame([], ATTEMPT_SCHEMA).drop("round_id")
+    return (spark.read.schema(ATTEMPT_SCHEMA).parquet(path).where(F.col("round_id") < before_round)
+            .groupBy(*JOB).agg(F.sum("failures").alias("failures")))
+
+
+def _fold(spark: SparkSession, path: str, base_round: int, rows: DataFrame) -> None:
     ensure_checkpoint_dir(spark)
-    cur = (current_cursors(spark, path, before_round=base_round + 1)
-           .withColumn("round_id", F.lit(base_round).cast("bigint")).checkpoint(eager=True))
-    _write_round(cur, path)
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    _write_round(rows.checkpoint(eager=True), path, base_round)
+    fs, root = _fs(spark, path)
     for status in fs.listStatus(root):
         name = status.getPath().getName()
         if name.startswith("round_id=") and int(name.split("=", 1)[1]) < base_round:
             fs.delete(status.getPath(), True)
 
 
-def run_round(spark: SparkSession, round_id: int, cursor_path: str, outbox_path: str, webhooks: DataFrame,
-              blocks: DataFrame, heads: DataFrame, failures: DataFrame | None = None,
-              mode: str = "reference") -> None:
+def compact_cursors(spark: SparkSession, path: str, base_round: int) -> None:
+    """Fold every snapshot into the folder of ``base_round`` (the last
+    completed round) and then drop the older ones.  Readers take the newest
+    round per webhook, so every intermediate state reads the same cursors."""
+    _fold(spark, path, base_round, current_cursors(spark, path, before_round=base_round + 1))
+
+
+def compact_rounds(spark: SparkSession, cursor_path: str, attempts_path: str, base_round: int) -> None:
+    """``compact_cursors``, and the attempts of messages that are still current.
+    The attempts go first: they need the cursors of the same rounds."""
+    fs, root = _fs(spark, attempts_path)
+    if fs.exists(root):
+        current = current_cursors(spark, cursor_path, before_round=base_round + 1).select(*JOB)
+        _fold(spark, attempts_path, base_round,
+              message_failures(spark, attempts_path, base_round + 1).join(current, JOB, "left_semi"))
+    compact_cursors(spark, cursor_path, base_round)
+
+
+def run_round(spark: SparkSession, round_id: int, cursor_path: str, outbox_path: str, webhooks, blocks, heads,
+              send=None, attempts_path: str | None = None, mode: str = "reference", skip_evicted: bool = False) -> None:
+    """One delivery round.
+
+    ``send(outbox) -> DataFrame(webhook_id, delivered)`` delivers the requests
+    of the round, for example by ``mapInArrow`` over an HTTP client; a webhook
+    that it does not report counts as failed.  Without ``send`` the outbox is
+    the boundary and a request counts as delivered once it is written there.
+    """
+    attempts_path = attempts_path or f"{outbox_path}__attempts"
+    w, h = _now(webhooks), _now(heads)
     jobs = current_cursors(spark, cursor_path, before_round=round_id)
-    ready = (dv.due_jobs(jobs, heads).where(F.col("is_new") | (F.col("state") == "ready"))
+    ready = (dv.due_jobs(jobs, h).where(F.col("is_new") | (F.col("state") == "ready"))
              .select("webhook_id", "chain_id", "next_height", "is_new"))
-    step = dv.relay_step(ready, webhooks, blocks, heads, failures, mode=mode)
+    failures = (message_failures(spark, attempts_path, round_id).join(jobs.select(*JOB), JOB)
+                .select("webhook_id", F.col("failures").cast("int").alias("failures")))
+    step = dv.relay_step(ready, w, _now(blocks), h, failures, mode=mode, skip_evicted=skip_evicted)
     ensure_checkpoint_dir(spark)
-    step = step.checkpoint(eager=True)  # one evaluation feeds both writes
-    out = dv.delivery_outbox(step, webhooks, round_id).withColumnRenamed("batch_id", "round_id")
+    step = step.checkpoint(eager=True)  # one evaluation feeds all writes
+    out = dv.delivery_outbox(step, w, round_id).drop("batch_id")
     out = out.join(step.select("webhook_id", "last_height"), "webhook_id")
-    _write_round(out, outbox_path)
-    moved = (step.where(F.col("outcome").isin("deliver", "skip", "evicted"))
-             .select("webhook_id", "chain_id", F.col("new_next_height").alias("next_height"),
-                     F.col("new_is_new").alias("is_new"), F.lit(round_id).cast("bigint").alias("round_id")))
-    _write_round(moved, cursor_path)
-
-
-def run_rounds(spark: SparkSession, n_rounds: int, cursor_path: str, outbox_path: str, webhooks: DataFrame,
-               blocks: DataFrame, heads: DataFrame, failures: DataFrame | None = None,
-               mode: str = "reference", start_round: int = 0) -> None:
+    _write_round(out, outbox_path, round_id)
+    # the bodies end here; what follows are a few columns per webhook
+    step = step.drop("body")
+    if send is None:
+        result = step.withColumn("delivered", F.col("outcome") == "deliver")
+    else:
+        sent = send(spark.read.parquet(f"{outbox_path}/round_id={round_id}"))
+        sent = sent.groupBy("webhook_id").agg(F.max("delivered").alias("delivered"))
+        result = step.join(sent, "webhook_id", "left").withColumn("delivered", F.coalesce("delivered", F.lit(False)))
+        result = result.checkpoint(eager=True)  # requests are sent once, not once per write
+    failed = (F.col("outcome") == "deliver") & ~F.col("delivered")
+    _write_round(result.where(failed).select(*JOB, F.lit(1).cast("bigint").alias("failures")), attempts_path, round_id)
+    moves = F.col("outcome").isin("skip", "evicted", "dropped") | F.col("delivered")
+    _write_round(result.where(moves).select("webhook_id", "chain_id", F.col("new_next_height").alias("next_height"),
+                                            F.col("new_is_new").alias("is_new")), cursor_path, round_id)
+
+
+def run_rounds(spark: SparkSession, n_rounds: int, cursor_path: str, outbox_path: str, webhooks, blocks, heads,
+               start_round: int = 0, **options) -> None:
     for r in range(start_round, start_round + n_rounds):
-        run_round(spark, r, cursor_path, outbox_path, webhooks, blocks, heads, failures, mode)
-
-
-def relay_stream(spark: SparkSession, cursor_path: str, outbox_path: str, webhooks: DataFrame, blocks: DataFrame,
-                 heads: DataFrame, checkpoint: str, interval: str = "1 second", failures: DataFrame | None = None,
-                 mode: str = "reference"):
+        run_round(spark, r, cursor_path, outbox_path, webhooks, blocks, heads, **options)
+
+
+def run_until_idle(spark: SparkSession, cursor_path: str, outbox_path: str, webhooks, blocks, heads,
+                   start_round: int = 0, **options) -> int:
+    """Rounds until one neither moves a cursor nor counts a failure; returns how many were run."""
+    attempts_path = options.get("attempts_path") or f"{outbox_path}__attempts"
+    r = start_round
+    while True:
+        before = current_cursors(spark, cursor_path, before_round=r)
+        run_round(spark, r, cursor_path, outbox_path, webhooks, blocks, heads, **options)
+        after = current_cursors(spark, cursor_path, before_round=r + 1)
+        r += 1
+        idle = (spark.read.parquet(f"{attempts_path}/round_id={r - 1}").isEmpty()
+                and before.select("webhook_id", "next_height", "is_new").exceptAll(
+                    after.select("webhook_id", "next_height", "is_new")).isEmpty())
+        if idle:
+            return r - start_round
+
+
+def relay_stream(spark: SparkSession, cursor_path: str, outbox_path: str, webhooks, blocks, heads,
+                 checkpoint: str, interval: str = "1 second", compact_every: int = 100, **options):
     """The relay as a streaming query: every trigger runs one round whose id
     is the micro-batch id.  A batch replayed after a failure re-runs the
-    same round, which rewrites the same outbox and cursor partitions."""
+    same round, which replaces the same outbox and cursor folders.  Pass
+    functions for ``webhooks``, ``blocks`` and ``heads`` to see new rows."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return (ticks.writeStream.trigger(processingTime=interval)
-            .foreachBatch(lambda _df, batch_id: run_round(spark, batch_id, cursor_path, outbox_path, webhooks,
-                                                          blocks, heads, failures, mode))
+
+    def tick(_df, batch_id: int) -> None:
+        run_round(spark, batch_id, cursor_path, outbox_path, webhooks, blocks, heads, **options)
+        if batch_id % compact_every == compact_every - 1:
+            # up to the round before: this one may still be replayed
+            compact_rounds(spark, cursor_path, options.get("attempts_path") or f"{outbox_path}__attempts", batch_id - 1)
+
+    return (ticks.writeStream.trigger(processingTime=interval).foreachBatch(tick)
             .option("checkpointLocation", checkpoint).start())

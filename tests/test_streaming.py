@@ -106,3 +106,65 @@ def test_relay_stream_equals_rounds(spark, small_dir):
     o1 = sorted(tuple(r) for r in spark.read.parquet(f"{base}/o1").collect())
     o2 = sorted(tuple(r) for r in spark.read.parquet(f"{base}/o2").where("round_id < 2").collect())
     assert o1 == o2 and o1
+
+
+def _relay_world(spark):
+    """Chain with heights 10..16; webhooks a (always fails), b (fails twice), c (fine), d (gone), e (evicted)."""
+    hooks = spark.createDataFrame(
+        [(i, "C", m, r, "http://x", 1) for i, m, r in [("a", 2, 3), ("b", 3, 5), ("c", 2, 3), ("e", 2, 3)]],
+        "id string, blockchain_id string, max_blocks int, max_retries int, url string, timeout_ms int")
+    jobs = spark.createDataFrame([("a", "C", 10, False), ("b", "C", 11, False), ("c", "C", 0, True), ("d", "C", 10, False),
+                                  ("e", "C", 1, False)],
+                                 "webhook_id string, chain_id string, next_height bigint, is_new boolean")
+    return hooks, jobs
+
+
+def _blocks_up_to(spark, top):
+    return spark.createDataFrame([("C", h, f"b{h}") for h in range(10, top + 1)],
+                                 "chain_id string, block_height bigint, block string")
+
+
+def test_cursor_moves_only_on_success(spark):
+    from chainlake.streaming import rounds as rd
+    base = fresh_path(spark, "feedback")
+    cur, out = f"{base}/cursors", f"{base}/outbox"
+    hooks, jobs = _relay_world(spark)
+    rd.init_cursors(jobs, cur)
+    top, sends = [16], []
+
+    def blocks():
+        return _blocks_up_to(spark, top[0])
+
+    def heads():
+        return blocks().groupBy("chain_id").agg(F.max("block_height").alias("head"), F.min("block_height").alias("low"))
+
+    def send(outbox):
+        sends.append(1)
+        fails = (F.col("webhook_id") == "a") | ((F.col("webhook_id") == "b") & F.lit(len(sends) <= 2))
+        return outbox.where(F.col("webhook_id") != "a").select("webhook_id", (~fails).alias("delivered"))  # a: no report
+
+    def cursors():
+        return {r.webhook_id: (r.next_height, r.is_new) for r in rd.current_cursors(spark, cur).collect()}
+
+    run = lambda r: rd.run_round(spark, r, cur, out, hooks, blocks, heads, send=send, skip_evicted=True)
+    run(0)
+    assert cursors() == {"a": (10, False), "b": (11, False), "c": (16, False), "e": (10, False)}
+    run(0)  # replay: the same state, and the failure is counted once
+    assert cursors() == {"a": (10, False), "b": (11, False), "c": (16, False), "e": (10, False)}
+    run(1)  # second try of a is its last one (max_retries 3), b succeeds now (third send)
+    assert cursors() == {"a": (10, False), "b": (14, False), "c": (16, False), "e": (12, False)}
+    run(2)  # a skips one height
+    assert cursors()["a"] == (11, False)
+    run(3)  # and starts anew at zero failures there
+    assert cursors()["a"] == (11, False)
+    before = (cursors(), rd.message_failures(spark, f"{out}__attempts", 4).where("webhook_id = 'a' and next_height = 11")
+              .first().failures)
+    rd.compact_rounds(spark, cur, f"{out}__attempts", 3)
+    assert before == (cursors(), rd.message_failures(spark, f"{out}__attempts", 4).first().failures) and before[1] == 1
+    assert cursors()["c"] == (16, False)  # waits below the head
+    top[0] = 18                           # blocks that arrive between two rounds are seen
+    run(4)
+    assert cursors()["c"] == (18, False)
+    n = rd.run_until_idle(spark, cur, out, hooks, blocks, heads, start_round=5, send=send, skip_evicted=True)
+    assert n > 1 and all(h >= 18 for h, _ in cursors().values())
+    assert {r.webhook_id for r in spark.read.parquet(out).where("webhook_id = 'd'").collect()} == set()
