@@ -79,8 +79,9 @@ def route_blocks_batch(store: BlockTable, heads_path: str, cursors_path: str | N
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = normalize(batch) if normalize is not None else batch
         store.put(rows, "first")
-        head = st.batch_head(rows).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        (head.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        span = (rows.groupBy("chain_id").agg(F.max("block_height").alias("head"), F.min("block_height").alias("low"))
+                .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
+        (span.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(heads_path))
         if cursors_path and ready_path:
             from chainlake.operators.delivery import due_jobs
@@ -107,6 +108,12 @@ def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
+def current_bounds(spark: SparkSession, heads_path: str) -> DataFrame:
+    """``(chain_id, head, low)`` as the relay needs them, over all batch snapshots."""
+    return (spark.read.parquet(heads_path).groupBy("chain_id")
+            .agg(F.max("head").alias("head"), F.min("low").alias("low")))
+
+
 def consume_billing_batch(subscriptions, out_path: str, signals_path: str | None = None,
                           deletions_path: str | None = None):
     """``foreachBatch`` body of the billing consumer: every event gets an
