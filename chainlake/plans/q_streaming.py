@@ -190,6 +190,32 @@ def q_delivery_rounds_feedback(spark, sf_dir):
                                                        "first_height", "last_height", "n_blocks")
 
 
+def relay_until_idle(spark, jobs, webhooks, blocks, heads, compact_every=25):
+    """Rounds over ``jobs`` until nothing is due; the requests of all rounds.
+    The inputs are stored once, since every round reads them anew."""
+    from chainlake.streaming import rounds as rd
+    base = fresh_path(spark, "until-idle")
+
+    def stored(df, name):
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    rd.init_cursors(jobs, f"{base}/cursors")
+    rd.run_until_idle(spark, f"{base}/cursors", f"{base}/outbox", stored(webhooks, "webhooks"), stored(blocks, "blocks"),
+                      stored(heads, "heads"), compact_every=compact_every)
+    return spark.read.parquet(f"{base}/outbox").select("webhook_id", F.col("round_id").cast("bigint").alias("round_id"),
+                                                       "first_height", "last_height", "n_blocks")
+
+
+@query("delivery_rounds_until_idle", f"""
+    SELECT webhook_id, CAST(request_no AS BIGINT) AS round_id, first_height, last_height, n_blocks
+    FROM ({_PLAN_SQL.format(cursor="first_lo + 1")}) p""", ("job", "webhook", "block", "chain_head"))
+def q_delivery_rounds_until_idle(spark, sf_dir):
+    """The relay loop until nothing is due equals the whole closed-form plan."""
+    return relay_until_idle(spark, fx.jobs(spark, sf_dir), fx.webhooks(spark, sf_dir), fx.blocks(spark, sf_dir),
+                            fx.chain_heads(spark, sf_dir))
+
+
 @query("entitlement_state_stream", f"""
     WITH f AS (SELECT CAST(user_id AS VARCHAR) AS user_id, max(ts) AS last_fill FROM events
                WHERE event_type = 'click' GROUP BY 1),

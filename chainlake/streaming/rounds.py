@@ -161,20 +161,23 @@ def run_rounds(spark: SparkSession, n_rounds: int, cursor_path: str, outbox_path
 
 
 def run_until_idle(spark: SparkSession, cursor_path: str, outbox_path: str, webhooks, blocks, heads,
-                   start_round: int = 0, **options) -> int:
-    """Rounds until one neither moves a cursor nor counts a failure; returns how many were run."""
+                   start_round: int = 0, compact_every: int | None = None, **options) -> int:
+    """Rounds until one neither moves a cursor nor counts a failure; returns how many were run.
+    With ``compact_every``, snapshots are folded after so many rounds, so that a long run does not list them all."""
     attempts_path = options.get("attempts_path") or f"{outbox_path}__attempts"
     r = start_round
     while True:
-        before = current_cursors(spark, cursor_path, before_round=r)
         run_round(spark, r, cursor_path, outbox_path, webhooks, blocks, heads, **options)
-        after = current_cursors(spark, cursor_path, before_round=r + 1)
+        before = current_cursors(spark, cursor_path, before_round=r)
+        written = spark.read.schema(CURSOR_SCHEMA).parquet(f"{cursor_path}/round_id={r}")
+        # a job that left has a null cursor, which no earlier row equals
+        idle = (spark.read.parquet(f"{attempts_path}/round_id={r}").isEmpty()
+                and written.join(before, JOB, "left_anti").isEmpty())
         r += 1
-        idle = (spark.read.parquet(f"{attempts_path}/round_id={r - 1}").isEmpty()
-                and before.select("webhook_id", "next_height", "is_new").exceptAll(
-                    after.select("webhook_id", "next_height", "is_new")).isEmpty())
         if idle:
             return r - start_round
+        if compact_every and (r - start_round) % compact_every == 0:
+            compact_rounds(spark, cursor_path, attempts_path, r - 1)
 
 
 def relay_stream(spark: SparkSession, cursor_path: str, outbox_path: str, webhooks, blocks, heads,

@@ -201,3 +201,15 @@ def test_relay_stream_delivers_blocks_that_arrive_later(spark):
     finally:
         q.stop()
     assert {(r.head, r.low) for r in sp.current_bounds(spark, f"{base}/heads").collect()} == {(18, 10)}
+
+
+def test_relay_until_nothing_is_due(spark, small_dir):
+    """More than three rounds and a compaction between them: all requests of the plan."""
+    from chainlake.operators import delivery as dv
+    from chainlake.plans.q_streaming import relay_until_idle
+    jobs = fx.jobs(spark, small_dir).where("webhook_id in ('1', '2', '4', '5', '30')")
+    wh, heads = fx.webhooks(spark, small_dir), fx.chain_heads(spark, small_dir)
+    got = relay_until_idle(spark, jobs, wh, fx.blocks(spark, small_dir), heads, compact_every=4)
+    want = dv.delivery_plan(jobs, wh, heads).withColumnRenamed("request_no", "round_id")
+    want = sorted(tuple(r) for r in want.select(*got.columns).collect())
+    assert sorted(tuple(r) for r in got.collect()) == want and max(r[1] for r in want) > 3
