@@ -289,19 +289,17 @@ def q_ingest_evm_stream(spark, sf_dir):
 
 @query("block_source_stream", "SELECT chain_id, block_height, block FROM block", ("block",))
 def q_block_source_stream(spark, sf_dir):
-    """Pluggable block source (Python streaming data source): height ranges
-    are fetched on executors, offsets are per-chain heights."""
-    from chainlake.sources.block_source import register
-    register(spark)
+    """Landed block files as a stream into the store.  The heights from
+    500 land first and are read; the lower ones land late, with some repeats."""
+    from chainlake.sources.block_source import landed_blocks
     base = fresh_path(spark, "source")
-    fx.blocks(spark, sf_dir).select("chain_id", "block_height", "block").write.partitionBy("chain_id") \
-        .parquet(f"{base}/landed")
-    stream = (spark.readStream.format("chainlake_blocks").option("path", f"{base}/landed")
-              .option("heights_per_partition", "500").load())
-    q = (stream.writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(*OUT)
+    store = BlockTable(spark, f"{base}/store").init()
+    blocks = fx.blocks(spark, sf_dir).select(*OUT)
+    late = F.col("block_height") < 500
+    for part in (blocks.where(~late), blocks.where(late | (F.col("block_height") < 600))):
+        part.write.mode("append").partitionBy("chain_id").parquet(f"{base}/landed")
+        sp.run_available_now(landed_blocks(spark, f"{base}/landed"), lambda df, bid: store.put(df, "first"), f"{base}/ckpt")
+    return store.read().select(*OUT)
 
 
 @query("append_message_stream", """

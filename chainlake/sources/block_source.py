@@ -1,71 +1,37 @@
-"""User extension point: a block source as a Python streaming data source.
-
-A chain client only has to say how high the chain is and how to fetch the
-blocks of a height range; Spark does the rest.  Offsets are heights; every
-micro-batch ``(start, end]`` (everything new up to the head) is split into
-``heights_per_partition`` height-range partitions that are
-fetched on the executors (never on the driver), so a catch-up over millions
-of heights is spread over the cluster.
-
-``ParquetBlockFetcher`` is the built-in fetcher: it reads landed block files
-(``chain_id, block_height, block``) with a height filter pushed into the
-Parquet reader.  A live-chain fetcher implements the same two methods.
+"""Block sources: landed files through Spark's own file stream, anything else
+through a Python streaming data source.
+
+``landed_blocks`` reads landed Parquet files (``chain_id, block_height,
+block``).  Spark tracks files, not heights, so a file that lands late with
+lower heights (backfill, out-of-order landing) is read like any other, on any
+file system that Spark reads.  Blocks that land twice are removed by the
+idempotent ``BlockTable.put``.
+
+``register(spark, make_fetcher)`` is the extension point for sources that
+Spark cannot read, such as a live chain.  A fetcher says how high each chain
+is (``heads() -> {chain_id: height}``) and fetches the blocks of a height
+range (``fetch(chain_id, lo, hi)``, rows of ``SCHEMA``).  Offsets are heights:
+every micro-batch ``(start, end]`` is split into ``heights_per_partition``
+ranges that are fetched on the executors (never on the driver).  It suits
+sources in which every height up to the head is there once the head is.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "chain_id string, block_height bigint, block string"
 
 
-class ParquetBlockFetcher:
-    """Fetch blocks from landed Parquet files partitioned by ``chain_id``
-    (``<path>/chain_id=<id>/*.parquet``).  Heads come from file footers
-    (row-group statistics) only; no block data is read on the driver."""
-
-    def __init__(self, path: str, chains: list[str] | None = None):
-        self.path = path
-        self.chains = chains
-
-    def _chain_dirs(self) -> dict[str, str]:
-        import os
-        from urllib.parse import unquote
-        out = {}
-        for d in sorted(os.listdir(self.path)):
-            if d.startswith("chain_id="):
-                cid = unquote(d.split("=", 1)[1])
-                if self.chains is None or cid in self.chains:
-                    out[cid] = os.path.join(self.path, d)
-        return out
-
-    def heads(self) -> dict[str, int]:
-        import glob
-        import os
-
-        import pyarrow.parquet as pq
-        heads = {}
-        for cid, d in self._chain_dirs().items():
-            best = -1
-            for f in glob.glob(os.path.join(d, "*.parquet")):
-                md = pq.ParquetFile(f).metadata
-                col = md.schema.names.index("block_height")
-                for i in range(md.num_row_groups):
-                    st = md.row_group(i).column(col).statistics
-                    if st is not None and st.has_min_max:
-                        best = max(best, int(st.max))
-            heads[cid] = best
-        return heads
-
-    def fetch(self, chain_id: str, lo: int, hi: int):
-        """Rows of one chain with ``lo <= height <= hi`` (filter pushed down)."""
-        import pyarrow.compute as pc
-        import pyarrow.dataset as ds
-        d = self._chain_dirs()[chain_id]
-        flt = (pc.field("block_height") >= lo) & (pc.field("block_height") <= hi)
-        t = ds.dataset(d, format="parquet").to_table(columns=["block_height", "block"], filter=flt)
-        for h, b in zip(t["block_height"].to_pylist(), t["block"].to_pylist()):
-            yield chain_id, h, b
+def landed_blocks(spark: SparkSession, path: str, chains: list[str] | None = None,
+                  max_files_per_trigger: int = 100) -> DataFrame:
+    """Stream of the block files under ``path`` (``<path>/chain_id=<id>/*.parquet``), of some chains or of all."""
+    from chainlake.streaming.runners import ingest_stream
+    blocks = ingest_stream(spark, path, T.StructType.fromDDL(SCHEMA), max_files_per_trigger)
+    return blocks if chains is None else blocks.where(F.col("chain_id").isin(chains))
 
 
 class HeightRange(InputPartition):
@@ -76,9 +42,8 @@ class HeightRange(InputPartition):
 class BlockStreamReader(DataSourceStreamReader):
     """Offsets: ``{chain_id: last emitted height}``."""
 
-    def __init__(self, options: dict):
-        chains = options.get("chains")
-        self.fetcher = ParquetBlockFetcher(options["path"], chains.split(",") if chains else None)
+    def __init__(self, fetcher, options: dict):
+        self.fetcher = fetcher
         self.per_partition = int(options.get("heights_per_partition", "10000"))
 
     def initialOffset(self) -> dict:
@@ -107,22 +72,19 @@ class BlockStreamReader(DataSourceStreamReader):
         pass
 
 
-class BlockSource(DataSource):
-    """``spark.readStream.format("chainlake_blocks").option("path", landed)
-    [.option("chains", "a,b")][.option("heights_per_partition", n)].load()``"""
+def register(spark: SparkSession, make_fetcher) -> None:
+    """``spark.readStream.format("chainlake_blocks")[.option("heights_per_partition", n)].load()``
+    reads from ``make_fetcher(options)``, which is sent to the executors."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "chainlake_blocks"
+    class BlockSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "chainlake_blocks"
 
-    def schema(self) -> str:
-        return SCHEMA
+        def schema(self) -> str:
+            return SCHEMA
 
-    def streamReader(self, schema):  # noqa: ARG002
-        return BlockStreamReader(self.options)
+        def streamReader(self, schema):  # noqa: ARG002
+            return BlockStreamReader(make_fetcher(self.options), self.options)
 
-
-def register(spark) -> None:
     spark.dataSource.register(BlockSource)
-
-
