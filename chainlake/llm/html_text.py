@@ -5,8 +5,13 @@ line.  A line's ratio is its number of characters for each tag on it; lines in
 menus, forms, adverts and the like count as zero.  The ratios are smoothed by
 a Gaussian and split in two clusters by a threshold (one-dimensional two-means).
 The lines of the upper cluster mark the content region: the articles that hold
-them, or else the smallest element that holds nine tenths of their text.  All
-its lines belong to the text, short ones too, save boilerplate inside it.
+them, or else the smallest element that holds all of them (never a part of a
+list, quotation or table alone) and the headings right before it.  All its lines
+belong to the text, short ones too, save boilerplate inside it.
+
+Boilerplate is told by tags and roles, or by a class or id.  The latter is a
+guess: it does not count for an element that holds ``main`` or most of the
+page's text (``content-sidebar`` around the article).
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import ship_package
 
 SIGMA = 1.0
-REGION_SHARE = 0.9
+WRAPPER_SHARE = 0.5      # of the page's text: more of it in an element with a boilerplate name makes a wrapper
+DISCUSSION_SHARE = 0.9   # the same for names of what readers write, which may be longer than the article
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -33,11 +39,16 @@ BLOCK = frozenset(
 SILENT = frozenset("head title script style noscript template svg iframe object select textarea button math canvas".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 HOLDERS = ("article", "main")
+PARTS = frozenset("ol ul dl li dt dd pre blockquote figure figcaption caption table thead tbody tfoot tr "
+                  "h1 h2 h3 h4 h5 h6 hr summary".split())  # of a text, never all of it
+HEADINGS = ("h1", "h2")
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent "
     "cookie cookies copyright disclaimer discussion disqus feedback footer gdpr login menu modal nav navbar navigation "
     "newsletter notice notification outbrain pagination pager popup promo promotion recommended related reply replies "
     "respond share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar widget".split())
+DISCUSSION = frozenset("comment comments discussion disqus feedback recommended related replies reply respond".split())
+MODIFIERS = frozenset("no not has have with without".split())  # has-sidebar is no sidebar
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 CLOSED_BY = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")),
              "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")),
@@ -46,28 +57,37 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, element, boilerplate) per line and the tree of block elements."""
+    """Collects (text, tags, element, boilerplate, mark) per line and the trees of block elements and of marks.
+
+    A mark is an element with a boilerplate name; ``settle`` decides which of them are wrappers.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parents = [-1]             # of each block element; 0 is the page
         self.holder = [""]              # its tag if that is article or main
-        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, element, boilerplate, silent
+        self.names = [""]               # its tag
+        self.outer = [-1]               # of each mark; 0 is none
+        self.talk = [False]             # whether its names are of what readers write
+        self.has_main = [False]
+        self.stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]  # tag, element, boilerplate, silent, mark
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.owner: list[int] = []
         self.noise: list[bool] = []
+        self.mark: list[int] = []
         self._text: list[str] = []
         self._tags = 0
 
     def _end_line(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            _, element, noise, _ = self.stack[-1]
+            _, element, noise, _, mark = self.stack[-1]
             self.texts.append(text)
             self.tags.append(self._tags)
             self.owner.append(element)
             self.noise.append(noise)
+            self.mark.append(mark)
             self._tags = 0
         self._text.clear()
 
@@ -75,16 +95,26 @@ class Lines(HTMLParser):
         if tag in BOILERPLATE:
             return True
         if tag == "header":
-            return not any(self.holder[e] for _, e, _, _ in self.stack)
+            return not any(self.holder[e] for _, e, _, _, _ in self.stack)
         if not attrs or tag in HOLDERS or tag in ("html", "body"):
             return False
         for name, value in attrs:
-            if value and name in ("class", "id") and not NAMES.isdisjoint(_PARTS.split(value.lower())):
-                return True
             if value and name == "role" and value.lower() in ROLES or name == "hidden":
                 return True
         return False
 
+    def _named(self, tag: str, attrs: list) -> set[str]:
+        """Boilerplate names in the class and id."""
+        found = set()
+        if tag not in HOLDERS and tag not in ("html", "body"):
+            for name, value in attrs:
+                if value and name in ("class", "id"):
+                    for word in value.lower().split():
+                        parts = _PARTS.split(word)
+                        if MODIFIERS.isdisjoint(parts):
+                            found |= NAMES.intersection(parts)
+        return found
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         block = tag in BLOCK
         if block:
@@ -95,14 +125,24 @@ class Lines(HTMLParser):
         self._tags += 1
         if tag in VOID:
             return
-        _, element, noise, silent = self.stack[-1]
+        _, element, noise, silent, mark = self.stack[-1]
         if block and tag != "p":
             self.parents.append(element)
             self.holder.append(tag if tag in HOLDERS else "")
+            self.names.append(tag)
             element = len(self.parents) - 1
         if block or attrs:
             noise = noise or self._is_noise(tag, attrs)
-        self.stack.append((tag, element, noise, silent or tag in SILENT))
+        if attrs and not noise:
+            found = self._named(tag, attrs)
+            if found:
+                self.outer.append(mark)
+                self.talk.append(found <= DISCUSSION)
+                self.has_main.append(False)
+                mark = len(self.outer) - 1
+        if tag == "main" and not noise:
+            self.has_main[mark] = True
+        self.stack.append((tag, element, noise, silent or tag in SILENT, mark))
 
     def _close(self, tags: frozenset, opener: str) -> None:
         """Leave an open element that the start of ``opener`` ends, within the same parent."""
@@ -128,6 +168,30 @@ class Lines(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def settle(self) -> np.ndarray:
+        """Whether each line is boilerplate."""
+        n, size = len(self.outer), np.array([len(t) for t in self.texts], float)
+        held, lines, main = np.zeros(n), np.zeros(n, int), np.array(self.has_main)
+        clean = 0.0                     # text of articles and mains that stands in no marked element
+        inside = np.zeros(len(self.parents), bool)
+        for e in range(1, len(self.parents)):
+            inside[e] = inside[self.parents[e]] or bool(self.holder[e])
+        for owner, noise, mark, chars in zip(self.owner, self.noise, self.mark, size):
+            if not noise:
+                held[mark] += chars
+                lines[mark] += 1
+                clean += chars if mark == 0 and inside[owner] else 0
+        for m in range(n - 1, 0, -1):
+            held[self.outer[m]] += held[m]
+            lines[self.outer[m]] += lines[m]
+            main[self.outer[m]] |= main[m]
+        bad = np.zeros(n, bool)
+        for m in range(1, n):
+            share = DISCUSSION_SHARE if self.talk[m] else WRAPPER_SHARE
+            wraps = main[m] or (lines[m] > 1 and held[m] > share * held[0] and clean < held[m] / 10)
+            bad[m] = bad[self.outer[m]] or not wraps
+        return np.array([noise or bool(bad[mark]) for noise, mark in zip(self.noise, self.mark)])
+
     def close(self) -> None:
         if self.rawdata.startswith("<!--"):  # a comment that never ends
             self.rawdata = ""
@@ -169,7 +233,7 @@ def main_text(html: str) -> str:
     parser._end_line()
     if not parser.texts:
         return ""
-    noise = np.array(parser.noise)
+    noise = parser.settle()
     size = np.array([len(t) for t in parser.texts], float)
     if noise.all():
         return ""
@@ -179,7 +243,7 @@ def main_text(html: str) -> str:
     if not content.any():
         content = ~noise & (ratio == ratio[~noise].max())
     region = _region(parser, content, size)
-    return " ".join(t for t, owner, bad in zip(parser.texts, parser.owner, parser.noise) if not bad and region[owner])
+    return " ".join(t for t, owner, bad in zip(parser.texts, parser.owner, noise) if not bad and region[owner])
 
 
 def _region(parser: Lines, content: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -199,13 +263,19 @@ def _region(parser: Lines, content: np.ndarray, size: np.ndarray) -> np.ndarray:
         if marked[top].sum() >= marked[0] / 2:
             break
     else:
-        e, top = 0, np.zeros(n, bool)
-        while True:
-            children = [c for c in range(e + 1, n) if parser.parents[c] == e and marked[c] >= REGION_SHARE * marked[0]]
-            if not children:
-                break
-            e = children[0]
+        top = np.zeros(n, bool)
+        e = next(x for x in range(n - 1, -1, -1) if marked[x] == marked[0])  # children follow their parents: the innermost
+        while parser.names[e] in PARTS:
+            e = parser.parents[e]
         top[e] = True
+        above, last = {}, e             # each element above e, and how far up
+        while e > 0:
+            e = parser.parents[e]
+            above[e] = len(above)
+        before = [c for c in range(1, last) if parser.names[c] in HEADINGS and parser.parents[c] in above and c not in above]
+        if before:                      # the headings nearest to it
+            near = min(above[parser.parents[c]] for c in before)
+            top[[c for c in before if above[parser.parents[c]] == near]] = True
     region = top.copy()
     for e in range(1, n):
         region[e] |= region[parser.parents[e]]

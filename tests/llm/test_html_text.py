@@ -65,3 +65,32 @@ def test_hard_cases(spark):
     got = {r.page_id: r for r in h.extract(df).collect()}
     assert got[1].text == got[2].text == "" and got[None].text == SENTENCE and got[3].n_chars == 20_000 * (len(SENTENCE) + 1) - 1
     assert h.extract(df).count() == 5 and h.extract(df.limit(0)).count() == 0
+
+
+LONG = " ".join([SENTENCE] * 8)
+
+
+@pytest.mark.parametrize("body, want", [
+    (f"<div id=content><h1>Title</h1><div class=entry><p>{LONG}</p><p>{LONG}</p></div></div>", f"Title {LONG} {LONG}"),
+    (f"<div><h1>Title</h1><div class=meta>x</div><div><div><p>{LONG}</p><p>{LONG}</p></div></div></div>", f"Title {LONG} {LONG}"),
+    *[(f"<div><p>Before it.</p>{a}{LONG}{LONG}{LONG}{b}<p>After it.</p></div>", f"Before it. {LONG}{LONG}{LONG} After it.")
+      for a, b in [("<ol><li>", "</ol>"), ("<pre>", "</pre>"), ("<blockquote>", "</blockquote>")]],
+    (f"<div><p>Before it.</p><table><tr><td>{LONG}<td>{LONG}<tr><td>{LONG}<td>{LONG}</table><p>After it.</p></div>",
+     f"Before it. {LONG} {LONG} {LONG} {LONG} After it."),
+    (f"<p>{SENTENCE}</p><div><p>{LONG}</p><p>{LONG}</p></div><p>{SENTENCE}</p>", f"{SENTENCE} {LONG} {LONG} {SENTENCE}")])
+def test_siblings_of_the_longest_block(body, want):
+    assert h.main_text(page(NOISE + body + TAIL)) == want
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "content-sidebar", "layout sidebar right"])
+@pytest.mark.parametrize("open_, close", [("", ""), ("<article>", "</article>"), ("<main>", "</main>")])
+def test_wrappers_with_a_boilerplate_name(name, open_, close):
+    side = "<div class='sidebar'><p>Other stories that you may want to read.</p></div>"
+    body = f"<div class='{name}'>{open_}<h1>Title</h1><p>{LONG}</p><p>{SENTENCE}</p>{close}{side}</div>"
+    assert h.main_text(page(NOISE + body + TAIL)) == f"Title {LONG} {SENTENCE}"
+
+
+def test_long_discussions_stay_out():
+    talk = "<div id='comments'>" + f"<article class='comment'><p>{LONG}</p></article>" * 3 + "</div>"
+    assert h.main_text(page(f"<article><p>{LONG}</p></article>{talk}")) == LONG
+    assert h.main_text(page(f"<div><p>{LONG}</p><p>{SENTENCE}</p></div>{talk}")) == f"{LONG} {SENTENCE}"
