@@ -10,9 +10,10 @@ nothing, however long the document.  Candidates are verified by the exact
 number of the item's shingles, compared as text.
 
 Documents are read once.  A bitmap of fixed size lets only shingles that may
-belong to an item leave the scan; these meet the items in an equality join
-that Spark may broadcast or shuffle by size.  Documents with the same set of
-such shingles (copies of a passage) are joined once.
+belong to an item leave the scan; these meet the sketches of the items, and the
+candidates alone meet all shingles of their items, in equality joins that Spark
+may broadcast or shuffle by size.  Documents with the same set of such shingles
+(copies of a passage) are joined once.
 """
 
 from __future__ import annotations
@@ -86,6 +87,20 @@ def _bitmap(shingles: DataFrame) -> bytes:
     return total.tobytes()
 
 
+def sketch_candidates(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """Distinct (grams_key, item_id, item_key, q) of sets that show a sketch hash of an item; pairs (grams_key, gram)."""
+    sketch = index.where("in_sketch").select("gram", "item_id", "item_key", "q")
+    return pairs.join(sketch, "gram").select("grams_key", "item_id", "item_key", "q").distinct()
+
+
+def verified(candidates: DataFrame, pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """``candidates`` with n_shared, the exact number of the item's shingles in the set."""
+    grams = index.select(F.col("item_id").alias("_id"), F.col("item_key").alias("_key"), "gram")
+    same = F.col("item_id").eqNullSafe(F.col("_id")) & (F.col("item_key") == F.col("_key"))
+    return (candidates.join(grams, same).drop("_id", "_key").join(pairs, ["grams_key", "gram"])
+            .groupBy("grams_key", "item_id", "item_key", "q").agg(F.count(F.lit(1)).alias("n_shared")))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE,
                  threshold: float = CONTAINMENT) -> DataFrame:
@@ -121,10 +136,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             .withColumn("grams_key", F.sha2(F.array_join(F.transform("grams", F.hex), ","), 256)))
     hits = cut_lineage(hits)
     sets = hits.groupBy("grams_key").agg(F.first("grams").alias("grams"))
-    shared = (sets.select("grams_key", F.explode("grams").alias("gram")).join(index, "gram")
-              .groupBy("grams_key", "item_id", "item_key", "q")
-              .agg(F.count(F.lit(1)).alias("n_shared"), F.max("in_sketch").alias("candidate"))
-              .where(F.col("candidate") & (F.col("n_shared") / F.col("q") >= threshold)))
+    pairs = sets.select("grams_key", F.explode("grams").alias("gram"))
+    shared = (verified(sketch_candidates(pairs, index), pairs, index)
+              .where(F.col("n_shared") / F.col("q") >= threshold))
     return (hits.select("doc_id", "text_key", "grams_key").distinct().join(shared, "grams_key")
             .select("doc_id", "text_key", "item_id", "n_shared", F.col("q").alias("n_item"),
                     (F.col("n_shared") / F.col("q")).alias("containment")))

@@ -77,3 +77,14 @@ def test_equals_brute_force(spark, docs_frame):
     assert sorted((str((r.doc_id, r.text)) for r in kept.collect())) == sorted(str(x) for x in docs if x not in bad)
     assert d.contaminated(frame.limit(0), bench).count() == 0
     assert d.contaminated(frame, bench.limit(0)).count() == 0
+
+
+def test_candidates_come_from_the_sketches(spark):
+    """A set with shingles outside the sketch alone is no candidate; a candidate is counted over all shingles."""
+    index = spark.createDataFrame([(i, 9, bytes([g]), 4, g < 2) for i in (1, None) for g in range(4)],
+                                  "item_id long, item_key long, gram binary, q long, in_sketch boolean")
+    pairs = spark.createDataFrame([("a", bytes([2])), ("a", bytes([3])), ("b", bytes([0])), ("b", bytes([2])), ("b", bytes([7]))],
+                                  "grams_key string, gram binary")
+    found = d.sketch_candidates(pairs, index)
+    assert {(r.grams_key, r.item_id) for r in found.collect()} == {("b", 1), ("b", None)}
+    assert {(r.grams_key, r.item_id, r.n_shared) for r in d.verified(found, pairs, index).collect()} == {("b", 1, 2), ("b", None, 2)}
