@@ -21,8 +21,8 @@ from .common import ascii_lower, cut_lineage
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
          ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING = 0.85
-ROUNDS = 40          # at most; propagation stops when no score moves by more than TOLERANCE
-TOLERANCE = 1e-4
+TOLERANCE = 1e-4     # of a score or of the neutral mass, whichever is more; less movement ends the propagation
+MAX_ROUNDS = 400     # guards against a fault: passing it raises
 CHECK_EVERY = 4      # rounds between cutting the lineage and looking for convergence
 PRIOR = 0.5          # neutral mass, in seeds
 BLOCK_FROM = 0.5     # share of distrust from which a host is blocked
@@ -83,18 +83,21 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     if flow.isEmpty():
         return base
     state = base
-    for done in range(CHECK_EVERY, ROUNDS + 1, CHECK_EVERY):
+    least = (1 - DAMPING) * PRIOR
+    for _ in range(0, MAX_ROUNDS, CHECK_EVERY):
         before = state
         for _ in range(CHECK_EVERY):
             passed = (flow.join(state.withColumnRenamed("host", "src"), ["kind", "src"])
                       .select("kind", F.col("dst").alias("host"), (DAMPING * F.col("score") * F.col("share")).alias("score")))
             state = passed.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         state = cut_lineage(state)
-        moved = (state.unionByName(before.withColumn("score", -F.col("score")))
-                 .groupBy("kind", "host").agg(F.sum("score").alias("d")).agg(F.max(F.abs("d"))).first()[0])
+        both = state.withColumn("was", F.lit(0.0)).unionByName(
+            before.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("was")))
+        moved = (both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was"))
+                 .agg(F.max(F.abs(F.col("score") - F.col("was")) / F.greatest("score", F.lit(least)))).first()[0])
         if (moved or 0.0) <= TOLERANCE:
-            break
-    return state
+            return state
+    raise RuntimeError(f"scores still move after {MAX_ROUNDS} rounds")
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id",

@@ -82,3 +82,15 @@ def test_query_on_all_pages(spark):
         host, path = brute_split(urls[r.page_id])
         rule, verdict = brute_rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict)
+
+
+def test_large_scores_converge(spark, monkeypatch):
+    """A heavy seed feeds a cycle: its scores are right relative to their size; a run that is cut short raises."""
+    edges = spark.createDataFrame([("trust", *e, 1) for e in ("sa", "ab", "ba")], "kind string, src string, dst string, n long")
+    start = spark.createDataFrame([("trust", "s", 500.0)], "kind string, host string, seed double")
+    got = {r.host: r.score for r in u.propagate(edges, start).collect()}
+    a = 500 * 0.15 * 0.85 / (1 - 0.85 ** 2)
+    assert got == pytest.approx({"s": 75.0, "a": a, "b": 0.85 * a}, rel=2 * u.TOLERANCE)
+    monkeypatch.setattr(u, "MAX_ROUNDS", 8)
+    with pytest.raises(RuntimeError):
+        u.propagate(edges, start)
