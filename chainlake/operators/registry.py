@@ -174,12 +174,16 @@ def activate_webhooks(webhooks: DataFrame, active_set: DataFrame, requests: Data
 
 def group_activation(jobs: DataFrame, chains: DataFrame, request_col: str = "request_id") -> DataFrame:
     """Nested routing of one activation request: chain (cluster) -> shard ->
-    ids.  A request carries at most 50 ids, so every group is bounded."""
+    ids.  A request may carry ``MAX_IDS`` ids, which bounds every group; the
+    rows of a larger one are marked by null ``ids`` beside their ``n_ids``,
+    and none of its ids are collected."""
     ch = chains.select(F.col("id").alias("chain_id"), F.col("url").alias("cluster_url"))
-    return (jobs.join(ch, "chain_id")
+    large = (jobs.groupBy(request_col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > C.MAX_IDS)
+             .select(F.col(request_col).alias("_request"), F.lit(True).alias("_large")))
+    ids = F.array_join(F.array_sort(F.collect_list(F.when(F.col("_large").isNull(), F.col("webhook_id")))), ",")
+    return (jobs.join(large, F.col(request_col).eqNullSafe(F.col("_request")), "left").join(ch, "chain_id")
             .groupBy(request_col, "chain_id", "cluster_url", "shard_id")
-            .agg(F.array_join(F.array_sort(F.collect_list("webhook_id")), ",").alias("ids"),
-                 F.count(F.lit(1)).alias("n_ids")))
+            .agg(F.when(F.max("_large").isNull(), ids).alias("ids"), F.count(F.lit(1)).alias("n_ids")))
 
 
 def register_customers(customers: DataFrame, seen_users: DataFrame) -> DataFrame:

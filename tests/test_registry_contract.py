@@ -90,3 +90,12 @@ def test_active_ids_are_not_activated_again(spark):
 def test_search_text_with_a_backslash(spark):
     w = spark.createDataFrame([("a", "c", "b", 0, 0, "x\\\\B", 1, 1, 1), ("b", "c", "b", 0, 0, "xB", 1, 1, 1)], WEBHOOK)
     assert [r.id for r in rg.search_webhooks(w, url_like="x\\\\b").collect()] == ["a"]
+
+
+def test_activation_of_too_many_ids_is_marked(spark):
+    jobs = spark.createDataFrame([(r, f"{i:03}", "c", i % 2) for r, n in (("ok", 50), ("big", 51)) for i in range(n)],
+                                 "request_id string, webhook_id string, chain_id string, shard_id int")
+    chains = spark.createDataFrame([("c", "rpc://x")], "id string, url string")
+    got = {(r.request_id, r.shard_id): (r.ids, r.n_ids) for r in rg.group_activation(jobs, chains).collect()}
+    even, odd = (",".join(f"{i:03}" for i in range(k, 50, 2)) for k in (0, 1))
+    assert got == {("ok", 0): (even, 25), ("ok", 1): (odd, 25), ("big", 0): (None, 26), ("big", 1): (None, 25)}
