@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_text, license_scan, lm_score, packing, simhash, toxicity, url_filter, vector_join
+from . import (chat_format, decontaminate, html_text, license_scan, lm_score, packing, periodic_runs, simhash, toxicity,
+               url_filter, vector_join)
 from .common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,39 @@ from v join m on m.a = v.n left join (select a, count(*) as n_links from l group
 """)
 def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): texts with crc32(doc_id) % 10 = 0 repeat their words from a place a on with a period p.
+
+    With h the crc and g = h div 10: a = g % n and p = 1 + (n - a) div (3 + g % 8) for n words.  A null id
+    counts as the empty text; texts without words stay as they are.
+    """
+    g = F.floor(crc_remainder(F.col("doc_id"), 1 << 32) / 10)
+
+    def repeat(words):  # bound once, so that a text is split once
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, at(i).cast("int"))), " ")
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    planted = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeat(w)).otherwise(F.lit("")))[0]
+    chosen = crc_remainder(F.col("doc_id"), 10) == 0
+    return docs.select("doc_id", F.when(chosen, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    found = periodic_runs.find_runs(docs).withColumn("longest", longest)
+    start, length, period = -F.col("longest.back"), F.col("longest.length"), -F.col("longest.short")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
