@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, html_text, license_scan, lm_score, packing, periodic_runs, simhash, toxicity,
-               url_filter, vector_join)
+from . import (chat_format, decontaminate, hard_negatives, html_text, license_scan, lm_score, packing, periodic_runs,
+               simhash, toxicity, url_filter, vector_join)
 from .common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,33 @@ def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+@query("op12_hard_negatives", """
+with v as (
+  select row_number() over () as n, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         embedding::double[] as e from embeddings),
+g as (
+  select n, vec_id, label, list_transform(e, lambda x: floor(256 * x)) as e from v
+  where vec_id is not null and label is not null and e is not null
+    and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select a.n as a, a.vec_id as anchor_id, g.n, g.vec_id, a.label = g.label as same,
+         case when len(a.e) = 0 then 0 else list_inner_product(a.e, g.e)::bigint end as score
+  from g a join g on len(a.e) = len(g.e) where a.vec_id % 50 = 0),
+p as (
+  select a, anchor_id, vec_id as positive_id, score as positive_score,
+         row_number() over (partition by a order by score desc, vec_id) as place
+  from s where same and a <> n qualify place <= 5)
+select p.anchor_id, p.positive_id, row_number() over (partition by p.a, p.place order by s.score desc, s.vec_id)::int as rank,
+       s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.a = p.a and not s.same and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+qualify rank <= 3
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """(doc_id, text): texts with crc32(doc_id) % 10 = 0 repeat their words from a place a on with a period p.
 
