@@ -12,9 +12,9 @@ next coordinate, and so on; ``LEAF`` neighbours make a leaf and ``FAN`` boxes
 the box above.  A minimum bounding box [lo, hi] bounds the inner product with
 an anchor q coordinate by coordinate: each one adds min(q lo, q hi) to the
 lower and max(q lo, q hi) to the upper end.  The search takes boxes from a
-queue, largest upper end first.  A box is left out for a window if its
-interval does not meet the window, or if its upper end is strictly below the
-k-th best score so far (on equality a smaller id may still win).
+queue, largest upper end first.  A box is left out if its interval lies above
+all windows of the anchor, or if its upper end is below all of them or strictly
+below the k-th best score of each (on equality a smaller id may still win).
 
 Anchors meet the trees in blocks of ``BLOCK``; every task returns its k best
 rows for each window, and a window function keeps the k best of all tasks.
@@ -23,6 +23,7 @@ Nothing else is dropped, so the result is exact whatever the sizes.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from .common import cut_lineage, ship_package
 
 PART = 16384
 BLOCK = 1024
-LEAF = 32
+LEAF = 256
 FAN = 16
 _EXACT = 1 << 53  # integers below are exact in double precision
 
@@ -80,7 +81,7 @@ def _tile(vectors: np.ndarray, leaf: int) -> np.ndarray:
     return np.concatenate(cut(np.arange(len(vectors)), axes))
 
 
-def search(tree: RTree, ids: np.ndarray, allowed: np.ndarray, anchor: np.ndarray, ends: list[tuple[list, list]],
+def search(tree: RTree, ids: np.ndarray, allowed: np.ndarray, anchor: np.ndarray, ends: list[tuple[np.ndarray, np.ndarray]],
            windows: list[tuple[float, float]], k: int) -> list[list[tuple[int, int]]]:
     """The k best (-score, id) of each window [low, high] of scores, best first.
 
@@ -89,30 +90,34 @@ def search(tree: RTree, ids: np.ndarray, allowed: np.ndarray, anchor: np.ndarray
     """
     best: list[list[tuple[int, int]]] = [[] for _ in windows]
     need = [low for low, _ in windows]  # a row below this score cannot enter
+    high = max(high for _, high in windows)
+    least = min(need)
     top = len(ends) - 1
-    queue = [(-ends[top][1][0], top, 0)]
+    queue = [(-ends[top][1][0], ends[top][0][0], top, 0)]
     while queue:
-        upper, level, box = heapq.heappop(queue)
-        if all(-upper < n for n in need):
+        upper, lower, level, box = heapq.heappop(queue)
+        if -upper < least:
             break  # nothing left reaches any window
-        lower = ends[level][0][box]
-        if not any(-upper >= n and lower <= high for n, (_, high) in zip(need, windows)):
+        if lower > high:
             continue
         if level:
-            lows, highs = ends[level - 1]
-            for child in range(box * tree.fan, min((box + 1) * tree.fan, len(highs))):
-                if any(highs[child] >= n and lows[child] <= high for n, (_, high) in zip(need, windows)):
-                    heapq.heappush(queue, (-highs[child], level - 1, child))
+            low = box * tree.fan
+            lows, highs = (e[low:low + tree.fan] for e in ends[level - 1])
+            for child in np.flatnonzero((highs >= least) & (lows <= high)).tolist():
+                heapq.heappush(queue, (-highs[child], lows[child], level - 1, low + child))
             continue
         rows = slice(box * tree.leaf, (box + 1) * tree.leaf)
         scores = tree.vectors[rows] @ anchor
-        for w, (_, high) in enumerate(windows):
-            fits = np.flatnonzero((scores >= need[w]) & (scores <= high) & allowed[rows])
-            if len(fits):
-                found = [(-int(scores[i]), int(ids[rows][i])) for i in fits.tolist()]
-                best[w] = heapq.nsmallest(k, best[w] + found)
-                if len(best[w]) == k:
-                    need[w] = max(need[w], -best[w][-1][0])
+        for i in np.flatnonzero((scores >= least) & (scores <= high) & allowed[rows]).tolist():
+            score = int(scores[i])
+            for w, (_, end) in enumerate(windows):
+                if need[w] <= score <= end:
+                    bisect.insort(best[w], (-score, int(ids[rows.start + i])))
+                    if len(best[w]) > k:
+                        best[w].pop()
+                    if len(best[w]) == k:
+                        need[w] = max(need[w], -best[w][-1][0])
+        least = min(need)
     return best
 
 
@@ -138,7 +143,7 @@ def _group_search(key: tuple, rows: pd.DataFrame, anchors: pd.DataFrame, same: b
     for a, (own, label, lows, highs) in enumerate(zip(anchors.row, anchors.code, anchors.lows, anchors.highs)):
         allowed = (code == label) & (row != own) if same else code != label
         spans = [(-math.inf, math.inf)] if same else list(zip(lows.tolist(), highs.tolist()))
-        levels = [(lower[a].tolist(), upper[a].tolist()) for lower, upper in ends]
+        levels = [(lower[a], upper[a]) for lower, upper in ends]
         for w, found in enumerate(search(tree, ids, allowed, points[a], levels, spans, k)):
             for score, vec_id in found:
                 yield own, w, vec_id, -score
