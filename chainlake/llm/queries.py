@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat_format, decontaminate, hard_negatives, html_text, license_scan, lm_score, packing, periodic_runs,
-               simhash, toxicity, url_filter, vector_join)
+               pii, simhash, toxicity, url_filter, vector_join)
 from .common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,18 @@ def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+@query("op11_pii")
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    is_base = lambda s: s["kind"] != pii.TERM
+    written = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+              for k in (*pii.KINDS, pii.TERM)]
+    base = F.array_join(F.transform(F.filter("spans", is_base), written), ",")
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+                        F.array_join(F.transform("spans", written), ",").alias("spans"))
+
+
 @query("op12_hard_negatives", """
 with v as (
   select row_number() over () as n, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
