@@ -141,8 +141,8 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     is_base = lambda s: s["kind"] != pii.TERM
     written = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-              for k in (*pii.KINDS, pii.TERM)]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in (*pii.KINDS, pii.TERM)]
     base = F.array_join(F.transform(F.filter("spans", is_base), written), ",")
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"),
                         F.array_join(F.transform("spans", written), ",").alias("spans"))
