@@ -126,7 +126,7 @@ def not_retryable(pending: DataFrame, webhooks: DataFrame) -> DataFrame:
     return pending.join(w, "webhook_id").where(F.col("delivery_count") >= F.col("max_retries"))
 
 
-def _prune_to_requests(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+def prune_to_requests(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     """Restrict a partitioned store to the buckets that requests touch, so
     dynamic partition pruning skips the rest of the archive."""
     if "height_bucket" not in blocks.columns:
@@ -156,7 +156,7 @@ def jobs_with_blocks(jobs: DataFrame, blocks: DataFrame, hot_rows: int = HOT_KEY
     wanted = (jobs.select("webhook_id", "chain_id",
                           F.explode(F.sequence(F.col("next_height"),
                                                F.col("next_height") + F.col("max_blocks") - 1)).alias("block_height")))
-    b = _prune_to_requests(blocks.select("chain_id", "block_height", "block",
+    b = prune_to_requests(blocks.select("chain_id", "block_height", "block",
                                          *(["height_bucket"] if "height_bucket" in blocks.columns else [])), wanted)
     b = b.select("chain_id", "block_height", "block")
     if salt <= 1:
@@ -203,7 +203,7 @@ def latest_needed(blocks: DataFrame, heads: DataFrame, bounds: DataFrame,
     samples = F.array_union(F.sequence(F.greatest(F.col("head") - lookback + 1, F.lit(0)), F.col("head"),
                                        F.lit(max(HEIGHT_BUCKET // 2, 1)).cast("bigint")), F.array(F.col("head")))
     wanted = h.select("chain_id", F.explode(samples).alias("block_height"))
-    recent = _prune_to_requests(blocks, wanted).join(F.broadcast(h), "chain_id")  # one row per chain
+    recent = prune_to_requests(blocks, wanted).join(F.broadcast(h), "chain_id")  # one row per chain
     recent = recent.where(F.col("block_height") > F.col("head") - lookback)
     top = _latest(recent, bounds)
     found = top.groupBy("chain_id").agg(F.count(F.lit(1)).alias("k"))
@@ -228,17 +228,17 @@ def new_jobs_with_latest(jobs: DataFrame, blocks: DataFrame, heads: DataFrame |
             .select("webhook_id", "chain_id", "block_height", "block"))
 
 
-def build_payload(rows: DataFrame, descending=False) -> DataFrame:
-    """One request per webhook: ordered JSON array of block strings.  A
-    group holds one request, ``max_blocks`` rows of its own webhook.
+def build_payload(rows: DataFrame, descending=False, keys=("webhook_id",)) -> DataFrame:
+    """One request per ``keys``: ordered JSON array of block strings.  A
+    group holds the blocks of one request, at most ``max_blocks`` rows.
     ``descending`` may be a bool or a boolean column of ``rows``."""
     desc = descending if not isinstance(descending, bool) else F.lit(descending)
-    g = (rows.withColumn("_desc", desc).groupBy("webhook_id")
+    g = (rows.withColumn("_desc", desc).groupBy(*keys)
          .agg(F.sort_array(F.collect_list(F.struct("block_height", "block"))).alias("items"),
               F.first("_desc").alias("_desc")))
     items = F.when(F.col("_desc"), F.reverse("items")).otherwise(F.col("items"))
     return g.select(
-        "webhook_id",
+        *keys,
         F.col("items")[0]["block_height"].alias("first_height"),
         F.element_at("items", -1)["block_height"].alias("last_height"),
         F.size("items").cast("bigint").alias("n_blocks"),
@@ -246,6 +246,64 @@ def build_payload(rows: DataFrame, descending=False) -> DataFrame:
     )
 
 
+#: What a request asks for.  ``[lo, hi]`` are heights; for a new job, ``hi`` is the number of newest blocks.
+RANGE = ["chain_id", "is_new", "lo", "hi"]
+
+
+def with_range(jobs: DataFrame) -> DataFrame:
+    """Jobs (with ``max_blocks``) and the range that each one asks for next."""
+    m = F.col("max_blocks").cast("bigint")
+    return (jobs.withColumn("lo", F.when(F.col("is_new"), F.lit(0).cast("bigint")).otherwise(F.col("next_height")))
+            .withColumn("hi", F.when(F.col("is_new"), m).otherwise(F.col("next_height") + m - 1)))
+
+
+def range_bodies(ranges: DataFrame, blocks: DataFrame, heads: DataFrame | None = None,
+                 mode: str = "reference") -> DataFrame:
+    """``RANGE`` with ``first_height, last_height, n_blocks, body``: one body per distinct range.
+
+    Most webhooks of a chain ask for the same newest ranges.  Each range is
+    built once, so payloads are shuffled per distinct range (a height lies in
+    at most m (m + 1) / 2 ranges of up to m blocks) and not per webhook.
+    Ranges without a stored block have no row.
+    """
+    keys = ranges.select(*RANGE).distinct()
+    old = keys.where(~F.col("is_new")).select("*", F.explode(F.sequence("lo", "hi")).alias("block_height"))
+    stored = prune_to_requests(blocks, old).select("chain_id", "block_height", "block")
+    new = keys.where(F.col("is_new"))
+    bounds = new.groupBy("chain_id").agg(F.max("hi").alias("n"))
+    top = (_latest(blocks, bounds) if heads is None else latest_needed(blocks, heads, bounds))
+    newest = new.join(top, "chain_id").where(F.col("rank") <= F.col("hi"))
+    rows = (old.join(stored, ["chain_id", "block_height"]).select(*RANGE, "block_height", "block")
+            .unionByName(newest.select(*RANGE, "block_height", "block")))
+    return build_payload(rows, F.col("is_new") & F.lit(mode == "reference"), RANGE)
+
+
+def join_bodies(requests: DataFrame, bodies: DataFrame, how: str = "inner", hot_rows: int | None = None,
+                salt: int = SALT_WAYS) -> DataFrame:
+    """``requests`` (with ``RANGE``) and the body of each.
+
+    A range wanted at least ``hot_rows`` times (a count that combines before
+    the shuffle finds at most |requests| / hot_rows of them, so broadcasting
+    the keys is safe) is spread over ``salt`` tasks with a copy of its body.
+    """
+    limit = HOT_KEY_ROWS if hot_rows is None else hot_rows
+    hot = F.broadcast(requests.groupBy(*RANGE).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= limit)
+                      .select(*RANGE, F.lit(True).alias("_hot")))
+    ways = F.when(F.col("_hot"), F.lit(salt)).otherwise(F.lit(1))
+    left = (requests.join(hot, RANGE, "left")
+            .withColumn("_salt", F.pmod(F.xxhash64("webhook_id"), ways).cast("int")).drop("_hot"))
+    right = (bodies.join(hot, RANGE, "left")
+             .withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_hot"))
+    return left.join(right, [*RANGE, "_salt"], how).drop("_salt")
+
+
+def payloads(jobs: DataFrame, blocks: DataFrame, heads: DataFrame | None = None, mode: str = "reference") -> DataFrame:
+    """``(webhook_id, first_height, last_height, n_blocks, body)`` of every job (with ``max_blocks``) that finds blocks."""
+    asked = with_range(jobs).select("webhook_id", *RANGE)
+    return (join_bodies(asked, range_bodies(asked, blocks, heads, mode))
+            .select("webhook_id", "first_height", "last_height", "n_blocks", "body"))
+
+
 def relay_step(jobs: DataFrame, webhooks: DataFrame, blocks: DataFrame, heads: DataFrame,
                failures: DataFrame | None = None, mode: str = "reference",
                skip_evicted: bool = False) -> DataFrame:
@@ -268,16 +326,14 @@ def relay_step(jobs: DataFrame, webhooks: DataFrame, blocks: DataFrame, heads: D
     skip = (F.col("failures") >= 1) & (F.col("failures") >= attempts_allowed("max_retries"))
     j = j.withColumn("outcome", F.when(F.col("dropped"), "dropped").when(skip, "skip"))
 
-    live = j.where(F.col("outcome").isNull())
-    old_rows = jobs_with_blocks(live.where(~F.col("is_new")), blocks)
-    new_rows = new_jobs_with_latest(live.where(F.col("is_new")), blocks, heads)
-    desc_new = F.lit(mode == "reference")
-    rows = (old_rows.withColumn("_d", F.lit(False))
-            .unionByName(new_rows.withColumn("_d", desc_new)))
-    payload = build_payload(rows, F.col("_d"))
+    live = with_range(j.where(F.col("outcome").isNull()))
+    found = join_bodies(live, range_bodies(live, blocks, heads, mode), "left")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in
+               (("first_height", "bigint"), ("last_height", "bigint"), ("n_blocks", "bigint"), ("body", "string"))]
+    still = with_range(j.where(F.col("outcome").isNotNull())).select("*", *nothing)
 
     h = _heads_b(heads.select("chain_id", "head", "low"))
-    out = j.join(payload, "webhook_id", "left").join(h, "chain_id", "left")
+    out = found.unionByName(still).join(h, "chain_id", "left")
     delivered = F.col("n_blocks").isNotNull()
     evicted = (F.col("next_height") + F.col("max_blocks") - 1) < F.col("low")
     outcome = (F.when(F.col("outcome").isNotNull(), F.col("outcome"))
@@ -378,15 +434,15 @@ def delivery_outbox(step: DataFrame, webhooks: DataFrame, batch_id: int) -> Data
 
 def delivery_summary(outbox: DataFrame) -> DataFrame:
     """Requests and blocks per webhook, heights and timestamps read back
-    from the request bodies."""
-    items = outbox.select("webhook_id", F.explode(F.from_json("body", "array<string>")).alias("b"))
-    fields = F.from_json("b", "height bigint, timestamp string")  # one parse per block
-    per = items.select("webhook_id", fields["height"].alias("h"), fields["timestamp"].alias("t"))
-    reqs = outbox.groupBy("webhook_id").agg(F.count(F.lit(1)).alias("n_requests"))
-    blk = per.groupBy("webhook_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.min("h").alias("min_height"),
-                                         F.max("h").alias("max_height"), F.min("t").alias("first_ts"),
-                                         F.max("t").alias("last_ts"),
-                                         F.count(F.when(F.col("h").isNull() | F.col("t").isNull(), 1))
-                                          .alias("n_missing_fields"))
-    return reqs.join(blk, "webhook_id")
-
+    from the request bodies.  A body is parsed once and summed up in its own
+    row; one aggregation per webhook follows."""
+    read = F.transform(F.from_json("body", "array<string>"),
+                       lambda b: F.from_json(b, "height bigint, timestamp string"))
+    per = (outbox.select("webhook_id", read.alias("r"))
+           .select("webhook_id", F.size("r").alias("n"), F.col("r.height").alias("h"), F.col("r.timestamp").alias("t"),
+                   F.size(F.filter("r", lambda x: x["height"].isNull() | x["timestamp"].isNull())).alias("bad")))
+    return per.groupBy("webhook_id").agg(
+        F.count(F.lit(1)).alias("n_requests"), F.sum("n").cast("bigint").alias("n_blocks"),
+        F.min(F.array_min("h")).alias("min_height"), F.max(F.array_max("h")).alias("max_height"),
+        F.min(F.array_min("t")).alias("first_ts"), F.max(F.array_max("t")).alias("last_ts"),
+        F.sum("bad").cast("bigint").alias("n_missing_fields")).where(F.col("n_blocks") > 0)

@@ -161,10 +161,7 @@ def q_new_jobs_with_latest(spark, sf_dir):
     FROM round_rows GROUP BY webhook_id""", ("round_rows",))
 def q_build_payload(spark, sf_dir):
     j = dv.jobs_with_webhook(fx.jobs(spark, sf_dir), _live_webhooks(spark, sf_dir)).where(~F.col("dropped"))
-    b = fx.blocks(spark, sf_dir)
-    rows = dv.jobs_with_blocks(j.where(~F.col("is_new")), b).unionByName(
-        dv.new_jobs_with_latest(j.where(F.col("is_new")), b))
-    return dv.build_payload(rows)
+    return dv.payloads(j, fx.blocks(spark, sf_dir), _heads(spark, sf_dir), mode="ordered")
 
 
 @query("relay_step", "SELECT * FROM relay", ("relay",))

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from chainlake import fixtures as fx
 from chainlake.operators import billing as bl
@@ -190,9 +191,13 @@ def q_delivery_rounds_feedback(spark, sf_dir):
                                                        "first_height", "last_height", "n_blocks")
 
 
-def relay_until_idle(spark, jobs, webhooks, blocks, heads, compact_every=25):
-    """Rounds over ``jobs`` until nothing is due; the requests of all rounds.
-    The inputs are stored once, since every round reads them anew."""
+RELAY_WINDOW = 64  # ordered requests of a job in one round
+
+
+def relay_until_idle(spark, jobs, webhooks, blocks, heads, compact_every=25, window=RELAY_WINDOW, send=None):
+    """Rounds over ``jobs`` until nothing is due; the requests of all rounds
+    in the order of each webhook.  The inputs are stored once, since every
+    round reads them anew."""
     from chainlake.streaming import rounds as rd
     base = fresh_path(spark, "until-idle")
 
@@ -202,16 +207,19 @@ def relay_until_idle(spark, jobs, webhooks, blocks, heads, compact_every=25):
 
     rd.init_cursors(jobs, f"{base}/cursors")
     rd.run_until_idle(spark, f"{base}/cursors", f"{base}/outbox", stored(webhooks, "webhooks"), stored(blocks, "blocks"),
-                      stored(heads, "heads"), compact_every=compact_every)
-    return spark.read.parquet(f"{base}/outbox").select("webhook_id", F.col("round_id").cast("bigint").alias("round_id"),
-                                                       "first_height", "last_height", "n_blocks")
+                      stored(heads, "heads"), compact_every=compact_every, window=window, send=send)
+    sent = spark.read.parquet(f"{base}/outbox").select("webhook_id", "round_id", "seq", "first_height", "last_height", "n_blocks")
+    order = Window.partitionBy("webhook_id").orderBy("round_id", "seq")
+    return sent.select("webhook_id", (F.row_number().over(order) - 1).cast("bigint").alias("round_id"),
+                       "first_height", "last_height", "n_blocks")
 
 
 @query("delivery_rounds_until_idle", f"""
     SELECT webhook_id, CAST(request_no AS BIGINT) AS round_id, first_height, last_height, n_blocks
     FROM ({_PLAN_SQL.format(cursor="first_lo + 1")}) p""", ("job", "webhook", "block", "chain_head"))
 def q_delivery_rounds_until_idle(spark, sf_dir):
-    """The relay loop until nothing is due equals the whole closed-form plan."""
+    """The relay loop until nothing is due equals the whole closed-form plan:
+    ``round_id`` is the place of a request among those of its webhook."""
     return relay_until_idle(spark, fx.jobs(spark, sf_dir), fx.webhooks(spark, sf_dir), fx.blocks(spark, sf_dir),
                             fx.chain_heads(spark, sf_dir))
 

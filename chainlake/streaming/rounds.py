@@ -1,16 +1,18 @@
 """Delivery rounds with idempotent cursors (no MERGE needed).
 
-One round = the jobs that are due (new ones, or ``next_height < head``) go
-through ``relay_step``; the requests are written to the outbox, handed to the
-sender, and its results decide which cursors move.  Outbox, attempts and
+One round = up to ``window`` ordered requests of each job that is due (new
+ones, or ``next_height < head``); they are written to the outbox with bodies
+that are built once per distinct range, handed to the sender, and a prefix
+scan over its answers decides how far each cursor moves.  Outbox, attempts and
 cursor snapshots are folders keyed by ``round_id`` that a replay replaces.
 The current cursor of a webhook is the snapshot row with the highest round id
 (``max_by``); a null ``next_height`` says that the job has left.
 ``compact_rounds`` folds old snapshots into one base so reads stay small.
 
 A cursor moves only on a reported success, on a skip, or past evicted blocks.
-A failed request stays where it is and is counted under its own
-``(webhook_id, next_height, is_new)``, so a skip or a success starts at zero.
+The first failed request of a job stays where it is and is counted under its
+own ``(webhook_id, next_height, is_new)``, so a skip or a success starts at
+zero; what lies behind it is asked again in a later round.
 
 ``webhooks``, ``blocks`` and ``heads`` are DataFrames or functions that
 return one; a function is called in every round, so that a long-running relay
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainlake.operators import delivery as dv
+from chainlake.operators.windows import advance, request_window
 from chainlake.session import ensure_checkpoint_dir
 
 CURSOR_SCHEMA = T.StructType([
@@ -117,41 +120,55 @@ def compact_rounds(spark: SparkSession, cursor_path: str, attempts_path: str, ba
 
 
 def run_round(spark: SparkSession, round_id: int, cursor_path: str, outbox_path: str, webhooks, blocks, heads,
-              send=None, attempts_path: str | None = None, mode: str = "reference", skip_evicted: bool = False) -> None:
-    """One delivery round.
-
-    ``send(outbox) -> DataFrame(webhook_id, delivered)`` delivers the requests
-    of the round, for example by ``mapInArrow`` over an HTTP client; a webhook
-    that it does not report counts as failed.  Without ``send`` the outbox is
-    the boundary and a request counts as delivered once it is written there.
+              send=None, attempts_path: str | None = None, mode: str = "reference", skip_evicted: bool = False,
+              window: int = 1) -> bool:
+    """One delivery round; tells whether it moved a cursor or counted a failure.
+
+    ``send(outbox) -> DataFrame(webhook_id, seq, delivered)`` delivers the
+    requests of the round, those of a webhook by ``seq`` (``runners.ordered_sender``
+    does so); a request that it does not report counts as failed.  ``seq`` may
+    be left out where ``window`` is 1.  Without ``send`` the outbox is the
+    boundary and a request counts as delivered once it is written there.
     """
     attempts_path = attempts_path or f"{outbox_path}__attempts"
-    w, h = _now(webhooks), _now(heads)
+    w, b, h = _now(webhooks), _now(blocks), _now(heads)
     jobs = current_cursors(spark, cursor_path, before_round=round_id)
     ready = (dv.due_jobs(jobs, h).where(F.col("is_new") | (F.col("state") == "ready"))
              .select("webhook_id", "chain_id", "next_height", "is_new"))
     failures = (message_failures(spark, attempts_path, round_id).join(jobs.select(*JOB), JOB)
                 .select("webhook_id", F.col("failures").cast("int").alias("failures")))
-    step = dv.relay_step(ready, w, _now(blocks), h, failures, mode=mode, skip_evicted=skip_evicted)
     ensure_checkpoint_dir(spark)
-    step = step.checkpoint(eager=True)  # one evaluation feeds all writes
-    out = dv.delivery_outbox(step, w, round_id).drop("batch_id")
-    out = out.join(step.select("webhook_id", "last_height"), "webhook_id")
-    _write_round(out, outbox_path, round_id)
-    # the bodies end here; what follows are a few columns per webhook
-    step = step.drop("body")
-    if send is None:
-        result = step.withColumn("delivered", F.col("outcome") == "deliver")
-    else:
-        sent = send(spark.read.parquet(f"{outbox_path}/round_id={round_id}"))
-        sent = sent.groupBy("webhook_id").agg(F.max("delivered").alias("delivered"))
-        result = step.join(sent, "webhook_id", "left").withColumn("delivered", F.coalesce("delivered", F.lit(False)))
-        result = result.checkpoint(eager=True)  # requests are sent once, not once per write
-    failed = (F.col("outcome") == "deliver") & ~F.col("delivered")
-    _write_round(result.where(failed).select(*JOB, F.lit(1).cast("bigint").alias("failures")), attempts_path, round_id)
-    moves = F.col("outcome").isin("skip", "evicted", "dropped") | F.col("delivered")
-    _write_round(result.where(moves).select("webhook_id", "chain_id", F.col("new_next_height").alias("next_height"),
-                                            F.col("new_is_new").alias("is_new")), cursor_path, round_id)
+    # a few columns per request; one evaluation feeds all writes
+    steps = request_window(ready, w, b, h, failures, window, mode, skip_evicted).checkpoint(eager=True)
+    _write_round(_outbox(steps, w, b, h, mode), outbox_path, round_id)
+    answers = None
+    if send is not None:
+        answers = send(spark.read.parquet(f"{outbox_path}/round_id={round_id}"))
+        if "seq" not in answers.columns:
+            if window != 1:
+                raise ValueError("the sender must report the seq of each request")
+            answers = answers.withColumn("seq", F.lit(0))
+        answers = answers.select("webhook_id", "seq", "delivered").checkpoint(eager=True)  # requests are sent once
+    moves, failed = advance(steps, answers)
+    _write_round(failed, attempts_path, round_id)
+    _write_round(moves, cursor_path, round_id)
+    written = spark.read.schema(CURSOR_SCHEMA).parquet(f"{cursor_path}/round_id={round_id}")
+    # a job that left has a null cursor, which no earlier row equals
+    return not (written.join(jobs, JOB, "left_anti").isEmpty()
+                and spark.read.parquet(f"{attempts_path}/round_id={round_id}").isEmpty())
+
+
+def _outbox(steps: DataFrame, webhooks: DataFrame, blocks: DataFrame, heads: DataFrame, mode: str) -> DataFrame:
+    """``(webhook_id, seq, first_height, last_height, n_blocks, url, timeout_ms, body)`` of the requests of ``steps``."""
+    asked = (steps.where(F.col("outcome") == "deliver")
+             .withColumn("lo", F.when(F.col("is_new"), F.lit(0).cast("bigint")).otherwise(F.col("first_height")))
+             .withColumn("hi", F.when(F.col("is_new"), F.col("batch")).otherwise(F.col("last_height")))
+             .select("webhook_id", "seq", *dv.RANGE))
+    shard = [c for c in ("shard_id",) if c in webhooks.columns]
+    hooks = webhooks.select(F.col("id").alias("webhook_id"), "url", "timeout_ms", *shard)
+    # the bodies come last: they meet their requests and are written, and are in no later shuffle
+    return dv.join_bodies(asked.join(hooks, "webhook_id"), dv.range_bodies(asked, blocks, heads, mode)).select(
+        "webhook_id", "seq", "first_height", "last_height", "n_blocks", "url", "timeout_ms", *shard, "body")
 
 
 def run_rounds(spark: SparkSession, n_rounds: int, cursor_path: str, outbox_path: str, webhooks, blocks, heads,
@@ -163,21 +180,15 @@ def run_rounds(spark: SparkSession, n_rounds: int, cursor_path: str, outbox_path
 def run_until_idle(spark: SparkSession, cursor_path: str, outbox_path: str, webhooks, blocks, heads,
                    start_round: int = 0, compact_every: int | None = None, **options) -> int:
     """Rounds until one neither moves a cursor nor counts a failure; returns how many were run.
+    Without failures that is the longest backlog in requests over ``window``, and one round that finds nothing.
     With ``compact_every``, snapshots are folded after so many rounds, so that a long run does not list them all."""
     attempts_path = options.get("attempts_path") or f"{outbox_path}__attempts"
     r = start_round
-    while True:
-        run_round(spark, r, cursor_path, outbox_path, webhooks, blocks, heads, **options)
-        before = current_cursors(spark, cursor_path, before_round=r)
-        written = spark.read.schema(CURSOR_SCHEMA).parquet(f"{cursor_path}/round_id={r}")
-        # a job that left has a null cursor, which no earlier row equals
-        idle = (spark.read.parquet(f"{attempts_path}/round_id={r}").isEmpty()
-                and written.join(before, JOB, "left_anti").isEmpty())
+    while run_round(spark, r, cursor_path, outbox_path, webhooks, blocks, heads, **options):
         r += 1
-        if idle:
-            return r - start_round
         if compact_every and (r - start_round) % compact_every == 0:
             compact_rounds(spark, cursor_path, attempts_path, r - 1)
+    return r + 1 - start_round
 
 
 def relay_stream(spark: SparkSession, cursor_path: str, outbox_path: str, webhooks, blocks, heads,

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,3 +228,43 @@ def send_outbox(outbox: DataFrame, send) -> None:
     production); rows carry ``(webhook_id, first_height, batch_id)`` so a
     receiver can drop a resend after a retried task."""
     outbox.foreachPartition(send)
+
+
+def ordered_sender(send_one):
+    """A ``send`` for delivery rounds that keeps the order of each webhook.
+
+    The requests are dealt by shard and webhook, so that a hot shard spreads
+    over as many tasks as it has webhooks, and sorted by ``seq`` inside a
+    task: a webhook gets one request at a time and nothing behind its first
+    failure, which later rounds ask again.  ``send_one(row) -> bool`` delivers
+    one outbox row (a dict) on an executor; an exception in it (a transport
+    error) is a failure.  A task that Spark runs again sends again: rows carry
+    ``(webhook_id, first_height)`` for the receiver to recognise repeats.
+    """
+    def run(batches):
+        stopped = None
+        for batch in batches:
+            out = {"webhook_id": [], "seq": [], "delivered": []}
+            for row in batch.to_pylist():
+                if row["webhook_id"] == stopped:
+                    continue
+                try:
+                    delivered = bool(send_one(row))
+                except Exception:  # noqa: BLE001  whatever the client raises, the request was not delivered
+                    delivered = False
+                if not delivered:
+                    stopped = row["webhook_id"]
+                out["webhook_id"].append(row["webhook_id"])
+                out["seq"].append(row["seq"])
+                out["delivered"].append(delivered)
+            yield pa.RecordBatch.from_pydict(out, schema=_ANSWER)
+
+    def send(outbox: DataFrame) -> DataFrame:
+        keys = [c for c in ("shard_id", "webhook_id") if c in outbox.columns]
+        return (outbox.repartition(*keys).sortWithinPartitions("webhook_id", "seq")
+                .mapInArrow(run, "webhook_id string, seq int, delivered boolean"))
+
+    return send
+
+
+_ANSWER = pa.schema([("webhook_id", pa.string()), ("seq", pa.int32()), ("delivered", pa.bool_())])
