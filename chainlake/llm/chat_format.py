@@ -8,8 +8,9 @@ record with the number of tokens that it expands to.
 Template: ``### role: body</turn>\\n`` per turn.  A backslash begins a code in
 escaped text: ``\\b`` backslash, ``\\h`` number sign, ``<\\s`` for ``</``,
 ``<\\p`` for ``<|`` and, in roles, ``\\c`` for a colon.  So neither ``###`` nor
-``</turn>`` nor a placeholder can stand inside a text, and unescaping (the
-backslash last) gives every text back.
+``</turn>`` nor a placeholder can stand inside a text, or begin in one part and
+end in the next, and unescaping (the backslash last) gives every text back.
+Expanded token counts are those of the placeholders; text tokens are not counted.
 """
 
 from __future__ import annotations
@@ -78,13 +79,19 @@ def _is_text(part: Column) -> Column:
 
 
 def flatten(parts: Column, turn: Column) -> Column:
-    """The visitor: escaped text and placeholders of all parts, in order."""
+    """The visitor: escaped text and placeholders of all parts, in order.
+
+    Control strings may begin in one text part and end in a later one, so all
+    but the backslash is escaped in the joined body.  Until then placeholders
+    stand between ``\\[`` and ``\\]``, which no escaped text holds.
+    """
     def visit(part: Column, i: Column) -> Column:
-        mark = F.concat(F.lit("<|"), escape(part["type"], ROLE_CODES), F.lit(" "), turn.cast("string"), F.lit("."),
-                        (i + 1).cast("string"), F.lit("|>"))
-        return F.when(_is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(mark)
+        mark = F.concat(F.lit("\\["), escape(part["type"], ROLE_CODES), F.lit(" "), turn.cast("string"), F.lit("."),
+                        (i + 1).cast("string"), F.lit("\\]"))
+        return F.when(_is_text(part), escape(F.coalesce(part["text"], F.lit("")), CODES[:1])).otherwise(mark)
 
-    return F.array_join(F.transform(parts, visit), "")
+    joined = escape(F.array_join(F.transform(parts, visit), ""), CODES[1:])
+    return escape(joined, (("\\[", "<|"), ("\\]", "|>")))
 
 
 def attachments(parts: Column, turn: Column) -> Column:

@@ -45,6 +45,36 @@ def test_typed_parts(spark):
     assert len(c.format_chats(short, parts_col="parts").first().attachments) == 5
 
 
+def test_control_strings_split_over_parts(spark):
+    """Texts cut anywhere, with empty and other parts between: nothing is forged or lost, also under the mask."""
+    import random
+    import re
+    draw = random.Random(7)
+    part = dict(text=None, ref=None, width=None, height=None, seconds=None, pages=None)
+    pieces = ["<", "/", "|", "/turn>", "\n", "turn>\n", "|image 9.9|>", "###", "# ", "\\", "[", "]", "\\[", "s", "p", "b", "a", "", ": "]
+    rows = [(0, 0, "assistant", [part | {"type": "text", "text": t} for t in ("<", "/turn>\n", "x")]),
+            (0, 1, "assistant", [part | {"type": "text", "text": t} for t in ("a<", "|image 9.9|>")])]
+    for conv in range(1, 120):
+        for turn in range(draw.randint(1, 3)):
+            rows.append((conv, turn, draw.choice(["user", "assistant"]), [
+                part | ({"type": "text", "text": "".join(draw.choices(pieces, k=draw.randint(0, 3)))} if draw.random() < 0.85
+                        else {"type": "image"}) for _ in range(draw.randint(0, 7))]))
+    kind = "array<struct<type: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>>"
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {kind}")
+    got = {r.conv_id: r for r in c.read_back(c.format_chats(df, parts_col="parts")).collect()}
+
+    def plain(parts, turn):
+        return "".join(p["text"] if p["type"] == "text" else f"<|image {turn}.{k + 1}|>" for k, p in enumerate(parts))
+
+    for conv, r in got.items():
+        own = [x for x in rows if x[0] == conv]
+        assert [(t.role, t.text) for t in r.read] == [(role, plain(parts, k + 1)) for k, (_, _, role, parts) in enumerate(own)]
+        assert list(r.learned) == [plain(parts, k + 1) for k, (_, _, role, parts) in enumerate(own) if role == "assistant"]
+        marks = [f"<|image {k + 1}.{n + 1}|>" for k, (*_, parts) in enumerate(own) for n, p in enumerate(parts) if p["type"] == "image"]
+        assert re.findall(r"<\|[^|]*\|>", r.formatted) == marks and r.formatted.count("<|") == len(marks) == len(r.attachments)
+        assert r.formatted.count("</turn>") == len(own) and r.formatted.count("###") == len(own)
+
+
 def test_query_row_of_the_control_conversation(spark, small_dir):
     from chainlake.llm.queries import QUERIES
     r = QUERIES["op7_chat_format"](spark, small_dir).where("conv_id = -7").first()
