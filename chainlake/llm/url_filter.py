@@ -26,7 +26,12 @@ MAX_ROUNDS = 400     # guards against a fault: passing it raises
 CHECK_EVERY = 4      # rounds between cutting the lineage and looking for convergence
 PRIOR = 0.5          # neutral mass, in seeds
 BLOCK_FROM = 0.5     # share of distrust from which a host is blocked
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+HOT = 10_000         # pages or links of a host from which its rows are spread over SALTS tasks
+SALTS = 16
+# Comments and scripts are matched too, so that links in them are passed over; no alternative looks beyond
+# its own tag, comment or script, and one that never ends takes the rest of the text, so a text is read once.
+LINK = (r"""(?is)<!--.*?(?:-->|\z)|<(script|style|textarea)\b.*?(?:</\1|\z)|"""
+        r"""<a\s[^<>]*?\bhref\s*=\s*(?:["']\s*)?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)""")
 
 
 def _after_scheme(url: Column) -> Column:
@@ -63,10 +68,10 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RU
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n) of links between different hosts; pages has host and html."""
     to = F.explode(F.array_distinct(F.transform(
-        F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda h: ascii_lower(h))))
+        F.regexp_extract_all("html", F.lit(LINK), F.lit(2)), lambda h: ascii_lower(h))))
     return (pages.where(F.col("html").isNotNull() & (F.col("host") != ""))
             .select(F.col("host").alias("src"), to.alias("dst"))
-            .where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
+            .where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -76,9 +81,11 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     linking hosts pass on, in units of seeds: PageRank that returns dangling
     mass to the seeds, up to its constant factor.
     """
-    total = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    flow = cut_lineage(edges.join(total, ["kind", "src"])
-                       .select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")))
+    total = cut_lineage(edges.groupBy("kind", "src").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("links")))
+    hubs = F.broadcast(total.where(F.col("links") >= HOT).select("kind", "src", F.lit(SALTS).alias("ways")))  # |edges| / HOT at most
+    flow = cut_lineage(edges.join(total, ["kind", "src"]).select(
+        "kind", "src", "dst", (F.col("n") / F.col("total")).alias("share"),
+        F.when(F.col("links") >= HOT, F.pmod(F.xxhash64("dst"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt")))
     base = cut_lineage(seeds.select("kind", "host", ((1 - DAMPING) * F.col("seed")).alias("score")))
     if flow.isEmpty():
         return base
@@ -87,7 +94,7 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     for _ in range(0, MAX_ROUNDS, CHECK_EVERY):
         before = state
         for _ in range(CHECK_EVERY):
-            passed = (flow.join(state.withColumnRenamed("host", "src"), ["kind", "src"])
+            passed = (flow.join(_spread(state.withColumnRenamed("host", "src"), hubs, ["kind", "src"]), ["kind", "src", "salt"])
                       .select("kind", F.col("dst").alias("host"), (DAMPING * F.col("score") * F.col("share")).alias("score")))
             state = passed.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         state = cut_lineage(state)
@@ -100,6 +107,12 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     raise RuntimeError(f"scores still move after {MAX_ROUNDS} rounds")
 
 
+def _spread(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with a salt: one copy for each of the ``ways`` of a hot key, salt 0 for all others."""
+    last = F.coalesce("ways", F.lit(1)) - 1
+    return rows.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("ways")
+
+
 def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id",
                 url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of ``pages``.
@@ -114,7 +127,7 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_c
     judged = urls.withColumn("m", match_rule(F.col("host"), F.col("path"), rules)).select(
         "page_id", "host", "path", "m.rule", F.col("m.verdict").alias("listed"))
     share = [F.avg((F.coalesce("listed", F.lit("")) == v).cast("double")).alias(v) for v in ("allow", "block")]
-    hosts = judged.where("host <> ''").groupBy("host").agg(*share)
+    hosts = cut_lineage(judged.where("host <> ''").groupBy("host").agg(*share, F.count(F.lit(1)).alias("pages")))
     seeds = cut_lineage(hosts.select("host", F.explode(F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("allow").alias("seed")),
         F.struct(F.lit("distrust").alias("kind"), F.col("block").alias("seed")))).alias("s")).select("s.kind", "host", "s.seed"))
@@ -127,7 +140,10 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_c
                    F.sum(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust")))
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
     bad = distrust / (distrust + trust + F.lit((1 - DAMPING) * PRIOR)) >= BLOCK_FROM
-    return judged.join(scores, "host", "left").select(
+    hot = F.broadcast(hosts.where(F.col("pages") >= HOT).select("host", F.lit(SALTS).alias("ways")))  # |pages| / HOT at most
+    dealt = (judged.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.coalesce("ways", F.lit(1)))
+                                                         .cast("int")).drop("ways"))
+    return dealt.join(_spread(scores, hot, ["host"]), ["host", "salt"], "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("listed", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         trust.alias("trust"), distrust.alias("distrust"))

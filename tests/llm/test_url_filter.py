@@ -72,6 +72,58 @@ def test_trust_and_distrust_reach_unlisted_hosts(spark):
     assert [got[i].verdict for i in range(7)] == ["allow", "allow", "block", "block", "allow", "block", "allow"]
 
 
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_verdicts_equal_brute_force_on_a_linked_graph(spark, monkeypatch, hot):
+    """Rules, links, both propagations and the threshold of every page, with and without split hosts."""
+    import re
+    monkeypatch.setattr(u, "HOT", hot)
+    rng = np.random.default_rng(3)
+    hosts = ([f"h{i}.org" for i in range(25)] + ["a.com", "b.com", "bad.net", "worse.net", "example.com", "www.example.com"])
+    rows = []
+    for i in range(150):
+        host = hosts[int(rng.integers(len(hosts)) * rng.random())] if i % 3 else hosts[0]  # a hot host
+        path = ["/es/1", "/en/x", "/fr/", "/"][rng.integers(4)]
+        to = [f"<a href='http://{hosts[k]}/x'>t</a>" for k in rng.integers(0, len(hosts), rng.integers(0, 6))]
+        html = "".join(to) + "<!-- <a href='//bad.net/'> --><script>'<a href=//worse.net/>'</script>" + "<a name=x>"
+        rows.append((i, f"http://{host}{path}", html if i % 7 else None))
+    rows += [(200 + i, f"http://farm{i}.org/p", "<a href='http://bad.net/x'>t</a>") for i in range(5)]  # point at a bad host alone
+    rows += [(300 + i, "http://bad.net/es/1", "") for i in range(9)]
+    pages = [(i, *brute_split(url), html) for i, url, html in rows]
+    known = sorted({h for _, h, _, _ in pages} | {h for h in hosts})
+    at = {h: k for k, h in enumerate(known)}
+    weight = np.zeros((len(known), len(known)))
+    for _, host, _, html in pages:
+        for to in set(re.findall(r"<a href='http://([^/]+)/x'", html or "")) - {host}:
+            weight[at[host], at[to]] += 1
+    listed = {i: brute_rule(host, path)[1] for i, host, path, _ in pages}
+    score = {}
+    for kind, verdict, w in (("trust", "allow", weight), ("distrust", "block", weight.T)):
+        seed = np.array([np.mean([listed[i] == verdict for i, h, _, _ in pages if h == host] or [0]) for host in known])
+        flow = w / np.maximum(1e-300, w.sum(axis=1, keepdims=True))
+        score[kind] = np.linalg.solve(np.eye(len(known)) - u.DAMPING * flow.T, (1 - u.DAMPING) * seed)
+    got = {r.page_id: r for r in u.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    blocked = 0
+    for i, host, path, _ in pages:
+        t, d = score["trust"][at[host]], score["distrust"][at[host]]
+        assert (got[i].trust, got[i].distrust) == pytest.approx((t, d), abs=20 * u.TOLERANCE)
+        share = d / (d + t + (1 - u.DAMPING) * u.PRIOR)
+        assert abs(share - u.BLOCK_FROM) > 1e-2  # no close call in this graph
+        assert got[i].verdict == (listed[i] or ("block" if share >= u.BLOCK_FROM else "allow"))
+        blocked += listed[i] is None and got[i].verdict == "block"
+    assert blocked and any(listed[i] is None and got[i].verdict == "allow" for i in listed)
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a href=", "<a href", "<!--", "<script>", "<a href= ", "href=", "<a b", "<", "<a href='a."])
+def test_malformed_pages_take_linear_time(spark, part):
+    import time
+    df = spark.createDataFrame([(1, "http://x.org/", part * 100_000), (2, "http://x.org/", "<a href=" + " " * 300_000)],
+                               "page_id long, host string, html string")
+    start = time.perf_counter()
+    u.host_edges(df).collect()
+    assert time.perf_counter() - start < 20
+
+
 def test_query_on_all_pages(spark):
     from chainlake.llm.queries import QUERIES
     sf = "/root/testdata/sf0.01"
