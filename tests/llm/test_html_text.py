@@ -94,3 +94,45 @@ def test_long_discussions_stay_out():
     talk = "<div id='comments'>" + f"<article class='comment'><p>{LONG}</p></article>" * 3 + "</div>"
     assert h.main_text(page(f"<article><p>{LONG}</p></article>{talk}")) == LONG
     assert h.main_text(page(f"<div><p>{LONG}</p><p>{SENTENCE}</p></div>{talk}")) == f"{LONG} {SENTENCE}"
+
+
+PARAGRAPHS = "".join(f"<p>{SENTENCE} {k}</p>" for k in range(4))
+TEXT = " ".join(f"{SENTENCE} {k}" for k in range(4))
+NO_ARTICLE = [
+    (f"<div>Home News Sport</div><div>{PARAGRAPHS}</div><div>All rights reserved 2020</div>", TEXT),
+    (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><h1>Title</h1>{PARAGRAPHS}</div><table><tr><td>1<td>2</table>",
+     f"Title {TEXT}"),
+    (f"<div><ul><li><a href=a>Home</a><li><a href=b>News</a></ul>{PARAGRAPHS}<p>The end.</p></div>", f"{TEXT} The end."),
+    (f"<div><div>{PARAGRAPHS}<div>Short</div>{PARAGRAPHS}</div></div><div>Contact us</div>", f"{TEXT} Short {TEXT}"),
+    (f"<table><tr><td>Menu<td>{PARAGRAPHS}</table>", TEXT),
+    (f"<form><div>Log in</div><div>{PARAGRAPHS}</div></form>", TEXT),
+    (f"<form><input><article>{PARAGRAPHS}</article></form>", TEXT)]
+
+
+@pytest.mark.parametrize("body, want", NO_ARTICLE)
+def test_menus_without_names(body, want):
+    assert h.main_text(page(body)) == want
+
+
+def test_clusters_decide(monkeypatch):
+    """With one cluster for all lines, menus and footers without names would stay."""
+    monkeypatch.setattr(h, "threshold", lambda x: -1.0)
+    assert sum(h.main_text(page(body)) != want for body, want in NO_ARTICLE) >= 4
+
+
+def test_forum_posts_and_topics():
+    posts = "".join(f"<div class=post><div>user{k}</div><p>{LONG}</p></div>" for k in range(3))
+    got = h.main_text(page(f"<div>Board index</div><div id=thread>{posts}</div><div>Powered by x</div>"))
+    assert got.count(SENTENCE) == 24 and "Board" not in got and "Powered" not in got
+    named = f"<p class='social-science'>{SENTENCE}</p><section id='related-work'><p>{SENTENCE}</p></section>" \
+            f"<section id='copyright'><p>{SENTENCE}</p></section><math>a = b</math>"
+    assert h.main_text(page(f"<article>{named}<div class='ad-box'>{SENTENCE}</div></article>")) == f"{SENTENCE} {SENTENCE} {SENTENCE} a = b"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<b>", "<div>", "</b>", "<div></p>", "<td>", "<b><td></td>", "<header>", "<header><i>", "<!--", "<", "</",
+                                  "<p class='ad'>", "&", "<a href='", "<!", "<?", "<li><b>", "x<p>"])
+def test_malformed_pages_take_linear_time(part):
+    import time
+    start = time.perf_counter()
+    h.main_text("<table><tr><td><div>" + part * 30_000)
+    assert time.perf_counter() - start < 12
