@@ -48,8 +48,10 @@ def _with_seq(df: DataFrame) -> DataFrame:
 def dedupe_blocks(incoming: DataFrame, policy: str = "first") -> DataFrame:
     """Collapse a batch to one row per height (``first``/``last``) or per
     member (``exact``).  Aggregation with ``min_by``/``max_by`` is partial:
-    each task pre-aggregates before the shuffle on (chain, height)."""
-    incoming = _with_seq(incoming)
+    each task pre-aggregates before the shuffle on (chain, height).  Rows
+    without a chain, a height or a document are no blocks (``payloads.split_blocks``
+    lists them): putting them changes nothing."""
+    incoming = _with_seq(incoming).dropna(subset=[*KEY, "block"])
     if policy == "exact":
         return (incoming.groupBy(*KEY, "block").agg(F.min("seq").alias("seq"))
                 .select(*KEY, "block", "seq"))

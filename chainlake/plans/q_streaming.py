@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from chainlake import fixtures as fx
+from chainlake.fixtures import SQL_VIEWS
 from chainlake.operators import billing as bl
 from chainlake.operators import delivery as dv
 from chainlake.operators import store as st
@@ -16,7 +17,7 @@ from chainlake.plans.catalog import query
 from chainlake.plans.q_billing import NOW, TTL_SECONDS
 from chainlake.plans.q_delivery import _PLAN_SQL
 from chainlake.plans.q_quality import REPLAY_OFFSET
-from chainlake.sources.store_io import BlockTable, fresh_path, write_blocks_partitioned
+from chainlake.sources.store_io import BlockTable, fresh_path, tiered_latest, write_blocks_partitioned
 from chainlake.streaming import runners as sp
 
 OUT = ["chain_id", "block_height", "block"]
@@ -72,8 +73,7 @@ def q_dedupe_stream(spark, sf_dir):
     base = fresh_path(spark, "dedupe")
     src = _arrival_files(spark, sf_dir, base)
     sink = f"{base}/sink"
-    stream = sp.dedupe_stream(sp.ingest_stream(spark, src, sp.ARRIVAL_SCHEMA, max_files_per_trigger=2),
-                              "36500 days")
+    stream = sp.dedupe_stream_exact(sp.ingest_stream(spark, src, sp.ARRIVAL_SCHEMA, max_files_per_trigger=2))
     sp.run_available_now(stream, lambda df, bid: df.write.mode("append").parquet(sink), f"{base}/ckpt")
     return spark.read.parquet(sink).select(*OUT)
 
@@ -115,6 +115,47 @@ def q_write_blocks_partitioned(spark, sf_dir):
     return st.get_block_ranges(t.read(), ranges).select(*OUT)
 
 
+def _stored_tiers(spark, sf_dir):
+    """Hot and cold tables; every 7th cold height and the hot head of each chain are deleted again."""
+    base = fresh_path(spark, "zones")
+    hot, cold = BlockTable(spark, f"{base}/hot"), BlockTable(spark, f"{base}/cold")
+    cold.put(fx.cold_tier(spark, sf_dir))
+    hot.put(fx.hot_tier(spark, sf_dir))
+    cold.delete(cold.read().where(F.col("block_height") % 7 == 0))
+    hot.delete(hot.read().join(fx.chain_heads(spark, sf_dir).selectExpr("chain_id", "head AS block_height"),
+                               ["chain_id", "block_height"], "left_semi"))
+    return hot, cold
+
+
+SQL_VIEWS["kept_hot"] = (("hot", "chain_head"), """
+    SELECT h.* FROM hot h JOIN chain_head c USING (chain_id) WHERE h.block_height <> c.head""")
+SQL_VIEWS["kept_cold"] = (("cold",), "SELECT * FROM cold WHERE block_height % 7 <> 0")
+
+
+@query("zone_latest_blocks", """
+    SELECT chain_id, block_height, block FROM kept_cold
+    QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY block_height DESC) <= 25""", ("kept_cold",))
+def q_zone_latest_blocks(spark, sf_dir):
+    """Latest 25 of every chain of a stored table, read from the newest partitions that its zones name."""
+    return _stored_tiers(spark, sf_dir)[1].latest(25).select(*OUT)
+
+
+@query("zone_tiered_latest", """
+    SELECT chain_id, block_height, block FROM (
+      SELECT chain_id, block_height, block FROM kept_hot UNION ALL
+      SELECT chain_id, block_height, block FROM kept_cold c WHERE NOT EXISTS (
+        SELECT 1 FROM kept_hot h WHERE h.chain_id = c.chain_id AND h.block_height = c.block_height))
+    QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY block_height DESC) <= 10""", ("kept_hot", "kept_cold"))
+def q_zone_tiered_latest(spark, sf_dir):
+    """Latest 10 over both stored tiers, and so resume points and heads, without a full scan."""
+    return tiered_latest(*_stored_tiers(spark, sf_dir), 10).select(*OUT)
+
+
+@query("zone_resume_height", "SELECT chain_id, max(block_height) AS start_height FROM kept_hot GROUP BY chain_id", ("kept_hot",))
+def q_zone_resume_height(spark, sf_dir):
+    return _stored_tiers(spark, sf_dir)[0].heads().withColumnRenamed("head", "start_height")
+
+
 @query("flush_tick", """
     WITH moved AS (
       SELECT chain_id, block_height, block FROM (

@@ -17,7 +17,7 @@ EVM_KEYS = T.StructType([T.StructField(k, _EVM_TYPES.get(k, T.StringType())) for
     "gasUsed", "hash", "mixDigest", "nonce", "number", "parentHash", "receiptHash", "root", "size", "time", "txHash",
     "uncleHash")])
 EVM_RAW_KEYS = {"header": "{", "transactions": "[", "uncles": "[", "withdrawals": "["}
-EVM_SCHEMA = T.StructType([*EVM_KEYS.fields, *[T.StructField(k, T.StringType()) for k in EVM_RAW_KEYS],
+EVM_SCHEMA = T.StructType([*[T.StructField(f.name, T.StringType() if f.name == "number" else f.dataType) for f in EVM_KEYS.fields], *[T.StructField(k, T.StringType()) for k in EVM_RAW_KEYS],
                            T.StructField("miner", T.StringType())])  # some nodes call the coinbase so
 
 FLOW_SCHEMA = T.StructType([
@@ -49,20 +49,42 @@ def _raw_or_null(text: Column, opening: str) -> Column:
     return F.when(F.startswith(text, F.lit(opening)), text).otherwise(F.lit("null"))
 
 
+def block_number(text: Column) -> Column:
+    """A height in decimal or 0x form as BIGINT; null if it is neither or does not fit."""
+    hexadecimal = F.conv(F.substr(text, F.lit(3)), 16, 10)  # 16 digits at most, so nothing is cut
+    return (F.when(text.rlike(r"^0[xX][0-9a-fA-F]{1,16}$"), hexadecimal.try_cast("bigint"))
+            .when(text.rlike(r"^-?[0-9]+$"), text.try_cast("bigint")))
+
+
+def flow_time(text: Column) -> Column:
+    """Block time as TIMESTAMP: ISO form (any fraction, Z or offset) or ``date time[.fraction] +0000 UTC``.
+    Microseconds are kept; the document keeps the text with all its digits."""
+    iso = F.regexp_replace(text, r"^(\S+) (\S+) ([+-]\d\d):?(\d\d)( .*)?$", "$1T$2$3:$4")
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d"), iso.try_cast("timestamp"))
+
+
+def split_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(blocks, rejected)``: rows that a store can hold, and the others with a ``reason``."""
+    reason = (F.when(F.col("chain_id").isNull(), "no chain").when(F.col("block_height").isNull(), "no height")
+              .when(F.col("block").isNull(), "no document"))
+    return rows.where(reason.isNull()), rows.where(reason.isNotNull()).withColumn("reason", reason)
+
+
 def normalize_evm_blocks(raw: DataFrame, chain_id: Column | str = "chain_id", raw_col: str = "raw") -> DataFrame:
-    """EVM payloads -> store rows: height = ``number``; ``block`` is the whole
+    """EVM payloads -> store rows: height = ``number``, decimal or 0x; ``block`` is the whole
     document with every key (null where the payload has none), transactions
-    included.  A payload that is not JSON gives null fields."""
+    included.  A payload that is not JSON gives null fields (``split_blocks`` rejects it)."""
     chain = F.col(chain_id) if isinstance(chain_id, str) else chain_id
     p = raw.select(chain.alias("chain_id"), F.from_json(F.col(raw_col), EVM_SCHEMA).alias("p"))
     field = {f.name: F.col(f"p.{f.name}") for f in EVM_KEYS.fields}
+    field["number"] = block_number(F.col("p.number"))
     field["coinbase"] = F.coalesce("p.coinbase", "p.miner")
     scalars = F.to_json(F.struct(*[c.alias(k) for k, c in field.items()]), {"ignoreNullFields": "false"})
     doc = F.concat(F.rtrim(scalars, F.lit("}")), *[
         F.concat(F.lit(f',"{k}":'), _raw_or_null(F.col(f"p.{k}"), opening)) for k, opening in EVM_RAW_KEYS.items()],
         F.lit("}"))
     return p.select(
-        "chain_id", F.col("p.number").alias("block_height"), F.col("p.hash").alias("hash"),
+        "chain_id", field["number"].alias("block_height"), F.col("p.hash").alias("hash"),
         F.col("p.parentHash").alias("parent_hash"), F.col("p.time").alias("time"),
         F.col("p.gasUsed").alias("gas_used"), F.col("p.gasLimit").alias("gas_limit"),
         field["coinbase"].alias("coinbase"),
@@ -76,7 +98,7 @@ def normalize_flow_blocks(raw: DataFrame, chain_id: Column | str = "chain_id", r
     return p.select(
         "chain_id", F.col("p.height").alias("block_height"), F.col("p.id").alias("id"),
         F.col("p.parent_id").alias("parent_id"),
-        F.try_to_timestamp(F.col("p.timestamp"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).cast("timestamp_ntz").alias("ts"),
+        flow_time(F.col("p.timestamp")).cast("timestamp_ntz").alias("ts"),
         F.col("p.status").alias("status"),
         F.array_join(F.transform("p.collection_ids", lambda c: c["collection_id"]), ",").alias("collection_ids"),
         F.size("p.seals").cast("bigint").alias("n_seals"),
@@ -84,7 +106,7 @@ def normalize_flow_blocks(raw: DataFrame, chain_id: Column | str = "chain_id", r
 
 
 TX_SCHEMA = T.StructType([
-    T.StructField("number", T.LongType()),
+    T.StructField("number", T.StringType()),
     T.StructField("transactions", T.ArrayType(T.StructType([
         T.StructField("to", T.StringType()),
         T.StructField("from", T.StringType()),
@@ -101,7 +123,7 @@ def explode_transactions(raw: DataFrame, chain_id: Column | str = "chain_id", ra
     are exact; they are null only where the payload has none."""
     chain = F.col(chain_id) if isinstance(chain_id, str) else chain_id
     p = raw.select(chain.alias("chain_id"), F.from_json(F.col(raw_col), TX_SCHEMA).alias("p"))
-    t = p.select("chain_id", F.col("p.number").alias("block_height"),
+    t = p.select("chain_id", block_number(F.col("p.number")).alias("block_height"),
                  F.posexplode("p.transactions").alias("tx_index", "tx"))
     return t.select("chain_id", "block_height", F.col("tx_index").cast("bigint").alias("tx_index"),
                     F.col("tx.to").alias("to_address"), F.col("tx.from").alias("from_address"),
@@ -130,8 +152,18 @@ def parse_message(messages: DataFrame, schema: T.StructType = BLOCK_MESSAGE_SCHE
 
 
 # JSON types, as a parsed value reports them, that a column type accepts
-JSON_TYPES = {"string": r"^STRING$", "bigint": r"^BIGINT$", "int": r"^BIGINT$", "boolean": r"^BOOLEAN$",
-              "double": r"^(BIGINT|DOUBLE|DECIMAL)"}
+JSON_TYPES = {"string": r"^STRING$", "bigint": r"^BIGINT$", "int": r"^BIGINT$", "smallint": r"^BIGINT$", "tinyint": r"^BIGINT$",
+              "boolean": r"^BOOLEAN$", "double": r"^(BIGINT|DOUBLE|DECIMAL)", "float": r"^(BIGINT|DOUBLE|DECIMAL)",
+              "decimal": r"^(BIGINT|DECIMAL)", "date": r"^STRING$", "timestamp": r"^STRING$", "timestamp_ntz": r"^STRING$",
+              "array": r"^ARRAY<", "map": r"^OBJECT<", "struct": r"^OBJECT<", "variant": r"."}
+
+
+def _json_type(f: T.StructField) -> str:
+    kind = f.dataType.typeName()
+    name = {"long": "bigint", "integer": "int", "short": "smallint", "byte": "tinyint"}.get(kind, kind)
+    if name not in JSON_TYPES:
+        raise ValueError(f"no JSON value has the type {f.dataType.simpleString()} of field {f.name}")
+    return JSON_TYPES[name]
 
 
 def enforce_schema(docs: DataFrame, schema: T.StructType = BLOCK_SCHEMA, doc_col: str = "doc") -> DataFrame:
@@ -146,7 +178,7 @@ def enforce_schema(docs: DataFrame, schema: T.StructType = BLOCK_SCHEMA, doc_col
     typed = []
     for f in schema.fields:
         v, kind = F.col("_m")[f.name], f.dataType.simpleString()
-        tv = F.when(F.schema_of_variant(v).rlike(JSON_TYPES[kind]), F.try_variant_get(v, "$", kind))
+        tv = F.when(F.schema_of_variant(v).rlike(_json_type(f)), F.try_variant_get(v, "$", kind))
         checks.append(F.when(v.isNull(), F.lit(f"missing field {f.name}")))
         checks.append(F.when(v.isNotNull() & tv.isNull(), F.lit(f"bad type for {f.name}")))
         typed.append(tv.alias(f.name))

@@ -9,6 +9,10 @@
 * Every write carries a ``version`` (a growing number).  A deletion appends
   tombstones, which hide only rows of an earlier version, so a block that is
   put again after its deletion is visible.
+* Zones: every write first records the bounds and the number of its rows per
+  partition, so that the newest rows of each chain are read from its highest
+  partitions alone (``latest``).  Zones may count too much (a write that failed,
+  a deletion of absent rows); what is read is counted before it is trusted.
 * Nothing is rewritten in place: an upsert (``last``) appends the new rows
   and then hides the replaced ones, so concurrent puts lose nothing.
 """
@@ -21,6 +25,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from chainlake.operators import store as st
 from chainlake.session import ensure_checkpoint_dir
@@ -34,6 +39,13 @@ STORE_SCHEMA = T.StructType([
     T.StructField("height_bucket", T.LongType()),
 ])
 PARTITIONS = ["chain_id", "height_bucket"]
+ZONE_SCHEMA = T.StructType([
+    T.StructField("chain_id", T.StringType()),
+    T.StructField("height_bucket", T.LongType()),
+    T.StructField("low", T.LongType()),
+    T.StructField("head", T.LongType()),
+    T.StructField("n", T.LongType()),
+])
 
 
 class BlockTable:
@@ -54,10 +66,88 @@ class BlockTable:
     def init(self) -> "BlockTable":
         """Create the dataset if absent; calling it again is a no-op."""
         if not self._has_files():
+            self.spark.createDataFrame([], ZONE_SCHEMA).write.mode("append").parquet(self.zone_path)
             (self.spark.createDataFrame([], STORE_SCHEMA)
              .write.mode("ignore").partitionBy(*PARTITIONS).parquet(self.path))
         return self
 
+    @property
+    def zone_path(self) -> str:
+        return self.path.rstrip("/") + "__zones"
+
+    def _record(self, rows: DataFrame, sign: int = 1, of: DataFrame | None = None) -> None:
+        """Add the zones of ``rows`` (with PARTITIONS), before they are written; ``sign`` -1 for rows to hide.
+        All partitions of the batch ``of`` are named, whatever other writers change until the write.  Only heights are read."""
+        if not self._exists(self.zone_path):
+            self.rebuild_zones()
+        zones = self._zones_of(rows, sign)
+        if of is not None:
+            zones = zones.unionByName(self._zones_of(of, 0))
+        zones.write.mode("append").parquet(self.zone_path)
+
+    @staticmethod
+    def _zones_of(rows: DataFrame, sign: int = 1) -> DataFrame:
+        return rows.groupBy(*PARTITIONS).agg(F.min("block_height").alias("low"), F.max("block_height").alias("head"),
+                                             (F.count(F.lit(1)) * sign).alias("n"))
+
+    def rebuild_zones(self) -> None:
+        """Zones of a table that was written without them; only its heights are read."""
+        if self._has_files():
+            self._zones_of(self.read()).write.mode("append").parquet(self.zone_path)
+
+    def zones(self) -> DataFrame:
+        """(chain_id, height_bucket, low, head, n): bounds of all rows ever written to a partition and about how many are visible."""
+        if not self._exists(self.zone_path):
+            self.rebuild_zones()
+        return (self.spark.read.schema(ZONE_SCHEMA).parquet(self.zone_path).groupBy(*PARTITIONS)
+                .agg(F.min("low").alias("low"), F.max("head").alias("head"), F.sum("n").alias("n")))
+
+    def fold_zones(self) -> None:
+        """One row per partition in place of one per write.  Until the old files are gone a partition counts twice,
+        which ``latest`` finds out."""
+        ensure_checkpoint_dir(self.spark)
+        jvm, fs = self._fs()
+        old = [f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.zone_path))
+               if not f.getPath().getName().startswith((".", "_"))]
+        folded = (self.spark.read.schema(ZONE_SCHEMA).parquet(*[f.toString() for f in old]).groupBy(*PARTITIONS)
+                  .agg(F.min("low").alias("low"), F.max("head").alias("head"), F.sum("n").alias("n")).checkpoint(eager=True))
+        folded.write.mode("append").parquet(self.zone_path)
+        for path in old:
+            fs.delete(path, False)
+
+    def newest_partitions(self, n: int) -> DataFrame:
+        """(chain_id, height_bucket) of each chain from the highest down, until its zones count ``n`` rows."""
+        zones = self.zones()
+        down = Window.partitionBy("chain_id").orderBy(F.col("height_bucket").desc())
+        top = zones.where("n > 0").withColumn("rank", F.row_number().over(down)).where(F.col("rank") <= n)  # a group limit
+        above = F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cut = (top.withColumn("above", above).where(F.col("above") < n)
+               .groupBy("chain_id").agg(F.min("height_bucket").alias("cut")))  # one row per chain
+        # partitions above the cut may hold rows even where as many were deleted as written
+        return zones.join(F.broadcast(cut), "chain_id").where(F.col("height_bucket") >= F.col("cut")).select(*PARTITIONS)
+
+    def latest(self, n: int) -> DataFrame:
+        """The ``n`` rows of each chain with the largest heights, read from its newest partitions.
+
+        Chains whose newest partitions hold fewer rows than their zones said
+        are read whole, so the result is that of a full scan."""
+        ensure_checkpoint_dir(self.spark)
+        if n <= 0 or not self._has_files():
+            return st.latest_n_per_chain(self.spark.createDataFrame([], STORE_SCHEMA).drop("version"), 0)
+        parts = self.newest_partitions(n).checkpoint(eager=True)  # a few per chain
+        top = st.latest_n_per_chain(self.read().join(F.broadcast(parts), PARTITIONS, "left_semi"), n).checkpoint(eager=True)
+        found = top.groupBy("chain_id").agg(F.count(F.lit(1)).alias("found"))
+        more = self.zones().join(F.broadcast(parts), PARTITIONS, "left_anti").select("chain_id").distinct()
+        short = more.join(found, "chain_id", "left").where(F.coalesce("found", F.lit(0)) < n).select("chain_id").checkpoint(eager=True)
+        if short.isEmpty():
+            return top
+        rest = st.latest_n_per_chain(self.read().join(F.broadcast(short), "chain_id", "left_semi"), n)
+        return top.join(F.broadcast(short), "chain_id", "left_anti").unionByName(rest)
+
+    def heads(self) -> DataFrame:
+        """(chain_id, head): largest visible height of each chain, from its newest partitions."""
+        return self.latest(1).select("chain_id", F.col("block_height").alias("head"))
+
     @property
     def tombstone_path(self) -> str:
         return self.path.rstrip("/") + "__deleted"
@@ -96,13 +186,16 @@ class BlockTable:
         self._hide(members, self._next_version())
 
     def _hide(self, members: DataFrame, version: int) -> None:
-        (self.prepare(members).withColumn("version", F.lit(version)).select(*[f.name for f in STORE_SCHEMA.fields])
+        members = self.prepare(members)
+        self._record(members, -1)
+        (members.withColumn("version", F.lit(version)).select(*[f.name for f in STORE_SCHEMA.fields])
          .write.mode("append").partitionBy(*PARTITIONS).parquet(self.tombstone_path))
 
     @staticmethod
     def prepare(batch: DataFrame) -> DataFrame:
+        """Rows with the table's columns; those without a chain or a height have no place in it."""
         b = batch if "seq" in batch.columns else batch.withColumn("seq", F.lit(0).cast("bigint"))
-        return b.select("chain_id", "block_height", "block", "seq").withColumn(
+        return b.where(F.col("chain_id").isNotNull() & F.col("block_height").isNotNull()).select("chain_id", "block_height", "block", "seq").withColumn(
             "height_bucket", st.height_bucket(F.col("block_height")))
 
     def _touched(self, batch: DataFrame) -> DataFrame:
@@ -117,11 +210,13 @@ class BlockTable:
         existing = self._touched(b)
         if policy == "first":
             new = b.join(existing.select(*st.KEY), st.KEY, "left_anti")
+            self._record(new, of=b)
             (new.withColumn("version", F.lit(self._next_version())).select(*[f.name for f in STORE_SCHEMA.fields])
              .write.mode("append").partitionBy(*PARTITIONS).parquet(self.path))
             return
         hides, version = self._next_version(), self._next_version()
         new = b.join(existing.select(*st.KEY, "block"), [*st.KEY, "block"], "left_anti")
+        self._record(new, of=b)
         (new.withColumn("version", F.lit(version)).select(*[f.name for f in STORE_SCHEMA.fields])
          .write.mode("append").partitionBy(*PARTITIONS).parquet(self.path))
         if policy == "last":  # the replaced rows are older than ``hides``, the new ones are not
@@ -194,8 +289,14 @@ class BlockTable:
         return st.get_blocks(self.read(), chain_id, start, end)
 
 
+def tiered_latest(hot: BlockTable, cold: BlockTable, n: int) -> DataFrame:
+    """Latest ``n`` of every chain over both tiers, from the newest partitions of each."""
+    return st.tiered_latest_blocks(hot.latest(n), cold.latest(n), n)
+
+
 def write_blocks_partitioned(blocks: DataFrame, path: str) -> None:
     """Bulk load (dynamic partition overwrite of the touched partitions)."""
+    BlockTable(blocks.sparkSession, path)._record(BlockTable.prepare(blocks))
     (BlockTable.prepare(blocks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*PARTITIONS).parquet(path))
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,47 @@ def dedupe_stream(arrivals: DataFrame, delay: str) -> DataFrame:
             .dropDuplicatesWithinWatermark(["chain_id", "block_height"]))
 
 
+HEIGHT_SPAN = 1 << 20  # heights of one state row; a hot chain spreads over its spans
+
+
+def _add(starts: np.ndarray, ends: np.ndarray, heights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint, non-touching ranges [start, end] with ``heights`` (ascending, none inside) added."""
+    s, e = np.concatenate((starts, heights)), np.concatenate((ends, heights))
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], e[order]
+    first = np.concatenate(([True], s[1:] > e[:-1] + 1))  # the ranges are disjoint: only neighbours can touch
+    last = np.concatenate((first[1:], [True]))
+    return s[first], e[last]
+
+
+def dedupe_stream_exact(arrivals: DataFrame, span: int = HEIGHT_SPAN) -> DataFrame:
+    """Drop every redelivered block, however late: one row per (chain, height).
+
+    The state of a chain's span of heights is the set of heights seen, as
+    merged ranges, so it grows with the gaps and not with the blocks; no
+    watermark and no time-out.  Rows without a chain or a height are left out.
+    """
+    out = T.StructType([*arrivals.schema.fields])
+    names = out.fieldNames()
+
+    def run(key, frames, state):
+        starts, ends = (np.array(x, np.int64) for x in (state.get if state.exists else ([], [])))
+        for frame in frames:
+            frame = frame.drop_duplicates("block_height", keep="first")
+            heights = frame["block_height"].to_numpy(np.int64)
+            at = np.searchsorted(starts, heights, "right") - 1
+            seen = (at >= 0) & (heights <= np.concatenate((ends, [0]))[at])
+            if not seen.all():
+                starts, ends = _add(starts, ends, np.sort(heights[~seen]))
+                yield frame.loc[~seen, names]
+        state.update((starts.tolist(), ends.tolist()))
+
+    known = arrivals.where(F.col("chain_id").isNotNull() & F.col("block_height").isNotNull())
+    return (known.withColumn("_span", F.floor(F.col("block_height") / span))
+            .groupBy("chain_id", "_span")
+            .applyInPandasWithState(run, out, "starts array<bigint>, ends array<bigint>", "append", "NoTimeout"))
+
+
 def run_available_now(stream: DataFrame, batch_fn, checkpoint: str) -> None:
     """Process everything available, in micro-batches, then stop."""
     q = (stream.writeStream.foreachBatch(batch_fn)
