@@ -108,8 +108,8 @@ def resolve_billing_user(events: DataFrame, subscriptions: DataFrame) -> DataFra
     or not a string -> error); invoices reach it through their subscription
     (missing reference -> error; an expanded subscription carries its own
     metadata); ``customer.deleted`` goes through the customer's most recent
-    subscription (none -> nothing to do).  Only invoices with a subscription
-    id and deletions are joined, by one lookup; all other events pass by.
+    subscription (none -> nothing to do).  Invoices with a subscription id and
+    deletions find their user by one lookup; events are read and parsed once.
     """
     e = parse_billing_events(events).withColumn("action", billing_action("type"))
     by_meta = F.col("type").isin(*METADATA_USER_TYPES)
@@ -118,9 +118,10 @@ def resolve_billing_user(events: DataFrame, subscriptions: DataFrame) -> DataFra
     by_sub = is_invoice & F.col("subscription_ref").isNotNull()
     e = e.withColumns({
         "kind": F.when(by_sub, "subscription").when(deletion & F.col("object_id").isNotNull(), "customer"),
-        "ref": F.when(by_sub, F.col("subscription_ref")).when(deletion, F.col("object_id"))})
-    looked = e.where(F.col("kind").isNotNull()).join(_billing_lookup(subscriptions), ["kind", "ref"], "left")
-    j = looked.unionByName(e.where(F.col("kind").isNull()).withColumn("found_user", F.lit(None).cast("string")))
+        # a null kind never matches; the event's own id spreads such rows over the tasks of the join
+        "ref": F.coalesce(F.when(by_sub, F.col("subscription_ref")).when(deletion, F.col("object_id")),
+                          F.col("event_id").cast("string"))})
+    j = e.join(_billing_lookup(subscriptions), ["kind", "ref"], "left")
     expanded = is_invoice & F.col("sub_meta_type").isNotNull()
     user = (F.when(by_meta, F.col("meta_user"))
              .when(expanded, F.col("sub_meta_user"))

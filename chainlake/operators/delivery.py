@@ -258,23 +258,26 @@ def with_range(jobs: DataFrame) -> DataFrame:
 
 
 def range_bodies(ranges: DataFrame, blocks: DataFrame, heads: DataFrame | None = None,
-                 mode: str = "reference") -> DataFrame:
+                 mode: str = "reference", new_jobs: bool = True) -> DataFrame:
     """``RANGE`` with ``first_height, last_height, n_blocks, body``: one body per distinct range.
 
     Most webhooks of a chain ask for the same newest ranges.  Each range is
     built once, so payloads are shuffled per distinct range (a height lies in
     at most m (m + 1) / 2 ranges of up to m blocks) and not per webhook.
-    Ranges without a stored block have no row.
+    Ranges without a stored block have no row.  A caller that has no new jobs
+    passes ``new_jobs`` False, which makes the plan smaller.
     """
     keys = ranges.select(*RANGE).distinct()
     old = keys.where(~F.col("is_new")).select("*", F.explode(F.sequence("lo", "hi")).alias("block_height"))
     stored = prune_to_requests(blocks, old).select("chain_id", "block_height", "block")
+    rows = old.join(stored, ["chain_id", "block_height"]).select(*RANGE, "block_height", "block")
+    if not new_jobs:
+        return build_payload(rows, False, RANGE)
     new = keys.where(F.col("is_new"))
     bounds = new.groupBy("chain_id").agg(F.max("hi").alias("n"))
     top = (_latest(blocks, bounds) if heads is None else latest_needed(blocks, heads, bounds))
     newest = new.join(top, "chain_id").where(F.col("rank") <= F.col("hi"))
-    rows = (old.join(stored, ["chain_id", "block_height"]).select(*RANGE, "block_height", "block")
-            .unionByName(newest.select(*RANGE, "block_height", "block")))
+    rows = rows.unionByName(newest.select(*RANGE, "block_height", "block"))
     return build_payload(rows, F.col("is_new") & F.lit(mode == "reference"), RANGE)
 
 

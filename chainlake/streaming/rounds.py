@@ -135,12 +135,20 @@ def run_round(spark: SparkSession, round_id: int, cursor_path: str, outbox_path:
     jobs = current_cursors(spark, cursor_path, before_round=round_id)
     ready = (dv.due_jobs(jobs, h).where(F.col("is_new") | (F.col("state") == "ready"))
              .select("webhook_id", "chain_id", "next_height", "is_new"))
+    ensure_checkpoint_dir(spark)
+    ready = ready.checkpoint(eager=True)
+    if ready.isEmpty():  # the folders of the round, without its plan
+        for schema, path in ((_outbox_schema(w), outbox_path), (ATTEMPT_SCHEMA, attempts_path), (CURSOR_SCHEMA, cursor_path)):
+            _write_round(spark.createDataFrame([], schema), path, round_id)
+        return False
     failures = (message_failures(spark, attempts_path, round_id).join(jobs.select(*JOB), JOB)
                 .select("webhook_id", F.col("failures").cast("int").alias("failures")))
-    ensure_checkpoint_dir(spark)
+    # what the round does not need is left out of its plan: the driver compiles every branch, empty or not
+    new_jobs = not ready.where("is_new").isEmpty()
+    gaps = "n_blocks" not in h.columns or not h.where("n_blocks <> head - low + 1").isEmpty()  # one row per chain
     # a few columns per request; one evaluation feeds all writes
-    steps = request_window(ready, w, b, h, failures, window, mode, skip_evicted).checkpoint(eager=True)
-    _write_round(_outbox(steps, w, b, h, mode), outbox_path, round_id)
+    steps = request_window(ready, w, b, h, failures, window, mode, skip_evicted, gaps).checkpoint(eager=True)
+    _write_round(_outbox(steps, w, b, h, mode, new_jobs), outbox_path, round_id)
     answers = None
     if send is not None:
         answers = send(spark.read.parquet(f"{outbox_path}/round_id={round_id}"))
@@ -158,7 +166,16 @@ def run_round(spark: SparkSession, round_id: int, cursor_path: str, outbox_path:
                 and spark.read.parquet(f"{attempts_path}/round_id={round_id}").isEmpty())
 
 
-def _outbox(steps: DataFrame, webhooks: DataFrame, blocks: DataFrame, heads: DataFrame, mode: str) -> DataFrame:
+def _outbox_schema(webhooks: DataFrame) -> T.StructType:
+    shard = [f.dataType.simpleString() for f in webhooks.schema.fields if f.name == "shard_id"]
+    hook = {f.name: f.dataType.simpleString() for f in webhooks.schema.fields}
+    return T.StructType.fromDDL(
+        "webhook_id string, seq int, first_height bigint, last_height bigint, n_blocks bigint, "
+        f"url {hook['url']}, timeout_ms {hook['timeout_ms']}, " + "".join(f"shard_id {t}, " for t in shard) + "body string")
+
+
+def _outbox(steps: DataFrame, webhooks: DataFrame, blocks: DataFrame, heads: DataFrame, mode: str,
+            new_jobs: bool) -> DataFrame:
     """``(webhook_id, seq, first_height, last_height, n_blocks, url, timeout_ms, body)`` of the requests of ``steps``."""
     asked = (steps.where(F.col("outcome") == "deliver")
              .withColumn("lo", F.when(F.col("is_new"), F.lit(0).cast("bigint")).otherwise(F.col("first_height")))
@@ -167,7 +184,7 @@ def _outbox(steps: DataFrame, webhooks: DataFrame, blocks: DataFrame, heads: Dat
     shard = [c for c in ("shard_id",) if c in webhooks.columns]
     hooks = webhooks.select(F.col("id").alias("webhook_id"), "url", "timeout_ms", *shard)
     # the bodies come last: they meet their requests and are written, and are in no later shuffle
-    return dv.join_bodies(asked.join(hooks, "webhook_id"), dv.range_bodies(asked, blocks, heads, mode)).select(
+    return dv.join_bodies(asked.join(hooks, "webhook_id"), dv.range_bodies(asked, blocks, heads, mode, new_jobs)).select(
         "webhook_id", "seq", "first_height", "last_height", "n_blocks", "url", "timeout_ms", *shard, "body")
 
 
