@@ -131,11 +131,12 @@ def run_round(spark: SparkSession, round_id: int, cursor_path: str, outbox_path:
     boundary and a request counts as delivered once it is written there.
     """
     attempts_path = attempts_path or f"{outbox_path}__attempts"
-    w, b, h = _now(webhooks), _now(blocks), _now(heads)
+    ensure_checkpoint_dir(spark)
+    w, b = _now(webhooks), _now(blocks)
+    h = _bounds(_now(heads), b).checkpoint(eager=True)  # one row per chain, used many times
     jobs = current_cursors(spark, cursor_path, before_round=round_id)
     ready = (dv.due_jobs(jobs, h).where(F.col("is_new") | (F.col("state") == "ready"))
              .select("webhook_id", "chain_id", "next_height", "is_new"))
-    ensure_checkpoint_dir(spark)
     ready = ready.checkpoint(eager=True)
     if ready.isEmpty():  # the folders of the round, without its plan
         for schema, path in ((_outbox_schema(w), outbox_path), (ATTEMPT_SCHEMA, attempts_path), (CURSOR_SCHEMA, cursor_path)):
@@ -145,7 +146,7 @@ def run_round(spark: SparkSession, round_id: int, cursor_path: str, outbox_path:
                 .select("webhook_id", F.col("failures").cast("int").alias("failures")))
     # what the round does not need is left out of its plan: the driver compiles every branch, empty or not
     new_jobs = not ready.where("is_new").isEmpty()
-    gaps = "n_blocks" not in h.columns or not h.where("n_blocks <> head - low + 1").isEmpty()  # one row per chain
+    gaps = not h.where("n_blocks is null or n_blocks <> head - low + 1").isEmpty()
     # a few columns per request; one evaluation feeds all writes
     steps = request_window(ready, w, b, h, failures, window, mode, skip_evicted, gaps).checkpoint(eager=True)
     _write_round(_outbox(steps, w, b, h, mode, new_jobs), outbox_path, round_id)
@@ -166,6 +167,14 @@ def run_round(spark: SparkSession, round_id: int, cursor_path: str, outbox_path:
                 and spark.read.parquet(f"{attempts_path}/round_id={round_id}").isEmpty())
 
 
+def _bounds(heads: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``heads`` with the number of stored blocks of each chain."""
+    if "n_blocks" in heads.columns:
+        return heads.select("chain_id", "head", "low", "n_blocks")
+    counted = blocks.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return heads.select("chain_id", "head", "low").join(F.broadcast(counted), "chain_id", "left")
+
+
 def _outbox_schema(webhooks: DataFrame) -> T.StructType:
     shard = [f.dataType.simpleString() for f in webhooks.schema.fields if f.name == "shard_id"]
     hook = {f.name: f.dataType.simpleString() for f in webhooks.schema.fields}
