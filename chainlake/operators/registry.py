@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chainlake.functions import columns as C
+from chainlake.operators.ranks import rank_in_groups
 
 PUBLIC_COLUMNS = ["id", "created_at", "is_active", "url", "max_blocks", "max_retries", "timeout_ms",
                   "customer_id", "blockchain_id"]
@@ -186,6 +187,23 @@ def group_activation(jobs: DataFrame, chains: DataFrame, request_col: str = "req
             .agg(F.when(F.max("_large").isNull(), ids).alias("ids"), F.count(F.lit(1)).alias("n_ids")))
 
 
+def grouped_ids(jobs: DataFrame, chains: DataFrame, request_col: str = "request_id") -> DataFrame:
+    """Activation routing for requests of any size: rows ``(request, chain,
+    cluster_url, shard, part, ids, n_ids)``, the ids of a group in lists of at most
+    ``MAX_IDS``, ascending within and over the parts.
+
+    The place of an id in its group comes from counts per range of ids and
+    ranks inside the ranges, so no group is sorted or collected in one task."""
+    group = [request_col, "chain_id", "shard_id"]
+    ranked = rank_in_groups(jobs.select(*group, "webhook_id").distinct(), group, "webhook_id")
+    ch = chains.select(F.col("id").alias("chain_id"), F.col("url").alias("cluster_url"))
+    part = F.floor(F.col("rank") / C.MAX_IDS).cast("int")
+    return (ranked.withColumn("part", part).join(ch, "chain_id")
+            .groupBy(request_col, "chain_id", "cluster_url", "shard_id", "part")
+            .agg(F.array_join(F.array_sort(F.collect_list("webhook_id")), ",").alias("ids"),
+                 F.count(F.lit(1)).alias("n_ids")))
+
+
 def register_customers(customers: DataFrame, seen_users: DataFrame) -> DataFrame:
     """Insert-ignore of first-seen users into ``customers(id, created_at)``."""
     new = seen_users.select(F.col("user_id").alias("id"), F.col("ts").alias("created_at"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from chainlake import fixtures as fx
 from chainlake.fixtures import SQL_VIEWS
 from chainlake.operators import registry as rg
+from chainlake.operators import url_index
 from chainlake.plans.catalog import query
+from chainlake.sources.store_io import fresh_path
 
 WEBHOOK_COLS = ["id", "created_at", "is_active", "url", "max_blocks", "max_retries", "timeout_ms",
                 "customer_id", "blockchain_id", "shard_id"]
@@ -271,6 +273,55 @@ def q_search_webhooks(spark, sf_dir):
                               url_like="HOOKS/1")
 
 
+SQL_VIEWS["url_search"] = (("webhook",), """
+    SELECT CAST(id AS BIGINT) AS request_id, customer_id,
+           CASE WHEN CAST(id AS BIGINT) % 100 = 7 THEN NULL
+                WHEN CAST(id AS BIGINT) % 5 = 0 THEN upper(substr(url, 12, 9))
+                WHEN CAST(id AS BIGINT) % 5 = 1 THEN 'M_CH%/' || id
+                WHEN CAST(id AS BIGINT) % 5 = 2 THEN right(id, 2)
+                WHEN CAST(id AS BIGINT) % 5 = 3 THEN '\\' || id
+                ELSE 'HOOKS/' || id END AS pattern
+    FROM webhook""")
+
+
+def url_searches(w):
+    """One search per webhook over its owner's urls: pieces, wildcards, short patterns, backslashes, none."""
+    k = F.col("id").cast("bigint")
+    pattern = (F.when(k % 100 == 7, F.lit(None).cast("string"))
+               .when(k % 5 == 0, F.upper(F.substring("url", 12, 9)))
+               .when(k % 5 == 1, F.concat(F.lit("M_CH%/"), "id"))
+               .when(k % 5 == 2, F.expr("right(id, 2)"))
+               .when(k % 5 == 3, F.concat(F.lit("\\"), "id"))
+               .otherwise(F.concat(F.lit("HOOKS/"), "id")))
+    return w.select(k.alias("request_id"), "customer_id", pattern.alias("pattern"))
+
+
+@query("search_webhooks_indexed", """
+    SELECT r.request_id, w.id, w.url FROM url_search r JOIN webhook w ON w.customer_id = r.customer_id
+    WHERE r.pattern IS NULL OR w.url ILIKE '%' || r.pattern || '%'""", ("url_search", "webhook"))
+def q_search_webhooks_indexed(spark, sf_dir):
+    """All searches at once over the stored trigram postings; only the rarest pieces are joined."""
+    w = fx.webhooks(spark, sf_dir)
+    index = url_index.UrlIndex(spark, fresh_path(spark, "url-index"))
+    index.add(w)
+    return url_index.search(index.read(), w, url_searches(w)).select("request_id", "id", "url")
+
+
+@query("group_activation_parts", """
+    WITH r AS (SELECT w.customer_id, w.blockchain_id, w.shard_id, w.id, c.url,
+                      (row_number() OVER (PARTITION BY w.customer_id, w.blockchain_id, w.shard_id ORDER BY w.id) - 1)
+                      // 50 AS part
+               FROM webhook w JOIN chain c ON c.id = w.blockchain_id)
+    SELECT customer_id, blockchain_id AS chain_id, url AS cluster_url, shard_id, CAST(part AS INTEGER) AS part,
+           string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n_ids
+    FROM r GROUP BY ALL""", ("webhook", "chain"))
+def q_group_activation_parts(spark, sf_dir):
+    """Activation of everything a customer owns: requests of any size, ids in parts of at most 50."""
+    jobs = fx.webhooks(spark, sf_dir).select("customer_id", F.col("id").alias("webhook_id"),
+                                             F.col("blockchain_id").alias("chain_id"), "shard_id")
+    return rg.grouped_ids(jobs, fx.chains(spark, sf_dir), "customer_id")
+
+
 @query("keyset_predicate", f"""
     SELECT {_WCOLS} FROM webhook
     WHERE created_at < TIMESTAMP '2024-01-01 02:00:00'
