@@ -18,6 +18,7 @@ from chainlake.plans.q_billing import NOW, TTL_SECONDS
 from chainlake.plans.q_delivery import _PLAN_SQL
 from chainlake.plans.q_quality import REPLAY_OFFSET
 from chainlake.sources.store_io import BlockTable, fresh_path, tiered_latest, write_blocks_partitioned
+from chainlake.streaming import admission, timers
 from chainlake.streaming import runners as sp
 
 OUT = ["chain_id", "block_height", "block"]
@@ -363,3 +364,97 @@ def q_append_message_stream(spark, sf_dir):
     stream = pl.append_message(sp.ingest_stream(spark, f"{base}/src", sp.ARRIVAL_SCHEMA, 2))
     sp.write_messages(stream, f"{base}/out", f"{base}/ckpt").awaitTermination()
     return spark.read.schema("chain_id string, msg_id bigint, data string").json(f"{base}/out")
+
+
+@query("ingest_stream_bounded", "SELECT chain_id, block_height, block FROM block", ("block",))
+def q_ingest_stream_bounded(spark, sf_dir):
+    """All blocks through batches of a twelfth of the messages, cut inside files and over them."""
+    base = fresh_path(spark, "bounded")
+    cols = [f.name for f in sp.ARRIVAL_SCHEMA.fields]
+    sp.land_files(fx.blocks(spark, sf_dir).select(*cols), f"{base}/src", 4)
+    stream = admission.landed_messages(spark, f"{base}/src", sp.ARRIVAL_SCHEMA, max_files_per_trigger=3)
+    size = fx.blocks(spark, sf_dir).count() // 12 + 1
+    put = admission.bounded_batches(lambda df, n: df.write.mode("append").parquet(f"{base}/sink"), size, f"{base}/log")
+    sp.run_available_now(stream, put, f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/sink").select(*OUT)
+
+
+SLICE_DAYS, LATE = 6, "12 days"
+
+
+def _land_in_time(df, path, id_col, ticks_at):
+    """Rows land in slices of six days, every tenth one a slice late; two ticks move the clock at the end."""
+    day = F.datediff(F.col("ts"), F.lit("2024-01-01"))
+    at = F.floor(day / SLICE_DAYS) + F.when(F.pmod(F.xxhash64(id_col), F.lit(10)) == 0, 1).otherwise(0)
+    cut = df.withColumn("_slice", at)
+    for k in range(6):
+        sp.land_files(cut.where(F.col("_slice") == k).drop("_slice"), path, 1)
+    for _ in range(2):  # the watermark of one batch counts in the next
+        timers.clock_tick(df, F.lit(ticks_at)).write.mode("append").parquet(path)
+
+
+WAIT_MS, MAX_WAIT_MS = 3_600_000, 3 * 86_400_000
+SQL_VIEWS["redelivery"] = (("attempt", "webhook"), f"""
+    WITH e AS (
+      SELECT a.webhook_id, a.msg_id, a.attempt_id, a.ts, a.failed, greatest(1, w.max_retries - 1) AS allowed,
+             count(*) FILTER (NOT a.failed) OVER m AS successes, lead(a.ts) OVER m AS next_ts
+      FROM attempt a JOIN webhook w ON w.id = a.webhook_id
+      WINDOW m AS (PARTITION BY a.webhook_id, a.msg_id ORDER BY a.ts, a.attempt_id)),
+    f AS (SELECT *, (row_number() OVER (PARTITION BY webhook_id, msg_id, successes ORDER BY ts, attempt_id) - 1)
+                    % allowed + 1 AS n FROM e WHERE failed)
+    SELECT webhook_id, msg_id, CASE WHEN n = allowed THEN 'skip' ELSE 'redeliver' END AS kind,
+           CAST(n AS INTEGER) AS attempt,
+           CASE WHEN n = allowed THEN ts
+                ELSE ts + to_milliseconds(CASE n WHEN 1 THEN {WAIT_MS} ELSE {MAX_WAIT_MS} END) END AS due_at,
+           next_ts
+    FROM f""")
+
+
+@query("redelivery_stream", """
+    SELECT webhook_id, msg_id, kind, attempt, due_at FROM redelivery
+    WHERE kind = 'skip' OR next_ts IS NULL OR due_at < next_ts""", ("redelivery",))
+def q_redelivery_stream(spark, sf_dir):
+    """Failed messages come back when their backoff has passed and nothing else happened before:
+    keyed state with event-time timers equals a replay in SQL, though attempts arrive late."""
+    base = fresh_path(spark, "redelivery")
+    events = fx.attempts(spark, sf_dir).select("webhook_id", "msg_id", "attempt_id", "ts", "failed",
+                                               F.lit("attempt").alias("kind"))
+    _land_in_time(events, f"{base}/src", "attempt_id", "2024-04-01")
+    waits = timers.waits_of(fx.webhooks(spark, sf_dir), WAIT_MS, 1, MAX_WAIT_MS)
+    stream = sp.ingest_stream(spark, f"{base}/src", T.StructType.fromDDL(timers.EVENT), max_files_per_trigger=1)
+    sp.run_available_now(timers.redelivery_stream(stream, waits, LATE),
+                         lambda df, bid: df.write.mode("append").parquet(f"{base}/out"), f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("entitlement_ttl_stream", f"""
+    WITH f AS (SELECT CAST(user_id AS VARCHAR) AS user_id, max(ts) AS last_fill FROM events
+               WHERE event_type = 'click' GROUP BY 1),
+    i AS (SELECT f.user_id, min(b.ts) AS ended FROM f JOIN billing_outcome b ON b.user_id = f.user_id
+          AND b.action = 'invalidate' AND b.error IS NULL AND b.ts >= f.last_fill
+          AND b.ts < f.last_fill + INTERVAL {TTL_SECONDS} SECOND GROUP BY f.user_id),
+    s AS (SELECT f.user_id, f.last_fill, i.ended, f.last_fill + INTERVAL {TTL_SECONDS} SECOND AS ttl_end
+          FROM f LEFT JOIN i USING (user_id))
+    SELECT user_id, last_fill,
+           CASE WHEN ended IS NOT NULL THEN 'invalidated'
+                WHEN ttl_end <= TIMESTAMP '{NOW}' THEN 'expired' ELSE 'cached' END AS state,
+           CASE WHEN ended IS NOT NULL THEN ended
+                WHEN ttl_end <= TIMESTAMP '{NOW}' THEN ttl_end END AS ended_at
+    FROM s""", ("billing_outcome",))
+def q_entitlement_ttl_stream(spark, sf_dir):
+    """Cached entitlements with expiry by event time: the state holds live users alone, rows arrive late."""
+    base = fresh_path(spark, "entitlement-ttl")
+    e = fx.table(spark, sf_dir, "events")
+    fills = e.where(F.col("event_type") == "click").select(F.col("user_id").cast("string").alias("user_id"), "ts",
+                                                           F.lit("fill").alias("kind"))
+    outcomes = bl.event_outcomes(fx.billing_events(spark, sf_dir),
+                                 bl.subscriptions_from_sessions(fx.sessions(spark, sf_dir)))
+    drops = (outcomes.where((F.col("action") == "invalidate") & F.col("user_id").isNotNull() & F.col("error").isNull())
+             .select("user_id", "ts", F.lit("invalidate").alias("kind")))
+    # the watermark ends one millisecond behind NOW, so that what ends at NOW has ended
+    _land_in_time(fills.unionByName(drops), f"{base}/src", "ts",
+                  F.lit(NOW).cast("timestamp_ntz") + F.expr(f"INTERVAL {LATE} 1 MILLISECOND"))
+    stream = sp.ingest_stream(spark, f"{base}/src", sp.SIGNAL_SCHEMA, max_files_per_trigger=1)
+    changes = timers.entitlement_ttl_stream(stream, TTL_SECONDS, LATE)
+    sp.run_available_now(changes, lambda df, bid: sp._write_batch(df, bid, f"{base}/out"), f"{base}/ckpt")
+    return timers.current_entitlements(spark.read.parquet(f"{base}/out"))
