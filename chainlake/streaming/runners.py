@@ -27,6 +27,7 @@ from chainlake.operators import billing as bl
 from chainlake.operators import store as st
 from chainlake.session import ensure_checkpoint_dir
 from chainlake.sources.store_io import BlockTable
+from chainlake.streaming import snapshots
 
 ARRIVAL_SCHEMA = T.StructType([
     T.StructField("chain_id", T.StringType()),
@@ -114,10 +115,13 @@ def run_available_now(stream: DataFrame, batch_fn, checkpoint: str) -> None:
 
 
 def route_blocks_batch(store: BlockTable, heads_path: str, cursors_path: str | None = None,
-                       ready_path: str | None = None, normalize=None):
+                       ready_path: str | None = None, normalize=None, fold_every: int = 50):
     """``foreachBatch`` body of the block router: (normalise,) put blocks,
     record the batch head, and -- when a cursor table is given -- write the
-    jobs that became due under the new heads (one snapshot per batch)."""
+    jobs that became due under the new heads (one snapshot per batch).
+
+    Every ``fold_every`` batches the head snapshots become one, and ready
+    snapshots but those of the last two batches, whose jobs they list anew, are dropped."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = normalize(batch) if normalize is not None else batch
@@ -136,10 +140,18 @@ def route_blocks_batch(store: BlockTable, heads_path: str, cursors_path: str | N
                              F.lit(batch_id).cast("bigint").alias("batch_id")))
             (ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch_id").parquet(ready_path))
+        if batch_id and batch_id % fold_every == 0:
+            snapshots.fold(batch.sparkSession, heads_path, batch_id, _bounds_of)
+            if ready_path:
+                snapshots.drop_before(batch.sparkSession, ready_path, batch_id - 1)
 
     return handle
 
 
+def _bounds_of(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("chain_id").agg(F.max("head").alias("head"), F.min("low").alias("low"))
+
+
 def current_heads(spark: SparkSession, heads_path: str) -> DataFrame:
     """Monotone chain heads: max over all batch snapshots."""
     return spark.read.parquet(heads_path).groupBy("chain_id").agg(F.max("head").alias("head"))
@@ -153,8 +165,7 @@ def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
 
 def current_bounds(spark: SparkSession, heads_path: str) -> DataFrame:
     """``(chain_id, head, low)`` as the relay needs them, over all batch snapshots."""
-    return (spark.read.parquet(heads_path).groupBy("chain_id")
-            .agg(F.max("head").alias("head"), F.min("low").alias("low")))
+    return _bounds_of(spark.read.parquet(heads_path))
 
 
 def consume_billing_batch(subscriptions, out_path: str, signals_path: str | None = None,
