@@ -257,8 +257,10 @@ def fit_model(texts: list[bytes], labels: list[int]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", folds: int = 5, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` documents of each class, chosen by a hash of the id.
+        label_col: str = "toxic", folds: int = 5, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most ``sample`` documents of each class, chosen by a hash of the id,
+    those of over ``sample_bytes`` bytes left out (all are scored whole): the driver
+    reads at most ``2 * sample * sample_bytes`` bytes of text.
 
     Rows whose crc32(id as text) mod ``folds`` is 0 are never read.  A document
     with several labels counts as toxic if one of them says so; null labels and
@@ -273,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = [r.doc_id for y in (0, 1)
               for r in known.where((F.col("y") > 0) == bool(y)).orderBy(*by_hash).limit(sample).collect()]
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")  # 2 * sample rows at most
-    rows = (id_and_text(docs, id_col, text_col).where(F.length("text") <= SAMPLE_BYTES)
+    rows = (id_and_text(docs, id_col, text_col).where(F.length("text") <= sample_bytes)
             .join(F.broadcast(ids), "doc_id", "left_semi").join(known, "doc_id")
             .groupBy("text").agg(F.max("y").alias("y")).orderBy(F.xxhash64("text"), "text").limit(2 * sample).collect())
     return fit_model([bytes(r.text) for r in rows], [r.y > 0 for r in rows])
