@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import os
 import time
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,14 +108,12 @@ class BlockTable:
         """One row per partition in place of one per write.  Until the old files are gone a partition counts twice,
         which ``latest`` finds out."""
         ensure_checkpoint_dir(self.spark)
-        jvm, fs = self._fs()
-        old = [f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.zone_path))
-               if not f.getPath().getName().startswith((".", "_"))]
-        folded = (self.spark.read.schema(ZONE_SCHEMA).parquet(*[f.toString() for f in old]).groupBy(*PARTITIONS)
+        zones = _with_file(self.spark.read.schema(ZONE_SCHEMA).parquet(self.zone_path))
+        old = zones.select("_file").distinct().checkpoint(eager=True)
+        folded = (zones.join(old, "_file", "left_semi").groupBy(*PARTITIONS)
                   .agg(F.min("low").alias("low"), F.max("head").alias("head"), F.sum("n").alias("n")).checkpoint(eager=True))
         folded.write.mode("append").parquet(self.zone_path)
-        for path in old:
-            fs.delete(path, False)
+        self._delete(old)
 
     def newest_partitions(self, n: int) -> DataFrame:
         """(chain_id, height_bucket) of each chain from the highest down, until its zones count ``n`` rows."""
@@ -228,24 +228,6 @@ class BlockTable:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _partition_dirs(self, root_path: str) -> dict:
-        """``{(chain_id, height_bucket): hadoop Path}`` of one dataset."""
-        from urllib.parse import unquote
-        jvm, fs = self._fs()
-        root = jvm.org.apache.hadoop.fs.Path(root_path)
-        out = {}
-        if not fs.exists(root):
-            return out
-        for c in fs.listStatus(root):
-            cname = c.getPath().getName()
-            if not (c.isDirectory() and cname.startswith("chain_id=")):
-                continue
-            for b in fs.listStatus(c.getPath()):
-                bname = b.getPath().getName()
-                if b.isDirectory() and bname.startswith("height_bucket="):
-                    out[(unquote(cname.split("=", 1)[1]), int(bname.split("=", 1)[1]))] = b.getPath()
-        return out
-
     def compact(self) -> int:
         """Apply tombstones physically; returns the number of partitions
         touched.  The files of the partitions with tombstones are listed; their
@@ -253,42 +235,64 @@ class BlockTable:
         and, last, the listed tombstone files are deleted.  What other writers
         add in the meantime stays.  Until the end a reader may see a live row
         twice, never too few; a failed call is made good by the next one.  A
-        query that began before must be started anew when its files are gone."""
+        query that began before must be started anew when its files are gone.
+
+        The lists are tables that scans give (files without a row are not in
+        them and do no harm) and the files are deleted by tasks, so neither
+        grows in the driver."""
         if not self._exists(self.tombstone_path):
             return 0
         ensure_checkpoint_dir(self.spark)
-        tomb_dirs = self._partition_dirs(self.tombstone_path)
-        old_tombs = self._files(tomb_dirs, tomb_dirs)
-        if not old_tombs:
+        tombs = _with_file(self.spark.read.schema(STORE_SCHEMA).parquet(self.tombstone_path))
+        old_tombs = tombs.select(*PARTITIONS, "_file").distinct().checkpoint(eager=True)
+        parts = old_tombs.select(*PARTITIONS).distinct()
+        touched = parts.count()
+        if not touched:
             return 0
-        parts = {k for k in tomb_dirs if self._files(tomb_dirs, [k])}
-        old_data = self._files(self._partition_dirs(self.path), parts)
-
-        def listed(root: str, files: list) -> DataFrame:
-            return (self.spark.read.schema(STORE_SCHEMA).option("basePath", root)
-                    .parquet(*[f.toString() for f in files]))
-
-        if old_data:
-            live = self._visible(listed(self.path, old_data), listed(self.tombstone_path, old_tombs))
-            live = (live.groupBy(*PARTITIONS, "block_height", "block")
-                    .agg(F.min("seq").alias("seq"), F.max("version").alias("version")))
-            live = live.select(*[f.name for f in STORE_SCHEMA.fields]).checkpoint(eager=True)
-            live.write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
-        _, fs = self._fs()
-        for path in old_data + old_tombs:
-            fs.delete(path, False)
-        return len(parts)
-
-    def _files(self, dirs: dict, keys) -> list:
-        """Data files that the given partitions have at this moment."""
-        _, fs = self._fs()
-        return [f.getPath() for key in keys if key in dirs for f in fs.listStatus(dirs[key])
-                if not f.getPath().getName().startswith((".", "_"))]
+        data = _with_file(self.spark.read.schema(STORE_SCHEMA).parquet(self.path))
+        old_data = data.select(*PARTITIONS, "_file").join(parts, PARTITIONS, "left_semi").distinct().checkpoint(eager=True)
+        live = self._visible(*(rows.join(files, [*PARTITIONS, "_file"], "left_semi").drop("_file")
+                               for rows, files in ((data, old_data), (tombs, old_tombs))))
+        live = (live.groupBy(*PARTITIONS, "block_height", "block")
+                .agg(F.min("seq").alias("seq"), F.max("version").alias("version")))
+        live = live.select(*[f.name for f in STORE_SCHEMA.fields]).checkpoint(eager=True)
+        live.write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
+        self._delete(old_data)
+        self._delete(old_tombs)
+        return touched
+
+    def _delete(self, files: DataFrame) -> None:
+        """Delete the listed ``_file``s in tasks; those that the tasks' client cannot reach go through the driver's."""
+        tasks = self.spark.sparkContext.defaultParallelism
+        left = files.select("_file").repartition(tasks, "_file").mapInArrow(_delete_in_task, "_file string").checkpoint(eager=True)
+        jvm, fs = self._fs()
+        for row in left.toLocalIterator():
+            fs.delete(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["_file"])), False)
 
     def get_blocks(self, chain_id: str, start: int, end: int) -> DataFrame:
         return st.get_blocks(self.read(), chain_id, start, end)
 
 
+def _with_file(rows: DataFrame) -> DataFrame:
+    """``rows`` of a scan with the file that each one is in."""
+    return rows.withColumn("_file", F.col("_metadata.file_path"))
+
+
+def _delete_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Delete files by their addresses; gives back those that were not there or have no client here."""
+    from pyarrow import fs
+
+    for batch in batches:
+        left = []
+        for address in batch.column("_file").to_pylist():
+            try:
+                client, path = fs.FileSystem.from_uri(address)
+                client.delete_file(path)
+            except (OSError, ValueError):  # a task that ran again, an unknown store: the driver tries
+                left.append(address)
+        yield pa.RecordBatch.from_pydict({"_file": pa.array(left, pa.string())})
+
+
 def tiered_latest(hot: BlockTable, cold: BlockTable, n: int) -> DataFrame:
     """Latest ``n`` of every chain over both tiers, from the newest partitions of each."""
     return st.tiered_latest_blocks(hot.latest(n), cold.latest(n), n)

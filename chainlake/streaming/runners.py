@@ -238,18 +238,29 @@ def entitlement_signals(stream: DataFrame) -> DataFrame:
                  F.max(F.when(F.col("kind") == "invalidate", F.col("ts"))).alias("last_invalidation")))
 
 
-def entitlement_state_batch(out_path: str):
+def entitlement_state_batch(out_path: str, fold_every: int = 50):
     """``foreachBatch`` body: users whose state changed in this batch, keyed
-    by batch id (the newest row per user is the current state)."""
+    by batch id (the newest row per user is the current state).  Every
+    ``fold_every`` batches the earlier snapshots become one row per user."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(out_path))
+        _write_batch(batch, batch_id, out_path)
+        if batch_id and batch_id % fold_every == 0:
+            snapshots.fold(batch.sparkSession, out_path, batch_id, _latest_signals)
 
     return handle
 
 
+def _latest_signals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("user_id").agg(F.max("last_fill").alias("last_fill"),
+                                       F.max("last_invalidation").alias("last_invalidation"))
+
+
+def current_signals(spark: SparkSession, path: str) -> DataFrame:
+    """(user_id, last_fill, last_invalidation) over all snapshots; both times only move forward."""
+    return _latest_signals(spark.read.parquet(path))
+
+
 def run_available_now_update(stream: DataFrame, batch_fn, checkpoint: str) -> None:
     q = (stream.writeStream.outputMode("update").foreachBatch(batch_fn)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -51,3 +51,18 @@ def test_router_folds_its_snapshots(spark):
     assert set(snapshots._folders(spark, f"{base}/heads")[1]) == {-4, 4}
     assert set(snapshots._folders(spark, f"{base}/ready")[1]) == {3, 4}
     assert spark.read.parquet(f"{base}/ready").where("batch_id = 4").count() == 1
+
+
+def test_entitlement_state_folds_its_snapshots(spark):
+    path = fresh_path(spark, "signals")
+    handle = sp.entitlement_state_batch(path, fold_every=2)
+    state = lambda rows: spark.createDataFrame(rows, "user_id string, last_fill int, last_invalidation int")
+    batches = [[("a", 1, None), ("b", None, 4)], [("a", 3, None)], [("b", 5, 4)], [("a", 3, 7)], [("c", None, None)]]
+    for k, rows in enumerate(batches):
+        handle(state(rows), k)
+    handle(state(batches[-1]), 4)  # replayed
+    assert set(snapshots._folders(spark, path)[1]) == {-4, 4}
+    got = sorted(tuple(r) for r in sp.current_signals(spark, path).collect())
+    assert got == [("a", 3, 7), ("b", 5, 4), ("c", None, None)]
+    newest = spark.read.parquet(path).groupBy("user_id").agg(F.max_by(F.struct("last_fill", "last_invalidation"), "batch_id").alias("s"))
+    assert sorted(tuple(r) for r in newest.select("user_id", "s.*").collect()) == got
