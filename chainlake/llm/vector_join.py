@@ -2,11 +2,19 @@
 
 Unit vectors with cosine c are sqrt(2 - 2c) apart, so the cosine threshold is
 a metric range r.  Each vector belongs to the cell of its nearest pivot and is
-copied to every other cell j with d(x, p_j) <= d(x, p_home) + 2r: by the
+copied to every earlier cell j with d(x, p_j) <= d(x, p_home) + 2r: by the
 triangle inequality a partner at home in j cannot exist otherwise.  (The
 distance to the bisecting hyperplane, at most r, is a second exact bound.)
-Cells join independently; a pair that meets in two cells counts in the cell of
-the smaller of its two homes.
+A pair counts in the cell of the earlier of its two homes, where both are.
+
+A label starts as one cell.  Cells of over ``CELL`` vectors are split by up to
+``PIVOTS`` pivots of their own, level by level, so the number of pivots follows
+the number of vectors and no task holds more than one cell's pivots.  At each
+level a vector either owns its cell (it is at home there) or is a copy; a pair
+counts where, at every level, one of the two owns the cell.  A cell is left
+whole if its sample says that copies would eat up at least half of the gain
+(vectors that are all within about r of each other, or all about equally far
+apart as random ones of many dimensions are).  Cells then join independently.
 
 Equal vectors are one class with a count, so copies are never paired.  A cell
 is dealt out in blocks of about ``BLOCK`` rows, and a task joins one pair of
@@ -17,21 +25,22 @@ pairs, so a family of n near copies costs rows in proportion to n.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, ship_package
 from .components import connected_components
 
-CELL = 4096          # vectors of the largest label for each pivot
-PIVOTS = 64          # at most; work per vector grows with them
-PIVOT_SAMPLE = 2000  # classes that pivots are chosen from; only speed depends on it
+CELL = 4096          # cells of more vectors are split
+PIVOTS = 64          # at most for one split; further levels give more
+PIVOT_SAMPLE = 2000  # vectors of a cell that its pivots are chosen from; only speed depends on it
+GAIN = 0.5           # a split is made if it leaves at most this share of the cell's pairs
+LEVELS = 60          # bits of ``owns``; each level halves the pairs at least
 BLOCK = 1024
+_CELL_KEY = ["label", "dim", "cell"]
 _SLACK = 1e-9
 
 
@@ -61,20 +70,20 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
 
 
 def cells_of(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Home cell of each unit vector, and (rows, pivots) whether the cell needs the vector."""
+    """Home cell of each unit vector, and (rows, pivots) whether the cell, home or an earlier one, needs the vector."""
     squared = np.maximum(0, 2 - 2 * x @ pivots.T)
     home = squared.argmin(axis=1)
     near = squared[np.arange(len(x)), home][:, None]
     triangle = np.sqrt(squared) <= np.sqrt(near) + 2 * radius + _SLACK
     apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))[home]
     plane = squared - near <= 2 * radius * apart + _SLACK
-    needs = triangle & plane
+    needs = triangle & plane & (np.arange(len(pivots)) <= home[:, None])
     needs[np.arange(len(x)), home] = True
     return home, needs
 
 
-def join_blocks(left: tuple, right: tuple, cell: int, threshold: float, same: bool) -> pd.DataFrame:
-    """(node, links, root) for one pair of blocks, each (class ids, homes, copies, vectors)."""
+def join_blocks(left: tuple, right: tuple, levels: int, threshold: float, same: bool) -> pd.DataFrame:
+    """(node, links, root) for one pair of blocks, each (class ids, levels owned as bits, copies, vectors)."""
     ids = [np.asarray(b[0]) for b in (left, right)]
     x, y = (np.vstack(b[3]) if len(b[0]) else np.empty((0, 1)) for b in (left, right))
     empty = pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
@@ -85,7 +94,7 @@ def join_blocks(left: tuple, right: tuple, cell: int, threshold: float, same: bo
     for i, j in np.argwhere(np.abs(cosine - threshold) < _SLACK):  # decided by the plain formula
         a, b = x[i], y[j]
         linked[i, j] = a @ b / (math.sqrt(a @ a) * math.sqrt(b @ b)) >= threshold
-    linked &= np.minimum(np.asarray(left[1])[:, None], np.asarray(right[1])[None]) == cell
+    linked &= (np.asarray(left[1], np.int64)[:, None] | np.asarray(right[1], np.int64)[None]) == (1 << levels) - 1
     if same:
         np.fill_diagonal(linked, False)
     if not linked.any():
@@ -127,7 +136,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
                .agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
                .withColumn("dim", F.size("vec")))
     classes = cut_lineage(classes).withColumn("node", F.monotonically_increasing_id())  # over written rows: stable
-    found = cut_lineage(_join_cells(_assign(classes, radius), threshold))
+    found = cut_lineage(_join_cells(_cells(classes, radius), threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     labelled = (classes.select("node", "label", "vec", "copies", "least")
@@ -143,47 +152,70 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))
 
 
-def _assign(classes: DataFrame, radius: float) -> DataFrame:
-    """(label, dim, cell, home, node, copies, vec) for each cell that needs a class."""
-    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    largest = {r.dim: r.n for r in sizes.groupBy("dim").agg(F.max("n").alias("n")).collect()}  # few dimensions
-    pivots = {}
-    for dim, n in largest.items():
-        count = min(PIVOTS, -(-n // CELL))
-        sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("vec"), "node").limit(PIVOT_SAMPLE).select("vec").collect()
-        pivots[dim] = choose_pivots(_unit(np.array([r.vec for r in sample])), count)
-    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors at most per dimension
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column("vec").to_pylist()
-            dims = np.array([len(v) for v in vectors])
-            row, home, cell = [], [], []
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                own, needs = cells_of(_unit(np.array([vectors[i] for i in at])), shared.value[dim], radius)
-                r, c = np.nonzero(needs)
-                row.append(at[r])
-                home.append(own[r])
-                cell.append(c)
-            if not row:
-                continue
-            take = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label").take(take), batch.column("dim").take(take), pa.array(np.concatenate(cell).astype(np.int32)),
-                 pa.array(np.concatenate(home).astype(np.int32)), batch.column("node").take(take),
-                 batch.column("copies").take(take), batch.column("vec").take(take)],
-                names=["label", "dim", "cell", "home", "node", "copies", "vec"])
-
-    label = classes.schema["label"].dataType.simpleString()
-    return classes.select("label", "dim", "node", "copies", "vec").mapInArrow(
-        run, f"label {label}, dim int, cell int, home int, node long, copies long, vec array<double>")
+def _cells(classes: DataFrame, radius: float) -> DataFrame:
+    """(label, dim, cell, owns, node, copies, vec) for each cell that needs a class; cells are paths of pivot numbers."""
+    level = classes.select("label", "dim", F.lit("0").alias("cell"), F.lit(0).cast("long").alias("owns"), "node", "copies", "vec")
+    done = []
+    for depth in range(LEVELS):
+        large = cut_lineage(level.groupBy(*_CELL_KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL))
+        if large.isEmpty():
+            break
+        pivots = cut_lineage(_pivots(level, large, radius))
+        if pivots.isEmpty():
+            break
+        done.append(level.join(pivots.select(*_CELL_KEY), _CELL_KEY, "left_anti"))
+        level = cut_lineage(_split(level, pivots, radius, depth))
+    for part in done:
+        level = level.unionByName(part)
+    return level
+
+
+def _pivots(level: DataFrame, large: DataFrame, radius: float) -> DataFrame:
+    """(label, dim, cell, n, pivots) of the large cells that are worth a split."""
+    some = Window.partitionBy(*_CELL_KEY).orderBy(F.xxhash64("vec"), "node")
+    sample = (level.select(*_CELL_KEY, "node", "vec").join(large, _CELL_KEY)
+              .withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= PIVOT_SAMPLE))  # a group limit
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(np.vstack(group.vec))
+        pivots = choose_pivots(x, min(PIVOTS, -(-4 * int(group.n.iloc[0]) // CELL)))
+        _, needs = cells_of(x, pivots, radius)
+        worth = (needs.sum(axis=0, dtype=np.float64) ** 2).sum() <= GAIN * len(x) ** 2
+        own = group[[*_CELL_KEY, "n"]].head(int(worth)).reset_index(drop=True)
+        return own.assign(pivots=pd.Series([pivots.ravel()] * int(worth), dtype=object))
+
+    label = level.schema["label"].dataType.simpleString()
+    return sample.groupBy(*_CELL_KEY).applyInPandas(
+        run, f"label {label}, dim int, cell string, n long, pivots array<double>")
+
+
+def _split(level: DataFrame, pivots: DataFrame, radius: float, depth: int) -> DataFrame:
+    """The rows of the cells with pivots in their new cells; a task takes about ``BLOCK`` rows and their cell's pivots."""
+    shares = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = (level.join(pivots.select(*_CELL_KEY, shares.alias("shares")), _CELL_KEY)
+            .withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).drop("shares"))
+    shared = pivots.select(*_CELL_KEY, "pivots", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+
+    def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        names = [*_CELL_KEY, "owns", "node", "copies", "vec"]
+        if not len(rows):
+            return rows.reindex(columns=names)
+        home, needs = cells_of(_unit(np.vstack(rows.vec)), own.pivots.iloc[0].reshape(-1, int(rows.dim.iloc[0])), radius)
+        row, cell = np.nonzero(needs)
+        out = rows.iloc[row].reset_index(drop=True)
+        out["cell"] = out["cell"] + "/" + pd.Series(cell).astype(str)
+        out["owns"] = out["owns"] | ((cell == home[row]).astype("int64") << depth)
+        return out[names]
+
+    by = [*_CELL_KEY, "share"]
+    return rows.groupBy(*by).cogroup(shared.groupBy(*by)).applyInPandas(
+        run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in level.schema.fields))
 
 
 def _join_cells(cells: DataFrame, threshold: float) -> DataFrame:
     """(node, links, root) per task in which a class has links."""
-    sizes = cells.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = (cells.join(sizes, ["label", "dim", "cell"])
+    sizes = cells.groupBy(*_CELL_KEY).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = (cells.join(sizes, _CELL_KEY)
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")))
@@ -191,7 +223,7 @@ def _join_cells(cells: DataFrame, threshold: float) -> DataFrame:
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         _, _, cell, low, high = key
         sides = [group[group.block == b] for b in (low, high)]
-        sides = [(g.node.to_numpy(), g.home.to_numpy(), g.copies.to_numpy(), g.vec.to_list()) for g in sides]
-        return join_blocks(*sides, cell, threshold, low == high)
+        sides = [(g.node.to_numpy(), g.owns.to_numpy(), g.copies.to_numpy(), g.vec.to_list()) for g in sides]
+        return join_blocks(*sides, cell.count("/"), threshold, low == high)
 
-    return dealt.groupBy("label", "dim", "cell", "low", "high").applyInPandas(run, "node long, links long, root long")
+    return dealt.groupBy(*_CELL_KEY, "low", "high").applyInPandas(run, "node long, links long, root long")

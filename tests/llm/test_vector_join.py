@@ -66,3 +66,23 @@ def test_hot_families_and_empty(spark):
     assert run(spark, rows, 0.98) == brute(rows, 0.98)
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert v.near_vectors(empty).count() == 0
+
+
+def test_cells_follow_the_number_of_vectors(spark, monkeypatch):
+    """Four pivots a split: cells are split again until they are small, every link is kept, and one family stays whole."""
+    monkeypatch.setattr(v, "CELL", 12)
+    monkeypatch.setattr(v, "PIVOTS", 4)
+    rng = np.random.default_rng(5)
+    spread = rng.normal(size=(220, 3))
+    family = np.array([0.0, 0.0, 1.0]) + rng.normal(size=(40, 3)) * 0.002
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(np.vstack((spread, family)))]
+    assert run(spark, rows, 0.99) == brute(rows, 0.99)
+    classes = spark.createDataFrame([(x, 1, 3, i, 1) for i, x, _ in rows], "vec array<double>, label int, dim int, node long, copies long")
+    radius = math.sqrt(0.02)
+    cells = v._cells(classes, radius).toPandas()
+    size = cells.groupby("cell").size()
+    depth = size.index.str.count("/")
+    assert depth.max() >= 3 and len(size) > 2 * v.PIVOTS
+    owned = cells[cells.owns == 2 ** cells.cell.str.count("/") - 1]
+    assert sorted(owned.node) == list(range(260))  # each vector is at home in one cell
+    assert size.max() < 130 and size.max() >= 40  # the family cannot be split
