@@ -53,7 +53,54 @@ NOTICES = (
                     "provided that the following conditions are met"),
     Template("mpl", "this source code form is subject to the terms of the mozilla public license"),
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial "
+                    "portions of the software"),
+    Template("apache", "unless required by applicable law or agreed to in writing software distributed under the license is "
+                       "distributed on an as is basis without warranties or conditions of any kind"),
+    Template("gpl", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu "
+                    "general public license for more details"),
+    Template("lgpl", "gnu lesser general public license"),
+    Template("lgpl", "gnu library general public license"),
+    Template("agpl", "gnu affero general public license"),
+    Template("bsd", "bsd 2 clause license"),
+    Template("bsd", "bsd 3 clause license"),
+    Template("bsd", "2 clause bsd license"),
+    Template("bsd", "3 clause bsd license"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                    "promote products derived from this software without specific prior written permission"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is "
+                    "hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors "
+                     "be held liable for any damages arising from the use of this software"),
+    Template("boost", "boost software license version 1 0"),
+    Template("mpl", "mozilla public license version 2 0"),
+    Template("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    Template("epl", "eclipse public license"),
+    Template("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in "
+                          "source code form or as a compiled binary for any purpose"),
+    Template("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring "
+                    "rights to this software to the public domain worldwide"),
 )
+# Identifiers of the public SPDX list, by label; a tag names one after "SPDX-License-Identifier:".
+SPDX = {
+    "agpl": ("AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "apache": ("Apache-2.0",),
+    "boost": ("BSL-1.0",),
+    "bsd": ("0BSD", "BSD-2-Clause", "BSD-3-Clause"),
+    "cc-by": ("CC-BY-4.0",),
+    "cc-by-nc": ("CC-BY-NC-4.0",),
+    "cc-by-sa": ("CC-BY-SA-4.0",),
+    "cc0": ("CC0-1.0",),
+    "epl": ("EPL-2.0",),
+    "gpl": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "isc": ("ISC",),
+    "lgpl": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "mit": ("MIT",),
+    "mpl": ("MPL-2.0",),
+    "unlicense": ("Unlicense",),
+    "zlib": ("Zlib",),
+}
+TAGS = tuple(Template(label, f"spdx-license-identifier: {name.lower()}") for label, names in SPDX.items() for name in names)
 K_PHRASE, K_NOTICE = 2, 3
 MERGE = 2         # diagonals this far apart belong to one span
 COVERAGE = 0.8    # share of a notice's k-grams that a verified span holds
@@ -76,25 +123,29 @@ def template_grams(templates: Sequence[Template]) -> list[tuple]:
 def _scan(docs: DataFrame, orders: list[int], bitmap: bytes) -> DataFrame:
     """(doc_id, n_words, hits) per row; hits are the k-grams that may belong to a template."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2 MB always
-    hit = pa.struct([("place", pa.int64()), ("gram", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may_match = filter_test(shared.value)
         for batch in batches:
-            counts, hits = [], []
+            counts, ends, places, grams = [], [0], [], []
             for text in batch.column("text").to_pylist():
                 words = Words(text)
                 counts.append(len(words))
-                hits.append([{"place": at, "gram": words.gram(at, n)} for n in orders
-                             for at in np.flatnonzero(may_match(words.rolling(n))).tolist()])
+                for n in orders:
+                    at = np.flatnonzero(may_match(words.rolling(n)))
+                    places.append(at)
+                    grams += [words.gram(i, n) for i in at.tolist()]
+                ends.append(len(grams))
+            hits = pa.StructArray.from_arrays([pa.array(np.concatenate(places) if places else [], pa.int64()),
+                                               pa.array(grams, pa.binary())], names=["place", "gram"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(hit))],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits)],
                 names=["doc_id", "n_words", "hits"])
 
     return docs.mapInArrow(run, "doc_id long, n_words long, hits array<struct<place: long, gram: binary>>")
 
 
-def scan_licenses(docs: DataFrame, templates: Sequence[Template] = PHRASES + NOTICES, id_col: str = "doc_id",
+def scan_licenses(docs: DataFrame, templates: Sequence[Template] = PHRASES + NOTICES + TAGS, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans per row.
 
