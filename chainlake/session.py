@@ -27,8 +27,6 @@ DEFAULT_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # checkpoints go when no plan refers to them any more (a cluster's own session must set this itself)
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
