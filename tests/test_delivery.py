@@ -248,3 +248,21 @@ def test_far_behind_job_is_planned_in_chunks(spark):
     heads = spark.createDataFrame([("a", 100_000, 0)], "chain_id string, head bigint, low bigint")
     r = dv.delivery_plan(jobs, hooks, heads).agg(F.count("*"), F.min("request_no"), F.max("request_no"), F.sum("n_blocks")).first()
     assert tuple(r) == (100_000, 0, 99_999, 100_000)
+
+
+def test_gapped_plan_builds_only_states_that_paths_reach(spark, monkeypatch):
+    """A long chain under jobs near its head: states from the lowest cursor on, and no round multiplies the partitions."""
+    from chainlake.operators import gapped
+    kept = []
+    plain = gapped._checkpoint
+    monkeypatch.setattr(gapped, "_checkpoint", lambda df: kept.append(plain(df)) or kept[-1])
+    heights = [h for h in range(40_000) if h % 3]
+    blocks = spark.createDataFrame([("c", h, "") for h in heights], "chain_id string, block_height bigint, block string")
+    cases = [(f"w{i}", 39_990 - 60 * (i % 4), 1 + i % 2) for i in range(40)]
+    jobs = spark.createDataFrame([(w, "c", s, False) for w, s, _ in cases], JOB)
+    hooks = spark.createDataFrame([(w, m) for w, _, m in cases], "id string, max_blocks int")
+    out = gapped.delivery_plan_gapped(jobs, hooks, blocks)
+    want = sorted((w, k, *r) for w, s, m in cases for k, r in enumerate(_simulate_gapped(heights, s, False, m, "reference")))
+    assert sorted(tuple(r) for r in out.collect()) == want
+    assert max(df.count() for df in kept) < 1_000
+    assert max(df.rdd.getNumPartitions() for df in kept) <= 64
