@@ -174,7 +174,8 @@ def plan_deliveries(jobs: DataFrame, webhooks: DataFrame, blocks: DataFrame, mod
     stats = (blocks.groupBy("chain_id")
              .agg(F.max("block_height").alias("head"), F.min("block_height").alias("low"),
                   F.countDistinct("block_height").alias("n")))
-    contiguous = stats.where(F.col("n") == F.col("head") - F.col("low") + 1)
+    ensure_checkpoint_dir(jobs.sparkSession)
+    contiguous = _checkpoint(stats.where(F.col("n") == F.col("head") - F.col("low") + 1))  # many scans read these few rows
     chains = F.broadcast(contiguous.select("chain_id"))  # one row per chain
     closed = delivery_plan(jobs.join(chains, "chain_id", "left_semi"), webhooks,
                            contiguous.select("chain_id", "head", "low"), mode=mode, inclusive=inclusive)
