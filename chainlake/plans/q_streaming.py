@@ -386,7 +386,8 @@ def _land_in_time(df, path, id_col, ticks_at):
     """Rows land in slices of six days, every tenth one a slice late; two ticks move the clock at the end."""
     day = F.datediff(F.col("ts"), F.lit("2024-01-01"))
     at = F.floor(day / SLICE_DAYS) + F.when(F.pmod(F.xxhash64(id_col), F.lit(10)) == 0, 1).otherwise(0)
-    cut = df.withColumn("_slice", at)
+    df.withColumn("_slice", at).write.partitionBy("_slice").parquet(f"{path}-cut")  # made once, not for every slice
+    cut = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_slice", T.LongType())])).parquet(f"{path}-cut")
     for k in range(6):
         sp.land_files(cut.where(F.col("_slice") == k).drop("_slice"), path, 1)
     for _ in range(2):  # the watermark of one batch counts in the next

@@ -9,6 +9,8 @@ them, ``tick`` rows (``clock_tick``) carry a time and nothing else.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +71,10 @@ def replay_attempts(events: list, waits: list, failures: int, due: int | None, u
     return out, failures, due
 
 
-def redelivery_stream(attempts: DataFrame, waits: DataFrame, delay: str) -> DataFrame:
+GROUPS = 1024  # groups of messages in the state; fixed for the life of a stream's checkpoint
+
+
+def redelivery_stream(attempts: DataFrame, waits: DataFrame, delay: str, groups: int = GROUPS) -> DataFrame:
     """Failed messages when their schedule hands them out again:
     ``(webhook_id, msg_id, kind, attempt, due_at)``.
 
@@ -79,41 +84,58 @@ def redelivery_stream(attempts: DataFrame, waits: DataFrame, delay: str) -> Data
     state of a message is its attempts that the watermark has not passed, its
     failures and its timer; it goes with a success or a skip.  Rows without a
     webhook, message, time or outcome are left out.
+
+    Messages are kept in ``groups`` groups by hash, since a call of Python for
+    a message costs far more than its replay; a group's timer is the first of
+    its messages', and each message is replayed alone.
     """
     rows = (_clocked(attempts, delay).join(waits, "webhook_id", "left")
             .select("webhook_id", "msg_id", "attempt_id", "event_ts", "_at", "failed", "kind", "waits"))
 
     def run(key, frames, state):
-        events, waits, failures, due = [], [], 0, None
+        messages = {}
         if state.exists:
-            at, ids, failed, waits, failures, due = state.get
-            events, waits = list(zip(at, ids, failed)), list(waits)
+            *heads, at, ids, failed = state.get
+            rest = zip(at, ids, failed)
+            for hook, msg, waits, failures, due, n in zip(*heads):
+                messages[hook, msg] = [waits, failures, due, list(islice(rest, n))]
         if not state.hasTimedOut:
             for f in frames:
                 f = f[(f["kind"] != "tick") & f["_at"].notna() & f["failed"].notna() & f["waits"].notna()]
-                if len(f):
-                    waits = [int(w) for w in f["waits"].iloc[0]]
-                    events += [(int(a), int(i), bool(x)) for a, i, x in zip(f["_at"], f["attempt_id"].fillna(0), f["failed"])]
+                for hook, msg, a, i, x, w in zip(f["webhook_id"], f["msg_id"], f["_at"], f["attempt_id"].fillna(0),
+                                                 f["failed"], f["waits"]):
+                    message = messages.setdefault((hook, int(msg)), [None, 0, None, []])
+                    message[0] = w
+                    message[3].append((int(a), int(i), bool(x)))
         now = state.getCurrentWatermarkMs() * 1000
-        events.sort()
-        ready = [e for e in events if e[0] < now]
-        events = events[len(ready):]
-        out, failures, due = replay_attempts(ready, waits, failures, due, now)
-        if events or failures:
-            at, ids, failed = (list(c) for c in zip(*events)) if events else ([], [], [])
-            state.update((at, ids, failed, waits, failures, due))
-            wake = [t for t in (at[0] if at else None, due) if t is not None]
+        out, kept, left, wake = [], [], [], []
+        for (hook, msg), (waits, failures, due, events) in messages.items():
+            waits = [int(w) for w in waits]
+            events.sort()
+            ready = [e for e in events if e[0] < now]
+            events = events[len(ready):]
+            fired, failures, due = replay_attempts(ready, waits, failures, due, now)
+            out += [(hook, msg, *o) for o in fired]
+            if events or failures:
+                kept.append((hook, msg, waits, failures, due, len(events)))
+                left += events
+                wake += [t for t in (events[0][0] if events else None, due) if t is not None]
+        if kept:
+            at, ids, failed = (list(c) for c in zip(*left)) if left else ([], [], [])
+            state.update((*(list(c) for c in zip(*kept)), at, ids, failed))
             if wake:
                 _wake(state, min(wake) + 1)
         elif state.exists:
             state.remove()
         if out:
-            yield pd.DataFrame([(*key, *o) for o in out], columns=["webhook_id", "msg_id", "kind", "attempt", "_at"])
+            yield pd.DataFrame(out, columns=["webhook_id", "msg_id", "kind", "attempt", "_at"])
 
-    known = rows.where(F.col("webhook_id").isNotNull() & F.col("msg_id").isNotNull())
-    fired = known.groupBy("webhook_id", "msg_id").applyInPandasWithState(
+    known = (rows.where(F.col("webhook_id").isNotNull() & F.col("msg_id").isNotNull())
+             .withColumn("_group", F.pmod(F.xxhash64("webhook_id", "msg_id"), F.lit(groups))))
+    fired = known.groupBy("_group").applyInPandasWithState(
         run, "webhook_id string, msg_id bigint, kind string, attempt int, _at bigint",
-        "at array<bigint>, ids array<bigint>, failed array<boolean>, waits array<bigint>, failures int, due bigint",
+        "hooks array<string>, msgs array<bigint>, waits array<array<bigint>>, failures array<int>, due array<bigint>, "
+        "n array<int>, at array<bigint>, ids array<bigint>, failed array<boolean>",
         "append", "EventTimeTimeout")
     return fired.select("webhook_id", "msg_id", "kind", "attempt", _stamp("_at").alias("due_at"))
 

@@ -175,3 +175,42 @@ def test_start_now_leaves_earlier_files_out(spark):
     from pyspark.errors import AnalysisException
     with pytest.raises(AnalysisException):
         spark.read.parquet(f"{base}/out")
+
+
+def test_redelivery_state_is_kept_in_groups(spark):
+    """Many messages share a few state rows, and so a few calls, and are still replayed one by one."""
+    rnd = random.Random(11)
+    rows = [(rnd.randrange(100 * HOUR), "ab"[m % 2], m, 3 * m + k, rnd.random() < .8) for m in range(300) for k in range(3)]
+    base = fresh_path(spark, "groups")
+    files = [[(w, m, k, _time(at), failed, "attempt") for at, w, m, k, failed in f]
+             for f in _files_with_delay(rows, 4, 20 * HOUR, rnd)]
+    _land(spark, f"{base}/src", timers.EVENT, [*files, *[[("", 0, 0, _time(200 * HOUR), None, "tick")]] * 2])
+    hooks = {"a": [HOUR, 400 * HOUR], "b": [500 * HOUR, HOUR, HOUR]}
+    waits = spark.createDataFrame(list(hooks.items()), "webhook_id string, waits array<bigint>")
+    stream = sp.ingest_stream(spark, f"{base}/src", T.StructType.fromDDL(timers.EVENT), 1)
+    q = (timers.redelivery_stream(stream, waits, "60 hours", groups=8).writeStream
+         .foreachBatch(lambda df, bid: df.write.mode("append").parquet(f"{base}/out"))
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 8
+    got = sorted((r.webhook_id, r.msg_id, r.kind, r.attempt, r.due_at) for r in spark.read.parquet(f"{base}/out").collect())
+    want = []
+    for m in range(300):
+        events = [(at, k, failed) for at, _, x, k, failed in rows if x == m]
+        w = "ab"[m % 2]
+        want += [(w, m, kind, n, _time(at)) for kind, n, at in _replay(events, hooks[w]) if at < 140 * HOUR]
+    assert got == sorted(want)
+
+
+def test_slices_land_from_one_evaluation(spark, monkeypatch):
+    from chainlake.plans import q_streaming as q
+    base = fresh_path(spark, "slices")
+    spark.createDataFrame([("u", START + dt.timedelta(days=3 * k), "fill") for k in range(9)],
+                          "user_id string, ts timestamp_ntz, kind string").write.parquet(f"{base}/in")
+    read, plain = [], sp.land_files
+    monkeypatch.setattr(sp, "land_files", lambda df, path, n: (read.extend(df.inputFiles()), plain(df, path, n)))
+    q._land_in_time(spark.read.parquet(f"{base}/in"), f"{base}/src", "ts", F.lit(START))
+    rows = spark.read.parquet(f"{base}/src").collect()
+    assert sorted(r.ts for r in rows if r.kind == "fill") == [START + dt.timedelta(days=3 * k) for k in range(9)]
+    assert sum(r.kind == "tick" for r in rows) == 2
+    assert read and not any(f"{base}/in" in name for name in read)
