@@ -166,11 +166,11 @@ def entitlement_ttl_stream(signals: DataFrame, ttl_seconds: int, delay: str) ->
             return
         before = fill
         for f in frames:
-            f = f[f["_at"].notna()]
-            fills = f.loc[f["kind"] == "fill", "_at"]
-            if len(fills):
-                fill = int(fills.max()) if fill is None else max(fill, int(fills.max()))
-            drops += [int(a) for a in f.loc[f["kind"] == "invalidate", "_at"]]
+            for kind, at in zip(f["kind"].tolist(), f["_at"].tolist()):  # a few rows: no frame operations
+                if kind == "fill" and not pd.isna(at):
+                    fill = int(at) if fill is None else max(fill, int(at))
+                elif kind == "invalidate" and not pd.isna(at):
+                    drops.append(int(at))
         # before the first fill only invalidations that a late fill can still precede count
         floor = fill if fill is not None else state.getCurrentWatermarkMs() * 1000
         drops = sorted({d for d in drops if d >= floor})
@@ -186,7 +186,7 @@ def entitlement_ttl_stream(signals: DataFrame, ttl_seconds: int, delay: str) ->
             yield pd.DataFrame({"user_id": [key[0]], "_fill": [fill], "state": [now],
                                 "_end": pd.array([ended], dtype="Int64")})
 
-    known = _clocked(signals, delay).where(F.col("user_id").isNotNull())
+    known = _clocked(signals, delay).where(F.col("user_id").isNotNull()).select("user_id", "event_ts", "_at", "kind")
     out = known.groupBy("user_id").applyInPandasWithState(
         run, "user_id string, _fill bigint, state string, _end bigint",
         "fill bigint, drops array<bigint>, told string, told_end bigint", "append", "EventTimeTimeout")
