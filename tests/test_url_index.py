@@ -145,3 +145,24 @@ def test_late_holes_are_fetched_once(spark):
         stream = spark.readStream.format("chainlake_blocks").option("heights_per_partition", "3").load()
         sp.run_available_now(stream, lambda df, bid: df.write.mode("append").parquet(f"{base}/out"), f"{base}/ckpt")
     assert sorted(r.block_height for r in spark.read.parquet(f"{base}/out").collect()) == list(range(13))
+
+
+def test_equal_searches_are_answered_once(spark, monkeypatch):
+    """One search asked by many: their ids meet its answer in lists over several parts, and no pair is shuffled."""
+    monkeypatch.setattr(ui, "IDS", 4)
+    hooks = [(str(i), "x", f"https://shop.example/hooks/{i}", "c", "") for i in range(60)]
+    hooks.append(hooks[7])  # a webhook that comes twice is found twice
+    requests = [(i, "x", p) for i in range(90) for p in [["SHOP.ex", "s/1", "7", None, "hooks/33"][i % 5]]]
+    requests += [(i, "x", "only" + str(i)) for i in range(90, 95)]
+    w, r = spark.createDataFrame(hooks, HOOK), spark.createDataFrame([*requests, *requests[:9]], REQUEST)
+    index = ui.UrlIndex(spark, fresh_path(spark, "url-index"))
+    index.add(w)
+    df = ui.search(index.read(), w, r)
+    want = sorted((rid, h[0]) for rid, _, p in requests for h in hooks if _like(p or "").fullmatch(h[2].lower()))
+    assert sorted((x.request_id, x.id) for x in df.collect()) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = ui.search(index.read(), w, r)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Generate explode(_ids" in plan.split("Exchange")[0]
