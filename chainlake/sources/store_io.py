@@ -188,7 +188,7 @@ class BlockTable:
     def _hide(self, members: DataFrame, version: int) -> None:
         members = self.prepare(members)
         self._record(members, -1)
-        (members.withColumn("version", F.lit(version)).select(*[f.name for f in STORE_SCHEMA.fields])
+        (self._dealt(members.withColumn("version", F.lit(version)))
          .write.mode("append").partitionBy(*PARTITIONS).parquet(self.tombstone_path))
 
     @staticmethod
@@ -198,6 +198,12 @@ class BlockTable:
         return b.where(F.col("chain_id").isNotNull() & F.col("block_height").isNotNull()).select("chain_id", "block_height", "block", "seq").withColumn(
             "height_bucket", st.height_bucket(F.col("block_height")))
 
+    @staticmethod
+    def _dealt(rows: DataFrame) -> DataFrame:
+        """Rows to append, a partition in one task: a batch over all heights writes a file per partition, not one per
+        partition and task.  A partition has at most ``HEIGHT_BUCKET`` heights."""
+        return rows.select(*[f.name for f in STORE_SCHEMA.fields]).repartition(*PARTITIONS)
+
     def _touched(self, batch: DataFrame) -> DataFrame:
         """Stored rows of the partitions the batch touches (pruned by DPP)."""
         parts = batch.select(*PARTITIONS).distinct()
@@ -211,13 +217,13 @@ class BlockTable:
         if policy == "first":
             new = b.join(existing.select(*st.KEY), st.KEY, "left_anti")
             self._record(new, of=b)
-            (new.withColumn("version", F.lit(self._next_version())).select(*[f.name for f in STORE_SCHEMA.fields])
+            (self._dealt(new.withColumn("version", F.lit(self._next_version())))
              .write.mode("append").partitionBy(*PARTITIONS).parquet(self.path))
             return
         hides, version = self._next_version(), self._next_version()
         new = b.join(existing.select(*st.KEY, "block"), [*st.KEY, "block"], "left_anti")
         self._record(new, of=b)
-        (new.withColumn("version", F.lit(version)).select(*[f.name for f in STORE_SCHEMA.fields])
+        (self._dealt(new.withColumn("version", F.lit(version)))
          .write.mode("append").partitionBy(*PARTITIONS).parquet(self.path))
         if policy == "last":  # the replaced rows are older than ``hides``, the new ones are not
             winner = b.select(*st.KEY, F.col("block").alias("_new"))

@@ -19,6 +19,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,7 +125,16 @@ def route_blocks_batch(store: BlockTable, heads_path: str, cursors_path: str | N
     snapshots but those of the last two batches, whose jobs they list anew, are dropped."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = normalize(batch) if normalize is not None else batch
+        if normalize is None:
+            return route(batch, batch_id)
+        rows = normalize(batch).persist(StorageLevel.DISK_ONLY)  # read several times, parsed once
+        try:
+            route(rows, batch_id)
+        finally:
+            rows.unpersist()
+
+    def route(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
         store.put(rows, "first")
         span = (rows.groupBy("chain_id").agg(F.max("block_height").alias("head"), F.min("block_height").alias("low"))
                 .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
@@ -133,7 +143,6 @@ def route_blocks_batch(store: BlockTable, heads_path: str, cursors_path: str | N
         if cursors_path and ready_path:
             from chainlake.operators.delivery import due_jobs
             from chainlake.streaming.rounds import current_cursors
-            spark = batch.sparkSession
             ready = (due_jobs(current_cursors(spark, cursors_path), current_heads(spark, heads_path))
                      .where(F.col("state") == "ready")
                      .select("webhook_id", "chain_id", "next_height", "is_new",
@@ -141,9 +150,9 @@ def route_blocks_batch(store: BlockTable, heads_path: str, cursors_path: str | N
             (ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch_id").parquet(ready_path))
         if batch_id and batch_id % fold_every == 0:
-            snapshots.fold(batch.sparkSession, heads_path, batch_id, _bounds_of)
+            snapshots.fold(spark, heads_path, batch_id, _bounds_of)
             if ready_path:
-                snapshots.drop_before(batch.sparkSession, ready_path, batch_id - 1)
+                snapshots.drop_before(spark, ready_path, batch_id - 1)
 
     return handle
 

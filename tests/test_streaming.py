@@ -246,3 +246,32 @@ def test_fetched_blocks(spark):
         stream = spark.readStream.format("chainlake_blocks").option("heights_per_partition", "3").load()
         sp.run_available_now(stream, lambda df, bid: df.write.mode("append").parquet(f"{base}/out"), f"{base}/ckpt")
     assert sorted(r.block_height for r in spark.read.parquet(f"{base}/out").collect()) == list(range(13))
+
+
+def test_router_parses_once_and_writes_a_file_per_partition(spark):
+    """A batch over many storage partitions: one file in each, and its payloads are normalised once."""
+    import glob
+
+    from chainlake.sources.store_io import BlockTable, fresh_path
+    from chainlake.streaming import runners
+
+    base = fresh_path(spark, "router-once")
+    parsed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            parsed.add(b.num_rows)
+            yield b
+
+    raw = spark.range(400).selectExpr("'c' AS chain_id", "id * 1000 AS block_height", "concat('b', id) AS block", "id AS seq")
+    store = BlockTable(spark, f"{base}/store").init()
+    handle = runners.route_blocks_batch(store, f"{base}/heads", normalize=lambda df: df.mapInArrow(count, df.schema))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        handle(raw, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert parsed.value == 400
+    assert sorted(r.block_height for r in store.read().collect()) == [k * 1000 for k in range(400)]
+    folders = glob.glob(f"{base}/store/chain_id=c/height_bucket=*")
+    assert len(folders) == 40 and all(len(glob.glob(f"{f}/*.parquet")) == 1 for f in folders)
