@@ -85,6 +85,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that is planned as a sort-merge join, neither side broadcast.
+
+    An exploded table is sized like the rows before the explode, so Spark (and
+    adaptive execution, from the measured size of those rows) would send one
+    that is many times its broadcast limit through the driver.
+    """
+    return side.hint("merge")
+
+
 def until_stable(step: Callable[[DataFrame], DataFrame], state: DataFrame,
                  max_rounds: int = 100) -> DataFrame:
     """Repeat ``step`` until the rows of ``state`` no longer change.

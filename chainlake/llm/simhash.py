@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fresh_name, id_and_text, text_key
+from .common import cut_lineage, fresh_name, id_and_text, shuffled, text_key
 from .components import connected_components
 
 BITS = 64
@@ -89,7 +89,7 @@ def _by_neighbours(fps: DataFrame) -> DataFrame:
     centres = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(BITS)]
     balls = fps.select("fp", F.explode(F.array(*centres)).alias("centre"))
     least = balls.groupBy("centre").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
-    return balls.join(least, "centre").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    return balls.join(shuffled(least), "centre").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
 
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -106,7 +106,7 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     index = _signatures(fps, max_bits // 2 + 1)
     shared = index.groupBy("bit", "rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut_lineage(index.join(shared, ["bit", "rest"]))
+    met = cut_lineage(index.join(shuffled(shared), ["bit", "rest"]))
     few = met.where(F.col("n") <= BUCKET)
     pairs = (few.select("bit", "rest", F.col("fp").alias("a"))
              .join(few.select("bit", "rest", F.col("fp").alias("b")), ["bit", "rest"])

@@ -61,6 +61,42 @@ def test_links_equal_brute_force(spark, monkeypatch, max_bits, bucket):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def below_broadcasts(plan):
+    """Lines of a printed plan that stand below a broadcast."""
+    found, inside = [], None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        if inside is not None and depth > inside:
+            found.append(line)
+        else:
+            inside = depth if "BroadcastExchange" in line else None
+    return found
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """Final plans of what SimHash cuts off."""
+    seen, cut = [], simhash.cut_lineage
+
+    def spy(df):
+        out = cut(df)
+        seen.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return out
+    monkeypatch.setattr(simhash, "cut_lineage", spy)
+    return seen
+
+
+@pytest.mark.parametrize("bucket", [2, 32])
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch, plans, bucket):
+    """The size that Spark gives an exploded table is that of the rows before the explode."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    fps = spark.createDataFrame([(f,) for f in range(200)], "fp long")
+    simhash.cut_lineage(simhash.links(fps))
+    exploded = [p for p in plans if "Generate explode" in p]
+    assert len(exploded) == 2 and all("SortMergeJoin" in p for p in exploded)
+    assert not any("Generate explode" in x for p in exploded for x in below_broadcasts(p))
+
+
 def test_hard_cases_and_stage(spark, docs_frame):
     same = "alpha beta gamma delta epsilon zeta eta theta"
     rows = [(5, same), (3, same), (3, same), (None, same), (9, None), (8, ""), (7, " \n"), (None, "only null ids"),
