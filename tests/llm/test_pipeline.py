@@ -4,7 +4,7 @@ import corpus_pipeline
 from chainlake.llm import toxicity
 from tests.llm.test_decontaminate import brute
 from tests.llm.test_packing import ids
-from tests.llm.test_simhash import brute_fingerprint, brute_roots
+from tests.llm.test_simhash import below_broadcasts, brute_fingerprint, brute_roots, plans  # noqa: F401
 
 
 def test_equals_brute_force(spark, small_dir):
@@ -35,3 +35,10 @@ def test_stages_keep_columns(spark, small_dir):
         assert stage(spark, docs, small_dir).columns == docs.columns, name
         assert stage(spark, docs.limit(0), small_dir).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), small_dir).count() == 0
+
+
+def test_near_duplicate_stage_broadcasts_nothing_exploded(spark, small_dir, plans):  # noqa: F811
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    corpus_pipeline.remove_near_duplicates(spark, docs, small_dir).count()
+    exploded = [p for p in plans if "Generate explode" in p]
+    assert exploded and not any("Generate explode" in x for p in exploded for x in below_broadcasts(p))
