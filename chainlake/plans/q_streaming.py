@@ -17,6 +17,7 @@ from chainlake.plans.catalog import query
 from chainlake.plans.q_billing import NOW, TTL_SECONDS
 from chainlake.plans.q_delivery import _PLAN_SQL
 from chainlake.plans.q_quality import REPLAY_OFFSET
+from chainlake.session import shuffle_files_dropped
 from chainlake.sources.store_io import BlockTable, fresh_path, tiered_latest, write_blocks_partitioned
 from chainlake.streaming import admission, timers
 from chainlake.streaming import runners as sp
@@ -320,6 +321,20 @@ def q_route_blocks_due(spark, sf_dir):
 
 
 EVM_RAW_SCHEMA = "chain_id string, seq bigint, raw string"
+EVM_FILE_ROWS = 50_000  # payloads in a landed file, at most; a compressed file is read by one task
+EVM_BATCH_FILES = 64    # landed files in a micro-batch, at most: its shuffles and scratch rows bound the disk it takes
+
+
+def land_payloads(raw, n_rows, path):
+    """Land ``n_rows`` payloads as compressed JSON lines, as they come, in four files at least (if there are four rows).
+    Returns the files of a micro-batch: half of them, and never more than ``EVM_BATCH_FILES``."""
+    spark, per_file = raw.sparkSession, max(1, min(EVM_FILE_ROWS, -(-n_rows // 4)))
+    with shuffle_files_dropped(spark):
+        raw.write.mode("append").option("maxRecordsPerFile", per_file).option("compression", "gzip").json(path)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    landed = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    n_files = sum(f.getPath().getName().startswith("part-") for f in landed)
+    return max(1, min(EVM_BATCH_FILES, -(-n_files // 2)))
 
 
 @query("ingest_evm_stream", "SELECT chain_id, block_height, block FROM evm_block", ("evm_block",))
@@ -329,9 +344,9 @@ def q_ingest_evm_stream(spark, sf_dir):
     from chainlake.sources import payloads as pl
     base = fresh_path(spark, "evm")
     src = f"{base}/src"
-    fx.raw_evm(spark, sf_dir).repartition(4).write.mode("append").json(src)
+    files = land_payloads(fx.raw_evm(spark, sf_dir), fx.table(spark, sf_dir, "orders").count(), src)
     store = BlockTable(spark, f"{base}/store").init()
-    stream = sp.ingest_stream(spark, src, T.StructType.fromDDL(EVM_RAW_SCHEMA), max_files_per_trigger=2, fmt="json")
+    stream = sp.ingest_stream(spark, src, T.StructType.fromDDL(EVM_RAW_SCHEMA), max_files_per_trigger=files, fmt="json")
     norm = lambda df: pl.normalize_evm_blocks(df).select("chain_id", "block_height", "block", F.col("block_height").alias("seq"))
     sp.run_available_now(stream, sp.route_blocks_batch(store, f"{base}/heads", normalize=norm), f"{base}/ckpt")
     return store.read().select(*OUT)

@@ -41,6 +41,7 @@ STORE_SCHEMA = T.StructType([
     T.StructField("height_bucket", T.LongType()),
 ])
 PARTITIONS = ["chain_id", "height_bucket"]
+CODEC = "zstd"  # of the blocks; they are JSON with many repeats, of which Parquet's default leaves about twice as much
 ZONE_SCHEMA = T.StructType([
     T.StructField("chain_id", T.StringType()),
     T.StructField("height_bucket", T.LongType()),
@@ -218,13 +219,13 @@ class BlockTable:
             new = b.join(existing.select(*st.KEY), st.KEY, "left_anti")
             self._record(new, of=b)
             (self._dealt(new.withColumn("version", F.lit(self._next_version())))
-             .write.mode("append").partitionBy(*PARTITIONS).parquet(self.path))
+             .write.mode("append").option("compression", CODEC).partitionBy(*PARTITIONS).parquet(self.path))
             return
         hides, version = self._next_version(), self._next_version()
         new = b.join(existing.select(*st.KEY, "block"), [*st.KEY, "block"], "left_anti")
         self._record(new, of=b)
         (self._dealt(new.withColumn("version", F.lit(version)))
-         .write.mode("append").partitionBy(*PARTITIONS).parquet(self.path))
+         .write.mode("append").option("compression", CODEC).partitionBy(*PARTITIONS).parquet(self.path))
         if policy == "last":  # the replaced rows are older than ``hides``, the new ones are not
             winner = b.select(*st.KEY, F.col("block").alias("_new"))
             self._hide(existing.join(winner, st.KEY).where("block <> _new").drop("_new"), hides)

@@ -19,15 +19,14 @@ import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainlake.operators import billing as bl
 from chainlake.operators import store as st
-from chainlake.session import ensure_checkpoint_dir
-from chainlake.sources.store_io import BlockTable
+from chainlake.session import ensure_checkpoint_dir, shuffle_files_dropped
+from chainlake.sources.store_io import CODEC, BlockTable, fresh_path
 from chainlake.streaming import snapshots
 
 ARRIVAL_SCHEMA = T.StructType([
@@ -127,11 +126,14 @@ def route_blocks_batch(store: BlockTable, heads_path: str, cursors_path: str | N
     def handle(batch: DataFrame, batch_id: int) -> None:
         if normalize is None:
             return route(batch, batch_id)
-        rows = normalize(batch).persist(StorageLevel.DISK_ONLY)  # read several times, parsed once
+        spark, path = batch.sparkSession, fresh_path(batch.sparkSession, "batch")
+        rows = normalize(batch)
         try:
-            route(rows, batch_id)
+            with shuffle_files_dropped(spark):
+                rows.write.option("compression", CODEC).parquet(path)  # read several times, parsed once
+                route(spark.read.schema(rows.schema).parquet(path), batch_id)
         finally:
-            rows.unpersist()
+            snapshots.drop(spark, path)
 
     def route(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession

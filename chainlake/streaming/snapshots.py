@@ -54,3 +54,9 @@ def drop_before(spark: SparkSession, path: str, batch_id: int) -> None:
     for n, folder in folders.items():
         if n < batch_id:
             fs.delete(folder, True)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Drop a folder that one writer made for itself."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)

@@ -1,5 +1,6 @@
 """Streaming runs equal the batch result, also after a restart with more input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from chainlake import fixtures as fx
@@ -275,3 +276,57 @@ def test_router_parses_once_and_writes_a_file_per_partition(spark):
     assert sorted(r.block_height for r in store.read().collect()) == [k * 1000 for k in range(400)]
     folders = glob.glob(f"{base}/store/chain_id=c/height_bucket=*")
     assert len(folders) == 40 and all(len(glob.glob(f"{f}/*.parquet")) == 1 for f in folders)
+
+
+def _shuffle_files(spark):
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in found.split("\n") if "/shuffle_" in f}
+
+
+def test_router_leaves_no_scratch_behind(spark):
+    """After a batch neither its normalised rows nor its shuffle files stay on disk; blocks are stored compressed well."""
+    import glob
+    import os
+
+    from chainlake.session import ensure_checkpoint_dir
+    from chainlake.sources.store_io import BlockTable, fresh_path
+    from chainlake.streaming import runners
+
+    base = fresh_path(spark, "router-scratch")
+    scratch = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "batch-*")
+    raw = spark.range(300).selectExpr("'c' AS chain_id", "id AS block_height", "concat('b', id) AS block", "id AS seq")
+    store = BlockTable(spark, f"{base}/store").init()
+    handle = runners.route_blocks_batch(store, f"{base}/heads", normalize=lambda df: df.where("block_height >= 100"))
+    before, rows = _shuffle_files(spark), set(glob.glob(scratch))
+    handle(raw, 0)
+    handle(raw, 1)  # again: nothing new
+    handle(raw.where("false"), 2)
+    assert not _shuffle_files(spark) - before and set(glob.glob(scratch)) == rows
+    assert sorted(r.block_height for r in store.read().collect()) == list(range(100, 300))
+    with pytest.raises(Exception, match="no such|cannot be resolved|boom"):
+        runners.route_blocks_batch(store, f"{base}/heads", normalize=lambda df: df.selectExpr("*", "raise_error('boom') AS x"))(raw, 3)
+    assert set(glob.glob(scratch)) == rows
+    assert all(".zstd." in f for f in glob.glob(f"{base}/store/chain_id=c/*/*.parquet"))
+
+
+def test_payloads_land_compressed_in_bounded_files_and_batches(spark, monkeypatch):
+    """No file and no batch grows with the table, and the stream has several batches at any size."""
+    import glob
+    import gzip
+
+    from chainlake.plans import q_streaming as q
+    from chainlake.sources.store_io import fresh_path
+
+    raw = spark.range(0, 100, 1, 3).selectExpr("'c' AS chain_id", "id AS seq", "concat('r', id) AS raw")
+    for file_rows, most in ((50_000, 64), (7, 5)):
+        monkeypatch.setattr(q, "EVM_FILE_ROWS", file_rows)
+        monkeypatch.setattr(q, "EVM_BATCH_FILES", most)
+        path = fresh_path(spark, "landed")
+        files = q.land_payloads(raw, 100, path)
+        landed = glob.glob(f"{path}/part-*.json.gz")
+        sizes = [sum(1 for _ in gzip.open(f)) for f in landed]
+        assert sum(sizes) == 100 and len(landed) >= 4 and max(sizes) <= min(file_rows, 25)
+        assert 1 <= files <= most and files < len(landed)
+        assert spark.read.schema(q.EVM_RAW_SCHEMA).json(path).distinct().count() == 100
+    none = fresh_path(spark, "landed")
+    assert q.land_payloads(raw.where("false"), 0, none) == 1
